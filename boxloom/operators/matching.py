@@ -101,6 +101,28 @@ def _match_by_fold(pred: DataFrame, gt: DataFrame, levels: list[float], tie: str
     per_pred = pairs.groupBy(*by, *GROUP, "pred_index").agg(
         F.first("score").alias("score"), F.collect_list(candidate).alias("options")
     )
+    return _fold(per_pred, levels, by)
+
+
+def greedy_match_pairs(
+    pred: DataFrame, pairs: DataFrame, levels: list[float], tie: str = "last", by: list[str] | None = None
+) -> DataFrame:
+    """Greedy matching where the overlaps are given (masks): ``pairs`` has the group columns,
+    ``pred_index``, ``gt_index`` and ``iou``."""
+    by = by or []
+    keys = [*by, *GROUP, "pred_index"]
+    option = F.struct(
+        F.lit(True).alias("regular"), F.col("iou"), _tie(tie, F.col("gt_index")).alias("order"), F.col("gt_index")
+    )
+    options = pairs.filter(F.col("iou") >= min(levels)).groupBy(*keys).agg(F.collect_list(option).alias("options"))
+    empty = F.array().cast("array<struct<regular:boolean,iou:double,order:int,gt_index:int>>")
+    per_pred = pred.select(*keys, "score").join(options, keys, "left").withColumn(
+        "options", F.coalesce("options", empty)
+    )
+    return _fold(per_pred, levels, by)
+
+
+def _fold(per_pred: DataFrame, levels: list[float], by: list[str]) -> DataFrame:
     ordered = F.sort_array(
         F.collect_list(F.struct((-F.col("score")).alias("neg"), "pred_index", "options"))
     )
@@ -221,56 +243,49 @@ def match_once(pred: DataFrame, gt: DataFrame, lowest: float = 0.0, **kw) -> Dat
 
 def nms(
     pred: DataFrame, iou: float = 0.5, cap: int = 1000, by: list[str] | None = None,
-    group_limit: int | None = GROUP_LIMIT,
+    group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Class-aware suppression of IoU strictly above ``iou`` in single precision, then the first
     ``cap`` rows of an image by score."""
     by = by or []
     keys = [*by, *GROUP]
-    if group_limit is not None:
-        crowded = _oversized(pred, keys, group_limit)
-        if not crowded.isEmpty():
-            crowded = cut(crowded)
-            kept = _nms_by_fold(pred.join(crowded, keys, "left_anti"), iou, keys).unionByName(
-                _nms_by_rounds(pred.join(crowded, keys, "left_semi"), iou, keys)
-            )
-            return top_per_group(kept, [*by, "image_id"], score_order(), cap)
-    return top_per_group(_nms_by_fold(pred, iou, keys), [*by, "image_id"], score_order(), cap)
-
-
-def _single_iou(a, b) -> Column:
-    return box_iou(a, b).cast("float")
+    nodes = pred.select(*keys, "pred_index", "score", *box().cast("float").columns())
+    pairs = overlap_join(nodes, prefixed(nodes, "q_", keys), keys, "", "q_")
+    rank, other = F.struct(-F.col("score"), "pred_index"), F.struct(-F.col("q_score"), "q_pred_index")
+    conflict = box_iou(box(), box("q_")).cast("float") > F.lit(iou).cast("float")
+    edges = pairs.filter((rank < other) & conflict).select(*keys, "pred_index", F.col("q_pred_index").alias("lower"))
+    removed = greedy_suppress(nodes.select(*keys, "pred_index", "score"), edges, keys, group_limit)
+    kept = pred.join(removed, [*keys, "pred_index"], "left_anti")
+    return top_per_group(kept, [*by, "image_id"], score_order(), cap)
 
 
-def _nms_by_fold(pred: DataFrame, iou: float, keys: list[str]) -> DataFrame:
-    from boxloom.functions.boxes import Box
+def greedy_suppress(nodes: DataFrame, edges: DataFrame, keys: list[str], group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """Boxes removed when each kept box, best score first, removes what it conflicts with.
 
-    rest = [c for c in pred.columns if c not in keys]
-    f = box().cast("float")
-    item = F.struct(
-        (-F.col("score")).alias("neg"), F.col("pred_index"), *f.columns("f_"), F.struct(*rest).alias("row")
+    ``edges`` point from the higher-ranked ``pred_index`` to ``lower``. Only boxes with a conflict
+    enter the fold; groups above ``group_limit`` are settled in rounds.
+    """
+    crowded = _oversized(nodes, keys, group_limit)
+    if crowded.isEmpty():
+        return _suppressed_by_fold(edges, nodes, keys)
+    crowded = cut(crowded)
+    small = _suppressed_by_fold(edges.join(crowded, keys, "left_anti"), nodes, keys)
+    return small.unionByName(suppressed(edges.join(crowded, keys, "left_semi"), keys))
+
+
+def _suppressed_by_fold(edges: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
+    blockers = edges.groupBy(*keys, F.col("lower").alias("pred_index")).agg(F.collect_list("pred_index").alias("by"))
+    item = F.struct((-F.col("score")).alias("neg"), "pred_index", "by")
+    queue = blockers.join(nodes, [*keys, "pred_index"]).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(item)).alias("queue")
     )
-    groups = pred.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("queue"))
 
-    def corners(s: Column) -> Box:
-        return Box(s["f_x1"], s["f_y1"], s["f_x2"], s["f_y2"])
+    def step(gone: Column, p: Column) -> Column:
+        blocked = F.exists(p["by"], lambda q: ~F.array_contains(gone, q))
+        return F.when(blocked, F.concat(gone, F.array(p["pred_index"]))).otherwise(gone)
 
-    def step(kept: Column, p: Column) -> Column:
-        hit = F.exists(kept, lambda k: _single_iou(corners(p), corners(k)) > F.lit(iou).cast("float"))
-        return F.when(hit, kept).otherwise(F.concat(kept, F.array(p)))
-
-    folded = F.aggregate("queue", F.slice("queue", 1, 0), step)
-    return groups.select(*keys, F.explode(folded).alias("k")).select(*keys, "k.row.*").select(*pred.columns)
-
-
-def _nms_by_rounds(pred: DataFrame, iou: float, keys: list[str]) -> DataFrame:
-    f = box().cast("float")
-    nodes = pred.select(*keys, "pred_index", "score", *f.columns())
-    pairs = overlap_join(nodes, prefixed(nodes, "q_", keys), keys, "", "q_")
-    rank, other = F.struct(-F.col("score"), "pred_index"), F.struct(-F.col("q_score"), "q_pred_index")
-    edges = pairs.filter((rank < other) & (_single_iou(box(), box("q_")) > F.lit(iou).cast("float")))
-    removed = suppressed(edges.select(*keys, "pred_index", F.col("q_pred_index").alias("lower")), keys)
-    return pred.join(removed, [*keys, "pred_index"], "left_anti")
+    folded = F.aggregate("queue", F.array().cast("array<int>"), step)
+    return queue.select(*keys, F.explode(folded).alias("pred_index"))
 
 
 def suppressed(edges: DataFrame, keys: list[str]) -> DataFrame:

@@ -206,7 +206,8 @@ def leave_one_out_ap(matches: DataFrame, npos: DataFrame, group: str, levels: li
     every = npos.agg(F.sort_array(F.collect_set(group)).alias("all")).scalar()
 
     def spread(df: DataFrame) -> DataFrame:
-        return df.withColumn("omitted", F.explode(F.filter(every, lambda g: g != F.col(group))))
+        wide = df.withColumn("_all", every)
+        return wide.withColumn("omitted", F.explode(F.filter("_all", lambda g: g != F.col(group)))).drop("_all")
 
     counts = spread(npos).groupBy("omitted", "class_id").agg(F.sum("npos").alias("npos"))
     per_level = ap_by_level(spread(matches), counts, ["omitted"], levels)

@@ -22,9 +22,8 @@ def with_cells(df: DataFrame, b: Box, cell: int, name: str = "_cell") -> DataFra
         last = F.greatest(first, (F.ceil(hi / cell) - 1).cast("long"))
         return F.sequence(first, last)
 
-    return df.withColumn("_cx", F.explode(span(b.x1, b.x2))).withColumn(
-        name, F.struct(F.col("_cx").alias("cx"), F.explode(span(b.y1, b.y2)).alias("cy"))
-    ).drop("_cx")
+    spread = df.withColumn("_cx", F.explode(span(b.x1, b.x2))).withColumn("_cy", F.explode(span(b.y1, b.y2)))
+    return spread.withColumn(name, F.struct(F.col("_cx").alias("cx"), F.col("_cy").alias("cy"))).drop("_cx", "_cy")
 
 
 def overlap_join(

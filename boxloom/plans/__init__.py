@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["matching"]
+MODULES = ["scalars", "matching", "metrics"]
 
 
 def _load() -> None:

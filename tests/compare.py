@@ -46,8 +46,12 @@ def rows_of(columns, rows):
     return [columns[i] for i in order], sorted(tuple(plain(r[i]) for i in order) for r in rows)
 
 
+TIMES = []
+
+
 def compare(df, sql, con):
     spark_columns, spark_rows = rows_of(df.columns, df.collect())
+    TIMES.append(time.time())
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
     sql_columns, sql_rows = rows_of(names, cur.fetchall())
@@ -81,9 +85,10 @@ def main():
                 n, problem = df.count(), None
         except Exception as e:
             n, problem = -1, f"{type(e).__name__}: {str(e)[:700]}"
-        took = time.time() - start
+        took = (TIMES[-1] if TIMES and TIMES[-1] > start else time.time()) - start
+        rest = time.time() - start - took
         kind = "sql" if key in sql else "rows"
-        print(f"{key:14s} {kind:5s} {n:8d} {took:6.2f}s {'ok' if problem is None else 'FAIL ' + problem}", flush=True)
+        print(f"{key:14s} {kind:5s} {n:8d} {took:6.2f}s sql {rest:6.2f}s {'ok' if problem is None else 'FAIL ' + problem}", flush=True)
         if problem or n == 0:
             bad.append(key)
     print(f"{len(keys)} queries, not ok or empty: {bad}")
