@@ -122,7 +122,8 @@ def box_clip(b: Box, r: Box) -> Box:
     """Intersection with rectangle ``r``; all four sides are NULL when nothing is left."""
     x1, y1 = F.greatest(b.x1, r.x1), F.greatest(b.y1, r.y1)
     x2, y2 = F.least(b.x2, r.x2), F.least(b.y2, r.y2)
-    keep = (x2 > x1) & (y2 > y1)
+    # greatest/least skip NULL, so a box that is already empty is tested by itself
+    keep = b.x1.isNotNull() & (x2 > x1) & (y2 > y1)
     return Box(*[F.when(keep, c) for c in (x1, y1, x2, y2)])
 
 

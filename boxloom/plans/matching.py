@@ -11,10 +11,10 @@ from boxloom.operators import metrics as ag
 from boxloom.plans.derive import Tables, with_sql
 from boxloom.plans.registry import query
 
-def iou_sql(a: str, b: str, kind: str = "DOUBLE") -> str:
+def iou_sql(a: str, b: str) -> str:
     """IoU of two aliased box rows as SQL text."""
     def c(alias, name):
-        return f"CAST({alias}.{name} AS {kind})"
+        return f"{alias}.{name}"
 
     inter = (
         f"(greatest(least({c(a, 'x2')},{c(b, 'x2')})-greatest({c(a, 'x1')},{c(b, 'x1')}),0)"
@@ -142,11 +142,12 @@ def thresholds_from_one_match(t):
 
 
 def suppress_sql(level: str, test: str, kind: str, order: str = "score DESC, pred_index") -> str:
-    return f"""r AS (SELECT *, row_number() OVER (PARTITION BY image_id, class_id ORDER BY {order}) AS rank FROM pred),
+    return f"""r AS (SELECT image_id, class_id, pred_index, CAST(x1 AS {kind}) AS x1, CAST(y1 AS {kind}) AS y1, CAST(x2 AS {kind}) AS x2,
+  CAST(y2 AS {kind}) AS y2, row_number() OVER (PARTITION BY image_id, class_id ORDER BY {order}) AS rank FROM pred),
 blocked AS (
   SELECT p.image_id, p.class_id, p.pred_index, p.rank, list(q.rank) FILTER (q.rank IS NOT NULL) AS by
   FROM r p LEFT JOIN r q ON q.image_id = p.image_id AND q.class_id = p.class_id AND q.rank < p.rank
-    AND {iou_sql('p', 'q', kind)} {test} {level}
+    AND {iou_sql('p', 'q')} {test} {level}
   GROUP BY p.image_id, p.class_id, p.pred_index, p.rank),
 w AS (
   SELECT image_id, class_id, 0::BIGINT AS rank, CAST(NULL AS INTEGER) AS pred_index, TRUE AS keep, CAST([] AS BIGINT[]) AS kept
