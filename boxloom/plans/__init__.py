@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["scalars", "matching", "metrics", "curation"]
+MODULES = ["scalars", "matching", "metrics", "curation", "views"]
 
 
 def _load() -> None:
