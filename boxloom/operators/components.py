@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boxloom.operators.sets import list_digest
 from boxloom.session import cut
 
 
@@ -111,26 +112,8 @@ def contradictions(df: DataFrame, digest: str, flag: str) -> DataFrame:
 
 
 def component_id(labelled: DataFrame, node: str = "id") -> DataFrame:
-    """Id of a component from its members, independent of their order.
-
-    Small components hash their sorted member list. A component above the size limit hashes the
-    sorted list of block digests instead, so its members are never gathered in one row.
-    """
-    block = F.conv(F.substring(F.sha2(F.col(node).cast("string"), 256), 1, 3), 16, 10).cast("int")
-    sizes = labelled.groupBy("component").agg(F.count("*").alias("_n"))
-    rows = labelled.join(sizes, "component").withColumn(
-        "_block", F.when(F.col("_n") > MEMBER_LIMIT, block).otherwise(0)
-    )
-    members = F.array_join(F.sort_array(F.collect_list(F.col(node).cast("string"))), "\n")
-    parts = rows.groupBy("component", "_block").agg(F.sha2(members, 256).alias("d"), F.count("*").alias("n"))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_block", "d"))), lambda s: s["d"]), "\n")
-    whole = parts.groupBy("component").agg(
-        F.count("*").alias("blocks"), F.first("d").alias("one"), F.sha2(joined, 256).alias("many"), F.sum("n").alias("size")
+    """Id of a component from its sorted members, independent of their order."""
+    named = labelled.select("component", F.col(node).cast("string").alias("_m"))
+    return list_digest(named, ["component"], "_m", "_m", "\n").select(
+        "component", F.col("n").alias("size"), F.substring("digest", 1, 16).alias("component_id")
     )
-    return whole.select(
-        "component", "size",
-        F.substring(F.when(F.col("blocks") == 1, F.col("one")).otherwise(F.col("many")), 1, 16).alias("component_id"),
-    )
-
-
-MEMBER_LIMIT = 100_000
