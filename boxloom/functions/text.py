@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def base_name(path: Column) -> Column:
@@ -18,8 +19,9 @@ def stem(path: Column) -> Column:
 
 
 def family_of(name: Column) -> Column:
-    """File stem without the export's ``.rf.<hash>`` augmentation suffix."""
-    return F.regexp_replace(stem(name), r"\.rf\.[0-9A-Za-z]+$", "")
+    """Original photo of an export: the file name up to ``.rf.``, else the stem."""
+    base = base_name(name)
+    return F.when(base.contains(".rf."), F.substring_index(base, ".rf.", 1)).otherwise(stem(name))
 
 
 # fixed values: capture-grouping rules by source
@@ -85,7 +87,7 @@ def plain_text(markup: Column) -> Column:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape_html(text: pd.Series) -> pd.Series:
     """Every HTML character reference, for the cases ``plain_text`` does not list."""
     return text.map(html.unescape, na_action="ignore")

@@ -26,7 +26,6 @@ COCO_DOCUMENT = (
     "categories array<struct<id:int,name:string>>"
 )
 
-COCO_PREDICTION = "image_id bigint, category_id int, bbox array<double>, score double"
 
 STAGED_RECORD = (
     "id string, source string, image string, group string, width int, height int, sha256 string, "
