@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["scalars", "matching", "metrics", "curation", "views", "audits", "io"]
+MODULES = ["scalars", "matching", "metrics", "curation", "views", "audits", "io", "live"]
 
 
 def _load() -> None:

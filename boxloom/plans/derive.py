@@ -221,7 +221,7 @@ class Tables:
         return self.read("events").select(
             F.col("user_id").alias("camera"),
             F.col("event_id").alias("frame_number"),
-            "ts",
+            F.col("ts").cast("timestamp").alias("ts"),
             F.col("event_type").alias("class_name"),
             "value",
             (F.col("value") % 1.0).alias("score"),
