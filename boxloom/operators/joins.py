@@ -72,7 +72,8 @@ def clip_objects(crops: DataFrame, objects: DataFrame, cell: int = 256) -> DataF
 
 def pick_at(points: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
     """Smallest box that holds each click (ties by box id); NULL when none does."""
-    hits = points_in_boxes(points, boxes, keys)
+    once = boxes.groupBy(*keys, "x1", "y1", "x2", "y2").agg(F.min("box_id").alias("box_id"))
+    hits = points_in_boxes(points, once, keys)
     area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     best = hits.groupBy("point_id").agg(F.min(F.struct(area.alias("area"), F.col("box_id"))).alias("b"))
     return points.select("point_id").join(best, "point_id", "left").select(
@@ -91,7 +92,8 @@ def follow(previous: DataFrame, current: DataFrame, keys: list[str], reach: floa
 
     p = previous.withColumn("_cx", F.explode(F.sequence(cell(F.col("px")) - 1, cell(F.col("px")) + 1)))
     p = p.withColumn("_cy", F.explode(F.sequence(cell(F.col("py")) - 1, cell(F.col("py")) + 1)))
-    c = current.withColumn("_cx", cell(F.col("cx"))).withColumn("_cy", cell(F.col("cy")))
+    once = current.groupBy(*keys, "class_id", "cx", "cy").agg(F.min("current_id").alias("current_id"))
+    c = once.withColumn("_cx", cell(F.col("cx"))).withColumn("_cy", cell(F.col("cy")))
     dx, dy = F.col("cx") - F.col("px"), F.col("cy") - F.col("py")
     near = p.join(c, [*keys, "class_id", "_cx", "_cy"]).filter((F.abs(dx) <= reach) & (F.abs(dy) <= reach))
     best = near.groupBy("previous_id").agg(F.min(F.struct((dx * dx + dy * dy).alias("d2"), F.col("current_id"))).alias("b"))

@@ -249,13 +249,20 @@ def nms(
     ``cap`` rows of an image by score."""
     by = by or []
     keys = [*by, *GROUP]
-    nodes = pred.select(*keys, "pred_index", "score", *box().cast("float").columns())
+    every = pred.select(*keys, "pred_index", "score", *box().cast("float").columns())
+    # of copies of one box only the best-ranked can stay (IoU 1), so copies never form pairs;
+    # boxes without area overlap nothing and are kept apart by their index
+    flat = F.when((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")), F.lit(None)).otherwise(F.col("pred_index"))
+    nodes = every.withColumn("_flat", flat).groupBy(*keys, "x1", "y1", "x2", "y2", "_flat").agg(
+        F.min(F.struct((-F.col("score")).alias("neg"), "pred_index")).alias("_b")
+    ).select(*keys, F.col("_b.pred_index").alias("pred_index"), (-F.col("_b.neg")).alias("score"), *box())
     pairs = overlap_join(nodes, prefixed(nodes, "q_", keys), keys, "", "q_")
     rank, other = F.struct(-F.col("score"), "pred_index"), F.struct(-F.col("q_score"), "q_pred_index")
     conflict = box_iou(box(), box("q_")).cast("float") > F.lit(iou).cast("float")
     edges = pairs.filter((rank < other) & conflict).select(*keys, "pred_index", F.col("q_pred_index").alias("lower"))
     removed = greedy_suppress(nodes.select(*keys, "pred_index", "score"), edges, keys, group_limit)
-    kept = pred.join(removed, [*keys, "pred_index"], "left_anti")
+    firsts = nodes.select(*keys, "pred_index").join(removed, [*keys, "pred_index"], "left_anti")
+    kept = pred.join(firsts, [*keys, "pred_index"], "left_semi")
     return top_per_group(kept, [*by, "image_id"], score_order(), cap)
 
 

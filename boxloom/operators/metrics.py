@@ -15,6 +15,7 @@ from boxloom.functions.hashing import hash_pick
 from boxloom.functions.numeric import f1, precision, recall
 from boxloom.operators.matching import COCO_IOUS, GROUP, greedy_match, score_order, top_per_group
 from boxloom.operators.prefix import running
+from boxloom.session import cut
 
 SWEEP_STEPS = 20  # thresholds step/20 for step 1..19
 
@@ -94,49 +95,98 @@ def best_confidence(sweep: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- average precision
 
 
-def precision_points(matches: DataFrame, npos: DataFrame, by: list[str]) -> DataFrame:
-    """Best precision per recall step reached: at most 101 rows per (by, class, IoU level).
+def _pack(matches: DataFrame, extra: list[str], levels: list[float]) -> DataFrame:
+    """One row per prediction with a bit per IoU level at which it matched.
 
-    Rows are counted in the order score, image, rank inside the image. ``running`` range-partitions
-    that order, so a class that holds most of the rows still spreads over all tasks.
+    The levels of a prediction come out of one fold, so this needs no further shuffle.
     """
-    keys = [*by, "class_id", "iou_level"]
-    flags = matches.select(
-        *keys, "image_id", "rank", (-F.col("score")).alias("neg"),
-        F.col("gt_index").isNotNull().cast("long").alias("hit"),
+    level = F.lit(None).cast("int")
+    for i, t in enumerate(levels):
+        level = F.when(F.abs(F.col("iou_level") - t) < 1e-9, i).otherwise(level)
+    bit = F.call_function("shiftleft", F.lit(1), level)
+    packed = matches.groupBy("image_id", "class_id", *extra, "pred_index", "rank", "score").agg(
+        F.sum(F.when(F.col("gt_index").isNotNull(), bit).otherwise(0)).cast("int").alias("hits"),
+        F.sum(bit).cast("int").alias("seen"),
     )
-    ordered = running(
-        flags, keys, [F.col("neg"), F.col("image_id"), F.col("rank")],
-        {"tp_sum": F.col("hit"), "n": F.lit(1).cast("long")},
-    )
-    hits = ordered.filter(F.col("hit") == 1).join(npos, [*by, "class_id"])
-    reach = F.col("tp_sum") / F.col("npos")
+    return packed.withColumn("neg", -F.col("score"))
+
+
+ORDER = ["neg", "image_id", "rank"]
+
+
+def _bit(mask: str, i: int):
+    return F.shiftright(mask, i).bitwiseAND(1).cast("long")
+
+
+def _hit(i: int):
+    return _bit("hits", i)
+
+
+def _recall_step(reach):
+    """Largest i with i * 0.01 <= reach in doubles; the first guess may be off by one."""
     guess = F.floor(reach * 100)
-    # recall grid is i * 0.01 in doubles; correct the guess by one where rounding went the other way
-    step = (
+    return (
         F.when((guess + 1) * F.lit(0.01) <= reach, guess + 1)
-        .when(guess * F.lit(0.01) <= reach, guess)
-        .otherwise(guess - 1)
+        .when(guess * F.lit(0.01) <= reach, guess).otherwise(guess - 1).cast("int")
     )
-    return hits.groupBy(*keys, step.cast("int").alias("step")).agg(
+
+
+def _area(points: DataFrame, npos: DataFrame, keys: list[str]) -> DataFrame:
+    """101-point AP from (keys, tp_sum, n) at the hits; 0 without hits, NULL without truth.
+
+    Points are first reduced to the best precision per recall step reached, at most 101 rows per
+    key before anything is shuffled.
+    """
+    shared = [k for k in keys if k in npos.columns]
+    reached = points.join(npos, shared).groupBy(*keys, _recall_step(F.col("tp_sum") / F.col("npos")).alias("step")).agg(
         F.max(F.col("tp_sum") / F.col("n")).alias("precision")
     )
+    spread = reached.select(*keys, "precision", F.explode(F.sequence(F.lit(0), F.col("step"))).alias("step"))
+    best = spread.groupBy(*keys, "step").agg(F.max("precision").alias("q"))
+    return best.groupBy(*keys).agg((F.sum("q") / 101).alias("ap"))
 
 
-def ap_by_level(matches: DataFrame, npos: DataFrame, by: list[str], levels: list[float]) -> DataFrame:
-    """101-point AP per (by, class, IoU level); 0 without predictions, NULL without truth."""
-    points = precision_points(matches, npos, by)
-    spread = points.select(
-        *by, "class_id", "iou_level", "precision", F.explode(F.sequence(F.lit(0), F.col("step"))).alias("step")
-    )
-    best = spread.groupBy(*by, "class_id", "iou_level", "step").agg(F.max("precision").alias("q"))
-    areas = best.groupBy(*by, "class_id", "iou_level").agg((F.sum("q") / 101).alias("ap"))
+def ap_by_level(
+    matches: DataFrame, npos: DataFrame, by: list[str], levels: list[float], caps: tuple[int, ...] | None = None,
+    ragged: bool = False,
+) -> DataFrame:
+    """101-point AP per (by, class, IoU level) and, with ``caps``, per number of predictions kept.
+
+    Predictions are counted once in the order score, image, rank inside the image, for all levels
+    and caps side by side. ``running`` range-partitions that order, so a class that holds most of
+    the rows still spreads over all tasks. ``ragged`` inputs lack some predictions at some levels
+    (ignored ones), so those levels are counted apart.
+    """
+    packed = _pack(matches, by, levels)
+    cuts = list(caps or [None])
+
+    def inside(cap):
+        return F.lit(True) if cap is None else F.col("rank") <= cap
+
+    sums = {} if ragged else {f"n_{j}": inside(c).cast("long") for j, c in enumerate(cuts)}
+    for i in range(len(levels)):
+        for j, c in enumerate(cuts):
+            if ragged:
+                sums[f"n_{i}_{j}"] = _bit("seen", i) * inside(c).cast("long")
+            sums[f"t_{i}_{j}"] = _hit(i) * inside(c).cast("long")
+    columns = [*by, "class_id", *ORDER, "hits", "seen"]
+    ordered = running(packed.select(*columns), [*by, "class_id"], [F.col(c) for c in ORDER], sums)
+    cells = [
+        F.when(
+            (_hit(i) == 1) & inside(c),
+            F.struct(F.lit(float(t)).alias("iou_level"), F.lit(c).cast("int").alias("max_det"),
+                     F.col(f"t_{i}_{j}").alias("tp_sum"), F.col(f"n_{i}_{j}" if ragged else f"n_{j}").alias("n")),
+        )
+        for i, t in enumerate(levels) for j, c in enumerate(cuts)
+    ]
+    points = ordered.filter("hits > 0").select(*by, "class_id", F.explode(F.array_compact(F.array(*cells))).alias("p"))
+    keys = [*by, "class_id", "iou_level", *(["max_det"] if caps else [])]
+    areas = _area(points.select(*by, "class_id", "p.*"), npos, keys)
     grid = npos.withColumn("iou_level", F.explode(F.array(*[F.lit(float(t)) for t in levels])))
-    joined = grid.join(areas, [*by, "class_id", "iou_level"], "left")
-    return joined.select(
-        *by, "class_id", "iou_level",
-        F.when(F.col("npos") > 0, F.coalesce("ap", F.lit(0.0))).alias("ap"),
-    )
+    if caps:
+        grid = grid.withColumn("max_det", F.explode(F.array(*[F.lit(c) for c in caps])))
+    joined = grid.join(areas, keys, "left")
+    return joined.select(*keys, F.when(F.col("npos") > 0, F.coalesce("ap", F.lit(0.0))).alias("ap"))
 
 
 def coco_ap(
@@ -149,11 +199,7 @@ def coco_ap(
     group match the same way whatever follows them. ``npos`` holds truth counts per (by, class).
     """
     by = by or []
-    levels = levels or COCO_IOUS
-    caps = F.filter(F.array(*[F.lit(m) for m in max_dets]), lambda m: F.col("rank") <= m)
-    spread = matches.withColumn("max_det", F.explode(caps))
-    grid = npos.withColumn("max_det", F.explode(F.array(*[F.lit(m) for m in max_dets])))
-    per_level = ap_by_level(spread, grid, [*by, "max_det"], levels)
+    per_level = ap_by_level(matches, npos, by, levels or COCO_IOUS, max_dets)
     keys = [*by, "max_det"]
 
     def at(level: float):
@@ -186,7 +232,7 @@ def coco_ap_area(pred: DataFrame, gt: DataFrame, max_det: int = 100, levels: lis
         sized = matches.join(kept.select(*GROUP, "pred_index", inside.alias("in_range")), [*GROUP, "pred_index"])
         counted = sized.filter(F.coalesce("on_regular", "in_range"))
         npos = truth.filter("regular").groupBy("class_id").agg(F.count("*").alias("npos"))
-        rows = ap_by_level(counted, npos, [], levels).groupBy("class_id").agg(F.avg("ap").alias("ap50_95"))
+        rows = ap_by_level(counted, npos, [], levels, ragged=True).groupBy("class_id").agg(F.avg("ap").alias("ap50_95"))
         rows = rows.select(F.lit(name).alias("area"), "class_id", "ap50_95")
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -197,21 +243,47 @@ def macro_ap(group_ap: DataFrame) -> DataFrame:
     return group_ap.agg(F.avg("ap").alias("macro_ap"), F.count("ap").alias("groups"))
 
 
-def leave_one_out_ap(matches: DataFrame, npos: DataFrame, group: str, levels: list[float]) -> DataFrame:
-    """AP with each group omitted, from the cached matches of all groups (nothing is re-matched).
+LOGO_GROUPS = 200
 
-    ``matches`` and ``npos`` carry ``group``. Every row serves all runs but its own, so it is
-    written once per omitted group; the group list is a small dimension of the run.
-    """
-    every = npos.agg(F.sort_array(F.collect_set(group)).alias("all")).scalar()
 
-    def spread(df: DataFrame) -> DataFrame:
-        wide = df.withColumn("_all", every)
-        return wide.withColumn("omitted", F.explode(F.filter("_all", lambda g: g != F.col(group)))).drop("_all")
+def leave_one_out_ap(matches: DataFrame, npos: DataFrame, group: str, level: float) -> DataFrame:
+    """AP with each group omitted, from the cached matches of all groups (nothing is re-matched).
 
-    counts = spread(npos).groupBy("omitted", "class_id").agg(F.sum("npos").alias("npos"))
-    per_level = ap_by_level(spread(matches), counts, ["omitted"], levels)
-    return per_level.groupBy("omitted").agg(F.avg("ap").alias("ap"))
+    ``matches`` and ``npos`` carry ``group``. Predictions are ordered once; running counts of every
+    group ride along, and the counts without a group are a subtraction at each hit. More than
+    ``LOGO_GROUPS`` groups would make the rows too wide, so they are taken in slices of that many.
+    """
+    npos = cut(npos)
+    every = sorted(r[0] for r in npos.select(group).distinct().collect())
+    packed = _pack(matches, [group], [level]).select("class_id", group, *ORDER, "hits")
+    counts = npos.groupBy("class_id").agg(F.sum("npos").alias("_all"))
+    out = None
+    for start in range(0, len(every), LOGO_GROUPS):
+        part = every[start : start + LOGO_GROUPS]
+        sums = {"t": _hit(0), "n": F.lit(1).cast("long")}
+        for i, g in enumerate(part):
+            mine = (F.col(group) == g).cast("long")
+            sums[f"t_{i}"], sums[f"n_{i}"] = mine * _hit(0), mine
+        ordered = running(packed, ["class_id"], [F.col(c) for c in ORDER], sums).filter("hits > 0")
+        cells = [
+            F.when(
+                F.col(group) != g,
+                F.struct(F.lit(g).alias("omitted"), (F.col("t") - F.col(f"t_{i}")).alias("tp_sum"),
+                         (F.col("n") - F.col(f"n_{i}")).alias("n")),
+            )
+            for i, g in enumerate(part)
+        ]
+        points = ordered.select("class_id", F.explode(F.array_compact(F.array(*cells))).alias("p")).select("class_id", "p.*")
+        names = npos.select(F.col(group).alias("omitted")).distinct().filter(F.col("omitted").isin(part))
+        left = names.withColumn("class_id", F.explode(npos.agg(F.collect_set("class_id")).scalar()))
+        own = npos.select(F.col(group).alias("omitted"), "class_id", F.col("npos").alias("_own"))
+        grid = left.join(counts, "class_id").join(own, ["omitted", "class_id"], "left").select(
+            "omitted", "class_id", (F.col("_all") - F.coalesce("_own", F.lit(0))).alias("npos")
+        ).filter("npos > 0")
+        areas = grid.join(_area(points, grid, ["omitted", "class_id"]), ["omitted", "class_id"], "left")
+        rows = areas.groupBy("omitted").agg(F.avg(F.coalesce("ap", F.lit(0.0))).alias("ap"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 # ---------------------------------------------------------------- recall and rates

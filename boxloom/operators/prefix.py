@@ -15,8 +15,12 @@ from boxloom.session import cut
 
 
 def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
-    """Add inclusive running sums over ``order`` (which must be total) inside ``keys``."""
-    held = df.select("*", *[v.alias(f"_v_{n}") for n, v in sums.items()])
+    """Add inclusive running sums over ``order`` (which must be total) inside ``keys``.
+
+    The input is written once before it is range-partitioned: choosing the range bounds reads it a
+    second time, and that must not repeat the work above it.
+    """
+    held = cut(df).select("*", *[v.alias(f"_v_{n}") for n, v in sums.items()])
     ranged = cut(held.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
     totals = ranged.groupBy(*keys, "_range").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
     before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
@@ -27,19 +31,3 @@ def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str,
     inner = ranged.select("*", *[F.sum(f"_v_{n}").over(local).alias(f"_l_{n}") for n in sums])
     joined = inner.join(starts, [*keys, "_range"])
     return joined.select(*df.columns, *[(F.col(f"_l_{n}") + F.col(f"_s_{n}")).alias(n) for n in sums])
-
-
-def running_in_cells(
-    df: DataFrame, keys: list[str], cell: list[str], order: list[Column], sums: dict[str, Column]
-) -> DataFrame:
-    """The same sums where ``cell`` columns already cut the order into bounded, ascending pieces."""
-    held = df.select("*", *[v.alias(f"_v_{n}") for n, v in sums.items()])
-    totals = held.groupBy(*keys, *cell).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
-    before = W.partitionBy(*keys).orderBy(*cell).rowsBetween(W.unboundedPreceding, -1)
-    starts = totals.select(
-        *keys, *cell, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in sums]
-    )
-    local = W.partitionBy(*keys, *cell).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    inner = held.select("*", *[F.sum(f"_v_{n}").over(local).alias(f"_l_{n}") for n in sums])
-    joined = inner.join(starts, [*keys, *cell])
-    return joined.select(*df.columns, *[(F.col(f"_l_{n}") + F.col(f"_s_{n}")).alias(n) for n in sums])

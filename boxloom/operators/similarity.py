@@ -164,17 +164,22 @@ def nearest_reference(queries: DataFrame, reference: DataFrame, bits: int = 64)
 def near_copies(df: DataFrame, limit: float, node: str = "id") -> DataFrame:
     """Pairs in the same bucket whose grey vectors differ by at most ``limit`` on average.
 
-    Identical vectors of a bucket are collapsed to their first holder before pairs are made.
+    Identical vectors of a bucket are collapsed to their first holder before pairs are made. The
+    means of two such vectors differ by no more than ``limit``, so only neighbouring mean cells of a
+    bucket meet: a bucket that many pictures share is not compared all against all.
     ``df``: node, ``bucket``, ``pixels`` (array).
     """
     held = df.groupBy("bucket", "pixels").agg(F.min(node).alias("id"), F.count("*").alias("n"))
-    a = held.select("bucket", F.col("id").alias("id_a"), F.col("pixels").alias("pa"), F.col("n").alias("n_a"))
-    b = held.select("bucket", F.col("id").alias("id_b"), F.col("pixels").alias("pb"), F.col("n").alias("n_b"))
+    mean = F.aggregate("pixels", F.lit(0.0), lambda s, v: s + v.cast("double")) / F.size("pixels")
+    held = held.withColumn("_cell", F.floor(mean / (max(limit, 1e-9) * (1 + 1e-9))))
+    around = F.explode(F.sequence(F.col("_cell") - 1, F.col("_cell") + 1)).alias("_cell")
+    a = held.select("bucket", around, F.col("id").alias("id_a"), F.col("pixels").alias("pa"), F.col("n").alias("n_a"))
+    b = held.select("bucket", "_cell", F.col("id").alias("id_b"), F.col("pixels").alias("pb"), F.col("n").alias("n_b"))
     total = F.aggregate(
         F.zip_with("pa", "pb", lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v
     )
     return (
-        a.join(b, (a["bucket"] == b["bucket"]) & (F.col("id_a") < F.col("id_b"))).drop(b["bucket"])
+        a.join(b, ["bucket", "_cell"]).filter(F.col("id_a") < F.col("id_b"))
         .withColumn("mae", total / F.size("pa")).filter(F.col("mae") <= limit)
         .select("bucket", "id_a", "id_b", "n_a", "n_b", "mae")
     )

@@ -159,7 +159,7 @@ w AS (
 kept AS (SELECT image_id, class_id, pred_index FROM w WHERE rank > 0 AND keep)"""
 
 
-@query("mt5", with_sql("gt", "pred", recursive=True) + ", " + suppress_sql("0.5::REAL", ">", "REAL")
+@query("mt5", with_sql("gt", "pred", recursive=True) + ", " + suppress_sql("0.5", ">", "DOUBLE")
        + " SELECT p.image_id, p.class_id, p.pred_index, p.score FROM kept JOIN pred p USING (image_id, class_id, pred_index)")
 def box_nms(t):
     return mt.nms(t.pred()).select("image_id", "class_id", "pred_index", "score")

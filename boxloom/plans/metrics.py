@@ -219,7 +219,7 @@ def macro(t):
        + ap_sql("omitted", "on_", "om") + " SELECT omitted, round(avg(ap), 9) AS ap FROM ap GROUP BY omitted")
 def leave_one_out(t):
     m, npos = grouped(t)
-    return rounded(ag.leave_one_out_ap(m, npos, "group_id", [0.5]), ("ap",))
+    return rounded(ag.leave_one_out_ap(m, npos, "group_id", 0.5), ("ap",))
 
 
 @query("ag15", """SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50,

@@ -414,7 +414,7 @@ def reindexed(t):
     return fl.reindex_classes(t.gt().select(*KEY, "class_id"), old, new)
 
 
-@query("flt7", with_sql("gt", "pred", recursive=True) + ", " + suppress_sql("0.5::REAL", ">", "REAL")
+@query("flt7", with_sql("gt", "pred", recursive=True) + ", " + suppress_sql("0.5", ">", "DOUBLE")
        + " SELECT p.image_id, p.class_id, p.pred_index FROM kept JOIN pred p USING (image_id, class_id, pred_index) WHERE p.score >= 0.65")
 def confident(t):
     return fl.at_confidence(mt.nms(t.pred()), 0.65).select("image_id", "class_id", "pred_index")

@@ -158,3 +158,16 @@ def test_signatures_do_not_depend_on_order(spark):
     a = spark.createDataFrame([(1, 0, 2.0), (1, 1, 3.0), (2, 1, 3.0), (2, 0, 2.0), (3, 0, 2.0)], "id int, c int, x double")
     got = {r.id: r.signature for r in st.annotation_signatures(a, "id", ["c", "x"]).collect()}
     assert got[1] == got[2] != got[3]
+
+
+def test_near_copies_equal_brute_force(spark):
+    rng = random.Random(8)
+    base = [[rng.randrange(40) for _ in range(16)] for _ in range(8)]
+    rows = [(i, i % 2, [v + rng.randrange(3) for v in base[i % 8]]) for i in range(80)]
+    df = spark.createDataFrame(rows, "id int, bucket int, pixels array<int>")
+    brute = {
+        (i, j) for i, b, p in rows for j, c, q in rows
+        if i < j and b == c and p != q and sum(abs(x - y) for x, y in zip(p, q)) / 16 <= 0.8
+    }
+    got = {(r.id_a, r.id_b) for r in sim.near_copies(df, 0.8).collect()}
+    assert got == brute and brute

@@ -139,3 +139,9 @@ def test_negative_image_rate(spark):
     p, g = brute.frames(spark, [(1, 0, 0, 0.9, BOX), (1, 0, 1, 0.9, BOX)], [(0, 0, 0, BOX)])
     images = spark.createDataFrame([(i,) for i in (0, 1, 2)], "image_id bigint")
     assert ag.negative_fp_rate(images, g, p, 0.5).first().rate == 0.5
+
+
+def test_copies_of_a_box_do_not_pair_in_nms(spark):
+    rows = [(0, 0, i, 0.5, BOX) for i in range(300)] + [(0, 0, 300, 0.9, BOX), (0, 0, 301, 0.1, (5.0, 5.0, 5.0, 9.0)), (0, 0, 302, 0.1, (5.0, 5.0, 5.0, 9.0))]
+    p, _ = brute.frames(spark, rows, [(0, 0, 0, BOX)])
+    assert {r.pred_index for r in mt.nms(p).collect()} == {300, 301, 302}
