@@ -16,10 +16,14 @@ from boxloom.plans.metrics import SIZE_SQL
 from boxloom.plans.registry import query
 
 KEY = ["image_id", "gt_index"]
-W_, H_ = F.lit(float(IMAGE_WIDTH)), F.lit(float(IMAGE_HEIGHT))
 SIDES = ("x1", "y1", "x2", "y2")
 
 
+def size():
+    """Image width and height as columns (a column needs a running session, an import has none)."""
+    return F.lit(float(IMAGE_WIDTH)), F.lit(float(IMAGE_HEIGHT))
+
+
 def r6(df, *names):
     return rounded(df, names, 6)
 
@@ -32,8 +36,8 @@ def r6_sql(*names):
   (x2-x1)/{IMAGE_WIDTH}.0::DOUBLE AS w, (y2-y1)/{IMAGE_HEIGHT}.0::DOUBLE AS h FROM gt)
   SELECT image_id, gt_index, {r6_sql('cx', 'cy', 'w', 'h')}, round((cx - w/2)*{IMAGE_WIDTH}, 6) AS x1 FROM y""")
 def yolo_both_ways(t):
-    y = t.gt().select(*KEY, *[c.alias(n) for n, c in bx.box_to_yolo(bx.box(), W_, H_).items()])
-    back = bx.box_from_yolo(*[F.col(c) for c in ("cx", "cy", "w", "h")], W_, H_)
+    y = t.gt().select(*KEY, *[c.alias(n) for n, c in bx.box_to_yolo(bx.box(), *size()).items()])
+    back = bx.box_from_yolo(*[F.col(c) for c in ("cx", "cy", "w", "h")], *size())
     return r6(y.select("*", back.x1.alias("x1")), "cx", "cy", "w", "h", "x1")
 
 
@@ -102,7 +106,7 @@ def clip(t):
     CASE WHEN ok AND x2 > x1 AND y2 > y1 THEN x2 END AS x2, CASE WHEN ok AND x2 > x1 AND y2 > y1 THEN y2 END AS y2 FROM s""")
 def restore(t):
     crop = bx.Box(*[F.lit(float(v)) for v in (200, 100, 456, 356)])
-    return t.gt().select(*KEY, *bx.restore_box(bx.box(), crop, W_, H_).columns())
+    return t.gt().select(*KEY, *bx.restore_box(bx.box(), crop, *size()).columns())
 
 
 @query("box9", with_sql("gt") + """ SELECT image_id, gt_index, round(greatest(least(x2,300)-greatest(x1,50),0)*greatest(least(y2,250)-greatest(y1,40),0)/((x2-x1)*(y2-y1)), 9) AS fraction FROM gt""")
@@ -127,8 +131,8 @@ SCALE_SQL = with_sql("gt") + f""", s AS (SELECT image_id, gt_index, x1 AS ox, x2
 @query("box11", SCALE_SQL + f""" SELECT image_id, gt_index, {r6_sql('x1', 'y1', 'x2', 'y2')},
   greatest(abs(x1/({NEW_W}/{IMAGE_WIDTH}.0::DOUBLE) - ox), abs(x2/({NEW_W}/{IMAGE_WIDTH}.0::DOUBLE) - ox2)) < 1e-9 AS exact FROM s""")
 def scaled(t):
-    s = bx.scale_box(bx.box(), W_, H_, F.lit(NEW_W), F.lit(NEW_H))
-    back = bx.scale_box(s, F.lit(float(NEW_W)), F.lit(float(NEW_H)), W_, H_)
+    s = bx.scale_box(bx.box(), *size(), F.lit(NEW_W), F.lit(NEW_H))
+    back = bx.scale_box(s, F.lit(float(NEW_W)), F.lit(float(NEW_H)), *size())
     return r6(t.gt().select(*KEY, *s.columns(), (bx.max_difference(back, bx.box()) < 1e-9).alias("exact")), *SIDES)
 
 
