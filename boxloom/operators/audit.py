@@ -7,7 +7,6 @@ are aggregates joined back to the rows, so a key that many rows share is not win
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boxloom.functions.boxes import box, box_from_yolo, box_to_yolo, max_difference

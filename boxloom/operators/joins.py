@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.functions.boxes import Box, box, box_clip, box_short_side, visible_fraction
+from boxloom.functions.boxes import box, box_clip, visible_fraction
 from boxloom.operators.spatial import overlap_join, points_in_boxes, prefixed
 
 

@@ -110,7 +110,6 @@ class Tables:
             .withColumn("oy", (F.col("l_partkey") * 53) % 300)
             .withColumn("bw", (F.col("l_partkey") * 7) % 60 + 4)
             .withColumn("bh", (F.col("l_suppkey") * 11) % 60 + 4)
-            .withColumn("_order", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
         ), order
 
     def gt(self) -> DataFrame:

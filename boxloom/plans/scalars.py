@@ -157,7 +157,7 @@ def centres(t):
 
 @query("box14", with_sql("gt") + """ SELECT image_id, gt_index, (x2-x1)*(y2-y1)*0.75 AS area, x1, y1, x2, y2 FROM gt""")
 def polygons(t):
-    """A box with one corner cut at the middle of two sides... area as a five-point polygon."""
+    """A box without its lower right quarter: a six-point outline."""
     b = bx.box()
     mx, my = (b.x1 + b.x2) / 2, (b.y1 + b.y2) / 2
 
@@ -189,9 +189,6 @@ def invalid_boxes(t):
     return t.gt().select(*KEY, bx.box_problems(b, F.lit(400), F.lit(300), F.col("class_id"), 3).alias("problems"))
 
 
-CODE_PAIRS_SQL = with_sql("codes") + ", n AS (SELECT vec_id, code, lead(code) OVER (ORDER BY vec_id) AS other FROM codes)"
-
-
 @query("hsh4", with_sql("codes") + " SELECT a.vec_id, CAST(bit_count(xor(a.code, b.code)) AS INTEGER) AS distance FROM codes a JOIN codes b ON b.vec_id = a.vec_id + 1")
 def distances(t):
     c = t.codes()

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from boxloom.operators import metrics as ag
 from boxloom.operators import sets as st
 from boxloom.operators import splits as sp
 from boxloom.operators import views as vw
@@ -142,7 +141,8 @@ def counted(t):
     return sp.counted_split(groups, {"train": 100, "val": 30, "test": 10**12}, 11)
 
 
-@query("sp8", """SELECT CAST(3 AS BIGINT) AS splits, TRUE AS accepted FROM customer LIMIT 1""")
+@query("sp8", """SELECT count(DISTINCT split) AS splits, count(DISTINCT split) = 3 AS accepted FROM (SELECT CASE WHEN sha256('boxloom|' || c_custkey) <= 'b333333333333333333333333333333333333333333333333333333333333333' THEN 'train'
+  WHEN sha256('boxloom|' || c_custkey) <= 'd999999999999999999999999999999999999999999999999999999999999999' THEN 'val' ELSE 'test' END AS split FROM customer)""")
 def accepted(t):
     return sp.assert_splits(hashed(t))
 
@@ -319,9 +319,6 @@ def conditions(t):
     return vw.sample_conditions(f, "s").select("code", "condition", "frame")
 
 
-COHORT_SQL = "coh AS (SELECT *, CASE WHEN split = 'test' AND group_id = 3 THEN 'pi_test' ELSE split END AS cohort FROM images)"
-
-
 @query("vw11", with_sql("images") + f""", coh AS (SELECT *, CASE WHEN group_id = 3 THEN 'pi_test' ELSE split END AS cohort FROM images),
   tl AS (SELECT image_id, group_id, row_number() OVER (PARTITION BY image_id ORDER BY y1, x1) - 1 AS tile FROM {tiles_sql(TILE)} t WHERE image_id IN (SELECT image_id FROM coh WHERE cohort = 'train'))
   SELECT CAST(image_id AS VARCHAR) AS row_id, image_id, group_id, CASE cohort WHEN 'pi_test' THEN 'test' ELSE cohort END AS split, cohort, 'native' AS form FROM coh WHERE cohort <> 'train'
