@@ -11,7 +11,7 @@ from boxloom.llm.common import written
 from boxloom.operators.components import connected_components
 
 #: Rounds in which every bucket compares its rows with one hub before the rest is paired.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 4
 
 
 def linked_groups(bands: DataFrame, features: Callable[[DataFrame], DataFrame], similar: Callable[[Column, Column], Column]) -> DataFrame:
@@ -23,26 +23,29 @@ def linked_groups(bands: DataFrame, features: Callable[[DataFrame], DataFrame],
     Every two rows of a bucket (a key) are compared or already known to be linked, so the components are those
     of all true pairs within buckets. But the pairs of a bucket are not emitted: in each of
     ``HUB_ROUNDS`` rounds every bucket that still holds several components compares all rows outside the
-    component of its hub with this hub, which is linear in the bucket. Copies of one text fall together at once. What then is
-    still apart from its bucket's largest component is compared with the rest of the bucket. Hubs are drawn by hash,
-    the same in all buckets, so that a group of near copies meets the same few hubs in all its buckets.
+    component of its hub with this hub, which is linear in the bucket. What then is still apart from its bucket's
+    largest component is compared with the rest of the bucket. A hub is the row whose buckets hold the most rows, so a central
+    one, among a quarter of the rows that a hash draws for the round; a group of near copies meets the same hubs in all its buckets.
     """
     spread = bands.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high").select("key")
     shared = written(bands.join(spread, "key"), "shared")
+    sizes = shared.groupBy("key").agg(F.count("*").alias("n"))
+    shared = shared.join(shared.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("weight")), "node")
+    shared = written(shared, "weighed")
     nodes = shared.select("node").distinct()
     feats = written(features(written(nodes, "nodes")), "features")
     label = nodes.select("node", F.col("node").alias("component"))
     edges = None
     rows = shared
     for turn in range(HUB_ROUNDS + 1):
-        rows = written(rows.select("key", "node").join(label, "node"), "labelled") if turn else rows.withColumn("component", F.col("node"))
+        rows = written(rows.select("key", "node", "weight").join(label, "node"), "labelled") if turn else rows.withColumn("component", F.col("node"))
         if turn:  # buckets with one component left are settled
             mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
             rows = written(rows.join(mixed, "key"), "mixed")
             if rows.isEmpty():
                 break
         if turn < HUB_ROUNDS:
-            order = F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"), F.col("component"))
+            order = F.struct(F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(4)) != 0, -F.col("weight"), F.col("node"), F.col("component"))
             hubs = rows.groupBy("key").agg(F.min(order).alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.component").alias("hub_component"))
             pairs = rows.join(hubs, "key").filter(F.col("component") != F.col("hub_component")).select(
                 F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")
