@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.llm.common import small_side, written
-from boxloom.llm.link import linked_groups, overlap_at_least
+from boxloom.llm.link import linked_groups, overlap
 from boxloom.llm.words import mix, rounds, spans_of, text_bytes, word_hashes, word_spans
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -178,7 +178,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         one = wanted.select(F.col("id").alias("node"), "text").mapInArrow(_multisets, "node long, feature array<long>")
         return one.dropDuplicates(["node"])
 
-    groups = linked_groups(bands, features, overlap_at_least(threshold))
+    groups = linked_groups(bands, features, overlap, threshold)
     labelled = classes.join(groups, "node", "left").select("digest", F.coalesce("component", "node").alias("group_id"))
     placed = usable.join(labelled, "digest").select("id", "group_id")
     placed = written(placed, "placed")

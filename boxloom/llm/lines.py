@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.llm.common import small_side, written
-from boxloom.llm.link import linked_groups, overlap_at_least
+from boxloom.llm.link import linked_groups, overlap
 
 #: Characters of a shingle, least Jaccard similarity of a link.
 SHINGLE, THRESHOLD = 12, 0.8
@@ -69,7 +69,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         every = F.array_distinct(F.transform(_shingles(F.col("plain"), _EVERY), lambda s: F.xxhash64(s)))
         return texts.select("node", every.alias("feature"))
 
-    groups = linked_groups(bands, features, overlap_at_least(threshold))
+    groups = linked_groups(bands, features, overlap, threshold)
     named = lines.select("node", "digest").join(groups, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     located = places.select("id", "line_no", F.when(F.col("plain") != "", digest).alias("digest"))
     place = F.struct("id", "line_no")

@@ -7,39 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import written
+from boxloom.llm.common import small_side, written
 from boxloom.operators.components import connected_components
 
 #: Rounds in which every bucket compares its rows with one hub before the rest is paired.
 HUB_ROUNDS = 4
 
 
-def linked_groups(bands: DataFrame, features: Callable[[DataFrame], DataFrame], similar: Callable[[Column, Column], Column]) -> DataFrame:
+def linked_groups(
+    bands: DataFrame, features: Callable[[DataFrame], DataFrame], similarity: Callable[[Column, Column], Column], threshold: float
+) -> DataFrame:
     """``node``, ``component`` (smallest node) of every node that shares a band key with another one.
 
     ``bands``: distinct (``node``, ``key``), nodes are longs. ``features(nodes)`` gives (``node``, ``feature``) of the asked
-    nodes, and ``similar`` of two features says whether the link holds.
+    nodes; two nodes are linked if the ``similarity`` of their features, a Jaccard similarity, is at least ``threshold``.
 
-    Every two rows of a bucket (a key) are compared or already known to be linked, so the components are those
-    of all true pairs within buckets. But the pairs of a bucket are not emitted: in each of
+    Every two rows of a bucket (a key) are compared, or already known to be connected, or proven to be no link, so the
+    components are those of all true pairs within buckets. But the pairs of a bucket are not emitted: in each of
     ``HUB_ROUNDS`` rounds every bucket that still holds several components compares all rows outside the
     component of its hub with this hub, which is linear in the bucket. What then is still apart from its bucket's
-    largest component is compared with the rest of the bucket. A hub is the row whose buckets hold the most rows, so a central
-    one, among a quarter of the rows that a hash draws for the round; a group of near copies meets the same hubs in all its buckets.
+    largest component is compared with the rest of the bucket, save where the triangle inequality of the Jaccard distance
+    rules a link out: two rows whose distances to one hub differ by more than 1 - ``threshold`` are further apart than that.
+    A hub is the row whose buckets hold the most rows, so a central one, among a quarter of the rows that a
+    hash draws for the round; a group of near copies meets the same hubs in all its buckets.
     """
     spread = bands.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high").select("key")
     shared = written(bands.join(spread, "key"), "shared")
     sizes = shared.groupBy("key").agg(F.count("*").alias("n"))
     shared = shared.join(shared.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("weight")), "node")
-    shared = written(shared, "weighed")
-    nodes = shared.select("node").distinct()
-    feats = written(features(written(nodes, "nodes")), "features")
-    label = nodes.select("node", F.col("node").alias("component"))
-    edges = None
-    rows = shared
+    rows = written(shared, "weighed").withColumn("component", F.col("node"))
+    nodes = rows.select("node").distinct()
+    feats = small_side(written(features(written(nodes, "nodes")), "features"), F.lit(32) + 8 * F.size("feature"))
+    edges, label, far = None, nodes.select("node", F.col("node").alias("component")), []
     for turn in range(HUB_ROUNDS + 1):
-        rows = written(rows.select("key", "node", "weight").join(label, "node"), "labelled") if turn else rows.withColumn("component", F.col("node"))
         if turn:  # buckets with one component left are settled
+            rows = written(rows.drop("component").join(label, "node"), "labelled")
             mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
             rows = written(rows.join(mixed, "key"), "mixed")
             if rows.isEmpty():
@@ -47,39 +49,38 @@ def linked_groups(bands: DataFrame, features: Callable[[DataFrame], DataFrame],
         if turn < HUB_ROUNDS:
             order = F.struct(F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(4)) != 0, -F.col("weight"), F.col("node"), F.col("component"))
             hubs = rows.groupBy("key").agg(F.min(order).alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.component").alias("hub_component"))
-            pairs = rows.join(hubs, "key").filter(F.col("component") != F.col("hub_component")).select(
-                F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")
-            )
+            asked = rows.join(hubs, "key").withColumns({"a": F.least("node", "hub"), "b": F.greatest("node", "hub")})
+            pairs = asked.filter(F.col("component") != F.col("hub_component"))
         else:
-            sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
-            main = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m")).select("key", F.col("m.component").alias("main"))
+            count = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+            main = count.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m")).select("key", F.col("m.component").alias("main"))
             placed = rows.join(main, "key")
-            rest = placed.filter(F.col("component") != F.col("main")).select("key", F.col("node").alias("x"), F.col("component").alias("cx"))
-            pairs = placed.join(rest, "key").filter((F.col("component") != F.col("cx")) & ((F.col("component") == F.col("main")) | (F.col("node") < F.col("x")))).select(
-                F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")
+            rest = placed.filter(F.col("component") != F.col("main")).select(
+                "key", F.col("node").alias("x"), F.col("component").alias("cx"), *(F.col(d).alias(f"{d}x") for d in far)
             )
-        pairs = written(pairs.distinct(), "pairs")
-        true = _verified(pairs, feats, similar)
+            apart = (F.col("component") != F.col("cx")) & ((F.col("component") == F.col("main")) | (F.col("node") < F.col("x")))
+            for d in far:
+                apart &= F.coalesce(F.abs(F.col(d) - F.col(f"{d}x")) <= 1 - threshold + 1e-9, F.lit(True))
+            pairs = placed.join(rest, "key").filter(apart).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
+        checked = written(_compared(written(pairs.select("a", "b").distinct(), "pairs"), feats, similarity), "compared")
+        if turn < HUB_ROUNDS:
+            known = asked.join(checked, ["a", "b"], "left")
+            distance = F.when(F.col("node") == F.col("hub"), F.lit(0.0)).otherwise(1 - F.col("similarity"))
+            rows = known.select("key", "node", "weight", "component", *far, distance.alias(f"d{turn}"))
+            far.append(f"d{turn}")
+        true = checked.filter(F.col("similarity") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
         edges = written(true if edges is None else edges.unionByName(true), "edges")
         label = written(connected_components(nodes, edges, "node"), "labels")
     return label
 
 
-def _verified(pairs: DataFrame, feats: DataFrame, similar: Callable[[Column, Column], Column]) -> DataFrame:
+def _compared(pairs: DataFrame, feats: DataFrame, similarity: Callable[[Column, Column], Column]) -> DataFrame:
     left = feats.select(F.col("node").alias("a"), F.col("feature").alias("fa"))
     right = feats.select(F.col("node").alias("b"), F.col("feature").alias("fb"))
-    checked = pairs.join(left, "a").join(right, "b").filter(similar(F.col("fa"), F.col("fb")))
-    return checked.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-
-
-def overlap_at_least(threshold: float) -> Callable[[Column, Column], Column]:
-    """Jaccard overlap of two arrays of distinct hashes."""
-
-    def holds(a: Column, b: Column) -> Column:
-        both = F.size(F.array_intersect(a, b))
-        sizes_fit = F.least(F.size(a), F.size(b)) >= threshold * F.greatest(F.size(a), F.size(b))
-        return sizes_fit & (both >= threshold * (F.size(a) + F.size(b) - both))
-
-    return holds
+    return pairs.join(left, "a").join(right, "b").select("a", "b", similarity(F.col("fa"), F.col("fb")).alias("similarity"))
 
 
+def overlap(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two arrays of distinct hashes."""
+    both = F.size(F.array_intersect(a, b))
+    return both / (F.size(a) + F.size(b) - both)
