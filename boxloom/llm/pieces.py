@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Distinct pieces that a worker keeps; beyond them it starts anew.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 1_200_000
 #: Pieces that are encoded in one string.
 JOINED = 256
 
