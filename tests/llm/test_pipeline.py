@@ -42,12 +42,12 @@ def test_plain_version(spark, folder):
     for i, t in left.items():
         groups.setdefault(lowered(t), []).append(i)
     left = {max(g): left[max(g)] for g in groups.values()}
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(left)
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(list(left))
     kept = pipeline.near(spark, kept, folder)
     sets = {i: grams(t) for i, t in left.items()}
     labels = components(sorted(sets), lambda a, b: bool(sets[a]) and overlap(sets[a], sets[b]) >= 0.8)
     left = {i: t for i, t in left.items() if labels[i] == i}
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(left)
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(list(left))
     kept = pipeline.decontaminated(spark, kept, folder)
     items = [decontaminate_words(r["text"]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
     whole = [" ".join(w) for w in items if len(w) >= 8]
