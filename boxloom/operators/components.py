@@ -112,8 +112,8 @@ def contradictions(df: DataFrame, digest: str, flag: str) -> DataFrame:
 
 
 def component_id(labelled: DataFrame, node: str = "id") -> DataFrame:
-    """Id of a component from its sorted members, independent of their order."""
+    """Id of a component from its members, independent of their order."""
     named = labelled.select("component", F.col(node).cast("string").alias("_m"))
-    return list_digest(named, ["component"], "_m", "_m", "\n").select(
+    return list_digest(named, ["component"], "_m").select(
         "component", F.col("n").alias("size"), F.substring("digest", 1, 16).alias("component_id")
     )

@@ -53,30 +53,25 @@ def quarantine_conflicts(records: DataFrame, digest: str, signature: str, valid:
     return records.join(bad.select(digest), digest, "left_semi")
 
 
-LIST_LIMIT = 100_000
+def list_digest(df: DataFrame, keys: list[str], line: str) -> DataFrame:
+    """Digest of the multiset of lines of each key, in any order: ``keys, n, digest``.
 
+    SHA-256 of the number of lines and of four sums, each over 60 bits of the SHA-256 of every line. The sums are
+    partial aggregates, so no line list is ever gathered, and the definition is the same at every size.
+    """
+    hashed = F.sha2(F.col(line), 256)
+    sums = [F.sum(F.conv(F.substring(hashed, at, 15), 16, 10).cast("decimal(38,0)")).cast("string") for at in (1, 16, 31, 46)]
+    n = F.count("*")
+    return df.groupBy(*keys).agg(n.alias("n"), F.sha2(F.concat_ws(":", n.cast("string"), *sums), 256).alias("digest"))
 
-def list_digest(df: DataFrame, keys: list[str], sort_by: str, line: str, separator: str = "") -> DataFrame:
-    """SHA-256 over the lines of each key in sorted order: ``keys, n, digest``.
 
-    Up to ``LIST_LIMIT`` lines are hashed as one text. A longer list is hashed in two levels, the
-    sorted digests of hash blocks, so its lines are never gathered in one row.
-    """
-    total = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    block = F.conv(F.substring(F.sha2(F.col(sort_by).cast("string"), 256), 1, 3), 16, 10).cast("int")
-    rows = df.join(total, keys).withColumn("_block", F.when(F.col("_n") > LIST_LIMIT, block).otherwise(0))
-    ordered = F.sort_array(F.collect_list(F.struct(F.col(sort_by).alias("s"), F.col(line).alias("l"))))
-    text = F.array_join(F.transform(ordered, lambda x: x["l"]), separator)
-    parts = rows.groupBy(*keys, "_block").agg(F.sha2(text, 256).alias("d"), F.count("*").alias("n"))
-    whole = parts.groupBy(*keys).agg(
-        F.sum("n").alias("n"), F.count("*").alias("_blocks"), F.first("d").alias("_one"),
-        F.sort_array(F.collect_list(F.struct("_block", "d"))).alias("_many"),
-    )
-    many = F.sha2(F.array_join(F.transform("_many", lambda x: x["d"]), "\n"), 256)
-    return whole.select(*keys, "n", F.when(F.col("_blocks") == 1, F.col("_one")).otherwise(many).alias("digest"))
+def list_digest_sql(line: str) -> str:
+    """The digest of ``list_digest`` as an aggregate in SQL."""
+    sums = " || ':' || ".join(f"CAST(sum(CAST('0x' || substr(sha256({line}), {at}, 15) AS BIGINT)) AS VARCHAR)" for at in (1, 16, 31, 46))
+    return f"sha256(CAST(count(*) AS VARCHAR) || ':' || {sums})"
 
 
 def dataset_fingerprint(files: DataFrame, keys: list[str]) -> DataFrame:
-    """Order-insensitive digest of a file list: lines of path, NUL, digest, newline, by path."""
+    """Order-insensitive digest of a file list: lines of path, NUL, digest, newline."""
     line = F.concat("path", F.decode(F.unhex(F.lit("00")), "UTF-8"), "sha256", F.lit("\n"))
-    return list_digest(files.withColumn("_line", line), keys, "path", "_line")
+    return list_digest(files.withColumn("_line", line), keys, "_line")

@@ -92,16 +92,29 @@ def similarity_edges(df: DataFrame, k: int, node: str = "id", bits: int = 64) ->
 def similar_pairs_dihedral(df: DataFrame, k: int, node: str = "id", bits: int = 64, agree: int = 2) -> DataFrame:
     """Pairs where any variant of one is within ``k`` of the other's own code.
 
-    ``df``: node, ``code``, ``variants`` (array that includes the code). Distance is the least over
-    both directions.
+    ``df``: node, ``code``, ``variants`` (array that includes the code). Rows with the same code and variants are one
+    class, named by its least node; ``n_a`` and ``n_b`` count the rows of a class. Copies are the pair of their class
+    with itself at distance 0, so no link is lost and no group of copies is paired out. Distance is the
+    least over both directions. Rows without a code are in no pair.
     """
-    codes = df.groupBy("code").agg(F.min(node).alias("id"), F.min(F.sort_array("variants")).alias("variants"))
-    turned = codes.select(F.col("id").alias("v_id"), F.explode(F.array_distinct("variants")).alias("variant"))
-    own = codes.select("id", F.col("code").alias("own"))
+    classes = df.filter(F.col("code").isNotNull()).groupBy("code", "variants").agg(
+        F.min(node).alias("id"), F.count("*").alias("n")
+    )
+    turned = classes.select(
+        F.col("id").alias("v_id"), F.col("n").alias("v_n"), F.explode(F.array_distinct("variants")).alias("variant")
+    )
+    own = classes.select("id", "n", F.col("code").alias("own"))
     pairs = banded_join(turned, own, "variant", "own", k, bits, agree).filter(F.col("v_id") != F.col("id"))
-    return pairs.groupBy(F.least("v_id", "id").alias("id_a"), F.greatest("v_id", "id").alias("id_b")).agg(
-        F.min("distance").alias("distance")
+    v_first = F.col("v_id") < F.col("id")
+    near = pairs.groupBy(F.least("v_id", "id").alias("id_a"), F.greatest("v_id", "id").alias("id_b")).agg(
+        F.min("distance").alias("distance"),
+        F.max(F.when(v_first, F.col("v_n")).otherwise(F.col("n"))).alias("n_a"),
+        F.max(F.when(v_first, F.col("n")).otherwise(F.col("v_n"))).alias("n_b"),
+    )
+    same = classes.filter("n > 1").select(
+        F.col("id").alias("id_a"), F.col("id").alias("id_b"), F.lit(0).alias("distance"), F.col("n").alias("n_a"), F.col("n").alias("n_b")
     )
+    return near.unionByName(same)
 
 
 def screen_holdout(df: DataFrame, holdout: DataFrame, k: int, node: str = "id", bits: int = 64) -> DataFrame:
@@ -116,7 +129,7 @@ def screen_holdout(df: DataFrame, holdout: DataFrame, k: int, node: str = "id",
     )
     # all copies of one variant meet the holdout once
     codes = a.select("va").distinct()
-    hits = banded_join(codes, b, "va", "vb", k, bits, 1).groupBy("va").agg(
+    hits = banded_join(codes, b, "va", "vb", k, bits, 2).groupBy("va").agg(
         F.min("name").alias("name"), F.min("distance").alias("distance")
     )
     return a.join(hits, "va").groupBy(node).agg(F.min("name").alias("holdout"), F.min("distance").alias("distance"))
@@ -164,7 +177,8 @@ def nearest_reference(queries: DataFrame, reference: DataFrame, bits: int = 64)
 def near_copies(df: DataFrame, limit: float, node: str = "id") -> DataFrame:
     """Pairs in the same bucket whose grey vectors differ by at most ``limit`` on average.
 
-    Identical vectors of a bucket are collapsed to their first holder before pairs are made. The
+    Identical vectors of a bucket are one class, named by its first holder, before pairs are made; ``n_a`` and
+    ``n_b`` count its rows, and copies are the pair of their class with itself at 0. The
     means of two such vectors differ by no more than ``limit``, so only neighbouring mean cells of a
     bucket meet: a bucket that many pictures share is not compared all against all.
     ``df``: node, ``bucket``, ``pixels`` (array).
@@ -178,15 +192,27 @@ def near_copies(df: DataFrame, limit: float, node: str = "id") -> DataFrame:
     total = F.aggregate(
         F.zip_with("pa", "pb", lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v
     )
-    return (
+    near = (
         a.join(b, ["bucket", "_cell"]).filter(F.col("id_a") < F.col("id_b"))
         .withColumn("mae", total / F.size("pa")).filter(F.col("mae") <= limit)
         .select("bucket", "id_a", "id_b", "n_a", "n_b", "mae")
     )
+    same = held.filter("n > 1").select(
+        "bucket", F.col("id").alias("id_a"), F.col("id").alias("id_b"), F.col("n").alias("n_a"), F.col("n").alias("n_b"), F.lit(0.0).alias("mae")
+    )
+    return near.unionByName(same)
+
 
+def cross_split_leaks(pairs: DataFrame, rows: DataFrame, node: str = "id") -> DataFrame:
+    """Pairs of ``similar_pairs_dihedral`` whose members sit in different splits, with how many rows each split has.
 
-def cross_split_leaks(pairs: DataFrame, splits: DataFrame, node: str = "id") -> DataFrame:
-    """Similar pairs whose members sit in different splits."""
-    a = splits.select(F.col(node).alias("id_a"), F.col("split").alias("split_a"))
-    b = splits.select(F.col(node).alias("id_b"), F.col("split").alias("split_b"))
-    return pairs.join(a, "id_a").join(b, "id_b").filter(F.col("split_a") != F.col("split_b"))
+    ``rows``: node, ``code``, ``variants``, ``split``. A class of copies that spans splits leaks into itself. Only
+    counts per class and split are joined, so a large group of copies stays a few rows.
+    """
+    held = rows.groupBy("code", "variants", "split").agg(F.min(node).alias("_id"), F.count("*").alias("n"))
+    named = held.groupBy("code", "variants").agg(F.min("_id").alias("id"))
+    members = held.join(named, ["code", "variants"])
+    a = members.select(F.col("id").alias("id_a"), F.col("split").alias("split_a"), F.col("n").alias("n_a"))
+    b = members.select(F.col("id").alias("id_b"), F.col("split").alias("split_b"), F.col("n").alias("n_b"))
+    apart = (F.col("split_a") != F.col("split_b")) & ((F.col("id_a") != F.col("id_b")) | (F.col("split_a") < F.col("split_b")))
+    return pairs.select("id_a", "id_b", "distance").join(a, "id_a").join(b, "id_b").filter(apart)

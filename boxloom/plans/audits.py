@@ -252,7 +252,7 @@ def single_evaluation(t):
     return dq.assert_single_eval(results, t.read("customer").select(F.col("c_custkey").alias("run"), now.alias("sha256")))
 
 
-@query("ag24", f"WITH {FILES_SQL} SELECT p_size AS dataset, count(*) AS n, sha256(string_agg(path || chr(0) || sha256 || chr(10), '' ORDER BY path)) AS digest FROM files GROUP BY p_size")
+@query("ag24", f"WITH {FILES_SQL} SELECT p_size AS dataset, count(*) AS n, {st.list_digest_sql("path || chr(0) || sha256 || chr(10)")} AS digest FROM files GROUP BY p_size")
 def dataset_digests(t):
     return st.dataset_fingerprint(files(t).withColumnRenamed("p_size", "dataset"), ["dataset"])
 

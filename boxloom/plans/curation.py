@@ -10,7 +10,7 @@ from boxloom.operators import joins as jn
 from boxloom.operators import selection as wn
 from boxloom.operators import sets as st
 from boxloom.operators import similarity as sim
-from boxloom.plans.derive import CODE_BITS, Tables, with_sql
+from boxloom.plans.derive import CODE_BITS, COPY, Tables, bit_sql, with_sql
 from boxloom.plans.matching import rounded
 from boxloom.plans.registry import query
 
@@ -213,19 +213,26 @@ def recheck_pairs(t):
     return two.agg(F.coalesce(F.sum(F.col("n_a") * F.col("n_b")), F.lit(0)).alias("pairs")).select("pairs", diff.alias("differing"))
 
 
+TURNS = range(0, CODE_BITS, 8)
+
 VARIANTS_SQL = """, var AS (SELECT vec_id, label, code, unnest([""" + ", ".join(
-    f"((code << {s}) | (code >> {CODE_BITS - s})) & 4294967295" if s else "code" for s in range(0, 32, 4)
+    f"CAST(list_sum(list_transform(range(0, {CODE_BITS}), lambda i: CASE WHEN (code >> i::INTEGER) & 1 = 1 THEN {bit_sql(f'((i + {s}) % {CODE_BITS})')} ELSE 0::BIGINT END)) AS BIGINT)"
+    if s else "code" for s in TURNS
 ) + "]) AS variant FROM codes)"
 
 
 def with_variants(t: Tables):
-    turns = [rotate_left(F.col("code"), s, CODE_BITS) for s in range(0, 32, 4)]
+    turns = [rotate_left(F.col("code"), s, CODE_BITS) for s in TURNS]
     return t.codes().select(F.col("vec_id").alias("id"), "label", "code", F.array(*turns).alias("variants"))
 
 
-DIHEDRAL_SQL = with_sql("codes") + VARIANTS_SQL + """, pairs AS (
-  SELECT least(a.vec_id, b.vec_id) AS id_a, greatest(a.vec_id, b.vec_id) AS id_b, CAST(min(bit_count(xor(a.variant, b.code))) AS INTEGER) AS distance
-  FROM var a JOIN codes b ON a.vec_id <> b.vec_id AND bit_count(xor(a.variant, b.code)) <= 6 GROUP BY ALL)"""
+DIHEDRAL_SQL = with_sql("codes") + VARIANTS_SQL + """, c AS (SELECT code, min(vec_id) AS id, count(*) AS n FROM codes GROUP BY code),
+turned AS (SELECT c.id, c.n, v.variant FROM c JOIN var v ON v.vec_id = c.id),
+pairs AS (
+  SELECT least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b, CAST(min(bit_count(xor(a.variant, b.code))) AS INTEGER) AS distance,
+    max(CASE WHEN a.id < b.id THEN a.n ELSE b.n END) AS n_a, max(CASE WHEN a.id < b.id THEN b.n ELSE a.n END) AS n_b
+  FROM turned a JOIN c b ON a.id <> b.id AND bit_count(xor(a.variant, b.code)) <= 6 GROUP BY 1, 2
+  UNION ALL SELECT id, id, 0, n, n FROM c WHERE n > 1)"""
 
 
 @query("jn7", DIHEDRAL_SQL + " SELECT * FROM pairs")
@@ -252,25 +259,31 @@ def nearest(t):
     return sim.nearest_reference(q, ref, CODE_BITS)
 
 
-GREY_SQL = """grey AS (SELECT vec_id, label AS bucket, list_transform(embedding, lambda x: CAST(floor(x * 100) AS INTEGER)) AS pixels FROM embeddings)"""
+GREY_SQL = f"""grey0 AS (SELECT vec_id, label AS bucket, list_transform(embedding, lambda x: CAST(floor(x * 100) AS INTEGER)) AS pixels FROM embeddings),
+grey AS (SELECT * FROM grey0 UNION ALL SELECT vec_id + {COPY}, bucket, pixels FROM grey0 WHERE vec_id % 7 = 0)"""
 
 
-@query("jn10", f"""WITH {GREY_SQL} SELECT * FROM (SELECT a.bucket, a.vec_id AS id_a, b.vec_id AS id_b, CAST(1 AS BIGINT) AS n_a, CAST(1 AS BIGINT) AS n_b,
+@query("jn10", f"""WITH {GREY_SQL}, held AS (SELECT bucket, pixels, min(vec_id) AS id, count(*) AS n FROM grey GROUP BY bucket, pixels)
+  SELECT * FROM (SELECT a.bucket, a.id AS id_a, b.id AS id_b, a.n AS n_a, b.n AS n_b,
   round(list_sum(list_transform(list_zip(a.pixels, b.pixels), lambda z: abs(z[1] - z[2]))) / 64.0::DOUBLE, 9) AS mae
-  FROM grey a JOIN grey b ON a.bucket = b.bucket AND a.vec_id < b.vec_id) WHERE mae <= 12""")
+  FROM held a JOIN held b ON a.bucket = b.bucket AND a.id < b.id) WHERE mae <= 12 UNION ALL SELECT bucket, id, id, n, n, 0 FROM held WHERE n > 1""")
 def copies(t):
+    """All vectors, and a second row for every seventh, so that there are exact copies."""
     pixels = F.transform("embedding", lambda x: F.floor(x.cast("double") * 100).cast("int"))
-    grey = t.read("embeddings").select("vec_id", F.col("label").alias("bucket"), pixels.alias("pixels"))
+    ids = F.when(F.col("vec_id") % 7 == 0, F.array("vec_id", F.col("vec_id") + COPY)).otherwise(F.array("vec_id"))
+    grey = t.read("embeddings").select(F.explode(ids).alias("vec_id"), F.col("label").alias("bucket"), pixels.alias("pixels"))
     return rounded(sim.near_copies(grey, 12.0, "vec_id"), ("mae",))
 
 
-@query("jn12", DIHEDRAL_SQL + """, s AS (SELECT vec_id, CASE WHEN label < 6 THEN 'train' WHEN label < 8 THEN 'val' ELSE 'test' END AS split FROM codes)
-  SELECT p.id_a, p.id_b, p.distance, a.split AS split_a, b.split AS split_b FROM pairs p JOIN s a ON a.vec_id = id_a JOIN s b ON b.vec_id = id_b WHERE a.split <> b.split""")
+@query("jn12", DIHEDRAL_SQL + """, s AS (SELECT c.id, CASE WHEN k.label < 6 THEN 'train' WHEN k.label < 8 THEN 'val' ELSE 'test' END AS split, count(*) AS n
+    FROM codes k JOIN c USING (code) GROUP BY 1, 2)
+  SELECT p.id_a, p.id_b, p.distance, a.split AS split_a, b.split AS split_b, a.n AS n_a, b.n AS n_b FROM pairs p JOIN s a ON a.id = id_a JOIN s b ON b.id = id_b
+  WHERE a.split <> b.split AND (id_a <> id_b OR a.split < b.split)""")
 def leaks(t):
     v = with_variants(t)
     split = F.when(F.col("label") < 6, "train").when(F.col("label") < 8, "val").otherwise("test")
     pairs = sim.similar_pairs_dihedral(v, 6, bits=CODE_BITS)
-    return sim.cross_split_leaks(pairs, v.select("id", split.alias("split")))
+    return sim.cross_split_leaks(pairs, v.withColumn("split", split))
 
 
 # ---------------------------------------------------------------- components
@@ -326,7 +339,7 @@ def contradictory(t):
     return gr.contradictions(t.records(), "sha", "source")
 
 
-@query("gr5", GRAPH_SQL + """ SELECT component, count(*) AS size, substr(sha256(string_agg(CAST(id AS VARCHAR), chr(10) ORDER BY CAST(id AS VARCHAR))), 1, 16) AS component_id FROM comp GROUP BY component""")
+@query("gr5", GRAPH_SQL + f" SELECT component, count(*) AS size, substr({st.list_digest_sql('CAST(id AS VARCHAR)')}, 1, 16) AS component_id FROM comp GROUP BY component")
 def component_ids(t):
     nodes, edges = graph(t)
     return gr.component_id(gr.connected_components(nodes.select("id"), edges))

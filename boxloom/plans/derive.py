@@ -14,7 +14,15 @@ from pyspark.sql import functions as F
 from boxloom.operators.splits import hash_split_of
 
 IMAGE_WIDTH, IMAGE_HEIGHT = 464, 364
-CODE_BITS = 32
+CODE_BITS = 64
+#: Ids of the touched-up copies of ``codes``: of each vector one with 0 to 6 other bits.
+COPY = 1_000_000
+
+
+def bit_sql(at: str) -> str:
+    """Bit ``at`` (0 to 63) of a signed 64-bit number."""
+    return f"CASE WHEN {at} = 63 THEN -9223372036854775808 ELSE 1::BIGINT << least({at}, 62)::INTEGER END"
+
 
 CTE = {
     "gt": """gt AS (
@@ -54,10 +62,15 @@ CTE = {
   FROM (SELECT *, l_orderkey // 8 AS image_id FROM lineitem WHERE l_returnflag = 'R'))""",
     "images": f"""images AS (
   SELECT DISTINCT image_id, {IMAGE_WIDTH} AS width, {IMAGE_HEIGHT} AS height, group_id, split FROM gt)""",
-    "codes": f"""codes AS (
+    "codes": f"""signs AS (
   SELECT vec_id, label, CAST(list_sum(list_transform(range(0, {CODE_BITS}),
-    lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1::BIGINT << i::INTEGER ELSE 0::BIGINT END)) AS BIGINT) AS code
-  FROM embeddings)""",
+    lambda i: CASE WHEN embedding[i + 1] > 0 THEN {bit_sql('i')} ELSE 0::BIGINT END)) AS BIGINT) AS code,
+    CAST(list_sum(list_transform(range(0, 7),
+    lambda j: CASE WHEN j < vec_id % 7 THEN {bit_sql('((vec_id * 5 + j * 11) % 64)')} ELSE 0::BIGINT END)) AS BIGINT) AS other
+  FROM embeddings),
+codes AS (
+  SELECT vec_id, label, code FROM signs
+  UNION ALL SELECT vec_id + {COPY}, (label + vec_id) % 10, xor(code, other) FROM signs)""",
     "records": """records AS (
   SELECT d.doc_id, sha256(d.text) AS sha, d.source, d.lang, d.n_chars, l.quality, l.toxic
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)""",
@@ -184,14 +197,26 @@ class Tables:
         )
 
     def codes(self) -> DataFrame:
-        bits = F.transform(
-            F.slice("embedding", 1, CODE_BITS),
-            lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(
-                F.lit(0).cast("long")
-            ),
+        """Sign bits of each vector, and of a touched-up copy of it under another label."""
+        zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+        signs = F.transform(
+            F.slice("embedding", 1, CODE_BITS), lambda x, i: F.when(x > 0, F.call_function("shiftleft", one, i)).otherwise(zero)
+        )
+        others = F.transform(
+            F.array(*(F.lit(j) for j in range(7))),
+            lambda j: F.when(
+                j < F.col("vec_id") % 7, F.call_function("shiftleft", one, ((F.col("vec_id") * 5 + j * 11) % 64).cast("int"))
+            ).otherwise(zero),
+        )
+        rows = self.read("embeddings").select(
+            "vec_id", F.col("label").cast("long").alias("label"),
+            F.aggregate(signs, zero, lambda acc, b: acc + b).alias("code"), F.aggregate(others, zero, lambda acc, b: acc + b).alias("other"),
+        )
+        touched = F.struct(
+            (F.col("vec_id") + COPY).alias("vec_id"), ((F.col("label") + F.col("vec_id")) % 10).alias("label"),
+            F.col("code").bitwiseXOR(F.col("other")).alias("code"),
         )
-        code = F.aggregate(bits, F.lit(0).cast("long"), lambda acc, b: acc + b)
-        return self.read("embeddings").select("vec_id", "label", code.alias("code"))
+        return rows.select(F.inline(F.array(F.struct("vec_id", "label", "code"), touched)))
 
     def records(self) -> DataFrame:
         docs = self.read("documents")

@@ -66,7 +66,8 @@ def test_dihedral_distance_uses_both_directions(spark):
             if d <= 6:
                 brute[(i, j)] = d
     got = {(r.id_a, r.id_b): r.distance for r in sim.similar_pairs_dihedral(df, 6, bits=32).collect()}
-    assert got == brute
+    assert {k: v for k, v in got.items() if k[0] != k[1]} == brute
+    assert {a for a, b in got if a == b} == {i for c, i in first.items() if rows.count(c) > 1}
 
 
 def test_nearest_reference_is_exact(spark):
@@ -106,14 +107,10 @@ def test_components_equal_union_find(spark, shape):
     assert got == union_find(n, edges)
 
 
-def test_component_id_ignores_order_and_splits_long_lists(spark, monkeypatch):
+def test_component_id_ignores_order_not_members(spark):
     a = spark.createDataFrame([(i, 0) for i in range(50)], "id bigint, component bigint")
-    b = a.orderBy(F.col("id").desc())
-    ids = {gr.component_id(x).first().component_id for x in (a, b)}
-    assert len(ids) == 1
-    monkeypatch.setattr(st, "LIST_LIMIT", 10)
-    long = {gr.component_id(x).first().component_id for x in (a, b)}
-    assert len(long) == 1
+    ids = [gr.component_id(x).first().component_id for x in (a, a.orderBy(F.col("id").desc()), a.filter("id > 0"), a.unionByName(a.filter("id = 7")))]
+    assert ids[0] == ids[1] and len(set(ids)) == 3
 
 
 def test_running_totals_with_one_hot_key(spark):
@@ -136,13 +133,33 @@ def test_hash_split_is_order_free_and_group_disjoint(spark):
 
 
 @pytest.mark.parametrize("normalised", [False, True])
-def test_long_runs_of_equal_size_fill_like_single_steps(spark, monkeypatch, normalised):
-    groups = spark.createDataFrame([(i, "s", 3 if i < 40 else 1) for i in range(900)], "group_id bigint, stratum string, size bigint")
+def test_long_runs_of_equal_size_fill_like_single_steps(spark, normalised):
+    sizes = [3] * 40 + [1] * 860
+    groups = spark.createDataFrame([(i, "s", n) for i, n in enumerate(sizes)], "group_id bigint, stratum string, size bigint")
     shares = sp.DEFICIT_SHARES if normalised else sp.STRATIFIED_SHARES
-    plain = {r.group_id: r.split for r in sp._greedy_by_deficit(groups, shares, normalised, 42).collect()}
-    monkeypatch.setattr(sp, "BULK_RUN", 20)
-    bulk = {r.group_id: r.split for r in sp._greedy_by_deficit(groups, shares, normalised, 42).collect()}
-    assert bulk == plain
+    got = {(r.split, r.size): r.n for r in sp._greedy_by_deficit(groups, shares, normalised, 42).groupBy("split", "size").agg(F.count("*").alias("n")).collect()}
+    total, filled, plain = float(sum(sizes)), [0] * len(shares), {}
+    for size in sizes:
+
+        def gap(k):
+            short = shares[k][1] * total - filled[k]
+            return short / max(shares[k][1] * total, 1) if normalised else short
+
+        best = min(range(len(shares)), key=lambda k: (-gap(k), k))
+        filled[best] += size
+        plain[shares[best][0], size] = plain.get((shares[best][0], size), 0) + 1
+    assert got == plain
+
+
+def test_copies_across_splits_are_pairs_and_leaks(spark):
+    rows = [(1, 5, "train"), (2, 5, "test"), (3, 4, "train"), (4, 1 << 40, "val"), (5, 1 << 40, "val"), (6, None, "test")]
+    df = spark.createDataFrame(rows, "id bigint, code bigint, split string")
+    df = df.withColumn("variants", F.array(*[rotate_left(F.col("code"), s, 64) for s in (0, 16, 32, 48)]))
+    pairs = sim.similar_pairs_dihedral(df, 1)
+    got = {(r.id_a, r.id_b, r.distance, r.n_a, r.n_b) for r in pairs.collect()}
+    assert got == {(1, 3, 1, 2, 1), (1, 1, 0, 2, 2), (4, 4, 0, 2, 2)}
+    leaks = {(r.id_a, r.id_b, r.split_a, r.split_b, r.n_a, r.n_b) for r in sim.cross_split_leaks(pairs, df).collect()}
+    assert leaks == {(1, 1, "test", "train", 1, 1), (1, 3, "test", "train", 1, 1)}
 
 
 def test_selection_refuses_other_splits(spark):
@@ -171,3 +188,6 @@ def test_near_copies_equal_brute_force(spark):
     }
     got = {(r.id_a, r.id_b) for r in sim.near_copies(df, 0.8).collect()}
     assert got == brute and brute
+    twice = df.unionByName(df.filter("id = 3").withColumn("id", F.lit(99)))
+    same = [(r.id_a, r.id_b, r.n_a, r.mae) for r in sim.near_copies(twice, 0.8).filter("id_a = id_b").collect()]
+    assert same == [(3, 3, 2, 0.0)]
