@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from boxloom.llm import bagminhash, exact_dedup, lines, substrings
+from boxloom.llm import bagminhash, exact_dedup, lines, link, substrings
 from tests.llm.cases import components, frame, odd_documents, passages, prose
 
 ROWS = odd_documents()
@@ -78,6 +78,19 @@ def test_near_groups_null_ids_stay(spark):
     assert len(got) == 2 and all(r["kept"] and r["group_size"] == 1 for r in got)
 
 
+def test_parity_bounds_the_difference(spark):
+    """Parities differ in at most as many places as the sets do, so the bound never drops a link."""
+    rng = np.random.default_rng(8)
+    pairs = []
+    for k in range(40):
+        base = rng.integers(-(2**63), 2**63 - 1, 1 + 3 * k * k).tolist()
+        pairs.append((base[: len(base) - k // 2], base[k // 3 :] + [k, -k - 1]))
+    made = spark.createDataFrame([*pairs, ([], []), ([], [7])], "a array<long>, b array<long>").select("a", "b", link.parity("a").alias("pa"), link.parity("b").alias("pb"))
+    for r in made.collect():
+        differ = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(r["pa"], r["pb"], strict=True))
+        assert differ <= len(set(r["a"]) ^ set(r["b"])) and differ % 2 == len(set(r["a"]) ^ set(r["b"])) % 2
+
+
 def test_bag_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(5)
     values = rng.integers(1, 2**63, 60).astype(np.uint64)
