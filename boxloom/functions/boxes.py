@@ -177,11 +177,15 @@ def expand_roi(b: Box, margin: float, width: Column, height: Column) -> Box:
     ).cast("int")
 
 
-def letterbox(cx: Column, cy: Column, w: Column, h: Column, width: Column, height: Column, size: int = 1024) -> Box:
+# fixed values: canvas side, and what is taken off half the padding before it is rounded
+CANVAS, PAD_SHIFT = 1024, 0.1
+
+
+def letterbox(cx: Column, cy: Column, w: Column, h: Column, width: Column, height: Column, size: int = CANVAS) -> Box:
     """Normalised box on a centred square canvas; sides round half to even."""
     ratio = F.least(F.lit(size) / height, F.lit(size) / width)
-    left = F.bround((F.lit(size) - F.bround(width * ratio)) / 2 - 0.1)
-    top = F.bround((F.lit(size) - F.bround(height * ratio)) / 2 - 0.1)
+    left = F.bround((F.lit(size) - F.bround(width * ratio)) / 2 - PAD_SHIFT)
+    top = F.bround((F.lit(size) - F.bround(height * ratio)) / 2 - PAD_SHIFT)
     sx, sy = width * ratio, height * ratio
     return Box(
         (cx - w / 2) * sx + left, (cy - h / 2) * sy + top,

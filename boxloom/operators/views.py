@@ -44,9 +44,13 @@ def tile_plan(images: DataFrame, sizes: list[int], overlap: float = 0.2) -> Data
     return out
 
 
+# fixed values: room around the longest side of an object, and the step of a crop's side in pixels
+CROP_ROOM, CROP_STEP = 1.1, 32
+
+
 def centred_crop(b: Box, width: Column, height: Column, least: int) -> Box:
     longest = F.greatest(b.width, b.height)
-    side = F.greatest(F.lit(least), (F.ceil(longest * 1.1 / 32) * 32).cast("int"))
+    side = F.greatest(F.lit(least), (F.ceil(longest * CROP_ROOM / CROP_STEP) * CROP_STEP).cast("int"))
     w, h = F.least(side, width).cast("int"), F.least(side, height).cast("int")
     x = F.least(F.greatest(((b.x1 + b.x2 - w) / 2).cast("int"), F.lit(0)), width - w)
     y = F.least(F.greatest(((b.y1 + b.y2 - h) / 2).cast("int"), F.lit(0)), height - h)
