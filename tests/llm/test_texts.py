@@ -130,6 +130,25 @@ def test_contamination(spark, text, hit):
     assert Counter((r["id"], r["contaminated"]) for r in got) == Counter([(1, hit), (1, hit), (2, False), (None, False)])
 
 
+BARE = [(1, ITEM), (2, "Alice buys 12 apples and later sells half of them at the market for profit"), (5, "how big is it"), (6, "17 4 93 22 8 61 35 90 12 77 41 6 58 3"), (7, "小明有十二个苹果他给了妹妹五个还剩几个")]
+
+
+@pytest.mark.parametrize(
+    "text,hits",
+    [
+        (ITEM.upper(), {1}), (ITEM.replace(" ", "\n"), {1}), ("so " + ITEM.lower() + " yes", {1}),
+        (ITEM.replace(" Bob", "\nZoe").replace("12 ", "31\n"), {1}),
+        # a name at the start of a sentence
+        (BARE[1][1].replace("Alice", "Carla"), {2}), (BARE[1][1].replace("Alice", "Carla").replace("12", "70"), {2}),
+        (BARE[1][1].replace("apples", "pears"), set()),
+    ],
+)
+def test_contamination_other_writing(spark, text, hits):
+    items = spark.createDataFrame(BARE, "item_id long, text string")
+    assert {r["item"] for r in decontaminate.contamination(frame(spark, [(1, text)]), items).collect()} == hits
+
+
+
 def test_benchmark_passages(spark, folder):
     """Documents that hold a whole item, word by word, are found, and nothing else that shares no eight words."""
     got = {r["doc_id"]: r["contaminated"] for r in queries.op7_decontaminate(spark, folder).collect()}
