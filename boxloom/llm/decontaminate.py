@@ -67,11 +67,17 @@ def _windows(tokens: Column, lengths: list[int]) -> Column:
     plain = lambda t: F.xxhash64(F.coalesce(typed(t), _value(t)))
     named = lambda t: F.xxhash64(F.coalesce(typed(t), F.when(t < UNIT, F.lit(NAME)), _value(t)))
     capital = lambda t: F.xxhash64(F.coalesce(typed(t), F.when(t < "\u0005", F.lit(NAME)), _value(t)))
-    made = [_once(F.transform(tokens, code), lambda c: _hashes(c, WINDOW)) for code in (plain, named, capital)]
+    p, n, c = (_once(F.transform(tokens, code), lambda c: _hashes(c, WINDOW)) for code in (plain, named, capital))
+    at = lambda h, k: F.struct(k.alias("at"), h.alias("h"))
+    new = lambda z, h: F.filter(F.transform(z, lambda x, k: at(h(x), k)), lambda y: y.h.isNotNull())
+    made = [_once(F.arrays_zip(p.alias("p"), n.alias("n"), c.alias("c")), lambda z: F.concat(
+        F.transform(z, lambda x, k: at(x.p, k)),
+        new(z, lambda x: F.when(x.n != x.p, x.n)),
+        new(z, lambda x: F.when((x.c != x.p) & (x.c != x.n), x.c)),
+    ))]
     whole = lambda n: lambda c: _hashes(c, n)
-    made += [_once(F.transform(tokens, lambda t: F.xxhash64(_value(t))), whole(n)) for n in lengths]
-    at = lambda hashes: F.transform(hashes, lambda h, k: F.struct(k.alias("at"), h.alias("h")))
-    return F.array_distinct(F.concat(*(at(x) for x in made)))
+    made += [F.transform(_once(F.transform(tokens, lambda t: F.xxhash64(_value(t))), whole(n)), at) for n in lengths]
+    return F.concat(*made)
 
 
 def _runs(flags: str) -> Column:
@@ -103,7 +109,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows with null ids match nothing. Rows that repeat an id and text are one document.
     """
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).filter("item IS NOT NULL").distinct()
-    items = items.select("item", slot_tokens(F.col("text")).alias("i_raw")).filter(F.size("i_raw") >= WINDOW)
+    items = items.select("item", slot_tokens(F.col("text")).alias("i_raw")).filter(F.size("i_raw") > 0)
     items = written(items.withColumn("key", F.monotonically_increasing_id()), "items")
     # at most WINDOW - 1 numbers
     lengths = sorted(r[0] for r in items.select(F.size("i_raw").alias("n")).filter(F.col("n") < WINDOW).distinct().collect())
@@ -158,7 +164,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     frame = runs.filter("r.rule = 'narrow' AND NOT consistent").select("diagonal", F.col("r.first").alias("ff"), F.col("r.last").alias("fl"))
     inside = (F.col("a.diagonal") == F.col("b.diagonal")) & (F.col("a.r.first") >= F.col("ff")) & (F.col("a.r.last") <= F.col("fl")) & (F.col("a.r.rule") == "plain") & (F.col("a.tokens") < F.col("a.size"))
     left = runs.alias("a").join(frame.alias("b"), inside, "left_anti")
-    sound = F.col("consistent") & (F.col("tokens") - F.col("slots") >= LITERALS)
+    sound = (F.col("r.rule") == "plain") | (F.col("changed") == 0) | (F.col("consistent") & (F.col("tokens") - F.col("slots") >= LITERALS))
     return left.filter(sound).select(
         "id", "item", (F.col("begin") + F.col("r.first") - 1).alias("at"), (F.col("skip") + F.col("r.first") - 1).alias("item_at"),
         F.col("tokens").cast("long").alias("tokens"), "slots", "changed",

@@ -148,6 +148,19 @@ def test_contamination_other_writing(spark, text, hits):
     assert {r["item"] for r in decontaminate.contamination(frame(spark, [(1, text)]), items).collect()} == hits
 
 
+@pytest.mark.parametrize(
+    "text,hits",
+    [
+        ("Tell me: How big is it? Now.", {5}), ("how big it is", set()),
+        # no word but numbers, copied as they stand; with others it is no copy
+        ("x " + BARE[3][1] + " y", {6}), (BARE[3][1].replace("17", "18").replace("58", "59"), set()),
+        ("问题：" + BARE[4][1] + "。", {7}), ("小明有十二个苹果", set()),
+    ],
+)
+def test_contamination_short_and_slots_only(spark, text, hits):
+    items = spark.createDataFrame(BARE, "item_id long, text string")
+    assert {r["item"] for r in decontaminate.contamination(frame(spark, [(1, text)]), items).collect()} == hits
+
 
 def test_benchmark_passages(spark, folder):
     """Documents that hold a whole item, word by word, are found, and nothing else that shares no eight words."""
