@@ -10,12 +10,10 @@ from boxloom.llm.link import linked_groups, overlap
 
 #: Characters of a shingle, least Jaccard similarity of a link.
 SHINGLE, THRESHOLD = 12, 0.8
-#: A pair at 0.8 misses every band with probability 8e-4, if its sampled shingles overlap as all do.
+#: A pair at 0.8 misses every band with probability 8e-4.
 BANDS, ROWS = 10, 3
 
-#: Signatures read the shingles that begin the line or follow anything but a plain letter other than e: a choice
-#: by content, about a quarter of all, the same in every line. The verification reads all shingles.
-_ANCHORED = r"(?<![a-df-z])(?=(.{%d}))" % SHINGLE
+#: Signatures and verification read all shingles.
 _EVERY = r"(?=(.{%d}))" % SHINGLE
 
 
@@ -24,8 +22,8 @@ def plain_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
 
 
-def _shingles(line: Column, pattern: str) -> Column:
-    found = F.regexp_extract_all(line, F.lit(pattern), F.lit(1))
+def _shingles(line: Column) -> Column:
+    found = F.regexp_extract_all(line, F.lit(_EVERY), F.lit(1))
     return F.when(F.char_length(line) < SHINGLE, F.array(line)).otherwise(found)
 
 
@@ -53,7 +51,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = places.filter("plain != ''").select(digest.alias("digest"), "plain")
     # one row per distinct line in the partition of its digest, where its shingles are then reduced
     lines = full.groupBy("digest").agg(F.first("plain").alias("plain"))
-    shingle = lines.select("digest", F.explode(_shingles(F.col("plain"), _ANCHORED)).alias("s")).select("digest", F.xxhash64("s").alias("h"))
+    shingle = lines.select("digest", F.explode(_shingles(F.col("plain"))).alias("s")).select("digest", F.xxhash64("s").alias("h"))
     registers = BANDS * ROWS
     masks = [((i * 2**64) // registers + 0x1F3D5B79A8C6E402 * (i + 1)) % 2**64 for i in range(registers)]
     signed = [m - 2**64 if m >= 2**63 else m for m in masks]
@@ -66,7 +64,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def features(nodes: DataFrame) -> DataFrame:
         wanted = written(lines.select("node", "digest").join(small_side(nodes, 16), "node"), "wanted")
         texts = full.join(small_side(wanted, 64), "digest").dropDuplicates(["node"])
-        every = F.array_distinct(F.transform(_shingles(F.col("plain"), _EVERY), lambda s: F.xxhash64(s)))
+        every = F.array_distinct(F.transform(_shingles(F.col("plain")), lambda s: F.xxhash64(s)))
         return texts.select("node", every.alias("feature"))
 
     groups = linked_groups(bands, features, overlap, threshold)

@@ -129,6 +129,13 @@ def test_line_groups(spark):
     assert sum(found[place] == want[place] for place in want) >= 0.9 * len(want)
 
 
+def test_lines_sign_every_shingle(spark):
+    """Lines without spaces, whose first letter differs, share nearly all shingles."""
+    line = "".join("acgt"[k * k * 7 % 11 % 4] + "acgt"[k * 5 % 7 % 4] for k in range(35)) + "gattacacatgg"
+    got = lines.line_groups(frame(spark, [(1, line), (2, "t" + line[1:] if line[0] != "t" else "g" + line[1:])])).collect()
+    assert [(r["keep_id"], r["group_size"]) for r in got] == [(1, 2)] * 2
+
+
 def test_lines_leave_the_text(spark):
     docs = frame(spark, [(1, "same line of text here\nown"), (2, "same line of text here\n\nother"), (3, None)])
     out = lines.without_copies(docs, lines.line_groups(docs))
