@@ -129,6 +129,17 @@ def test_line_groups(spark):
     assert sum(found[place] == want[place] for place in want) >= 0.9 * len(want)
 
 
+def test_bands_find_pairs_at_the_threshold():
+    """Pairs that share 8 of 10 shingles: all agree in a band."""
+    pairs, rng = 2000, np.random.default_rng(11)
+    made = rng.integers(1, 2**63, (pairs, 50)).astype(np.uint64)
+    values = np.concatenate([made[:, :45], made[:, 5:]], 1).reshape(-1)
+    rows = np.repeat(np.arange(2 * pairs), 45)
+    signed = bagminhash.bag_signatures(values, rows, np.ones(len(values), np.int64), 2 * pairs).reshape(pairs, 2, bagminhash.BANDS, bagminhash.ROWS)
+    assert (signed[:, 0] == signed[:, 1]).all(2).any(1).all()
+    assert (1 - 0.8**bagminhash.ROWS) ** bagminhash.BANDS < 2.2e-4
+
+
 def test_lines_sign_every_shingle(spark):
     """Lines without spaces, whose first letter differs, share nearly all shingles."""
     line = "".join("acgt"[k * k * 7 % 11 % 4] + "acgt"[k * 5 % 7 % 4] for k in range(35)) + "gattacacatgg"
