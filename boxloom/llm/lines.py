@@ -14,7 +14,7 @@ SHINGLE, THRESHOLD = 12, 0.8
 BANDS, ROWS = 10, 3
 
 #: Signatures and verification read all shingles.
-_EVERY = r"(?=(.{%d}))" % SHINGLE
+_EVERY = r"(?s)(?=(.{%d}))" % SHINGLE
 
 
 def plain_line(line: Column) -> Column:
@@ -51,7 +51,8 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = places.filter("plain != ''").select(digest.alias("digest"), "plain")
     # one row per distinct line in the partition of its digest, where its shingles are then reduced
     lines = full.groupBy("digest").agg(F.first("plain").alias("plain"))
-    shingle = lines.select("digest", F.explode(_shingles(F.col("plain"))).alias("s")).select("digest", F.xxhash64("s").alias("h"))
+    # outer: a line has a row, whatever is found in it
+    shingle = lines.select("digest", F.explode_outer(_shingles(F.col("plain"))).alias("s")).select("digest", F.xxhash64("s").alias("h"))
     registers = BANDS * ROWS
     masks = [((i * 2**64) // registers + 0x1F3D5B79A8C6E402 * (i + 1)) % 2**64 for i in range(registers)]
     signed = [m - 2**64 if m >= 2**63 else m for m in masks]

@@ -147,6 +147,13 @@ def test_lines_sign_every_shingle(spark):
     assert [(r["keep_id"], r["group_size"]) for r in got] == [(1, 2)] * 2
 
 
+def test_lines_of_other_line_ends_stay(spark):
+    """Every line has a row, also one without twelve characters in a row between U+2028, U+2029 or U+0085."""
+    rows = [(k, end.join(["roses", "violets", "sugar", "and so"])) for k, end in enumerate(["\u2028", "\u2029", "\x85", "\u2028"])]
+    got = {r["id"]: (r["keep_id"], r["group_size"]) for r in lines.line_groups(frame(spark, rows)).collect()}
+    assert got[0] == got[3] == (0, 2) and set(got) == {0, 1, 2, 3}
+
+
 def test_lines_leave_the_text(spark):
     docs = frame(spark, [(1, "same line of text here\nown"), (2, "same line of text here\n\nother"), (3, None)])
     out = lines.without_copies(docs, lines.line_groups(docs))
