@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm import bagminhash, chat, decontaminate, exact_dedup, idcoder, langid, lines, packing, substrings, tokens
+from boxloom.llm import bagminhash, chat, decontaminate, exact_dedup, idcoder, langid, lines, merkle, packing, substrings, tokens
 from boxloom.llm.common import table
 
 
@@ -74,6 +74,18 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    lowered = F.when(tampered, F.translate("text", exact_dedup.UPPER, exact_dedup.LOWER)).otherwise(F.col("text"))
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    out = merkle.proofs(merkle.build(table(spark, folder, "documents"), fields, changed={"text": lowered}))
+    shown = [merkle.hex_text(c).alias(c) for c in ("leaf", "subroot", "root")]
+    return out.select(
+        F.col("id").alias("doc_id"), *shown, F.sha2(merkle.hex_text("siblings"), 256).alias("proof_sha256"),
+        merkle.hex_text("folded_root").alias("folded_root"), "verified",
+    )
+
+
 def queries():
     found = {name: make for name, make in globals().items() if name.startswith("op") and callable(make)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -81,6 +93,12 @@ def queries():
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _told(column):
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE strlen({column}::VARCHAR) || ':' || {column} END"
+
+
 SQL = {
     "op5_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {_LOWERED} AS norm FROM documents)
@@ -88,6 +106,61 @@ SQL = {
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm)
     """,
+    "op13_merkle": f"""
+        WITH RECURSIVE crc AS (
+            SELECT doc_id, xor(4294967295, list_reduce(
+                list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+                    lambda d: list_concat([ascii(d)::BIGINT], [-1::BIGINT, -1, -1, -1, -1, -1, -1, -1])))),
+                lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END)) AS crc
+            FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+        ),
+        told AS (
+            SELECT d.doc_id, source, {_told("d.doc_id")} || {_told("source")} || {_told("lang")} || {_told("n_chars")} AS head, text,
+                   CASE WHEN crc % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other
+            FROM documents d LEFT JOIN crc ON d.doc_id = crc.doc_id
+        ),
+        leaves AS (
+            SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n
+            FROM (SELECT doc_id, source, sha256(head || {_told("text")}) AS leaf, sha256(head || {_told("other")}) AS changed FROM told)
+        ),
+        nodes(level, source, idx, hash, n) AS (
+            SELECT 0, source, pos, leaf, n FROM leaves
+            UNION ALL
+            SELECT level + 1, source, idx // 16, sha256(string_agg(hash, '' ORDER BY idx)), (n + 15) // 16 FROM nodes WHERE n > 1
+            GROUP BY level, source, idx // 16, n
+        ),
+        subroots AS (
+            SELECT source, hash, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1
+        ),
+        tops(level, idx, hash, n) AS (
+            SELECT 0, idx, hash, n FROM subroots
+            UNION ALL
+            SELECT level + 1, idx // 16, sha256(string_agg(hash, '' ORDER BY idx)), (n + 15) // 16 FROM tops WHERE n > 1
+            GROUP BY level, idx // 16, n
+        ),
+        lower(source, pos, level, idx, n, fold, proof) AS (
+            SELECT source, pos, 0, pos, n, changed, '' FROM leaves
+            UNION ALL
+            SELECT c.source, c.pos, c.level + 1, c.idx // 16, (c.n + 15) // 16,
+                   sha256(string_agg(CASE WHEN x.idx = c.idx THEN c.fold ELSE x.hash END, '' ORDER BY x.idx)),
+                   c.proof || coalesce(string_agg(x.hash, '' ORDER BY x.idx) FILTER (WHERE x.idx <> c.idx), '')
+            FROM lower c JOIN nodes x ON x.source IS NOT DISTINCT FROM c.source AND x.level = c.level AND x.idx // 16 = c.idx // 16
+            WHERE c.n > 1 GROUP BY c.source, c.pos, c.level, c.idx, c.n, c.proof
+        ),
+        upper(source, pos, level, idx, n, fold, proof) AS (
+            SELECT c.source, c.pos, 0, s.idx, s.n, c.fold, c.proof
+            FROM lower c JOIN subroots s ON s.source IS NOT DISTINCT FROM c.source WHERE c.n = 1
+            UNION ALL
+            SELECT c.source, c.pos, c.level + 1, c.idx // 16, (c.n + 15) // 16,
+                   sha256(string_agg(CASE WHEN x.idx = c.idx THEN c.fold ELSE x.hash END, '' ORDER BY x.idx)),
+                   c.proof || coalesce(string_agg(x.hash, '' ORDER BY x.idx) FILTER (WHERE x.idx <> c.idx), '')
+            FROM upper c JOIN tops x ON x.level = c.level AND x.idx // 16 = c.idx // 16
+            WHERE c.n > 1 GROUP BY c.source, c.pos, c.level, c.idx, c.n, c.proof
+        )
+        SELECT l.doc_id, l.leaf, s.hash AS subroot, t.hash AS root, sha256(u.proof) AS proof_sha256, u.fold AS folded_root, u.fold = t.hash AS verified
+        FROM leaves l JOIN upper u ON u.source IS NOT DISTINCT FROM l.source AND u.pos = l.pos AND u.n = 1
+        JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source, (SELECT hash FROM tops WHERE n = 1) t
+    """,
 }
 
 
