@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm import bagminhash, chat, decontaminate, exact_dedup, idcoder, langid, lines, merkle, packing, substrings, tokens
+from boxloom.llm import bagminhash, chat, collocations, decontaminate, exact_dedup, idcoder, langid, lines, merkle, packing, substrings, tokens
 from boxloom.llm.common import table
 
 
@@ -74,6 +74,10 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     lowered = F.when(tampered, F.translate("text", exact_dedup.UPPER, exact_dedup.LOWER)).otherwise(F.col("text"))
@@ -106,6 +110,33 @@ SQL = {
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm)
     """,
+    "op12_collocations": rf"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWERED}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+        ),
+        texts AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \x09]+'), lambda x: x <> '') AS w FROM pieces),
+        grams AS (
+            SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+            FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM texts, (SELECT unnest([1, 2, 3, 4]) AS k)) GROUP BY ALL
+        ),
+        totals AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang),
+        found AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE k > 1 AND f >= 30),
+        cuts AS (
+            SELECT c.lang, c.phrase, c.a, cut, l.f AS l, r.f AS r, (2000000::HUGEINT * c.a // (l.f + r.f))::BIGINT AS score
+            FROM (SELECT *, unnest(range(1, k)) AS cut FROM found) c
+            JOIN grams l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:cut], ' ')
+            JOIN grams r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[cut + 1:], ' ')
+        ),
+        best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        inner_parts AS (
+            SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS most
+            FROM (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM found)) GROUP BY ALL
+        ),
+        kept AS (SELECT b.* FROM best b LEFT JOIN inner_parts i USING (lang, phrase) WHERE i.most IS NULL OR 100 * i.most < 80 * b.a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM kept JOIN totals USING (lang)
+        QUALIFY rank <= 2000
+    """,
     "op13_merkle": f"""
         WITH RECURSIVE crc AS (
             SELECT doc_id, xor(4294967295, list_reduce(
