@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm import bagminhash, chat, collocations, decontaminate, exact_dedup, idcoder, langid, lines, merkle, packing, substrings, tokens
+from boxloom.llm import bagminhash, chat, collocations, decontaminate, exact_dedup, idcoder, langid, lines, merkle, packing, substrings, tokens, urlmodel
 from boxloom.llm.common import table
 
 
@@ -74,6 +74,19 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+URL_RULES = [
+    urlmodel.Rule("org", "/", "allow"),
+    urlmodel.Rule("example.org", "/es/", "block"),
+    urlmodel.Rule("example.org", "/en/1", "block"),
+    urlmodel.Rule("com", "/fr/", "allow"),
+    urlmodel.Rule("com", "/de/", "block"),
+]
+
+
+def op11_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return urlmodel.judge(table(spark, folder, "pages"), URL_RULES).withColumnRenamed("id", "page_id")
+
+
 def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(table(spark, folder, "documents"))
 
