@@ -70,11 +70,19 @@ def exact_groups(
 
 
 def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns unchanged. A repeated row of one id stays once; rows
-    with a null id can't be named and all stay."""
+    """The rows of ``docs`` that stay, all columns unchanged.
+
+    A row is named by its id and the digest of its normalised text, so an id that stands for several texts loses only
+    those that are copies. A repeated row of one id and text stays once; rows with a null id can't be named and all stay.
+    Only ids and digests are shuffled, and of the texts those of repeated rows.
+    """
     groups = exact_groups(docs, id_col, text_col, keep)
-    gone = groups.filter(~F.col("kept")).select(F.col("id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    return left.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(
-        left.filter(F.col(id_col).isNull())
-    )
+    gone = groups.filter(~F.col("kept")).select(F.col("id").alias("_gone_id"), F.col("text_sha256").alias("_gone_text")).distinct()
+    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), F.sha2(lower_ascii(F.col(text_col)), 256).alias("text"))
+    one = (F.col("id") == F.col("_gone_id")) & (F.col("text") == F.col("_gone_text"))
+    left = named.join(small_side(written(gone, "gone"), 90), one, "left_anti")
+    again = named.filter("id IS NOT NULL").groupBy(F.col("id").alias("_again_id"), F.col("text").alias("_again_text")).count().filter("count > 1")
+    again = small_side(written(again.drop("count"), "again"), 90)
+    same = (F.col("id") == F.col("_again_id")) & (F.col("text") == F.col("_again_text"))
+    repeated = left.join(again, same, "left_semi").dropDuplicates(["id", "text"])
+    return left.join(again, same, "left_anti").unionByName(repeated).select("row.*")

@@ -31,7 +31,14 @@ def test_exact_groups(spark, digest):
 
 def test_exact_keeps_first(spark):
     left = exact_dedup.keep_exact(frame(spark, ROWS)).select("doc_id").collect()
-    assert Counter(r[0] for r in left) == Counter([1, 3, 4, 6, 8, 10, 11, 12, 13, 14, 15, 16, 9, None, None])
+    assert Counter(r[0] for r in left) == Counter([1, 3, 4, 6, 8, 10, 11, 12, 13, 14, 15, 16, 9, 9, None, None])
+
+
+def test_exact_tells_texts_of_one_id_apart(spark):
+    rows = [(9, "alpha"), (9, "unique beta"), (10, "alpha"), (10, "alpha"), (11, "Gamma"), (11, "gamma"), (None, "alpha")]
+    left = exact_dedup.keep_exact(frame(spark, rows), keep="max").collect()
+    assert Counter((r["doc_id"], r["text"].lower()) for r in left) == Counter([(9, "unique beta"), (10, "alpha"), (11, "gamma"), (None, "alpha")])
+    assert left[0].asDict().keys() == frame(spark, rows).first().asDict().keys()
 
 
 def overlap(a, b):

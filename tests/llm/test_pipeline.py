@@ -5,14 +5,14 @@ from collections import Counter
 import corpus_pipeline as pipeline
 import __spark_entry__ as entry
 from boxloom.llm import langid
-from tests.llm.cases import components, frame, odd_documents
+from tests.llm.cases import components, frame, odd_documents, prose
 from tests.llm.test_copies import grams, lowered, overlap
 from tests.llm.test_texts import decontaminate_words
 
 
 def test_registered():
     found = entry.queries()
-    assert "pipeline" in found and all(any(k.startswith(f"op{n}_") for k in found) for n in range(1, 11))
+    assert "pipeline" in found and all(any(k.startswith(f"op{n}_") for k in found) for n in range(1, 14))
     assert len(pipeline.STAGES) == 5
 
 
@@ -28,6 +28,19 @@ def test_stages_keep_columns(spark, folder):
     assert empty.count() == 0
 
 
+def test_texts_of_one_id(spark, folder):
+    """A copy or a leak under an id takes no other text of that id with it."""
+    item = next(r["text"] for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect() if len(r["text"].split()) > 20)
+    base = prose(1, 130).split()
+    texts = {"copy": " ".join(base), "near": " ".join([*base[:60], "other", *base[61:]]), "lone": prose(2, 90), "leak": f"{prose(3, 30)} {item}"}
+    docs = frame(spark, [(1, texts["near"]), (1, texts["lone"]), (2, texts["copy"]), (3, texts["leak"]), (3, prose(5, 80)), (4, prose(6, 80))])
+    left = pipeline.near(spark, docs, folder).collect()
+    assert Counter(r["doc_id"] for r in left) in (Counter([1, 1, 3, 3, 4]), Counter([1, 2, 3, 3, 4]))
+    assert texts["lone"] in {r["text"] for r in left}
+    left = {(r["doc_id"], r["text"]) for r in pipeline.decontaminated(spark, docs, folder).collect()}
+    assert left == {(r["doc_id"], r["text"]) for r in docs.collect()} - {(3, texts["leak"])}
+
+
 def test_plain_version(spark, folder):
     """Every stage against a plain version on its own input."""
     docs = spark.read.parquet(f"{folder}/documents.parquet")
