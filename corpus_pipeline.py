@@ -27,22 +27,36 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the largest id stays, as in op5."""
+    """Of equal texts the largest id stays, as in op5; an id with several texts loses only the copies."""
     return exact_dedup.keep_exact(docs, keep="max").select(*COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies the smallest id stays; rows without an id or without words stay."""
-    groups = written(bagminhash.near_groups(docs).filter(~F.col("kept")).select(F.col("id").alias("_gone")).distinct(), "near")
-    gone = small_side(groups, 16)
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*COLUMNS)
+    """Of near copies the smallest id stays; rows without an id or without words stay.
+
+    Where an id stands for several texts these rows go by numbers of their own, below all ids, so each is judged by its text.
+    """
+    several = docs.select("doc_id", _text().alias("text")).distinct().groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL")
+    several = written(several.select(F.col("doc_id").alias("_several")), "several")
+    if several.isEmpty():
+        named = docs.withColumn("_node", F.col("doc_id"))
+    else:
+        own = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).bitwiseOR(F.lit(1 << 62)) * -1
+        named = docs.join(small_side(several, 16), F.col("doc_id") == F.col("_several"), "left")
+        named = named.select(*COLUMNS, F.when(F.col("_several").isNotNull(), own).otherwise(F.col("doc_id")).alias("_node"))
+    groups = written(bagminhash.near_groups(named, id_col="_node").filter(~F.col("kept")).select(F.col("id").alias("_gone")).distinct(), "near")
+    return named.join(small_side(groups, 16), F.col("_node") == F.col("_gone"), "left_anti").select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents with a benchmark passage, also a re-parameterised one."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).select(F.col("id").alias("_hit")).distinct()
-    found = small_side(written(found, "leaks"), 16)
-    return docs.join(found, F.col("doc_id") == F.col("_hit"), "left_anti").select(*COLUMNS)
+    """Drop documents with a benchmark passage, also a re-parameterised one. A row is named by its id and its text's digest."""
+    named = docs.withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", _text().alias("text"))))
+    found = decontaminate.contamination(named, table(spark, sf_dir, "benchmark"), id_col="_row").select(F.col("id").alias("_hit")).distinct()
+    return named.join(small_side(written(found, "leaks"), 90), F.col("_row") == F.col("_hit"), "left_anti").select(*COLUMNS)
+
+
+def _text():
+    return F.md5(F.coalesce("text", F.lit("")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
