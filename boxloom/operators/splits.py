@@ -237,65 +237,6 @@ def choose_groups(features: DataFrame, k: int, minimum: float = 0.12, maximum: f
     )
 
 
-def target_split(
-    groups: DataFrame, targets: dict[str, int], trials: int, seed: int = 42,
-    minimum_groups: dict[str, int] | None = None, members: DataFrame | None = None,
-) -> DataFrame:
-    """Whole groups placed so that the split sizes come as near the image targets as possible.
-
-    Each trial is a hash permutation laid along the summed targets; groups pinned to a split by an
-    ``anchor`` are placed there first. Trials are compared by class-support violations, then by the
-    distance from the targets, then by trial number. ``members``: ``group_id, class_id``.
-    """
-    names = list(targets)
-    t = _trials(groups, trials, seed)
-    bounds, acc = {}, 0
-    for name in names:
-        bounds[name] = (acc, acc + targets[name])
-        acc += targets[name]
-    t = t.withColumn("pinned", F.col("anchor").isNotNull())
-    pinned = t.filter("pinned").groupBy("trial", "anchor").agg(F.sum("size").alias("used"))
-    used = pinned.groupBy("trial").pivot("anchor", names).agg(F.first("used")).na.fill(0)
-    order = W.partitionBy("trial").orderBy("_h", "group_id")
-    free = t.filter(~F.col("pinned")).withColumn(
-        "middle", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size") / 2
-    ).join(used, "trial", "left").na.fill(0, names)
-    split = F.lit(names[-1])
-    edge = F.lit(0)
-    edges = []
-    for name in names:
-        edge = edge + F.greatest(F.lit(targets[name]) - F.col(name), F.lit(0))
-        edges.append((name, edge))
-    for name, e in reversed(edges[:-1]):
-        split = F.when(F.col("middle") <= e, name).otherwise(split)
-    placed = free.select("trial", "group_id", "size", split.alias("split")).unionByName(
-        t.filter("pinned").select("trial", "group_id", "size", F.col("anchor").alias("split"))
-    )
-    target = F.create_map(*[x for n, v in targets.items() for x in (F.lit(n), F.lit(v))])
-    sizes = placed.groupBy("trial", "split").agg(F.sum("size").alias("images"))
-    cost = sizes.groupBy("trial").agg(
-        F.sum(F.abs(F.col("images") - F.try_element_at(target, F.col("split")))).alias("missed"),
-        (F.lit(len(names)) - F.count("*")).alias("empty"),
-    )
-    if members is not None and minimum_groups:
-        need = F.create_map(*[x for n, v in minimum_groups.items() for x in (F.lit(n), F.lit(v))])
-        wanted = members.select("class_id").distinct().withColumn(
-            "split", F.explode(F.array(*[F.lit(n) for n in minimum_groups]))
-        )
-        have = placed.join(members.distinct(), "group_id").groupBy("trial", "split", "class_id").agg(
-            F.count("*").alias("have")
-        )
-        met = have.join(wanted, ["split", "class_id"]).filter(
-            F.col("have") >= F.try_element_at(need, F.col("split"))
-        ).groupBy("trial").agg(F.count("*").alias("met"))
-        cost = cost.join(met, "trial", "left").na.fill(0, ["met"])
-    else:
-        cost = cost.withColumn("met", F.lit(0))
-    best = cost.agg(F.min(F.struct((F.col("empty") - F.col("met")).alias("bad"), "missed", "trial")).alias("b"))
-    best = best.select("b.trial", "b.missed")
-    return placed.join(best, "trial")
-
-
 def counted_split(groups: DataFrame, counts: dict[str, int], held_out, seed: int = 42) -> DataFrame:
     """Fixed numbers of groups per split in hash order; one named group is set aside.
 

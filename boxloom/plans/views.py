@@ -8,6 +8,7 @@ from boxloom.operators import sets as st
 from boxloom.operators import splits as sp
 from boxloom.operators import views as vw
 from boxloom.operators.joins import clip_objects
+from boxloom.operators.targets import target_split
 from boxloom.plans.derive import IMAGE_HEIGHT, IMAGE_WIDTH, Tables, with_sql
 from boxloom.plans.matching import rounded
 from boxloom.plans.registry import query
@@ -108,30 +109,33 @@ def chosen(t):
     return sp.choose_groups(f, 4)
 
 
-@query("sp6", """WITH g AS (SELECT c_nationkey AS group_id, count(*) AS size, CASE WHEN c_nationkey = 7 THEN 'test' END AS anchor FROM customer GROUP BY ALL),
-n AS (SELECT sum(size) AS n FROM g), tg AS (SELECT CAST(n * 6 // 10 AS BIGINT) AS tr, CAST(n * 2 // 10 AS BIGINT) AS va, CAST(n * 15 // 100 AS BIGINT) AS te, CAST(n - n*6//10 - n*2//10 - n*15//100 AS BIGINT) AS ex FROM n),
-p AS (SELECT trial, group_id, size, anchor, md5('42|' || trial || '|' || group_id) AS h FROM g, range(0, 300) r(trial)),
-f AS (SELECT trial, group_id, size, sum(size) OVER (PARTITION BY trial ORDER BY h, group_id ROWS UNBOUNDED PRECEDING) - size / 2 AS mid FROM p WHERE anchor IS NULL),
-u AS (SELECT coalesce(sum(size), 0) AS u FROM g WHERE anchor = 'test'),
-s AS (SELECT trial, group_id, size, CASE WHEN mid <= tr THEN 'train' WHEN mid <= tr + va THEN 'val' WHEN mid <= tr + va + greatest(te - u, 0) THEN 'test' ELSE 'excluded' END AS split FROM f, tg, u
-  UNION ALL SELECT trial, group_id, size, anchor FROM p WHERE anchor IS NOT NULL),
-z AS (SELECT trial, split, sum(size) AS images FROM s GROUP BY ALL),
-c AS (SELECT trial, sum(abs(images - CASE split WHEN 'train' THEN tr WHEN 'val' THEN va WHEN 'test' THEN te ELSE ex END))::BIGINT AS missed, 4 - count(*) AS empty FROM z, tg GROUP BY trial),
-mem AS (SELECT DISTINCT c_nationkey AS group_id, c_mktsegment AS class_id FROM customer),
-hv AS (SELECT trial, split, class_id, count(*) AS have FROM s JOIN mem USING (group_id) GROUP BY ALL),
-mt AS (SELECT trial, count(*) AS met FROM hv WHERE have >= CASE split WHEN 'train' THEN 3 WHEN 'val' THEN 2 WHEN 'test' THEN 2 ELSE 1000000 END GROUP BY trial),
-best AS (SELECT c.trial, missed FROM c LEFT JOIN mt USING (trial) ORDER BY empty - coalesce(met, 0), missed, c.trial LIMIT 1)
-SELECT s.trial, s.group_id, s.size, s.split, best.missed FROM s JOIN best USING (trial)""")
+TARGETS_SQL = """n AS (SELECT count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey),
+tg AS (SELECT n * 6 // 10 AS tr, n * 2 // 10 AS va, n * 15 // 100 AS te, n - n * 6 // 10 - n * 2 // 10 - n * 15 // 100 AS ex FROM n)"""
+
+
+@query("sp6", f"""WITH {TARGETS_SQL}, s AS (SELECT unnest(['train', 'val', 'test', 'excluded']) AS split, unnest([tr, va, te, ex]) AS target FROM tg)
+  SELECT split, target, target AS images, 0 AS missed, 0 AS short_classes, CASE WHEN split = 'test' THEN (SELECT count(DISTINCT o_custkey) FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_custkey % 41 = 7) ELSE 0 END AS pinned
+  FROM s""")
 def targeted(t):
-    c = t.read("customer")
-    g = c.groupBy(F.col("c_nationkey").alias("group_id")).agg(F.count("*").alias("size")).withColumn(
-        "anchor", F.when(F.col("group_id") == 7, "test")
-    )
-    n = c.count()
+    """Orders are images, customers groups and priorities classes; customers of one residue are pinned to test."""
+    o = t.read("orders").join(t.read("customer"), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+    anchor = F.when(F.col("group_id") % 41 == 7, "test")
+    g = o.groupBy(F.col("o_custkey").alias("group_id")).agg(F.count("*").alias("size")).withColumn("anchor", anchor)
+    n = o.count()
     targets = {"train": n * 6 // 10, "val": n * 2 // 10, "test": n * 15 // 100}
     targets["excluded"] = n - sum(targets.values())
-    members = c.select(F.col("c_nationkey").alias("group_id"), F.col("c_mktsegment").alias("class_id"))
-    return sp.target_split(g, targets, 300, minimum_groups={"train": 3, "val": 2, "test": 2}, members=members)
+    members = o.select(F.col("o_custkey").alias("group_id"), F.col("o_orderpriority").alias("class_id")).distinct()
+    minimum = {"train": 3, "val": 2, "test": 2}
+    placed = target_split(g, targets, minimum, members).select("group_id", "size", "split")
+    wanted = [(k, v, minimum.get(k, 0)) for k, v in targets.items()]
+    asked = t.spark.createDataFrame(wanted, "split string, target long, least int")
+    groups = placed.join(g.select("group_id", "anchor"), "group_id").groupBy("split").agg(F.sum("size").alias("images"), F.count_if(F.expr("anchor = split")).alias("pinned"))
+    shown = placed.join(members, "group_id").groupBy("split", "class_id").agg(F.count("*").alias("n"))
+    every = asked.join(members.select("class_id").distinct(), F.lit(True)).join(shown, ["split", "class_id"], "left")
+    short = every.groupBy("split").agg(F.count_if(F.coalesce("n", F.lit(0)) < F.col("least")).alias("short_classes"))
+    return asked.join(groups, "split", "left").join(short, "split").select(
+        "split", "target", "images", F.abs(F.col("images") - F.col("target")).alias("missed"), "short_classes", "pinned"
+    )
 
 
 @query("sp7", """WITH r AS (SELECT c_custkey AS group_id, row_number() OVER (ORDER BY md5('42|' || c_custkey), c_custkey) AS rn FROM customer WHERE c_custkey <> 11)
