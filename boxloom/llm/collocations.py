@@ -19,6 +19,8 @@ LONGEST = 4
 UNKNOWN = "und"
 #: Different phrases that a task holds before it passes their counts on.
 HELD = 600_000
+#: A list of phrases travels to the tasks up to this many bytes.
+LIST_BYTES = 8 << 20
 #: The first round settles scores down to that of the candidate of so many times the asked rank; each further one ``WIDER`` times as many.
 FIRST, WIDER = 3, 4
 
@@ -26,22 +28,35 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _PIECES = re.compile(rb"[.,;:!?\n-\r]")
 
 
-def _partial_counts(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts of the phrases of ``size`` words in batches of (lang, text), added up in bounded memory."""
+def _partial_counts(size: int, listed=None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts of the phrases of ``size`` words in batches of (lang, text), added up in bounded memory.
+
+    ``listed``: a broadcast pair of phrases per language, asked of a phrase without its last and without its first word.
+    """
 
     def counted(batches):
         held: dict[str, Counter] = {}
+        heads, tails = listed.value if listed else ({}, {})
+        nothing = frozenset()
         for batch in batches:
             langs = batch.column(0).to_pylist()
             for lang, text in zip(langs, batch.column(1).cast(pa.binary()), strict=True):
                 counts = held.setdefault(lang, Counter())
-                grams = []
-                for piece in _PIECES.split(text.as_py().translate(_LOWER)):
-                    words = piece.split()  # of bytes: at spaces and tabs, as the other white space ends a piece
+                low, grams = text.as_py().translate(_LOWER), []
+                head, tail = heads.get(lang, nothing), tails.get(lang, nothing)
+                # of bytes, split() parts at spaces and tabs, as the other white space ends a piece
+                for piece in [_PIECES.sub(b" ", low)] if size == 1 else _PIECES.split(low):
+                    words = piece.split()
                     if size == 1:
                         grams += words
-                    elif len(words) >= size:
+                    elif len(words) < size:
+                        continue
+                    elif listed is None:
                         grams += zip(*(words[k:] for k in range(size)), strict=False)
+                    elif size == 2:
+                        grams += [g for g in zip(words, words[1:], strict=False) if g[0] in head and g[1] in tail]
+                    else:
+                        grams += [g for g in zip(*(words[k:] for k in range(size)), strict=False) if g[:-1] in head or g[1:] in tail]
                     if len(grams) > HELD:
                         counts.update(grams)
                         grams = []
@@ -69,10 +84,39 @@ def _emitted(held):
             yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n"])
 
 
-def phrase_counts(texts: DataFrame, size: int, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """``lang``, ``phrase``, ``n``: occurrences of the phrases of ``size`` words; ``keep`` drops rows before they are shuffled."""
-    partial = texts.mapInArrow(_partial_counts(size), "lang string, phrase string, n long")
-    return (keep(partial) if keep else partial).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+def phrase_counts(texts: DataFrame, size: int, heads: DataFrame | None = None, tails: DataFrame | None = None) -> DataFrame:
+    """``lang``, ``phrase``, ``n``: occurrences of the phrases of ``size`` words.
+
+    With ``heads`` and ``tails`` (``lang``, ``phrase``) only of those that begin with one of ``heads`` and (from three words on: or) end with
+    one of ``tails``, all but one word long. Lists of a measured size travel to the tasks, which then skip the other phrases; longer ones are joined
+    with the tasks' counts before these are shuffled by phrase.
+    """
+    schema = "lang string, phrase string, n long"
+    if heads is None:
+        return _summed(texts.mapInArrow(_partial_counts(size), schema))
+    lists = [_small_lists(rows, size) for rows in (heads, tails)]
+    if None not in lists:
+        listed = texts.sparkSession.sparkContext.broadcast(tuple(lists))
+        return _summed(texts.mapInArrow(_partial_counts(size, listed), schema))
+    partial = texts.mapInArrow(_partial_counts(size), schema)
+    partial = _marked(partial, _first(F.col("phrase"), size - 1), heads, "_head")
+    partial = _marked(partial, _last(F.col("phrase"), size - 1), tails, "_tail")
+    return _summed(partial.filter("_head AND _tail" if size == 2 else "_head OR _tail").drop("_head", "_tail"))
+
+
+def _summed(partial: DataFrame) -> DataFrame:
+    return partial.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+
+
+def _small_lists(rows: DataFrame, size: int) -> dict[str, frozenset] | None:
+    """The phrases of ``rows`` per language as words in UTF-8, None beyond ``LIST_BYTES``."""
+    if (rows.agg(F.sum(F.octet_length("phrase") + 8).alias("n")).first()["n"] or 0) > LIST_BYTES:
+        return None
+    found: dict[str, set] = {}
+    for lang, phrase in rows.select("lang", "phrase").collect():
+        words = tuple(phrase.encode().split(b" "))
+        found.setdefault(lang, set()).add(words[0] if size == 2 else words)
+    return {lang: frozenset(phrases) for lang, phrases in found.items()}
 
 
 def _first(phrase: Column, words: int) -> Column:
@@ -123,60 +167,41 @@ class _Growth:
         words = written(phrase_counts(texts, 1), "words")
         self.totals = written(words.groupBy("lang").agg(F.sum("n").alias("total")), "totals")
         self.words = written(words.filter(F.col("n") >= least), "words")
-        listed = small_side(self.words.select(F.col("lang").alias("_lang"), F.col("phrase").alias("_word")), F.lit(40) + F.octet_length("_word"))
-
-        def both(rows):
-            for k in (1, -1):
-                word = F.substring_index("phrase", " ", k)
-                rows = rows.join(listed, (F.col("lang") == F.col("_lang")) & (word == F.col("_word")), "left_semi")
-            return rows
-
-        pairs = written(phrase_counts(texts, 2, both).filter(F.col("n") >= least), "pairs")
+        pairs = written(phrase_counts(texts, 2, self.words, self.words).filter(F.col("n") >= least), "pairs")
         self.counts = {1: self.words, 2: pairs}
         self.scored = {2: self._scored(pairs, 2)}
 
     def _scored(self, rows: DataFrame, size: int) -> DataFrame:
-        """Adds ``score``, ``l``, ``r`` of the lowest-scoring cut, and ``bound``: no longer phrase that begins with this one scores more."""
+        """Adds ``score``, ``l``, ``r`` of the lowest-scoring cut; ``bound``: no longer phrase that begins with this one scores more; ``end_bound``:
+        none that ends with it does. A phrase of ``LONGEST`` words whose last part isn't counted has no score: it is below ``theta``.
+        """
         a, phrase = F.col("n"), F.col("phrase")
         for k in range(1, size):
             rows = _looked_up(rows, _first(phrase, k), self.counts[k], f"l{k}")
             rows = _looked_up(rows, _last(phrase, size - k), self.counts[size - k], f"r{k}")
         cuts = F.array(*(_cut(a, k, F.col(f"l{k}"), F.col(f"r{k}")) for k in range(1, size)))
-        # a longer phrase occurs at most as often as this one, and its last part at least as often as itself
-        bounds = [ratio(a, F.col(f"l{k}"), a) for k in range(1, size)]
-        rows = rows.withColumn("cut", F.array_min(cuts)).withColumn("bound", bounds[0] if size == 2 else F.least(*bounds))
-        return written(rows.select("lang", "phrase", "n", "bound", "cut.score", "cut.l", "cut.r"), "scored")
+        known = sum((F.col(f"l{k}") + F.col(f"r{k}") for k in range(1, size)), F.lit(0)).isNotNull()
+        # a longer phrase occurs at most as often as this one, and its other part at least as often as itself
+        for name, side in (("bound", "l"), ("end_bound", "r")):
+            bounds = [ratio(a, F.col(f"{side}{k}"), a) for k in range(1, size)]
+            rows = rows.withColumn(name, bounds[0] if size == 2 else F.least(*bounds))
+        rows = rows.withColumn("cut", F.when(known, F.array_min(cuts)))
+        return written(rows.select("lang", "phrase", "n", "bound", "end_bound", "cut.score", "cut.l", "cut.r"), "scored")
 
     def expand(self, theta: DataFrame) -> None:
-        """Count what begins with a phrase whose bound reaches ``theta`` of its language or ends with one whose score does,
+        """Count what begins with a phrase whose ``bound`` reaches ``theta`` of its language or ends with one whose ``end_bound`` does,
         save what the round before, which went down to ``before``, has counted.
 
-        Phrases of each size that score ``theta`` or more, and those that hold one of these and one word more, are
-        counted then: a phrase scores no more than the bound of any of its prefixes.
+        Then the phrases of each size that score ``theta`` or more are counted, as are all their parts, and those that hold one of
+        them and one word more: a phrase scores no more than the bound of any of its beginnings, or the end bound of any of its ends.
         """
         for size in range(3, LONGEST + 1):
-            theta = small_side(theta, 60)
-            near = self.scored[size - 1].join(theta, "lang")
+            near = self.scored[size - 1].join(small_side(theta, 60), "lang")
             new = "{0} >= theta AND ({0} < before OR before IS NULL)"
-            grown = written(near.filter(new.format("bound")).select("lang", "phrase"), "frontier")
-            ended = written(near.filter(new.format("score")).select("lang", "phrase"), "ends")
-
-            def keep(rows, grown=grown, ended=ended, size=size):
-                rows = _marked(rows, _first(F.col("phrase"), size - 1), grown, "_grown")
-                rows = _marked(rows, _last(F.col("phrase"), size - 1), ended, "_ended")
-                return rows.filter("_grown OR _ended").drop("_grown", "_ended")
-
-            texts = self.texts.join(theta.select("lang"), "lang", "left_semi")
-            found = phrase_counts(texts, size, keep).filter(F.col("n") >= self.least)
-            self._add(size, found)
-            if size == LONGEST:
-                # the last three words of a longest phrase may neither begin nor end with a phrase of the frontier
-                inner = self.counts[size].select("lang", _last(F.col("phrase"), size - 1).alias("phrase")).distinct()
-                missing = written(inner.join(self.counts[size - 1], ["lang", "phrase"], "left_anti"), "missing")
-                if not missing.isEmpty():
-                    named = lambda rows: _marked(rows, F.col("phrase"), missing, "_named").filter("_named").drop("_named")
-                    self._add(size - 1, phrase_counts(texts, size - 1, named))
-                    self.scored[size - 1] = self._scored(self.counts[size - 1], size - 1)
+            heads = written(near.filter(new.format("bound")).select("lang", "phrase"), "heads")
+            tails = written(near.filter(new.format("end_bound")).select("lang", "phrase"), "tails")
+            texts = self.texts.join(small_side(theta.select("lang"), 30), "lang", "left_semi")
+            self._add(size, phrase_counts(texts, size, heads, tails).filter(F.col("n") >= self.least))
             self.scored[size] = self._scored(self.counts[size], size)
 
     def _add(self, size: int, found: DataFrame) -> None:
@@ -206,11 +231,11 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
 
     Branch and bound: pairs are counted first, of words that occur ``least`` times. A prefix's count bounds the score of
     all that begins with it, so the best bounds are expanded first: a round takes a score ``theta`` per language, counts the
-    extensions of every prefix whose bound reaches it and the phrases around every candidate that does, and so settles all scores of ``theta`` or
+    extensions of every prefix whose bound reaches it, and of every ending, to the left, whose bound does, and so settles all scores of ``theta`` or
     more. A language is done when ``top`` settled phrases survive (the last one's ties score no less), or when ``theta`` is 0; the others go on with a lower one.
 
     Texts are read once a round and size; counts are added up in the tasks before they are shuffled, by (language,
-    phrase), so no language or word goes to one task. The frontier is broadcast up to a measured size, else joined by a shuffle.
+    phrase), so no language or word goes to one task. The frontier travels to the tasks up to a measured size, else it is joined.
 
     Defined results: a null text is empty, a null language is ``und`` and joins rows that say so. A text of any length is read
     whole; repeated rows count each time; ties go by the phrase. Other columns are ignored. An empty table gives no rows.

@@ -61,9 +61,10 @@ def talk(seed, lang, n, words):
     return out
 
 
-@pytest.mark.parametrize("top,first", [(5, 1), (25, 1), (25, 3), (4000, 3)])
-def test_growth(spark, monkeypatch, top, first):
-    """Few asked phrases, so that the frontier stops early or has to be lowered."""
+@pytest.mark.parametrize("top,first,list_bytes", [(5, 1, 1 << 20), (25, 1, 0), (25, 3, 1 << 20), (4000, 3, 900)])
+def test_growth(spark, monkeypatch, top, first, list_bytes):
+    """Few asked phrases, so that the frontier stops early or has to be lowered; lists that travel and lists that are joined."""
+    monkeypatch.setattr(collocations, "LIST_BYTES", list_bytes)
     monkeypatch.setattr(collocations, "FIRST", first)
     monkeypatch.setattr(collocations, "HELD", 300)
     rows = talk(1, "en", 60, 60) + talk(2, "fr", 40, 30) + talk(3, None, 15, 20) + talk(4, "und", 15, 20) + [("de", "a b"), ("de", None)]
