@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from boxloom.operators.matching import GROUP_LIMIT, greedy_suppress
+from boxloom.operators.matching import suppressed
 from boxloom.session import cut
 
 CELL = 64
@@ -57,11 +57,11 @@ def mask_iou_pairs(a: DataFrame, b: DataFrame, keys: list[str], self_join: bool
     )
 
 
-def mask_nms(instances: DataFrame, runs: DataFrame, iou: float = 0.6, group_limit: int = GROUP_LIMIT) -> DataFrame:
+def mask_nms(instances: DataFrame, runs: DataFrame, iou: float = 0.6) -> DataFrame:
     """Drop an instance whose mask overlaps a kept, higher-scored one of its class by >= ``iou``.
 
     ``instances``: image_id, class_id, instance, score (ties by instance); ``runs`` carry the same
-    keys. Nothing is merged. A group above ``group_limit`` is settled by rounds instead of a fold.
+    keys. Nothing is merged.
     """
     keys = ["image_id", "class_id"]
     pairs = mask_iou_pairs(runs, runs, keys, self_join=True).filter(F.col("iou") >= iou)
@@ -73,9 +73,9 @@ def mask_nms(instances: DataFrame, runs: DataFrame, iou: float = 0.6, group_limi
     first = F.col("score") >= F.col("b_score")
     edges = scored.select(
         *keys, F.when(first, F.col("instance")).otherwise(F.col("b_instance")).alias("pred_index"),
-        F.when(first, F.col("b_instance")).otherwise(F.col("instance")).alias("lower"),
+        F.greatest("score", "b_score").alias("score"), F.when(first, F.col("b_instance")).otherwise(F.col("instance")).alias("lower"),
     )
-    removed = greedy_suppress(s.withColumnRenamed("instance", "pred_index"), edges, keys, group_limit)
+    removed = suppressed(edges, keys)
     return instances.join(removed.withColumnRenamed("pred_index", "instance"), [*keys, "instance"], "left_anti")
 
 

@@ -1,23 +1,27 @@
 """Order-dependent one-to-one matching and non-maximum suppression.
 
-Both are greedy over a score order inside one (image, class) group. Groups of normal size are
-folded with ``aggregate`` on the JVM after a single shuffle. A group above ``group_limit`` is never
-collected: it takes rounds of joins over its overlapping pairs, which settle every pair whose
-outcome no higher-ranked box can change and give the same answer as the sequential order.
+Both are greedy over a score order inside one (image, class) group, but a box only depends on what it overlaps. So a
+group is never gathered: boxes meet in grid cells, pairs that are each other's only candidate are settled by counting,
+and the others in rounds, each of which settles every pair that no higher-ranked box can change. What a few rounds
+leave (long chains) is split into the components of its overlap graph, and only a component is folded in order.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boxloom.functions.boxes import box, box_iou
+from boxloom.operators.components import connected_components, star_edges
+from boxloom.operators.prefix import running
 from boxloom.operators.spatial import overlap_join, prefixed
 from boxloom.session import cut
 
 GROUP = ["image_id", "class_id"]
-GROUP_LIMIT = 4000
+#: Rounds before the components of what is left are folded; a choice of plan, the result is the same.
+ROUNDS = 6
 
 # fixed values: ten IoU levels, as numpy.linspace(.5, .95, 10) yields them
 COCO_IOUS = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.8999999999999999, 0.95]
@@ -30,78 +34,110 @@ def match_candidates(pred: DataFrame, gt: DataFrame, iou: float = 0.5, cell: int
     return pairs.withColumn("iou", box_iou(box(), box("g_"))).filter(F.col("iou") >= iou)
 
 
-def _oversized(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    return df.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys)
-
-
 def _tie(tie: str, index: Column) -> Column:
     if tie not in ("last", "first"):
         raise ValueError("tie must be 'last' or 'first'")
     return index if tie == "last" else -index
 
 
+def match_edges(pred: DataFrame, gt: DataFrame, lowest: float, tie: str, by: list[str], variants: dict[str, Column]) -> DataFrame:
+    """Pairs that may match: the keys, ``pred_index, score, gt_index, iou``, ``order`` (largest wins) and the variants' flags."""
+    truth = gt.select(*GROUP, "gt_index", *box(), *(v.alias(f"is_{k}") for k, v in variants.items()))
+    pairs = match_candidates(pred.select(*by, *GROUP, "pred_index", "score", *box()), truth, min(lowest, CLOSE_TO_ONE))
+    flags = [F.col(f"g_is_{k}").alias(k) for k in variants]
+    return pairs.select(*by, *GROUP, "pred_index", "score", F.col("g_gt_index").alias("gt_index"), "iou", _tie(tie, F.col("g_gt_index")).alias("order"), *flags)
+
+
+def settle(edges: DataFrame, levels: list[float], by: list[str], variants: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Greedy choice among ``edges``: (pairs without a rival, matched pairs of the others).
+
+    A pair without a rival matches at every level that its IoU reaches, whatever the variant; the others come with
+    ``iou_level``, ``variant`` and ``on_regular`` (the variant's flag). A flagged truth is preferred to one that isn't.
+    """
+    keys = [*by, *GROUP]
+    sides = W.partitionBy(*keys, "pred_index"), W.partitionBy(*keys, "gt_index")
+    counted = edges.withColumn("_p", F.count("*").over(sides[0])).withColumn("_g", F.count("*").over(sides[1]))
+    counted = cut(counted.withColumn("_lone", (F.col("_p") == 1) & (F.col("_g") == 1)).drop("_p", "_g"))
+    level = F.explode(F.array(*[F.lit(float(t)) for t in levels])).alias("iou_level")
+    rivals = counted.filter("NOT _lone").select("*", level).filter(F.col("iou") >= F.least(F.col("iou_level"), F.lit(CLOSE_TO_ONE)))
+    variant = F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), F.col(v).alias("on_regular")) for v in variants])).alias("v")
+    rivals = rivals.select(*keys, "iou_level", variant, "pred_index", "score", "gt_index", "iou", "order").select("*", "v.*").drop("v")
+    one = [*keys, "iou_level", "variant"]
+    rivals = rivals.select(
+        *one, "pred_index", "gt_index", "iou", "on_regular", F.lit(False).alias("_settled"),
+        F.struct("on_regular", "iou", "order").alias("_want"), F.struct((-F.col("score")).alias("neg"), "pred_index").alias("_rank"),
+    )
+    return counted.filter("_lone"), _in_rounds(rivals, one).select(*one, "pred_index", "gt_index", "iou", "on_regular")
+
+
+def _in_rounds(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """The matched pairs of ``edges``.
+
+    A pair settles when the truth is the best one left for the prediction and no other prediction that still wants this truth ranks
+    higher; its prediction and its truth take no part any more. The top-ranked prediction of every group settles in each round.
+    """
+    pred, truth = W.partitionBy(*keys, "pred_index"), W.partitionBy(*keys, "gt_index")
+    still = ~F.col("_settled")
+    for turn in range(ROUNDS):
+        edges = edges.withColumn("_best", F.max(F.when(still, F.col("_want"))).over(pred))
+        edges = edges.withColumn("_first", F.min(F.when(still, F.col("_rank"))).over(truth))
+        edges = edges.withColumn("_won", still & (F.col("_want") == F.col("_best")) & (F.col("_rank") == F.col("_first")))
+        edges = edges.withColumn("_out", F.max("_won").over(truth)).withColumn("_out", F.col("_out") | F.max("_won").over(pred))
+        edges = edges.withColumn("_settled", F.col("_settled") | F.col("_won")).filter("_settled OR NOT _out").drop("_best", "_first", "_won", "_out")
+        if turn % 2:  # two rounds a job
+            edges = cut(edges)
+            if edges.filter(still).isEmpty():
+                return edges
+    return edges.filter("_settled").unionByName(_by_components(edges.filter(still), keys))
+
+
+def _by_components(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Truth boxes that share a prediction, however far apart, are one component; each is folded in rank order."""
+    named = edges.withColumn("id", F.to_json(F.struct(*keys, "gt_index"))).withColumn("_p", F.to_json(F.struct(*keys, "pred_index")))
+    named = cut(named)
+    labelled = connected_components(named.select("id").distinct(), star_edges(named.select("id", "_p"), "_p"))
+    placed = named.join(labelled, "id").drop("id", "_p")
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        rank, want = pdf["_rank"].map(lambda r: (r["neg"], r["pred_index"])), pdf["_want"].map(lambda w: (not w["on_regular"], -w["iou"], -w["order"]))
+        order = sorted(range(len(pdf)), key=lambda k: (rank.iat[k], want.iat[k]))
+        preds, truths, won = set(), set(), []
+        for k in order:
+            p, g = pdf["pred_index"].iat[k], pdf["gt_index"].iat[k]
+            if p not in preds and g not in truths:
+                preds.add(p)
+                truths.add(g)
+                won.append(k)
+        return pdf.iloc[won].drop(columns="component").assign(_settled=True)
+
+    return placed.groupBy("component").applyInPandas(fold, edges.schema)
+
+
 def greedy_match(
     pred: DataFrame,
     gt: DataFrame,
     iou: float | list[float] = 0.5,
     tie: str = "last",
     by: list[str] | None = None,
-    group_limit: int | None = GROUP_LIMIT,
+    ranked: bool = False,
 ) -> DataFrame:
     """Each prediction, best score first, takes the unmatched truth of its class with most IoU.
 
     Equal scores keep ``pred_index`` order; equal IoUs take the last or first truth index.
     ``by`` names further prediction columns that separate independent runs (candidates).
-    ``iou`` may be a list: the result then has one row per prediction and level in ``iou_level``.
-    ``group_limit=None`` states that the input is already capped per group. A boolean truth column
+    ``iou`` may be a list: the result then has one row per prediction and level in ``iou_level``. A boolean truth column
     ``regular`` makes boxes with False the second choice (area ranges); ``on_regular`` reports it.
 
-    Returns ``by + image_id, class_id, pred_index, score, rank, iou_level, gt_index, iou`` with
-    NULL ``gt_index`` for an unmatched prediction; ``rank`` counts from 1 inside the group.
+    Returns ``by + image_id, class_id, pred_index, score, iou_level, gt_index, iou, on_regular`` with
+    NULL ``gt_index`` for an unmatched prediction, and with ``ranked`` the ``rank`` from 1 inside the group, a prefix count;
+    a ``rank`` that ``pred`` has is kept.
     """
-    by = by or []
-    levels = list(iou) if isinstance(iou, (list, tuple)) else [iou]
-    pred = pred.select(*by, *GROUP, "pred_index", "score", *box())
-    regular = F.lit(True) if "regular" not in gt.columns else F.col("regular")
-    gt = gt.select(*GROUP, "gt_index", *box(), regular.alias("regular"))
-    if group_limit is not None:
-        crowded = (
-            _oversized(pred, by + GROUP, group_limit).select(*GROUP)
-            .unionByName(_oversized(gt, GROUP, group_limit))
-            .distinct()
-        )
-        if not crowded.isEmpty():
-            crowded = cut(crowded)
-            normal = _match_by_fold(
-                pred.join(crowded, GROUP, "left_anti"), gt.join(crowded, GROUP, "left_anti"), levels, tie, by
-            )
-            large = _match_by_rounds(
-                pred.join(crowded, GROUP, "left_semi"), gt.join(crowded, GROUP, "left_semi"), levels, tie, by
-            )
-            return normal.unionByName(large)
-    return _match_by_fold(pred, gt, levels, tie, by)
-
-
-def _match_by_fold(pred: DataFrame, gt: DataFrame, levels: list[float], tie: str, by: list[str]) -> DataFrame:
-    truth = prefixed(gt, "g_", [])
-    overlap = box_iou(box(), box("g_"))
-    same = (F.col("image_id") == F.col("g_image_id")) & (F.col("class_id") == F.col("g_class_id"))
-    # the IoU test sits in the join condition: predictions without a candidate survive as one row
-    pairs = pred.join(truth, same & (overlap >= min(min(levels), CLOSE_TO_ONE)), "left")
-    candidate = F.when(
-        F.col("g_gt_index").isNotNull(),
-        F.struct(
-            F.col("g_regular").alias("regular"),
-            overlap.alias("iou"),
-            _tie(tie, F.col("g_gt_index")).alias("order"),
-            F.col("g_gt_index").alias("gt_index"),
-        ),
-    )
-    # grouping by the join keys plus the prediction reuses the join's partitioning
-    per_pred = pairs.groupBy(*by, *GROUP, "pred_index").agg(
-        F.first("score").alias("score"), F.collect_list(candidate).alias("options")
-    )
-    return _fold(per_pred, levels, by)
+    by, levels = by or [], list(iou) if isinstance(iou, (list, tuple)) else [iou]
+    regular = F.col("regular") if "regular" in gt.columns else F.lit(True)
+    edges = match_edges(pred, gt, min(levels), tie, by, {"regular": regular})
+    if ranked:
+        pred = running(pred.select(*by, *GROUP, "pred_index", "score"), [*by, *GROUP], score_order(), {"rank": F.lit(1)}).withColumn("rank", F.col("rank").cast("int"))
+    return _per_level(pred, edges, levels, by)
 
 
 def greedy_match_pairs(
@@ -110,112 +146,56 @@ def greedy_match_pairs(
     """Greedy matching where the overlaps are given (masks): ``pairs`` has the group columns,
     ``pred_index``, ``gt_index`` and ``iou``."""
     by = by or []
-    keys = [*by, *GROUP, "pred_index"]
-    option = F.struct(
-        F.lit(True).alias("regular"), F.col("iou"), _tie(tie, F.col("gt_index")).alias("order"), F.col("gt_index")
-    )
-    options = pairs.filter(F.col("iou") >= min(levels)).groupBy(*keys).agg(F.collect_list(option).alias("options"))
-    empty = F.array().cast("array<struct<regular:boolean,iou:double,order:int,gt_index:int>>")
-    per_pred = pred.select(*keys, "score").join(options, keys, "left").withColumn(
-        "options", F.coalesce("options", empty)
-    )
-    return _fold(per_pred, levels, by)
+    return _per_level(pred, _given(pred, pairs, levels, tie, by), levels, by)
 
 
-def _fold(per_pred: DataFrame, levels: list[float], by: list[str]) -> DataFrame:
-    ordered = F.sort_array(
-        F.collect_list(F.struct((-F.col("score")).alias("neg"), "pred_index", "options"))
-    )
-    groups = per_pred.groupBy(*by, *GROUP).agg(ordered.alias("queue"))
-    groups = groups.withColumn("iou_level", F.explode(F.array(*[F.lit(float(t)) for t in levels])))
-    start = F.least(F.col("iou_level"), F.lit(CLOSE_TO_ONE))
-
-    def step(state: Column, p: Column) -> Column:
-        free = F.filter(
-            p["options"],
-            lambda c: (c["iou"] >= start) & ~F.array_contains(state["found"], c["gt_index"]),
-        )
-
-        def take(best: Column) -> Column:
-            found = F.when(best.isNull(), state["found"]).otherwise(
-                F.concat(state["found"], F.array(best["gt_index"]))
-            )
-            row = F.struct(
-                p["pred_index"].alias("pred_index"),
-                (-p["neg"]).alias("score"),
-                best["gt_index"].alias("gt_index"),
-                best["iou"].alias("iou"),
-                best["regular"].alias("on_regular"),
-            )
-            return F.struct(found.alias("found"), F.concat(state["rows"], F.array(row)).alias("rows"))
-
-        # a one-element transform names the choice, so it is computed once and not once per use
-        return F.get(F.transform(F.array(F.array_max(free)), take), F.lit(0))
-
-    kind = "struct<found:array<int>,rows:array<struct<pred_index:int,score:double,gt_index:int,iou:double,on_regular:boolean>>>"
-    empty = F.from_json(F.lit('{"found":[],"rows":[]}'), kind)
-    folded = F.aggregate("queue", empty, step, lambda s: s["rows"])
-    rows = groups.select(*by, *GROUP, "iou_level", F.posexplode(folded).alias("pos", "m"))
-    return rows.select(
-        *by, *GROUP, "m.pred_index", "m.score", (F.col("pos") + 1).alias("rank"), "iou_level",
-        "m.gt_index", "m.iou", "m.on_regular",
-    )
-
+def _given(pred: DataFrame, pairs: DataFrame, levels: list[float], tie: str, by: list[str]) -> DataFrame:
+    keys = [*by, *GROUP, "pred_index"]
+    near = pairs.filter(F.col("iou") >= min(min(levels), CLOSE_TO_ONE)).join(pred.select(*keys, "score"), keys)
+    return near.select(*keys, "score", "gt_index", "iou", _tie(tie, F.col("gt_index")).alias("order"), F.lit(True).alias("regular"))
 
-def _match_by_rounds(pred: DataFrame, gt: DataFrame, levels: list[float], tie: str, by: list[str]) -> DataFrame:
-    """Exact matching without collecting a group.
 
-    A pair settles when the truth is the best one left for the prediction and no other prediction
-    that still wants this truth ranks higher. Settled rows leave the pair table; the top-ranked
-    prediction of every group settles each round, and usually most others with it.
-    """
-    pred_keys = [*by, *GROUP, "iou_level", "pred_index"]
-    gt_keys = [*by, *GROUP, "iou_level", "g_gt_index"]
+def _per_level(pred: DataFrame, edges: DataFrame, levels: list[float], by: list[str]) -> DataFrame:
+    lone, rivals = settle(edges, levels, by, ["regular"])
+    keys = [*by, *GROUP, "pred_index", "iou_level"]
     level = F.explode(F.array(*[F.lit(float(t)) for t in levels])).alias("iou_level")
-    edges = match_candidates(pred, gt, min(min(levels), CLOSE_TO_ONE)).select("*", level)
-    edges = edges.filter(F.col("iou") >= F.least(F.col("iou_level"), F.lit(CLOSE_TO_ONE)))
-    edges = cut(
-        edges.select(
-            *pred_keys, "g_gt_index", "iou", F.col("g_regular").alias("on_regular"),
-            F.struct("g_regular", "iou", _tie(tie, F.col("g_gt_index")).alias("order")).alias("_want"),
-            F.struct((-F.col("score")).alias("neg"), "pred_index").alias("_rank"),
-        )
-    )
-    settled = None
-    while not edges.isEmpty():
-        best = edges.groupBy(*pred_keys).agg(F.max("_want").alias("_best"))
-        first = edges.groupBy(*gt_keys).agg(F.min("_rank").alias("_first"))
-        won = (
-            edges.join(best, pred_keys).join(first, gt_keys)
-            .filter((F.col("_want") == F.col("_best")) & (F.col("_rank") == F.col("_first")))
-            .select(*pred_keys, "g_gt_index", "iou", "on_regular")
-        )
-        won = cut(won)
-        settled = won if settled is None else settled.unionByName(won)
-        edges = cut(
-            edges.join(won.select(*pred_keys), pred_keys, "left_anti").join(
-                won.select(*gt_keys), gt_keys, "left_anti"
-            )
-        )
-    # the rank inside a group is a prefix count, taken without one task per group
-    from boxloom.operators.prefix import running
-
-    ranked = running(pred, [*by, *GROUP], [F.col("score").desc(), F.col("pred_index")], {"rank": F.lit(1)})
-    rows = ranked.select(*by, *GROUP, "pred_index", "score", F.col("rank").cast("int").alias("rank"), level)
-    if settled is None:
-        return rows.select(
-            "*", F.lit(None).cast("int").alias("gt_index"), F.lit(None).cast("double").alias("iou"),
-            F.lit(None).cast("boolean").alias("on_regular"),
-        )
-    return rows.join(settled.withColumnRenamed("g_gt_index", "gt_index"), pred_keys, "left").select(
-        *by, *GROUP, "pred_index", "score", "rank", "iou_level", "gt_index", "iou", "on_regular"
-    )
-
-
-def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
-    """First ``k`` rows of each key in the given order (limited on the map side by Catalyst)."""
+    found = lone.select("*", level).filter(F.col("iou") >= F.least(F.col("iou_level"), F.lit(CLOSE_TO_ONE)))
+    found = found.select(*keys, "gt_index", "iou", F.col("regular").alias("on_regular")).unionByName(rivals.drop("variant"))
+    kept = [*by, *GROUP, "pred_index", "score", *(["rank"] if "rank" in pred.columns else [])]
+    rows = pred.select(*kept, level).join(found, keys, "left")
+    return rows.select(*kept, "iou_level", "gt_index", "iou", "on_regular")
+
+
+def level_bit(levels: list[float], level: Column) -> Column:
+    """Bit of an IoU level in ``hits`` and ``seen``."""
+    at = F.lit(None).cast("int")
+    for i, t in enumerate(levels):
+        at = F.when(F.abs(level - t) < 1e-9, i).otherwise(at)
+    return F.call_function("shiftleft", F.lit(1), at)
+
+
+def match_bits(pred: DataFrame, edges: DataFrame, levels: list[float], by: list[str], variants: list[str] | None = None) -> DataFrame:
+    """One row per prediction of ``pred`` (and, with several ``variants``, per variant): its columns and, a bit per level, ``hits``
+    (it matched) and ``regular_hits`` (it matched a flagged truth)."""
+    names = variants or ["regular"]
+    lone, rivals = settle(edges, levels, by, names)
+    keys = [*by, *GROUP, "pred_index"]
+    reached = sum((F.when(F.col("iou") >= min(t, CLOSE_TO_ONE), 1 << i).otherwise(0) for i, t in enumerate(levels)), F.lit(0))
+    variant = F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), F.col(v).alias("flag")) for v in names])).alias("v")
+    alone = lone.select(*keys, reached.alias("hits"), variant).select(*keys, "v.variant", "hits", F.when(F.col("v.flag"), F.col("hits")).otherwise(0).alias("regular_hits"))
+    bit = level_bit(levels, F.col("iou_level"))
+    others = rivals.groupBy(*keys, "variant").agg(F.sum(bit).cast("int").alias("hits"), F.sum(F.when(F.col("on_regular"), bit).otherwise(0)).cast("int").alias("regular_hits"))
+    rows = pred if variants is None else pred.withColumn("variant", F.explode(F.array(*map(F.lit, names))))
+    found = alone.unionByName(others)
+    joined = rows.join(found.drop("variant") if variants is None else found, keys + ([] if variants is None else ["variant"]), "left")
+    return joined.na.fill(0, ["hits", "regular_hits"])
+
+
+def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str | None = None) -> DataFrame:
+    """First ``k`` rows of each key in the given order (limited on the map side by Catalyst); ``rank`` names a column for their places."""
     w = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
+    first = df.withColumn(rank or "_rn", F.row_number().over(w)).filter(F.col(rank or "_rn") <= k)
+    return first if rank else first.drop("_rn")
 
 
 def score_order() -> list[Column]:
@@ -223,17 +203,26 @@ def score_order() -> list[Column]:
 
 
 def coco_match(
-    pred: DataFrame,
-    gt: DataFrame,
-    ious: list[float] | None = None,
-    max_det: int = 300,
-    by: list[str] | None = None,
-    group_limit: int | None = GROUP_LIMIT,
+    pred: DataFrame, gt: DataFrame, ious: list[float] | None = None, max_det: int = 300, by: list[str] | None = None,
 ) -> DataFrame:
     """Greedy matching at each IoU level over the first ``max_det`` predictions of a group."""
     by = by or []
-    kept = top_per_group(pred, [*by, *GROUP], score_order(), max_det)
-    return greedy_match(kept, gt, ious or COCO_IOUS, "last", by, group_limit)
+    return greedy_match(top_per_group(pred, [*by, *GROUP], score_order(), max_det, "rank"), gt, ious or COCO_IOUS, "last", by)
+
+
+def coco_hits(
+    pred: DataFrame, gt: DataFrame, ious: list[float] | None = None, max_det: int = 300, by: list[str] | None = None,
+    pairs: DataFrame | None = None,
+) -> DataFrame:
+    """``coco_match`` with one row per prediction for AP: ``by, image_id, class_id, pred_index, score, rank``, and a bit per level in ``hits`` and ``seen``.
+
+    ``pairs`` (masks) gives the overlaps as in ``greedy_match_pairs``.
+    """
+    by, levels = by or [], ious or COCO_IOUS
+    kept = top_per_group(pred, [*by, *GROUP], score_order(), max_det, "rank")
+    edges = match_edges(kept, gt, min(levels), "last", by, {"regular": F.lit(True)}) if pairs is None else _given(kept, pairs, levels, "last", by)
+    rows = match_bits(kept.select(*by, *GROUP, "pred_index", "score", "rank"), edges, levels, by)
+    return rows.drop("regular_hits").withColumn("seen", F.lit((1 << len(levels)) - 1))
 
 
 def match_once(pred: DataFrame, gt: DataFrame, lowest: float = 0.0, **kw) -> DataFrame:
@@ -241,10 +230,7 @@ def match_once(pred: DataFrame, gt: DataFrame, lowest: float = 0.0, **kw) -> Dat
     return greedy_match(pred.filter(F.col("score") >= lowest), gt, **kw)
 
 
-def nms(
-    pred: DataFrame, iou: float = 0.5, cap: int = 1000, by: list[str] | None = None,
-    group_limit: int = GROUP_LIMIT,
-) -> DataFrame:
+def nms(pred: DataFrame, iou: float = 0.5, cap: int = 1000, by: list[str] | None = None) -> DataFrame:
     """Class-aware suppression of IoU strictly above ``iou`` in single precision, then the first
     ``cap`` rows of an image by score."""
     by = by or []
@@ -259,71 +245,59 @@ def nms(
     pairs = overlap_join(nodes, prefixed(nodes, "q_", keys), keys, "", "q_")
     rank, other = F.struct(-F.col("score"), "pred_index"), F.struct(-F.col("q_score"), "q_pred_index")
     conflict = box_iou(box(), box("q_")).cast("float") > F.lit(iou).cast("float")
-    edges = pairs.filter((rank < other) & conflict).select(*keys, "pred_index", F.col("q_pred_index").alias("lower"))
-    removed = greedy_suppress(nodes.select(*keys, "pred_index", "score"), edges, keys, group_limit)
+    edges = pairs.filter((rank < other) & conflict).select(*keys, "pred_index", "score", F.col("q_pred_index").alias("lower"))
+    removed = suppressed(edges, keys)
     firsts = nodes.select(*keys, "pred_index").join(removed, [*keys, "pred_index"], "left_anti")
     kept = pred.join(firsts, [*keys, "pred_index"], "left_semi")
     return top_per_group(kept, [*by, "image_id"], score_order(), cap)
 
 
-def greedy_suppress(nodes: DataFrame, edges: DataFrame, keys: list[str], group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """Boxes removed when each kept box, best score first, removes what it conflicts with.
-
-    ``edges`` point from the higher-ranked ``pred_index`` to ``lower``. Only boxes with a conflict
-    enter the fold; groups above ``group_limit`` are settled in rounds.
-    """
-    crowded = _oversized(nodes, keys, group_limit)
-    if crowded.isEmpty():
-        return _suppressed_by_fold(edges, nodes, keys)
-    crowded = cut(crowded)
-    small = _suppressed_by_fold(edges.join(crowded, keys, "left_anti"), nodes, keys)
-    return small.unionByName(suppressed(edges.join(crowded, keys, "left_semi"), keys))
-
-
-def _suppressed_by_fold(edges: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
-    blockers = edges.groupBy(*keys, F.col("lower").alias("pred_index")).agg(F.collect_list("pred_index").alias("by"))
-    item = F.struct((-F.col("score")).alias("neg"), "pred_index", "by")
-    queue = blockers.join(nodes, [*keys, "pred_index"]).groupBy(*keys).agg(
-        F.sort_array(F.collect_list(item)).alias("queue")
-    )
-
-    def step(gone: Column, p: Column) -> Column:
-        blocked = F.exists(p["by"], lambda q: ~F.array_contains(gone, q))
-        return F.when(blocked, F.concat(gone, F.array(p["pred_index"]))).otherwise(gone)
-
-    folded = F.aggregate("queue", F.array().cast("array<int>"), step)
-    return queue.select(*keys, F.explode(folded).alias("pred_index"))
-
-
 def suppressed(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Boxes removed by greedy suppression over ``(keys, pred_index -> lower)`` conflict pairs.
+    """Boxes removed when each kept box, best score first, removes what it conflicts with: ``keys, pred_index``.
 
-    A box with no live higher-ranked conflict is kept and removes what it conflicts with.
+    ``edges``: ``keys``, ``pred_index`` and its ``score``, and ``lower``, the lower-ranked box in conflict. In a round
+    a box without a higher-ranked conflict left is kept and removes its conflicts; their own conflicts are void then.
     """
-    edges = cut(edges)
-    gone = None
-    while not edges.isEmpty():
-        lower = edges.select(*keys, F.col("lower").alias("pred_index")).distinct()
-        kept = edges.select(*keys, "pred_index").distinct().join(lower, [*keys, "pred_index"], "left_anti")
-        out = cut(
-            edges.join(kept, [*keys, "pred_index"], "left_semi")
-            .select(*keys, F.col("lower").alias("pred_index")).distinct()
-        )
+    high, low = [*keys, "pred_index"], [*keys, "lower"]
+    edges, gone = cut(edges), None
+    for _ in range(ROUNDS):
+        below = edges.select(*keys, F.col("lower").alias("pred_index"), F.lit(True).alias("_below")).distinct()
+        marked = edges.join(below, high, "left").withColumn("_kept", F.col("_below").isNull()).drop("_below")
+        marked = cut(marked.withColumn("_out", F.max("_kept").over(W.partitionBy(*low))))
+        out = marked.filter("_out").select(*keys, F.col("lower").alias("pred_index")).distinct()
         gone = out if gone is None else gone.unionByName(out)
-        edges = cut(
-            edges.join(out, [*keys, "pred_index"], "left_anti")
-            .join(out.withColumnRenamed("pred_index", "lower"), [*keys, "lower"], "left_anti")
-            .join(kept, [*keys, "pred_index"], "left_anti")
-        )
-    if gone is None:
-        return edges.select(*keys, "pred_index")
-    return gone.distinct()
+        edges = marked.filter("NOT _out AND NOT _kept").drop("_out", "_kept").join(out, high, "left_anti")
+        edges = cut(edges)
+        if edges.isEmpty():
+            return gone
+    folded = _suppressed_components(edges, keys)
+    return folded if gone is None else gone.unionByName(folded)
+
+
+def _suppressed_components(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """What ``suppressed`` gives, with every component of the conflicts that are left folded in rank order."""
+    name = lambda index: F.to_json(F.struct(*keys, F.col(index).alias("i")))
+    named = cut(edges.withColumn("src", name("pred_index")).withColumn("dst", name("lower")))
+    nodes = named.select(F.col("src").alias("id")).unionByName(named.select(F.col("dst").alias("id"))).distinct()
+    labelled = connected_components(nodes, named.select("src", "dst"))
+    placed = named.join(labelled.withColumnRenamed("id", "src"), "src").drop("src", "dst")
+    one = edges.select(*keys, "pred_index").schema
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        gone = set()
+        ordered = pdf.assign(neg=-pdf["score"]).sort_values(["neg", "pred_index"])
+        for high_index, low_index in zip(ordered["pred_index"], ordered["lower"], strict=True):
+            if high_index not in gone:
+                gone.add(low_index)
+        group = pdf[keys].iloc[[0] * len(gone)].reset_index(drop=True)
+        return group.assign(pred_index=list(gone))
+
+    return placed.groupBy("component").applyInPandas(fold, one)
 
 
 def found_truth(matches: DataFrame, gt: DataFrame) -> DataFrame:
     """Every truth box of one run with the prediction that matched it (NULL when missed)."""
     hit = matches.filter(F.col("gt_index").isNotNull()).select(
         *GROUP, "gt_index", F.col("score").alias("matched_score"), "pred_index", "iou",
-        F.col("rank").alias("matched_rank"),
     )
     return gt.join(hit, [*GROUP, "gt_index"], "left")

@@ -6,6 +6,8 @@ step ...) and only orders or windows the reduced rows.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from boxloom.functions.boxes import box, box_area, size_bin
 from boxloom.functions.hashing import hash_pick
 from boxloom.functions.numeric import f1, precision, recall
-from boxloom.operators.matching import COCO_IOUS, GROUP, greedy_match, score_order, top_per_group
+from boxloom.operators.matching import COCO_IOUS, GROUP, level_bit, match_edges, match_bits, score_order, top_per_group
 from boxloom.operators.prefix import running
 from boxloom.session import cut
 
@@ -96,22 +98,20 @@ def best_confidence(sweep: DataFrame) -> DataFrame:
 
 
 def _pack(matches: DataFrame, extra: list[str], levels: list[float]) -> DataFrame:
-    """One row per prediction with a bit per IoU level at which it matched.
-
-    The levels of a prediction come out of one fold, so this needs no further shuffle.
-    """
-    level = F.lit(None).cast("int")
-    for i, t in enumerate(levels):
-        level = F.when(F.abs(F.col("iou_level") - t) < 1e-9, i).otherwise(level)
-    bit = F.call_function("shiftleft", F.lit(1), level)
-    packed = matches.groupBy("image_id", "class_id", *extra, "pred_index", "rank", "score").agg(
-        F.sum(F.when(F.col("gt_index").isNotNull(), bit).otherwise(0)).cast("int").alias("hits"),
-        F.sum(bit).cast("int").alias("seen"),
-    )
+    """One row per prediction with a bit per IoU level at which it matched (``hits``) and took part (``seen``)."""
+    if "hits" in matches.columns:
+        packed = matches
+    else:
+        bit = level_bit(levels, F.col("iou_level"))
+        rank = ["rank"] if "rank" in matches.columns else []
+        packed = matches.groupBy("image_id", "class_id", *extra, "pred_index", *rank, "score").agg(
+            F.sum(F.when(F.col("gt_index").isNotNull(), bit).otherwise(0)).cast("int").alias("hits"),
+            F.sum(bit).cast("int").alias("seen"),
+        )
     return packed.withColumn("neg", -F.col("score"))
 
 
-ORDER = ["neg", "image_id", "rank"]
+ORDER = ["neg", "image_id", "pred_index"]
 
 
 def _bit(mask: str, i: int):
@@ -141,6 +141,11 @@ def _area(points: DataFrame, npos: DataFrame, keys: list[str]) -> DataFrame:
     reached = points.join(npos, shared).groupBy(*keys, _recall_step(F.col("tp_sum") / F.col("npos")).alias("step")).agg(
         F.max(F.col("tp_sum") / F.col("n")).alias("precision")
     )
+    return _mean_of_best(reached, keys)
+
+
+def _mean_of_best(reached: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean over the 101 recall steps of the best precision at that step or later; a step may have several rows."""
     spread = reached.select(*keys, "precision", F.explode(F.sequence(F.lit(0), F.col("step"))).alias("step"))
     best = spread.groupBy(*keys, "step").agg(F.max("precision").alias("q"))
     return best.groupBy(*keys).agg((F.sum("q") / 101).alias("ap"))
@@ -169,7 +174,7 @@ def ap_by_level(
             if ragged:
                 sums[f"n_{i}_{j}"] = _bit("seen", i) * inside(c).cast("long")
             sums[f"t_{i}_{j}"] = _hit(i) * inside(c).cast("long")
-    columns = [*by, "class_id", *ORDER, "hits", "seen"]
+    columns = [*by, "class_id", *ORDER, "hits", "seen", *(["rank"] if caps else [])]
     ordered = running(packed.select(*columns), [*by, "class_id"], [F.col(c) for c in ORDER], sums)
     cells = [
         F.when(
@@ -224,18 +229,20 @@ def coco_ap_area(pred: DataFrame, gt: DataFrame, max_det: int = 100, levels: lis
     out-of-range predictions."""
     levels = levels or COCO_IOUS
     kept = top_per_group(pred, GROUP, score_order(), max_det)
-    out = None
-    for name, (low, high) in AREA_RANGES.items():
-        inside = box_area(box()).between(low, high)
-        truth = gt.withColumn("regular", inside)
-        matches = greedy_match(kept, truth, levels, "last")
-        sized = matches.join(kept.select(*GROUP, "pred_index", inside.alias("in_range")), [*GROUP, "pred_index"])
-        counted = sized.filter(F.coalesce("on_regular", "in_range"))
-        npos = truth.filter("regular").groupBy("class_id").agg(F.count("*").alias("npos"))
-        rows = ap_by_level(counted, npos, [], levels, ragged=True).groupBy("class_id").agg(F.avg("ap").alias("ap50_95"))
-        rows = rows.select(F.lit(name).alias("area"), "class_id", "ap50_95")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    area = box_area(box())
+    inside = {name: area.between(low, high) for name, (low, high) in AREA_RANGES.items()}
+    # one set of pairs serves all ranges; they differ in which truth is regular
+    edges = match_edges(kept, gt, min(levels), "last", [], inside)
+    sized = kept.select(*GROUP, "pred_index", "score", F.create_map(*[x for k, v in inside.items() for x in (F.lit(k), v)]).alias("_inside"))
+    rows = match_bits(sized, edges, levels, [], list(AREA_RANGES)).withColumnRenamed("variant", "area")
+    every = (1 << len(levels)) - 1
+    # what matched counts if its truth is regular, what didn't if it lies in the range itself
+    unmatched = F.when(F.col("_inside")[F.col("area")], F.bitwise_not("hits").bitwiseAND(every)).otherwise(0)
+    rows = rows.withColumn("seen", F.col("regular_hits").bitwiseOR(unmatched)).withColumn("hits", F.col("regular_hits")).filter("seen > 0")
+    sizes = F.explode(F.array(*[F.struct(F.lit(k).alias("area"), v.alias("inside")) for k, v in inside.items()])).alias("a")
+    npos = gt.select("class_id", sizes).filter("a.inside").groupBy("a.area", "class_id").agg(F.count("*").alias("npos"))
+    per_level = ap_by_level(rows.select(*GROUP, "area", "pred_index", "score", "hits", "seen"), npos, ["area"], levels, ragged=True)
+    return per_level.groupBy("area", "class_id").agg(F.avg("ap").alias("ap50_95"))
 
 
 def macro_ap(group_ap: DataFrame) -> DataFrame:
@@ -243,47 +250,95 @@ def macro_ap(group_ap: DataFrame) -> DataFrame:
     return group_ap.agg(F.avg("ap").alias("macro_ap"), F.count("ap").alias("groups"))
 
 
-LOGO_GROUPS = 200
+#: Consecutive predictions of a class that one call compares with all groups.
+BLOCK = 4096
 
 
-def leave_one_out_ap(matches: DataFrame, npos: DataFrame, group: str, level: float) -> DataFrame:
-    """AP with each group omitted, from the cached matches of all groups (nothing is re-matched).
+def leave_one_out_ap(
+    matches: DataFrame, npos: DataFrame, group: str, levels: list[float] | None = None, caps: tuple[int, ...] = (100, 300)
+) -> DataFrame:
+    """AP50-95, AP50 and AP75 with each group omitted, per class and over classes (NULL), for every cap, from the cached matches.
 
-    ``matches`` and ``npos`` carry ``group``. Predictions are ordered once; running counts of every
-    group ride along, and the counts without a group are a subtraction at each hit. More than
-    ``LOGO_GROUPS`` groups would make the rows too wide, so they are taken in slices of that many.
+    ``matches`` (``coco_hits``) and ``npos`` carry ``group``. Nothing is matched or ordered again: a class's predictions are
+    ordered once and cut into blocks of positions. Counts at a block's start, of all rows and of each group, are sums over
+    (class, block, group) and their prefixes, and inside a block the counts without a group are those of all rows less
+    the group's own. A block gives at most 101 recall steps per group, level and cap, so what is shuffled does not grow with its rows.
     """
-    npos = cut(npos)
-    every = sorted(r[0] for r in npos.select(group).distinct().collect())
-    packed = _pack(matches, [group], [level]).select("class_id", group, *ORDER, "hits")
-    counts = npos.groupBy("class_id").agg(F.sum("npos").alias("_all"))
-    out = None
-    for start in range(0, len(every), LOGO_GROUPS):
-        part = every[start : start + LOGO_GROUPS]
-        sums = {"t": _hit(0), "n": F.lit(1).cast("long")}
-        for i, g in enumerate(part):
-            mine = (F.col(group) == g).cast("long")
-            sums[f"t_{i}"], sums[f"n_{i}"] = mine * _hit(0), mine
-        ordered = running(packed, ["class_id"], [F.col(c) for c in ORDER], sums).filter("hits > 0")
-        cells = [
-            F.when(
-                F.col(group) != g,
-                F.struct(F.lit(g).alias("omitted"), (F.col("t") - F.col(f"t_{i}")).alias("tp_sum"),
-                         (F.col("n") - F.col(f"n_{i}")).alias("n")),
-            )
-            for i, g in enumerate(part)
-        ]
-        points = ordered.select("class_id", F.explode(F.array_compact(F.array(*cells))).alias("p")).select("class_id", "p.*")
-        names = npos.select(F.col(group).alias("omitted")).distinct().filter(F.col("omitted").isin(part))
-        left = names.withColumn("class_id", F.explode(npos.agg(F.collect_set("class_id")).scalar()))
-        own = npos.select(F.col(group).alias("omitted"), "class_id", F.col("npos").alias("_own"))
-        grid = left.join(counts, "class_id").join(own, ["omitted", "class_id"], "left").select(
-            "omitted", "class_id", (F.col("_all") - F.coalesce("_own", F.lit(0))).alias("npos")
-        ).filter("npos > 0")
-        areas = grid.join(_area(points, grid, ["omitted", "class_id"]), ["omitted", "class_id"], "left")
-        rows = areas.groupBy("omitted").agg(F.avg(F.coalesce("ap", F.lit(0.0))).alias("ap"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    levels = levels or COCO_IOUS
+    packed = _pack(matches, [group], levels).select("class_id", F.col(group).alias("_group"), *ORDER, "hits", "rank")
+    placed = running(packed, ["class_id"], [F.col(c) for c in ORDER], {"pos": F.lit(1)})
+    placed = cut(placed.withColumn("block", F.expr(f"(pos - 1) div {BLOCK}")).select("class_id", "block", "pos", "_group", "hits", "rank"))
+    cells = [(i, j) for j in range(len(caps)) for i in range(len(levels))]
+    inside = [(F.col("rank") <= c).cast("long") for c in caps]
+    counts = {f"n_{j}": inside[j] for j in range(len(caps))} | {f"t_{i}_{j}": _hit(i) * inside[j] for i, j in cells}
+    own = placed.groupBy("class_id", "block", "_group").agg(*(F.sum(v).alias(k) for k, v in counts.items()))
+    truth = cut(npos.select("class_id", F.col(group).alias("_group"), "npos"))
+    everyone = truth.select("_group", F.lit(True).alias("omitted")).distinct()
+    names = everyone.unionByName(placed.select("_group", F.lit(False).alias("omitted")).distinct()).groupBy("_group").agg(F.max("omitted").alias("omitted"))
+    totals = truth.groupBy("class_id").agg(F.sum("npos").alias("_all"))
+    # every class with every group: what the result has anyway
+    left = totals.join(names, F.lit(True)).join(truth, ["class_id", "_group"], "left").select(
+        "class_id", "_group", "omitted", (F.col("_all") - F.coalesce("npos", F.lit(0))).alias("left")
+    )
+    left = cut(left)
+    starts = placed.select("class_id", "block").distinct().join(left, "class_id").join(own, ["class_id", "block", "_group"], "left")
+    before = W.partitionBy("class_id", "_group").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    starts = starts.select("class_id", "block", "_group", "omitted", "left", *(F.coalesce(F.sum(k).over(before), F.lit(0)).alias(k) for k in counts))
+    kind = placed.schema["_group"].dataType.simpleString()
+    starts = cut(starts)  # columns of its own, as both sides come from one table
+    reached = placed.groupBy("class_id", "block").cogroup(starts.groupBy("class_id", "block")).applyInPandas(
+        _best_without(levels, caps), f"class_id int, omitted {kind}, level int, max_det int, step int, precision double"
+    )
+    keys = ["omitted", "class_id", "level", "max_det"]
+    areas = _mean_of_best(reached.groupBy(*keys, "step").agg(F.max("precision").alias("precision")), keys)
+    grid = left.filter("omitted AND left > 0").select(F.col("_group").alias("omitted"), "class_id")
+    grid = grid.withColumn("level", F.explode(F.array(*map(F.lit, range(len(levels)))))).withColumn("max_det", F.explode(F.array(*map(F.lit, caps))))
+    ap = grid.join(areas, keys, "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
+    at = lambda level: F.avg(F.when(F.col("level").isin(*[i for i, t in enumerate(levels) if abs(t - level) < 1e-9]), F.col("ap")))
+    parts = [F.avg("ap").alias("ap50_95"), at(0.5).alias("ap50"), at(0.75).alias("ap75")]
+    per_class = ap.groupBy("omitted", "max_det", "class_id").agg(*parts)
+    return per_class.unionByName(ap.groupBy("omitted", "max_det").agg(F.lit(None).cast("int").alias("class_id"), *parts))
+
+
+def _best_without(levels: list[float], caps: tuple[int, ...]):
+    """Per (class, block): the best precision per recall step reached at the block's hits, for each group left out."""
+
+    def best(rows: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+        names = ["class_id", "omitted", "level", "max_det", "step", "precision"]
+        if rows.empty or starts.empty:
+            return pd.DataFrame({c: [] for c in names})
+        rows, starts = rows.sort_values("pos"), starts.reset_index(drop=True)
+        code = pd.Index(starts["_group"]).get_indexer(rows["_group"])
+        asked = np.flatnonzero(starts["omitted"].to_numpy(bool) & (starts["left"].to_numpy() > 0))
+        mine = code[None, :] == asked[:, None]
+        left = starts["left"].to_numpy(float)[asked]
+        hits, rank, out = rows["hits"].to_numpy(), rows["rank"].to_numpy(), []
+        for j, cap in enumerate(caps):
+            within = rank <= cap
+            seen = starts[f"n_{j}"].sum() + np.cumsum(within)
+            own_seen = starts[f"n_{j}"].to_numpy()[asked][:, None] + np.cumsum(mine & within, axis=1)
+            for i in range(len(levels)):
+                hit = (hits >> i & 1).astype(bool) & within
+                at = np.flatnonzero(hit)
+                if not len(at):
+                    continue
+                found = starts[f"t_{i}_{j}"].sum() + np.cumsum(hit)[at]
+                own_found = starts[f"t_{i}_{j}"].to_numpy()[asked][:, None] + np.cumsum(mine & hit, axis=1)[:, at]
+                tp, n = found[None, :] - own_found, seen[at][None, :] - own_seen[:, at]
+                others = ~mine[:, at]
+                reach = tp / left[:, None]
+                step = np.floor(reach * 100)
+                step = np.where((step + 1) * 0.01 <= reach, step + 1, np.where(step * 0.01 <= reach, step, step - 1)).astype(int)
+                which, column = np.nonzero(others)
+                top = np.zeros((len(asked), 102))
+                np.maximum.at(top, (which, step[which, column]), tp[which, column] / n[which, column])
+                g, s = np.nonzero(top)
+                out.append(pd.DataFrame({"omitted": starts["_group"].to_numpy()[asked][g], "level": i, "max_det": cap, "step": s, "precision": top[g, s]}))
+        if not out:
+            return pd.DataFrame({c: [] for c in names})
+        return pd.concat(out).assign(class_id=rows["class_id"].iat[0])[names]
+
+    return best
 
 
 # ---------------------------------------------------------------- recall and rates

@@ -84,12 +84,12 @@ MATCH_COLUMNS = ["image_id", "class_id", "pred_index", "score", "rank", "gt_inde
 
 @query("mt1", match_with() + " SELECT image_id, class_id, pred_index, score, CAST(rank AS INTEGER) AS rank, gt_index, iou FROM m")
 def greedy_last(t):
-    return matches(t).select(*MATCH_COLUMNS)
+    return mt.greedy_match(t.pred(), t.gt(), ranked=True).select(*MATCH_COLUMNS)
 
 
 @query("mt2", match_with(tie="first") + " SELECT image_id, class_id, pred_index, score, CAST(rank AS INTEGER) AS rank, gt_index, iou FROM m")
 def greedy_first(t):
-    return mt.greedy_match(t.pred(), t.gt(), tie="first").select(*MATCH_COLUMNS)
+    return mt.greedy_match(t.pred(), t.gt(), tie="first", ranked=True).select(*MATCH_COLUMNS)
 
 
 SWEEP_SQL = """, steps AS (SELECT step, step / 20.0::DOUBLE AS confidence FROM range(1, 20) r(step)),
@@ -119,10 +119,10 @@ def best_threshold(t):
     return rounded(ag.best_confidence(ag.threshold_sweep(matches(t), t.gt())))
 
 
-@query("mt3", match_with(levels=mt.COCO_IOUS, cap=10) + """
+@query("mt3", match_with(levels=mt.COCO_IOUS, cap=300) + """
   SELECT image_id, class_id, pred_index, round(iou_level, 4) AS iou_level, gt_index FROM m""")
 def coco_matches(t):
-    rows = mt.coco_match(t.pred(), t.gt(), max_det=10)
+    rows = mt.coco_match(t.pred(), t.gt(), max_det=300)
     return rows.select("image_id", "class_id", "pred_index", F.round("iou_level", 4).alias("iou_level"), "gt_index")
 
 

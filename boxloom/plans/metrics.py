@@ -8,7 +8,7 @@ from boxloom.operators import masks as mk
 from boxloom.operators import matching as mt
 from boxloom.operators import metrics as ag
 from boxloom.plans.derive import IMAGE_HEIGHT, IMAGE_WIDTH, Tables, with_sql
-from boxloom.plans.matching import PRF_SQL, ROUNDED_SQL, greedy_sql, match_with, matches, rounded
+from boxloom.plans.matching import PRF_SQL, ROUNDED_SQL, greedy_sql, level_list, match_with, matches, rounded
 from boxloom.plans.registry import query
 
 SIZE_SQL = """CASE WHEN least(x2 - x1, y2 - y1) < 8 THEN 'lt8' WHEN least(x2 - x1, y2 - y1) < 16 THEN '8to16'
@@ -76,13 +76,13 @@ def _capped_ap(cap: int) -> str:
 
 
 @query("ag3", match_with(levels=mt.COCO_IOUS) + COUNTS_SQL
-       + f", every AS ({_capped_ap(10)} UNION ALL {_capped_ap(300)}), "
+       + f", every AS ({_capped_ap(100)} UNION ALL {_capped_ap(300)}), "
        + """res AS (SELECT max_det, class_id, avg(ap) AS ap50_95, avg(ap) FILTER (abs(iou_level - 0.5) < 1e-9) AS ap50,
     avg(ap) FILTER (abs(iou_level - 0.75) < 1e-9) AS ap75 FROM every GROUP BY GROUPING SETS ((max_det, class_id), (max_det)))
   SELECT max_det, class_id, round(ap50_95, 9) AS ap50_95, round(ap50, 9) AS ap50, round(ap75, 9) AS ap75 FROM res""")
 def average_precision(t):
-    m = mt.coco_match(t.pred(), t.gt(), max_det=300)
-    return rounded(ag.coco_ap(m, ag.truth_counts(t.gt()), (10, 300)), ("ap50_95", "ap50", "ap75"))
+    m = mt.coco_hits(t.pred(), t.gt(), max_det=300)
+    return rounded(ag.coco_ap(m, ag.truth_counts(t.gt())), ("ap50_95", "ap50", "ap75"))
 
 
 AREA_SQL = with_sql("gt", "pred", recursive=True) + "," + ",".join(
@@ -96,7 +96,7 @@ def area_sql() -> str:
     """Matching that prefers in-range truth, then drops ignored rows, per area range."""
     parts = []
     for name, (low, high) in ag.AREA_RANGES.items():
-        inner = greedy_sql(levels=(0.5, 0.75), out=f"m_{name}")
+        inner = greedy_sql(levels=mt.COCO_IOUS, cap=300, out=f"m_{name}")
         inner = inner.replace("LEFT JOIN gt g", f"LEFT JOIN gt_{name} g").replace("{'iou':", "{'r': g.regular, 'iou':")
         inner = inner.replace("CAST(NULL AS DOUBLE) AS iou,", "CAST(NULL AS DOUBLE) AS iou, CAST(NULL AS BOOLEAN) AS reg,")
         inner = inner.replace("b.g, b.iou,", "b.g, b.iou, b.r,").replace("gt_index, iou FROM", "gt_index, iou, reg FROM")
@@ -114,10 +114,10 @@ n_{name} AS (SELECT class_id, count(*) AS npos FROM gt_{name} WHERE regular GROU
 
 @query("ag4", area_sql())
 def ap_by_area(t):
-    return rounded(ag.coco_ap_area(t.pred(), t.gt(), 300, [0.5, 0.75]), ("ap50_95",))
+    return rounded(ag.coco_ap_area(t.pred(), t.gt(), 300), ("ap50_95",))
 
 
-@query("ag5", match_with(levels=(0.5, 0.75)) + COUNTS_SQL + ap_sql("", "npos")
+@query("ag5", match_with(levels=mt.COCO_IOUS) + COUNTS_SQL + ap_sql("", "npos")
        + " SELECT class_id, round(iou_level, 4) AS iou_level, round(ap, 9) AS ap FROM ap")
 def mask_ap(t):
     keys = ["image_id", "class_id"]
@@ -126,8 +126,8 @@ def mask_ap(t):
     pairs = mk.mask_iou_pairs(p, g, keys).select(
         *keys, F.col("instance").alias("pred_index"), F.col("b_instance").alias("gt_index"), "iou"
     )
-    m = mt.greedy_match_pairs(t.pred(), pairs, [0.5, 0.75])
-    ap = ag.ap_by_level(m, ag.truth_counts(t.gt()), [], [0.5, 0.75])
+    m = mt.coco_hits(t.pred(), t.gt(), max_det=10**6, pairs=pairs)
+    ap = ag.ap_by_level(m, ag.truth_counts(t.gt()), [], mt.COCO_IOUS)
     return rounded(ap.withColumn("iou_level", F.round("iou_level", 4)), ("ap",))
 
 
@@ -196,13 +196,14 @@ def support(t):
 
 
 GROUP_AP_SQL = (
-    match_with() + ", mg AS (SELECT *, image_id % 29 AS group_id FROM m), "
+    match_with(levels=mt.COCO_IOUS, cap=300) + ", mg AS (SELECT *, image_id % 29 AS group_id FROM m), "
     "npos AS (SELECT group_id, class_id, count(*) AS npos FROM gt GROUP BY ALL)"
 )
 
 
 def grouped(t: Tables):
-    return matches(t).withColumn("group_id", F.col("image_id") % 29), ag.truth_counts(t.gt(), ["group_id"])
+    hits = mt.coco_hits(t.pred(), t.gt(), max_det=300)
+    return hits.withColumn("group_id", F.col("image_id") % 29), ag.truth_counts(t.gt(), ["group_id"])
 
 
 @query("ag13", GROUP_AP_SQL + ap_sql("group_id", "npos", "mg") + """,
@@ -210,16 +211,36 @@ def grouped(t: Tables):
   SELECT round(avg(ap), 9) AS macro_ap, count(ap) AS groups FROM ga""")
 def macro(t):
     m, npos = grouped(t)
-    per_group = ag.ap_by_level(m, npos, ["group_id"], [0.5]).groupBy("group_id").agg(F.avg("ap").alias("ap"))
+    per_group = ag.ap_by_level(m, npos, ["group_id"], mt.COCO_IOUS).groupBy("group_id").agg(F.avg("ap").alias("ap"))
     return rounded(ag.macro_ap(per_group), ("macro_ap",))
 
 
-@query("ag14", GROUP_AP_SQL + """, om AS (SELECT g.group_id AS omitted, mg.* FROM mg, (SELECT DISTINCT group_id FROM gt) g WHERE g.group_id <> mg.group_id),
-  on_ AS (SELECT g.group_id AS omitted, class_id, CAST(sum(npos) AS BIGINT) AS npos FROM npos, (SELECT DISTINCT group_id FROM gt) g WHERE g.group_id <> npos.group_id GROUP BY ALL)"""
-       + ap_sql("omitted", "on_", "om") + " SELECT omitted, round(avg(ap), 9) AS ap FROM ap GROUP BY omitted")
+def _left_out(cap: int) -> str:
+    """AP with each group left out: one order of all rows, counts less the group's own, best precision per recall step."""
+    own = "count(*) OVER v AS on_, CAST(sum(hit::INT) OVER v AS BIGINT) AS ot"
+    return f"""c{cap} AS (SELECT class_id, iou_level, group_id, gt_index IS NOT NULL AS hit, row_number() OVER w AS n,
+    CAST(sum((gt_index IS NOT NULL)::INT) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS tp
+  FROM mg WHERE rank <= {cap} WINDOW w AS (PARTITION BY class_id, iou_level ORDER BY score DESC, image_id, rank)),
+g{cap} AS (SELECT class_id, iou_level, group_id, n, {own} FROM c{cap} WINDOW v AS (PARTITION BY class_id, iou_level, group_id ORDER BY n ROWS UNBOUNDED PRECEDING)),
+h{cap} AS (SELECT o.group_id AS omitted, o.npos, h.* FROM c{cap} h JOIN left_ o ON o.class_id = h.class_id AND o.group_id <> h.group_id WHERE hit),
+s{cap} AS (SELECT h.omitted, h.class_id, h.iou_level, (h.tp - coalesce(g.ot, 0)) / h.npos::DOUBLE AS reach, (h.tp - coalesce(g.ot, 0)) / (h.n - coalesce(g.on_, 0))::DOUBLE AS prec
+  FROM h{cap} h ASOF LEFT JOIN g{cap} g ON g.class_id = h.class_id AND g.iou_level = h.iou_level AND g.group_id = h.omitted AND h.n >= g.n),
+b{cap} AS (SELECT omitted, class_id, iou_level, max(prec) AS prec, CASE WHEN (floor(reach * 100) + 1) * 0.01::DOUBLE <= reach THEN floor(reach * 100) + 1
+  WHEN floor(reach * 100) * 0.01::DOUBLE <= reach THEN floor(reach * 100) ELSE floor(reach * 100) - 1 END AS step FROM s{cap} GROUP BY ALL),
+q{cap} AS (SELECT omitted, class_id, iou_level, i, max(prec) AS q FROM b{cap}, range(0, 101) r(i) WHERE step >= i GROUP BY ALL),
+a{cap} AS (SELECT l.group_id AS omitted, l.class_id, v.t AS iou_level, coalesce(sum(q), 0) / 101 AS ap FROM left_ l CROSS JOIN (SELECT unnest({level_list(mt.COCO_IOUS)}) AS t) v
+  LEFT JOIN q{cap} q ON q.omitted = l.group_id AND q.class_id = l.class_id AND q.iou_level = v.t GROUP BY ALL)"""
+
+
+@query("ag14", GROUP_AP_SQL + """, every AS (SELECT class_id, sum(npos) AS npos FROM npos GROUP BY class_id),
+  left_ AS (SELECT g.group_id, e.class_id, CAST(e.npos - coalesce(n.npos, 0) AS BIGINT) AS npos FROM every e CROSS JOIN (SELECT DISTINCT group_id FROM gt) g
+    LEFT JOIN npos n ON n.group_id = g.group_id AND n.class_id = e.class_id WHERE e.npos > coalesce(n.npos, 0)), """ + _left_out(100) + ", " + _left_out(300) + """,
+  both_caps AS (SELECT 100 AS max_det, * FROM a100 UNION ALL SELECT 300, * FROM a300)
+  SELECT omitted, max_det, class_id, round(avg(ap), 9) AS ap50_95, round(avg(ap) FILTER (abs(iou_level - 0.5) < 1e-9), 9) AS ap50,
+    round(avg(ap) FILTER (abs(iou_level - 0.75) < 1e-9), 9) AS ap75 FROM both_caps GROUP BY GROUPING SETS ((omitted, max_det, class_id), (omitted, max_det))""")
 def leave_one_out(t):
     m, npos = grouped(t)
-    return rounded(ag.leave_one_out_ap(m, npos, "group_id", 0.5), ("ap",))
+    return rounded(ag.leave_one_out_ap(m, npos, "group_id"), ("ap50_95", "ap50", "ap75"))
 
 
 @query("ag15", """SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50,

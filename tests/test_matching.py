@@ -40,28 +40,42 @@ def test_score_at_threshold_is_kept(spark):
 
 
 @pytest.mark.parametrize("tie", ["last", "first"])
-@pytest.mark.parametrize("limit", [None, 0])
-def test_random_scenes_equal_brute_force(spark, tie, limit):
-    """``limit=0`` sends every group through the rounds that settle crowded groups."""
+@pytest.mark.parametrize("rounds", [0, 2, 6])
+def test_random_scenes_equal_brute_force(spark, monkeypatch, tie, rounds):
+    """No rounds: every contested component is folded."""
+    monkeypatch.setattr(mt, "ROUNDS", rounds)
     preds, gts = brute.scene(random.Random(7), images=4)
     p, g = brute.frames(spark, preds, gts)
-    assert matched(mt.greedy_match(p, g, tie=tie, group_limit=limit)) == brute.match(preds, gts, tie=tie)
+    assert matched(mt.greedy_match(p, g, tie=tie)) == brute.match(preds, gts, tie=tie)
 
 
-def test_rounds_keep_levels_and_ranks(spark):
-    preds, gts = brute.scene(random.Random(3), images=2)
+@pytest.mark.parametrize("rounds", [0, 6])
+def test_levels_ranks_and_bits(spark, monkeypatch, rounds):
+    monkeypatch.setattr(mt, "ROUNDS", rounds)
+    preds, gts = brute.scene(random.Random(3), images=2, n_gt=9, n_pred=20)
     p, g = brute.frames(spark, preds, gts)
-    cols = ["image_id", "class_id", "pred_index", "iou_level", "rank", "gt_index"]
-    a = mt.greedy_match(p, g, [0.5, 0.75], group_limit=None).select(*cols)
-    b = mt.greedy_match(p, g, [0.5, 0.75], group_limit=0).select(*cols)
-    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
-
-
-@pytest.mark.parametrize("limit", [4000, 0])
-def test_nms_equals_brute_force(spark, limit):
+    levels = [0.5, 0.75]
+    rows = mt.greedy_match(p, g, levels, ranked=True).collect()
+    for t in levels:
+        assert {(r.image_id, r.class_id, r.pred_index): r.gt_index for r in rows if r.iou_level == t} == brute.match(preds, gts, t)
+    by_group = {}
+    for im, c, i, s, _ in sorted(preds, key=lambda x: (-x[3], x[2])):
+        by_group.setdefault((im, c), []).append(i)
+    assert all(by_group[r.image_id, r.class_id][r["rank"] - 1] == r.pred_index for r in rows)
+    bits = {(r.image_id, r.class_id, r.pred_index): r.hits for r in mt.coco_hits(p, g, levels).collect()}
+    want = {}
+    for k, t in enumerate(levels):
+        for key, gt in brute.match(preds, gts, t).items():
+            want[key] = want.get(key, 0) + ((gt is not None) << k)
+    assert bits == want
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 6])
+def test_nms_equals_brute_force(spark, monkeypatch, rounds):
+    monkeypatch.setattr(mt, "ROUNDS", rounds)
     preds, _ = brute.scene(random.Random(11), images=3, n_gt=3, n_pred=25)
     p, _ = brute.frames(spark, preds, [(0, 0, 0, BOX)])
-    kept = {(r.image_id, r.class_id, r.pred_index) for r in mt.nms(p, group_limit=limit).collect()}
+    kept = {(r.image_id, r.class_id, r.pred_index) for r in mt.nms(p).collect()}
     assert kept == brute.suppress(preds)
 
 
@@ -71,15 +85,24 @@ def test_nms_cap_and_strict_limit(spark):
     assert mt.nms(p, cap=2).count() == 2
 
 
-def test_crowded_image_is_not_lost(spark):
-    """One image holds most rows: grid pairs and rounds give what the fold gives."""
+def test_crowded_image(spark):
+    """One image holds all rows; each overlap is settled on its own."""
     rng = random.Random(5)
     gts = [(0, 0, i, (x := rng.randrange(2000), y := rng.randrange(2000)) and (float(x), float(y), x + 20.0, y + 20.0)) for i in range(400)]
     preds = [(0, 0, i, rng.random(), tuple(v + 1 for v in g[3])) for i, g in enumerate(gts)]
     p, g = brute.frames(spark, preds, gts)
-    a = matched(mt.greedy_match(p, g, group_limit=None))
-    assert matched(mt.greedy_match(p, g, group_limit=100)) == a
-    assert sum(v is not None for v in a.values()) >= 399
+    a = matched(mt.greedy_match(p, g))
+    assert a == brute.match(preds, gts) and sum(v is not None for v in a.values()) >= 399
+
+
+def test_long_chains_are_folded(spark):
+    """Copies of one box take one truth a round; the component fold ends it."""
+    p, g = one_image(spark, [(0, 0.9, BOX)] * 30, [(0, BOX)] * 25)
+    got = matched(mt.greedy_match(p, g))
+    assert got == {(0, 0, i): 24 - i if i < 25 else None for i in range(30)}
+    steps = [(0, 1 - i / 100, (float(4 * i), 0.0, 4.0 * i + 10, 10.0)) for i in range(40)]
+    p, _ = one_image(spark, steps, [(0, BOX)])
+    assert {r.pred_index for r in mt.nms(p, iou=0.3).collect()} == set(range(0, 40, 2))
 
 
 # ---------------------------------------------------------------- average precision
@@ -96,6 +119,22 @@ def test_dense_image_needs_the_larger_cap(spark):
     assert {r.max_det: round(r.ap50_95, 12) for r in rows} == {100: round(67 / 101, 12), 300: 1.0}
 
 
+def test_leave_one_out_equals_a_new_run(spark, monkeypatch):
+    """Every omitted group against AP over the rows that are left, with blocks of a few positions."""
+    monkeypatch.setattr(ag, "BLOCK", 7)
+    preds, gts = brute.scene(random.Random(8), images=7, n_gt=8, n_pred=14)
+    p, g = brute.frames(spark, preds, gts)
+    hits = mt.coco_hits(p, g).withColumn("site", mt.F.col("image_id") % 3)
+    npos = ag.truth_counts(g.withColumn("site", mt.F.col("image_id") % 3), ["site"])
+    got = {(r.omitted, r.max_det, r.class_id): (r.ap50_95, r.ap50, r.ap75) for r in ag.leave_one_out_ap(hits, npos, "site", caps=(2, 300)).collect()}
+    want = {}
+    for site in range(3):
+        left = ag.coco_ap(hits.filter(f"site != {site}"), ag.truth_counts(g.filter(f"image_id % 3 != {site}")), (2, 300))
+        want |= {(site, r.max_det, r.class_id): (r.ap50_95, r.ap50, r.ap75) for r in left.collect()}
+    assert got.keys() == want.keys()
+    assert all(a == pytest.approx(b) for k in want for a, b in zip(got[k], want[k], strict=True))
+
+
 def test_no_predictions_and_no_truth(spark):
     p, g = perfect(spark, 3)
     none = ag.coco_ap(mt.coco_match(p.limit(0), g), ag.truth_counts(g), (100,)).filter("class_id = 0").first()

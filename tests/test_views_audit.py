@@ -55,15 +55,16 @@ def test_small_box_inside_a_large_excluded_object(spark):
     assert (t["sensitivity_ioa"].category, t["sensitivity_ioa"].subtotal) == ("known_non_target", "pins_pads")
 
 
-def test_mask_nms_is_inclusive_and_rounds_agree(spark):
+def test_mask_nms_is_inclusive(spark, monkeypatch):
     def run(i, y, a, b):
         return (0, 0, i, y, a, b)
 
     runs = [run(0, 0, 0, 8), run(1, 0, 2, 10), run(2, 1, 0, 8)]  # IoU of 0 and 1 is 6/10
     r = spark.createDataFrame(runs, "image_id bigint, class_id int, instance int, y int, x_start int, x_end int")
     s = spark.createDataFrame([(0, 0, i, v) for i, v in enumerate((0.5, 0.9, 0.1))], "image_id bigint, class_id int, instance int, score double")
-    for limit in (4000, 0):
-        assert {x.instance for x in mk.mask_nms(s, r, 0.6, limit).collect()} == {1, 2}
+    for rounds in (6, 0):
+        monkeypatch.setattr(mt, "ROUNDS", rounds)
+        assert {x.instance for x in mk.mask_nms(s, r, 0.6).collect()} == {1, 2}
 
 
 def test_paint_gives_pixels_to_the_higher_score(spark):
