@@ -435,12 +435,52 @@ def class_support(objects: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+#: Ranges that a round of ``exact_quantiles`` cuts a value range into.
+RANGES = 1024
+
+
+def exact_quantiles(df: DataFrame, value: str, keys: list[str], at: list[float]) -> DataFrame:
+    """Exact quantiles per key, interpolated between the two nearest ranks: keys, ``n``, and ``q_0``, ``q_1`` ... for ``at``.
+
+    Rank selection by counting: the range that holds a wanted rank is cut into ``RANGES`` and counted, and the part with the rank is
+    the next range, from its least to its greatest value, until these are equal. Rows outside the ranges leave after each
+    round, so all but the first read little, and a key with any share of the rows is only counted. NULL and NaN don't count; a
+    key without a value has no row. ``keys`` aren't NULL.
+    """
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    rows = cut(rows)
+    ends = cut(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high")))
+    places = [F.lit(float(q)) * (F.col("n") - 1) for q in at]
+    wanted = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(p), F.ceil(p)) for p in places))))
+    left = ends.select(*keys, "low", "high", F.lit(0).cast("long").alias("below"), F.explode(wanted).alias("rank"))
+    settled, one = None, [*keys, "rank"]
+    while True:
+        done = left.filter("low = high").select(*one, F.col("low").alias("v"))
+        settled = done if settled is None else settled.unionByName(done)
+        left = left.filter("low < high")
+        if left.isEmpty():
+            break
+        inside = rows.join(left, keys).filter(F.col("_v").between(F.col("low"), F.col("high")))
+        share = (F.col("_v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)  # halves: the span of two doubles may be none
+        part = F.least(F.floor(share * RANGES), F.lit(RANGES - 1))
+        parts = inside.groupBy(*one, "below", part.alias("part")).agg(F.count("*").alias("m"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+        upto = F.sum("m").over(W.partitionBy(*one).orderBy("part"))  # at most RANGES rows
+        parts = parts.withColumn("upto", F.col("below") + upto).filter((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("m") <= F.col("rank")))
+        left = cut(parts.select(*keys, "low", "high", (F.col("upto") - F.col("m")).alias("below"), "rank"))
+        spans = left.select(*keys, F.col("low").alias("_low"), F.col("high").alias("_high")).distinct()
+        rows = cut(rows.join(spans, keys).filter(F.col("_v").between(F.col("_low"), F.col("_high"))).drop("_low", "_high").withColumn("_v", F.col("_v")))
+    values = ends.select(*keys, "n").join(settled.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("of")), keys)
+    exact = lambda p: F.col("of")[F.floor(p)] * (F.floor(p) + 1 - p) + F.col("of")[F.floor(p) + 1] * (p - F.floor(p))
+    shown = [F.when(p == F.floor(p), F.col("of")[F.floor(p)]).otherwise(exact(p)).alias(f"q_{i}") for i, p in enumerate(places)]
+    return values.select(*keys, "n", *shown)
+
+
 def latency_stats(times: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """Count, mean, exact p50/p95 and total over rows that are not warm-up."""
-    return times.filter(~F.col("warm_up")).groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("p50"),
-        F.percentile(value, F.lit(0.95)).alias("p95"), F.sum(value).alias("total"),
-    )
+    warm = cut(times.filter(~F.col("warm_up")).select(*keys, value))
+    sums = warm.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.sum(value).alias("total"))
+    found = exact_quantiles(warm, value, keys, [0.5, 0.95]).drop("n")
+    return sums.join(found, keys, "left").select(*keys, "n", "mean", F.col("q_0").alias("p50"), F.col("q_1").alias("p95"), "total")
 
 
 def dense_cells(gt: DataFrame, limit: int = 100) -> DataFrame:

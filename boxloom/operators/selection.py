@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boxloom.operators.prefix import running
+from boxloom.session import cut
 
 # fixed values: ranking keys, best first
 AP300_FIRST = (("ap300", False), ("ap100", False), ("p50_ms", True), ("candidate_id", True))
@@ -38,32 +39,44 @@ def ranks(candidates: DataFrame, keys: list[str], order=AP300_FIRST) -> DataFram
     return candidates.withColumn("rank", F.row_number().over(w))
 
 
+def prefix_ranks(candidates: DataFrame, keys: list[str], order=AP300_FIRST, name: str = "rank") -> DataFrame:
+    """``ranks`` by a prefix count, for keys (or none) with any number of candidates."""
+    return running(candidates, keys, _order(order), {name: F.lit(1)}).withColumn(name, F.col(name).cast("int"))
+
+
+def inversions(df: DataFrame, keys: list[str], first: str, second: str) -> DataFrame:
+    """Pairs per key whose order by ``first`` and by ``second`` (not negative, both without ties) differ: keys, ``inverted``.
+
+    Merge counting, with the bits of ``second`` as levels: at the highest bit where two rows differ the one with a 0 is
+    the smaller, so a pair is inverted if it comes after the 1 in the order of ``first``. All rows that share the higher bits are one list;
+    how many 1s stand before each 0 is a prefix count, so no list is gathered.
+    """
+    width = df.agg(F.length(F.bin(F.coalesce(F.max(second), F.lit(0)))).alias("w"))
+    rows = df.select(*keys, F.col(first).alias("_at"), F.col(second).cast("long").alias("_v")).join(F.broadcast(width), F.lit(True))
+    rows = rows.select(*keys, "_at", "_v", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("_level"))
+    above = F.call_function("shiftright", F.col("_v"), F.col("_level") + 1)
+    bit = F.call_function("shiftright", F.col("_v"), F.col("_level")).bitwiseAND(1)
+    rows = rows.select(*keys, "_level", above.alias("_above"), "_at", bit.alias("_bit"))
+    counted = running(rows, [*keys, "_level", "_above"], [F.col("_at")], {"_ones": F.col("_bit")})
+    return counted.groupBy(*keys).agg(F.sum(F.when(F.col("_bit") == 0, F.col("_ones")).otherwise(0)).alias("inverted"))
+
+
 def rank_stability(omitted: DataFrame, full: DataFrame, frozen: DataFrame) -> DataFrame:
     """Per omitted group: the winner, the rank of the frozen one, and Kendall's tau to the full rank.
 
     ``omitted``: omitted, candidate_id, rank; ``full``: candidate_id, full_rank; ``frozen``: frozen_id.
-    Discordant pairs are counted with an order-statistics pass: for each candidate the number of
-    better-ranked ones that come later in the other order, from rank arrays of one run (a run is
-    one model grid, a fixed list).
+    Discordant pairs are ``inversions`` of the two orders, so a grid may have any number of candidates.
     """
-    joined = omitted.join(full, "candidate_id")
-    seq = joined.groupBy("omitted").agg(
-        F.sort_array(F.collect_list(F.struct("rank", "full_rank", "candidate_id"))).alias("seq")
-    )
-    positions = F.transform("seq", lambda s: s["full_rank"])
-    discordant = F.aggregate(
-        F.transform("seq", lambda s, i: F.size(F.filter(F.slice(positions, 1, i), lambda p: p > s["full_rank"]))),
-        F.lit(0), lambda a, v: a + v,
+    joined = cut(omitted.join(full, "candidate_id"))
+    name = frozen.scalar()
+    is_frozen = F.col("candidate_id") == name
+    sums = joined.groupBy("omitted").agg(
+        F.min_by("candidate_id", "rank").alias("winner"), F.min(F.when(is_frozen, F.col("rank"))).alias("frozen_rank"), F.count("*").alias("_n")
     )
-    n = F.size("seq")
-    winner = F.get("seq", F.lit(0))["candidate_id"]
-    frozen_id = frozen.scalar()
-    out = seq.select("omitted", winner.alias("winner"), "seq", frozen_id.alias("_f"), discordant.alias("_d"), n.alias("_n"))
-    at = F.get(F.filter("seq", lambda s: s["candidate_id"] == F.col("_f")), F.lit(0))["rank"]
     pairs = F.col("_n") * (F.col("_n") - 1) / 2
-    return out.select(
-        "omitted", "winner", (F.col("winner") == F.col("_f")).alias("same_as_frozen"), at.alias("frozen_rank"),
-        F.when(pairs > 0, 1 - 2 * F.col("_d") / pairs).alias("kendall_tau"),
+    return sums.join(inversions(joined, ["omitted"], "rank", "full_rank"), "omitted").select(
+        "omitted", "winner", (F.col("winner") == name).alias("same_as_frozen"), "frozen_rank",
+        F.when(pairs > 0, 1 - 2 * F.col("inverted") / pairs).alias("kendall_tau"),
     )
 
 

@@ -8,6 +8,7 @@ Equal codes are collapsed first: a group of copies is one code with a count, wha
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -141,34 +142,67 @@ def exclude_components(labelled: DataFrame, screened: DataFrame, node: str = "id
     return labelled.join(reason, "component", "left").withColumn("kept", F.col("reason").isNull())
 
 
-NEAREST_RADII = (8, 12)
-REFERENCE_BLOCKS = 32
+#: Bits of a part of a code in ``nearest_reference``; a part has so few values that their neighbours can be listed.
+PART = 16
+
+
+def _parts(codes: DataFrame, code: str, bits: int) -> DataFrame:
+    """``code``, ``part``, ``value``: every ``PART`` bits of a code."""
+    pieces = [F.struct(F.lit(i).alias("part"), _band(F.col(code), PART * i, PART).alias("value")) for i in range(bits // PART)]
+    return codes.select(code, F.explode(F.array(*pieces)).alias("_p")).select(code, "_p.part", "_p.value")
+
+
+def _flipped_once_more(probes: DataFrame) -> DataFrame:
+    """Each probe with one further bit flipped, above those flipped before, so that no value comes up twice."""
+    bit = F.explode(F.sequence(F.col("last") + 1, F.lit(PART - 1))).alias("bit")
+    return probes.filter(F.col("last") < PART - 1).select("part", "value", "probe", bit).select(
+        "part", "value", F.col("probe").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("probe"), F.col("bit").alias("last")
+    )
 
 
 def nearest_reference(queries: DataFrame, reference: DataFrame, bits: int = 64) -> DataFrame:
     """Closest reference code per query (first in reference order on ties) and exact-copy flag.
 
-    Distinct query codes look inside a growing radius with the banded join; a code leaves as soon
-    as a round finds it a neighbour, which is then exact. A large reference has close neighbours,
-    so few codes reach the last round, where blocks of the reference are compared directly.
+    Multi-index hashing: codes are cut into parts of ``PART`` bits. Round ``s`` compares a query with the references that
+    differ from it in one of the parts by ``s`` bits. What no round up to ``s`` has compared differs by ``s`` + 1 bits in
+    each part, so a neighbour within ``parts`` x (``s`` + 1) - 1 bits is proven to be the nearest, and its query leaves.
+    Probes are made per different value of a part, of which there are at most 2^16, not per query, and equal codes are one.
+    Where the flips of a round outnumber the reference's values of a part, these (a broadcast of at most 2^16 a part) are compared instead.
+    ``bits`` is a multiple of ``PART``. Without reference codes there is no row.
     """
     q = queries.select("id", "code")
-    left = q.select("code").distinct()
-    ref = reference.groupBy(F.col("code").alias("ref_code")).agg(F.min("order").alias("order"))
-    best = F.min(F.struct("distance", "order")).alias("best")
-    found = None
-    for radius in NEAREST_RADII:
-        hits = cut(banded_join(left, ref, "code", "ref_code", radius, bits, 1).groupBy("code").agg(best))
-        found = hits if found is None else found.unionByName(hits)
-        left = cut(left.join(hits, "code", "left_anti"))
+    ref = cut(reference.groupBy(F.col("code").alias("ref_code")).agg(F.min("order").alias("order")))
+    of_ref = cut(_parts(ref, "ref_code", bits).join(ref, "ref_code"))
+    known = cut(of_ref.select("part", F.col("value").alias("probe")).distinct())
+    most = known.groupBy("part").count().agg(F.max("count").alias("n")).first()["n"] or 0
+    left = cut(q.select("code").distinct().withColumn("best", F.lit(None).cast("struct<distance:int,order:bigint>")))
+    kind = ref.schema["order"].dataType.simpleString()
+    left = left.withColumn("best", F.col("best").cast(f"struct<distance:int,order:{kind}>"))
+    found, probes, listed = None, None, False
+    for turn in range(PART + 1):
+        of_left = _parts(left, "code", bits)
+        values = of_left.select("part", "value").distinct()
+        listed = listed or comb(PART, turn) > most
+        if listed:
+            apart = F.bit_count(F.col("value").bitwiseXOR(F.col("probe"))) == turn
+            near = values.join(F.broadcast(known), "part").filter(apart)
+        else:
+            if probes is None:
+                probes = values.select("part", "value", F.col("value").alias("probe"), F.lit(-1).alias("last"))
+            else:
+                probes = _flipped_once_more(probes.join(values, ["part", "value"], "left_semi"))
+            probes = cut(probes)
+            near = probes.join(known, ["part", "probe"]).select("part", "value", "probe")
+        met = of_left.join(near, ["part", "value"]).join(of_ref.withColumnRenamed("value", "probe"), ["part", "probe"])
+        best = met.groupBy("code").agg(F.min(F.struct(hamming(F.col("code"), F.col("ref_code")).cast("int").alias("distance"), "order")).alias("new"))
+        left = cut(left.join(best, "code", "left").select("code", F.least("best", "new").alias("best")))
+        proven = F.coalesce(F.col("best.distance") < bits // PART * (turn + 1), F.lit(turn == PART))
+        done = left.filter(proven)
+        found = done if found is None else found.unionByName(done)
+        left = left.filter(~proven)
         if left.isEmpty():
             break
-    else:
-        blocks = ref.withColumn("block", F.pmod(F.xxhash64("ref_code"), F.lit(REFERENCE_BLOCKS)).cast("int"))
-        spread = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(REFERENCE_BLOCKS - 1))))
-        rest = spread.join(blocks, "block").withColumn("distance", hamming(F.col("code"), F.col("ref_code")))
-        found = found.unionByName(rest.groupBy("code").agg(best))
-    return q.join(found, "code").select(
+    return q.join(found.filter("best IS NOT NULL"), "code").select(
         "id", F.col("best.distance").alias("distance"), F.col("best.order").alias("nearest"),
         (F.col("best.distance") == 0).alias("exact"),
     )

@@ -29,6 +29,10 @@ def hash_split(df: DataFrame, group: str = "group_id", seed: str = "boxloom") ->
     return df.withColumn("split", hash_split_of(F.col(group), seed))
 
 
+#: Places of a run that one row lists.
+PIECE = 1 << 15
+
+
 def order_hash(seed: int | str, key: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))
 
@@ -105,7 +109,10 @@ def _greedy_by_deficit(groups: DataFrame, shares: list[tuple[str, float]], norma
         f"stratum {kind}, size bigint, k int, split string, start bigint, taken bigint, total double",
     )
     share = F.element_at(F.array(*[F.lit(float(s)) for _, s in shares]), F.col("k") + 1)
-    slots = filled.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("taken") - 1)))
+    # the places of a run in pieces, so that a run of any length needs no long array
+    pieces = filled.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(taken - 1) div {PIECE}")))).repartition("stratum", "size", "k", "_piece")
+    inside = F.sequence(F.col("_piece") * PIECE, F.least(F.col("taken"), (F.col("_piece") + 1) * PIECE) - 1)
+    slots = pieces.withColumn("j", F.explode(inside)).drop("_piece")
     gap = share * F.col("total") - (F.col("start") + F.col("j") * F.col("size"))
     if normalised:
         gap = gap / F.greatest(share * F.col("total"), F.lit(1.0))

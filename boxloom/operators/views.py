@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boxloom.functions.boxes import Box, box, grid_centres, letterbox, max_difference, normalize_to_crop, scale_box
 from boxloom.functions.hashing import hash_unit
 from boxloom.operators.joins import clip_objects
-from boxloom.operators.matching import top_per_group
+from boxloom.operators.matching import suppressed, top_per_group
 from boxloom.operators.prefix import running
+from boxloom.session import cut
 
 COMPLETE = 1 - 1e-12
 
@@ -62,10 +64,13 @@ KINDS = ["native", "context", "object_centered"]
 
 
 def make_views(
-    images: DataFrame, objects: DataFrame, native: int, context: int, centred_classes: list[int]
+    images: DataFrame, objects: DataFrame, native: int, context: int, centred_classes: list[int], order: str = "instance_id"
 ) -> DataFrame:
-    """Native tiles, larger context tiles, and crops centred on objects of the chosen classes or
-    on objects that no tile shows completely. Equal crops of an image are one view.
+    """Native tiles, larger context tiles, and crops centred on objects: on those of the chosen classes, and, in the ``order`` of
+    an image's objects, on each that no tile and no earlier crop shows completely. Equal crops of an image are one view.
+
+    An object waits for the earlier ones whose crops would show it, and is settled as soon as these are: its own crop is void if one of theirs stands. These
+    are the rounds of ``suppressed``; objects of different places settle side by side.
     """
     keep = ["image_id", "width", "height", "group_id"]
     base = images.select(*keep)
@@ -73,16 +78,23 @@ def make_views(
         tiles(base, context).select(*keep, *box(), F.lit(1).alias("kind_rank"))
     )
     crops = grids.select("image_id", *box().cast("double").columns())
-    shown = clip_objects(crops, objects.select("image_id", "instance_id", *box())).filter(
-        F.col("visible_fraction") >= COMPLETE
-    ).select("image_id", "instance_id").distinct()
-    incomplete = objects.join(shown, ["image_id", "instance_id"], "left_anti")
-    chosen = objects.filter(F.col("class_id").isin(centred_classes)).select("image_id", *box()).unionByName(
-        incomplete.select("image_id", *box())
-    )
-    centred = chosen.join(base, "image_id").select(
-        *keep, *centred_crop(box(), F.col("width"), F.col("height"), native).columns(), F.lit(2).alias("kind_rank")
+    items = objects.select("image_id", F.col(order).alias("_at"), "class_id", *box())
+    shown = _complete(crops, items).select("image_id", "_at").distinct()
+    always = F.col("class_id").isin(centred_classes)
+    # objects that may need a crop, each with the crop that it would get
+    asked = items.join(shown.withColumn("_shown", F.lit(True)), ["image_id", "_at"], "left").filter(always | F.col("_shown").isNull())
+    asked = asked.join(base, "image_id").select(
+        *keep, "_at", always.alias("_always"), *box(), *(c.alias("c_" + n) for n, c in zip(("x1", "y1", "x2", "y2"), centred_crop(box(), F.col("width"), F.col("height"), native)))
     )
+    asked = cut(asked)
+    own = asked.select("image_id", F.col("_at").alias("_by"), F.col("_always").alias("_stands"), *(F.col("c_" + n).cast("double").alias(n) for n in ("x1", "y1", "x2", "y2")))
+    seen = _complete(own, asked.filter("NOT _always").select("image_id", "_at", *box()), ["_by", "_stands"]).filter(F.col("_by") < F.col("_at"))
+    seen = cut(seen.select("image_id", "_by", "_stands", "_at"))
+    void = seen.filter("_stands").select("image_id", "_at").distinct()
+    rest = seen.filter("NOT _stands").join(void, ["image_id", "_at"], "left_anti").join(void.withColumnRenamed("_at", "_by"), ["image_id", "_by"], "left_anti")
+    waits = rest.select("image_id", F.col("_by").alias("pred_index"), F.lit(0.0).alias("score"), F.col("_at").alias("lower"))
+    void = void.unionByName(suppressed(waits, ["image_id"]).withColumnRenamed("pred_index", "_at"))
+    centred = asked.join(void, ["image_id", "_at"], "left_anti").select(*keep, *(F.col("c_" + n).alias(n) for n in ("x1", "y1", "x2", "y2")), F.lit(2).alias("kind_rank"))
     names = F.array(*[F.lit(k) for k in KINDS])
     every = grids.select(*keep, *box().cast("int").columns(), "kind_rank").unionByName(
         centred.select(*keep, *box().cast("int").columns(), "kind_rank")
@@ -92,6 +104,12 @@ def make_views(
     return once.select(view_id.alias("view_id"), *keep, F.get(names, F.col("k")).alias("kind"), *box().columns())
 
 
+def _complete(crops: DataFrame, items: DataFrame, more: tuple | list = ()) -> DataFrame:
+    """Items that a crop of their image shows completely: ``image_id, _at`` and the crop's ``more`` columns."""
+    named = crops.select("image_id", *more, *box().cast("double").columns())
+    return clip_objects(named, items.select("image_id", "_at", *box())).filter(F.col("visible_fraction") >= COMPLETE).select("image_id", "_at", *more)
+
+
 def _clipped(views: DataFrame, objects: DataFrame) -> DataFrame:
     crops = views.select("image_id", "view_id", "group_id", *box().cast("double").columns())
     return clip_objects(crops, objects)
@@ -149,27 +167,26 @@ def sampling_weight(views: DataFrame, targets: DataFrame, preferred: list[int],
 def weighted_draws(views: DataFrame, n: int, seed: int) -> DataFrame:
     """``n`` draws with replacement in proportion to ``sampling_weight``: view_id, n.
 
-    Cumulative weights make intervals of [0,1); draw ``i`` falls where ``hash(seed, i)`` lies. Both
-    sides meet in as many slots as there are views: a heavy view covers many slots, so its draws
-    come from many tasks.
+    A view starts where the weights before it end, draw ``i`` lies at ``hash(seed, i)``, and a draw takes the last view that
+    starts at or before it. Starts and draws are one sequence, cut into ranges of about equal size: inside a range the last start is
+    carried on, and each range hands one row to the next. So a view with nearly all the weight is one start whose draws lie in many ranges, and many
+    light views next to each other are ranges of their own.
     """
     cum = running(views.select("view_id", "sampling_weight"), [], [F.col("view_id")], {"hi": F.col("sampling_weight")})
-    stats = cum.agg(F.count("*").alias("slots"), F.max("hi").alias("total"))
-    slots, total = stats.select("slots").scalar(), stats.select("total").scalar()
-    spans = cum.withColumn("_slots", slots).select(
-        "view_id", "_slots", ((F.col("hi") - F.col("sampling_weight")) / total).alias("lo"), (F.col("hi") / total).alias("up")
-    )
-    last = F.col("_slots") - 1
-    covered = F.sequence(
-        F.least(F.floor(F.col("lo") * F.col("_slots")), last), F.least(F.floor(F.col("up") * F.col("_slots")), last)
-    )
-    spans = spans.select("view_id", "lo", "up", F.explode(covered).alias("slot"))
-    u = hash_unit(F.lit(seed), F.col("id"))
-    draws = views.sparkSession.range(n).select(u.alias("u")).select(
-        "u", F.least(F.floor(F.col("u") * slots), slots - 1).alias("slot")
-    )
-    hits = draws.join(spans, "slot").filter((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("up")))
-    return hits.groupBy("view_id").agg(F.count("*").alias("n"))
+    cum = cut(cum.filter("sampling_weight > 0"))
+    total = cum.agg(F.max("hi").alias("total")).scalar()
+    starts = cum.select(((F.col("hi") - F.col("sampling_weight")) / total).alias("at"), F.lit(0).alias("kind"), "view_id")
+    kind = views.schema["view_id"].dataType.simpleString()
+    draws = views.sparkSession.range(n).select(hash_unit(F.lit(seed), F.col("id")).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(kind).alias("view_id"))
+    ranged = cut(starts.unionByName(draws).repartitionByRange("at", "kind", "view_id").withColumn("_range", F.spark_partition_id()))
+    inside = W.partitionBy("_range").orderBy("at", "kind", "view_id").rowsBetween(W.unboundedPreceding, 0)
+    last = ranged.filter("kind = 0").groupBy("_range").agg(F.max_by("view_id", F.struct("at", "view_id")).alias("_last"))
+    # one row per range
+    every = ranged.select("_range").distinct().join(last, "_range", "left")
+    before = every.select("_range", F.last("_last", ignorenulls=True).over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
+    filled = ranged.withColumn("_own", F.last("view_id", ignorenulls=True).over(inside)).filter("kind = 1").join(before, "_range")
+    drawn = filled.select(F.coalesce("_own", "_before").alias("view_id")).filter("view_id IS NOT NULL")
+    return drawn.groupBy("view_id").agg(F.count("*").alias("n"))
 
 
 def exposures(draws: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
@@ -196,8 +213,6 @@ def concentration(draws: DataFrame, views: DataFrame) -> DataFrame:
         F.sum((F.col("n") * F.col("n") * F.col("views")).cast("double")).alias("sq"),
         F.sum("views").alias("drawn_views"), F.max("n").alias("max_draws"), F.min("n").alias("min_draws"),
     )
-    from pyspark.sql import Window as W
-
     down = W.orderBy(F.col("n").desc()).rowsBetween(W.unboundedPreceding, 0)
     total = hist.agg(F.sum("views")).scalar()
     median = hist.select("n", F.sum("views").over(down).alias("c")).filter(F.col("c") > F.floor(total / 2)).agg(

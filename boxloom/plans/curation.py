@@ -242,11 +242,11 @@ def dihedral(t):
 
 @query("jn8", with_sql("codes") + VARIANTS_SQL + """ SELECT a.vec_id AS id, min('h' || lpad(CAST(b.vec_id AS VARCHAR), 7, '0')) AS holdout,
   CAST(min(bit_count(xor(a.variant, b.variant))) AS INTEGER) AS distance
-  FROM var a JOIN var b ON a.label <> 0 AND b.label = 0 AND bit_count(xor(a.variant, b.variant)) <= 5 GROUP BY a.vec_id""")
+  FROM var a JOIN var b ON a.label <> 0 AND b.label = 0 AND bit_count(xor(a.variant, b.variant)) <= 8 GROUP BY a.vec_id""")
 def screened(t):
     v = with_variants(t)
     hold = v.filter("label = 0").select(F.concat(F.lit("h"), F.lpad(F.col("id").cast("string"), 7, "0")).alias("name"), "variants")
-    return sim.screen_holdout(v.filter("label <> 0"), hold, 5, bits=CODE_BITS)
+    return sim.screen_holdout(v.filter("label <> 0"), hold, 8, bits=CODE_BITS)
 
 
 @query("jn9", with_sql("codes") + """, d AS (SELECT a.vec_id AS id, b.vec_id AS o, CAST(bit_count(xor(a.code, b.code)) AS INTEGER) AS d
@@ -314,6 +314,21 @@ def verified(t):
     return gr.verify_components(gr.connected_components(nodes.select("id"), edges), edges)
 
 
+@query("gr2_faults", GRAPH_SQL + """, star AS (SELECT min(doc_id) OVER (PARTITION BY sha) AS a, doc_id AS b FROM records
+  UNION ALL SELECT min(doc_id) OVER (PARTITION BY source, n_chars), doc_id FROM records),
+wrong AS (SELECT id, component, CASE WHEN id % 50 = 0 THEN id WHEN id % 50 = 1 THEN component + 1 ELSE component END AS label FROM comp)
+SELECT (SELECT count(DISTINCT label) FROM wrong) AS components,
+  (SELECT count(*) FROM star JOIN wrong x ON x.id = a JOIN wrong y ON y.id = b WHERE a <> b AND x.label <> y.label) AS crossing_edges,
+  (SELECT count(*) FROM (SELECT label FROM wrong GROUP BY label HAVING min(id) <> label)) AS wrong_labels,
+  (SELECT count(*) FROM wrong WHERE label <> component) AS differing""")
+def faults_found(t):
+    """Some labels are changed, so that every count of the check moves."""
+    nodes, edges = graph(t)
+    changed = F.when(F.col("id") % 50 == 0, F.col("id")).when(F.col("id") % 50 == 1, F.col("component") + 1).otherwise(F.col("component"))
+    wrong = gr.connected_components(nodes.select("id"), edges).withColumn("component", changed)
+    return gr.verify_components(wrong, edges)
+
+
 @query("gr3", with_sql("records", recursive=True) + """,
 nodes AS (SELECT doc_id AS id, sha, source, n_chars, CASE quality WHEN 1 THEN 'train' WHEN 0 THEN 'test' END AS anchor FROM records),
 edges AS (SELECT min(id) OVER (PARTITION BY sha) AS a, id AS b FROM nodes UNION SELECT min(id) OVER (PARTITION BY source, n_chars), id FROM nodes),
@@ -470,11 +485,10 @@ def stability(t):
     )
     score = F.round(F.sum("d") / F.sum("n"), 4).alias("score")
     order = (("score", False), ("candidate_id", True))
-    full = wn.ranks(parts.groupBy("candidate_id").agg(score).withColumn("all", F.lit(1)), ["all"], order)
-    full = full.select("candidate_id", F.col("rank").alias("full_rank"))
+    full = wn.prefix_ranks(parts.groupBy("candidate_id").agg(score), [], order, "full_rank").select("candidate_id", "full_rank")
     others = parts.select("g").distinct().agg(F.collect_set("g")).scalar()
     spread = parts.withColumn("_all", others).withColumn("omitted", F.explode("_all")).filter("omitted <> g")
-    ranked = wn.ranks(spread.groupBy("omitted", "candidate_id").agg(score), ["omitted"], order)
+    ranked = wn.prefix_ranks(spread.groupBy("omitted", "candidate_id").agg(score), ["omitted"], order)
     frozen = full.filter("full_rank = 1").select("candidate_id")
     return rounded(wn.rank_stability(ranked.select("omitted", "candidate_id", "rank"), full, frozen), ("kendall_tau",))
 

@@ -12,6 +12,7 @@ from boxloom.operators.targets import target_split
 from boxloom.plans.derive import IMAGE_HEIGHT, IMAGE_WIDTH, Tables, with_sql
 from boxloom.plans.matching import rounded
 from boxloom.plans.registry import query
+from boxloom.session import cut
 
 # ---------------------------------------------------------------- splits
 
@@ -192,22 +193,30 @@ def clipped(t):
 
 def instances(t: Tables):
     ident = F.concat_ws(".", F.col("image_id").cast("string"), F.col("gt_index").cast("string"))
-    return t.gt().select("image_id", ident.alias("instance_id"), "class_id", "x1", "y1", "x2", "y2")
+    return t.gt().select("image_id", ident.alias("instance_id"), "gt_index", "class_id", "x1", "y1", "x2", "y2")
 
 
 def view_rows(t: Tables):
-    return vw.make_views(t.images(), instances(t), TILE, CONTEXT, [3])
+    return cut(vw.make_views(t.images(), instances(t), TILE, CONTEXT, [3], "gt_index"))
 
 
-VIEW_SQL = with_sql("gt", "images", "excluded") + f""", inst AS (SELECT image_id, image_id || '.' || gt_index AS instance_id, class_id, x1, y1, x2, y2 FROM gt),
+# the objects of an image one after the other, with the crops made so far
+VIEW_SQL = with_sql("gt", "images", "excluded", recursive=True) + f""", inst AS (SELECT image_id, image_id || '.' || gt_index AS instance_id, gt_index, class_id, x1, y1, x2, y2 FROM gt),
 grid AS (SELECT *, 0 AS k FROM {tiles_sql(TILE)} UNION ALL SELECT *, 1 FROM {tiles_sql(CONTEXT)}),
 full_ AS (SELECT DISTINCT o.instance_id FROM inst o JOIN grid c ON o.image_id = c.image_id AND o.x1 >= c.x1 AND o.y1 >= c.y1 AND o.x2 <= c.x2 AND o.y2 <= c.y2),
-want AS (SELECT * FROM inst WHERE class_id = 3 OR instance_id NOT IN (SELECT instance_id FROM full_)),
-side AS (SELECT image_id, x1, y1, x2, y2, CAST(greatest({TILE}, ceil(greatest(x2-x1, y2-y1)*1.1::DOUBLE/32)*32) AS INTEGER) AS s FROM want),
-cen AS (SELECT s.image_id, i.width, i.height, i.group_id, i.split,
-    least(greatest(CAST(trunc((x1+x2-least(s, i.width))/2) AS INTEGER), 0), i.width - least(s, i.width)) AS x1,
-    least(greatest(CAST(trunc((y1+y2-least(s, i.height))/2) AS INTEGER), 0), i.height - least(s, i.height)) AS y1, least(s, i.width) AS w, least(s, i.height) AS h
-  FROM side s JOIN images i USING (image_id)),
+side AS (SELECT *, CAST(greatest({TILE}, ceil(greatest(x2-x1, y2-y1)*1.1::DOUBLE/32)*32) AS INTEGER) AS s FROM inst),
+obj AS (SELECT o.image_id, o.x1, o.y1, o.x2, o.y2, o.class_id = 3 AS always, o.instance_id IN (SELECT instance_id FROM full_) AS shown,
+    row_number() OVER (PARTITION BY o.image_id ORDER BY o.gt_index) AS r,
+    {{'x1': least(greatest(CAST(trunc((o.x1+o.x2-least(s, i.width))/2) AS INTEGER), 0), i.width - least(s, i.width)),
+      'y1': least(greatest(CAST(trunc((o.y1+o.y2-least(s, i.height))/2) AS INTEGER), 0), i.height - least(s, i.height)), 'w': least(s, i.width), 'h': least(s, i.height)}} AS c
+  FROM side o JOIN images i USING (image_id)),
+walk AS (SELECT image_id, 0::BIGINT AS r, list_slice([any_value(c)], 2, 1) AS crops FROM obj GROUP BY image_id
+  UNION ALL
+  SELECT o.image_id, o.r, CASE WHEN o.always OR (NOT o.shown AND len(list_filter(w.crops, lambda p:
+      greatest(least(o.x2, p.x1 + p.w) - greatest(o.x1, p.x1), 0) * greatest(least(o.y2, p.y1 + p.h) - greatest(o.y1, p.y1), 0) / ((o.x2 - o.x1) * (o.y2 - o.y1)) >= 1 - 1e-12::DOUBLE)) = 0)
+    THEN list_append(w.crops, o.c) ELSE w.crops END
+  FROM walk w JOIN obj o ON o.image_id = w.image_id AND o.r = w.r + 1),
+cen AS (SELECT image_id, i.group_id, p.x1, p.y1, p.w, p.h FROM (SELECT image_id, unnest(arg_max(crops, r)) AS p FROM walk GROUP BY image_id) JOIN images i USING (image_id)),
 every AS (SELECT image_id, group_id, x1, y1, x2, y2, k FROM grid UNION ALL SELECT image_id, group_id, x1, y1, x1 + w, y1 + h, 2 FROM cen),
 views AS (SELECT concat_ws('_', image_id, x1, y1, x2, y2) AS view_id, image_id, group_id, ['native','context','object_centered'][min(k) + 1] AS kind, x1, y1, x2, y2
   FROM every GROUP BY image_id, group_id, x1, y1, x2, y2),
@@ -228,8 +237,15 @@ def made(t):
     return view_rows(t).select("view_id", "image_id", "kind")
 
 
-def routed(t: Tables):
-    return vw.route_targets(view_rows(t), instances(t), t.excluded())
+def routed(t: Tables, views=None):
+    return vw.route_targets(view_rows(t) if views is None else views, instances(t), t.excluded())
+
+
+def prepared(t: Tables):
+    """Views, their routed objects and the draws, each made once."""
+    views = view_rows(t)
+    parts = cut(routed(t, views))
+    return views, parts, cut(vw.weighted_draws(vw.sampling_weight(views, parts.filter("role = 'target'"), [2]), N_DRAWS, 7))
 
 
 @query("vw4", VIEW_SQL + " SELECT view_id, instance_id, role, reason, round(visible_fraction, 6) AS visible_fraction, round(cx, 6) AS cx, round(cy, 6) AS cy, round(w, 6) AS w, round(h, 6) AS h FROM routed")
@@ -252,8 +268,7 @@ wt AS (SELECT *, priority / sum(priority) OVER (PARTITION BY group_id) AS sampli
 
 def weighted(t: Tables):
     views = view_rows(t)
-    shown = vw.route_targets(views, instances(t), t.excluded()).filter("role = 'target'")
-    return vw.sampling_weight(views, shown, [2])
+    return vw.sampling_weight(views, routed(t, views).filter("role = 'target'"), [2])
 
 
 @query("vw6", WEIGHT_SQL + " SELECT view_id, priority, round(sampling_weight, 12) AS sampling_weight FROM wt")
@@ -268,27 +283,25 @@ u AS (SELECT ('0x' || substr(md5('7|' || i), 1, 8))::BIGINT / 4294967296.0::DOUB
 draws AS (SELECT view_id, count(*) AS n FROM u ASOF JOIN (SELECT view_id, (hi - sampling_weight) / total AS lo FROM cum, tot) c ON u.u >= c.lo GROUP BY view_id)"""
 
 
-def drawn(t: Tables):
-    return vw.weighted_draws(weighted(t), N_DRAWS, 7)
-
-
 @query("vw7", DRAW_SQL + " SELECT view_id, n FROM draws")
 def draws(t):
-    return drawn(t)
+    return vw.weighted_draws(weighted(t), N_DRAWS, 7)
 
 
 @query("ag18", DRAW_SQL + """ SELECT class_id, role, reason, count(*) AS stored, CAST(sum(coalesce(n, 0)) AS BIGINT) AS exposures,
   count(DISTINCT CASE WHEN n > 0 THEN instance_id END) AS instances_seen, count(DISTINCT CASE WHEN n > 0 AND visible_fraction >= 1 - 1e-12 THEN instance_id END) AS instances_complete
   FROM routed LEFT JOIN draws USING (view_id) GROUP BY class_id, role, reason""")
 def exposure(t):
-    return vw.exposures(drawn(t), routed(t), ["class_id", "role", "reason"])
+    _, parts, draws = prepared(t)
+    return vw.exposures(draws, parts, ["class_id", "role", "reason"])
 
 
 @query("ag19", DRAW_SQL + """ SELECT count(*) AS drawn_views, CAST(sum(n) AS BIGINT) AS draws, round(sum(n)*sum(n)/sum(n*n)::DOUBLE, 6) AS effective_views, max(n) AS max_draws,
   list_sort(list(n), 'DESC')[count(*)//2 + 1] AS median_draws, min(n) AS min_draws, round(max(n)/sum(n)::DOUBLE, 9) AS top_view_share,
   round((SELECT sum(n) FROM (SELECT sum(n) AS n FROM draws JOIN views USING (view_id) GROUP BY group_id ORDER BY n DESC LIMIT 3))/sum(n)::DOUBLE, 9) AS top3_group_share FROM draws""")
 def concentrated(t):
-    rows = vw.concentration(drawn(t), view_rows(t))
+    views, _, draws = prepared(t)
+    rows = vw.concentration(draws, views)
     return rounded(rounded(rows, ("effective_views",), 6), ("top_view_share", "top3_group_share"))
 
 
@@ -303,7 +316,8 @@ def _centres(lo: str, hi: str, s: int) -> str:
   SELECT reason, count(*) AS regions, CAST(sum(e) AS BIGINT) AS without_centre, CAST(sum(coalesce(n, 0)) AS BIGINT) AS exposures, CAST(sum(coalesce(n, 0)*e) AS BIGINT) AS exposures_without_centre
   FROM em LEFT JOIN draws USING (view_id) GROUP BY reason""")
 def coverage(t):
-    return vw.ignore_coverage(drawn(t), routed(t).filter("role = 'ignore'"))
+    _, parts, draws = prepared(t)
+    return vw.ignore_coverage(draws, parts.filter("role = 'ignore'"))
 
 
 @query("vw9", with_sql("gt") + """, s AS (SELECT image_id, gt_index, x1*(162/464.0::DOUBLE) AS x1, y1*(127/364.0::DOUBLE) AS y1, x2*(162/464.0::DOUBLE) AS x2, y2*(127/364.0::DOUBLE) AS y2 FROM gt)
@@ -343,10 +357,12 @@ def not_covered(t):
 @query("ag31", DRAW_SQL + """ SELECT class_id, o.original, s.stored, s.exposures FROM (SELECT class_id, count(*) AS original FROM gt GROUP BY 1) o
   JOIN (SELECT class_id, count(*) AS stored, CAST(sum(coalesce(n, 0)) AS BIGINT) AS exposures FROM routed LEFT JOIN draws USING (view_id) WHERE role = 'target' GROUP BY 1) s USING (class_id)""")
 def ledger(t):
-    return vw.label_ledger(t.gt(), routed(t).filter("role = 'target'"), drawn(t))
+    _, parts, draws = prepared(t)
+    return vw.label_ledger(t.gt(), parts.filter("role = 'target'"), draws)
 
 
 @query("ag31_groups", DRAW_SQL + """ SELECT group_id, count(*) AS views, CAST(sum(coalesce(n, 0)) AS BIGINT) AS draws, round(sum(coalesce(n, 0)) / (SELECT sum(n) FROM draws)::DOUBLE, 9) AS share,
   round(1.0::DOUBLE / (SELECT count(DISTINCT group_id) FROM views), 9) AS expected FROM views LEFT JOIN draws USING (view_id) GROUP BY group_id""")
 def groups(t):
-    return rounded(vw.group_ledger(drawn(t), view_rows(t)), ("share", "expected"))
+    views, _, draws = prepared(t)
+    return rounded(vw.group_ledger(draws, views), ("share", "expected"))
