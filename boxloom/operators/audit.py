@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from boxloom.functions.boxes import box, box_from_yolo, box_to_yolo, max_difference
 from boxloom.functions.numeric import is_finite, near
+from boxloom.operators.similarity import cross_split_leaks, screen_holdout, similar_pairs_dihedral
+from boxloom.session import cut
 
 SPLITS = ["train", "val", "test"]
 # fixed values: manifest vocabularies and identifier patterns
@@ -146,6 +148,36 @@ def verify_dataset(index: DataFrame, files: DataFrame, labels: DataFrame, n_clas
     return out
 
 
+#: Bits within which pictures count as near copies of each other, and of a holdout picture.
+NEAR_BITS, HOLDOUT_BITS = 6, 8
+
+
+def near_copy_problems(index: DataFrame, holdout: DataFrame, inventory: DataFrame | None = None, bits: int = 64) -> DataFrame:
+    """What ``verify_dataset`` can't see in bytes: ``kind, key, pairs``.
+
+    ``index``: id, split, ``code``, ``variants`` (the picture's turned and mirrored codes); ``holdout``: ``name``, ``variants``;
+    ``inventory``: the holdout ``name`` list that the dataset was made with. Kinds: ``near_copies_span_splits`` (key: ids
+    of two classes of equal codes, ``pairs``: rows across splits), ``near_holdout`` (key: id), ``holdout_changed`` (key: a name on one side only) and
+    ``holdout_empty``.
+    """
+    alike = cut(similar_pairs_dihedral(index, NEAR_BITS, bits=bits))
+    leaks = cross_split_leaks(alike, index).groupBy("id_a", "id_b").agg(F.sum(F.col("n_a") * F.col("n_b")).alias("pairs"))
+    one = F.lit(1).cast("long").alias("pairs")
+    parts = [leaks.select(F.lit("near_copies_span_splits").alias("kind"), F.concat_ws("~", "id_a", "id_b").alias("key"), "pairs")]
+    hits = screen_holdout(index, holdout, HOLDOUT_BITS, bits=bits)
+    parts.append(hits.select(F.lit("near_holdout").alias("kind"), F.col("id").cast("string").alias("key"), one))
+    if inventory is not None:
+        sides = holdout.select("name", F.lit(1).alias("side")).unionByName(inventory.select("name", F.lit(2).alias("side")))
+        changed = sides.groupBy("name").agg(F.count_distinct("side").alias("n")).filter("n = 1")
+        parts.append(changed.select(F.lit("holdout_changed").alias("kind"), F.col("name").alias("key"), one))
+    none = holdout.agg(F.count("*").alias("n")).filter("n = 0")
+    parts.append(none.select(F.lit("holdout_empty").alias("kind"), F.lit(None).cast("string").alias("key"), one))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def readiness(objects: DataFrame, classes: DataFrame, splits: list[str]) -> DataFrame:
     """Split x class cells without a box; an empty result means ready."""
     grid = classes.select("class_id", F.explode(F.array(*[F.lit(s) for s in splits])).alias("split"))

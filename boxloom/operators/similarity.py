@@ -250,3 +250,14 @@ def cross_split_leaks(pairs: DataFrame, rows: DataFrame, node: str = "id") -> Da
     b = members.select(F.col("id").alias("id_b"), F.col("split").alias("split_b"), F.col("n").alias("n_b"))
     apart = (F.col("split_a") != F.col("split_b")) & ((F.col("id_a") != F.col("id_b")) | (F.col("split_a") < F.col("split_b")))
     return pairs.select("id_a", "id_b", "distance").join(a, "id_a").join(b, "id_b").filter(apart)
+
+
+def cross_source_counts(pairs: DataFrame, rows: DataFrame, source: str, node: str = "id") -> DataFrame:
+    """How many pairs of similar rows lie across two sources: ``source_a, source_b`` (in order), ``pairs``.
+
+    Counted from classes and their rows per source, so copies are never paired out.
+    """
+    across = cross_split_leaks(pairs, rows.withColumn("split", F.col(source)), node)
+    return across.groupBy(F.least("split_a", "split_b").alias("source_a"), F.greatest("split_a", "split_b").alias("source_b")).agg(
+        F.sum(F.col("n_a") * F.col("n_b")).alias("pairs")
+    )

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boxloom.operators.prefix import running
+from boxloom.session import cut
 
 # fixed values: 70 % and 85 % of the SHA-256 range, as 64 hex digits
 CUT_70 = "b" + "3" * 63
@@ -183,11 +184,10 @@ def search_split(features: DataFrame, trials: int, seed: int = 42, minimum: int
     """
     groups = features.select("group_id").distinct()
     n = groups.agg(F.count("*").alias("n_groups")).scalar()
-    by_trial = W.partitionBy("trial").orderBy("_h", "group_id")
-    placed = _trials(groups, trials, seed).withColumn("rn", F.row_number().over(by_trial))
+    placed = running(_trials(groups, trials, seed), ["trial"], [F.col("_h"), F.col("group_id")], {"rn": F.lit(1)})
     cut1, cut2 = F.floor(n * 0.70), F.floor(n * 0.85)
     split = F.when(F.col("rn") <= cut1, "train").when(F.col("rn") <= cut2, "val").otherwise("test")
-    placed = placed.select("trial", "group_id", split.alias("split"))
+    placed = cut(placed.select("trial", "group_id", split.alias("split")))
     counts = placed.join(features, "group_id").groupBy("trial", "feature", "split").agg(F.sum("value").alias("v"))
     wide = counts.groupBy("trial", "feature").agg(
         *[F.coalesce(F.sum(F.when(F.col("split") == s, F.col("v"))), F.lit(0)).alias(s) for s, _ in DEFICIT_SHARES],

@@ -25,15 +25,27 @@ def axis_starts(length: Column, size: int, overlap: float) -> Column:
     return F.array_union(F.sequence(F.lit(0), last, stride), F.array(last))
 
 
-def tiles(images: DataFrame, size: int, overlap: float = 0.2) -> DataFrame:
-    """Row-major tile grid of every image in native pixels; a small image is one smaller tile."""
-    xs, ys = axis_starts(F.col("width"), size, overlap), axis_starts(F.col("height"), size, overlap)
-    rows = images.withColumn("_nx", F.size(xs)).select("*", F.posexplode(ys).alias("_iy", "y1"))
-    rows = rows.select("*", F.posexplode(xs).alias("_ix", "x1"))
+def tiles(images: DataFrame, size: int | tuple[int, int], overlap: float = 0.2, roi: str | None = None) -> DataFrame:
+    """Row-major tile grid of every image in native pixels; a small image is one smaller tile.
+
+    ``size`` is one number or (height, width). ``roi`` names a column with a struct ``x1, y1, x2, y2`` of whole pixels: the
+    grid covers it instead of the image (null: the whole image), cut to the image; an image whose region is empty has no tile.
+    """
+    high, wide = (size, size) if isinstance(size, int) else size
+    region = Box(F.lit(0), F.lit(0), F.col("width").cast("int"), F.col("height").cast("int"))
+    if roi:
+        part = Box(*(F.col(f"{roi}.{k}").cast("int") for k in Box._fields))
+        limits = (region.x2, region.y2) * 2
+        region = Box(*(F.when(p.isNull(), whole).otherwise(F.least(F.greatest(p, F.lit(0)), most)) for p, most, whole in zip(part, limits, region, strict=True)))
+    named = images.select("*", *(c.alias(f"_{k}") for k, c in zip(Box._fields, region, strict=True))).filter("_x2 > _x1 AND _y2 > _y1")
+    width, height = F.col("_x2") - F.col("_x1"), F.col("_y2") - F.col("_y1")
+    xs, ys = axis_starts(width, wide, overlap), axis_starts(height, high, overlap)
+    rows = named.withColumn("_nx", F.size(xs)).select("*", F.posexplode(ys).alias("_iy", "_oy"))
+    rows = rows.select("*", F.posexplode(xs).alias("_ix", "_ox")).withColumns({"x1": F.col("_x1") + F.col("_ox"), "y1": F.col("_y1") + F.col("_oy")})
     return rows.select(
         *images.columns, (F.col("_iy") * F.col("_nx") + F.col("_ix")).alias("tile"), "x1", "y1",
-        (F.col("x1") + F.least(F.col("width"), F.lit(size))).alias("x2"),
-        (F.col("y1") + F.least(F.col("height"), F.lit(size))).alias("y2"),
+        (F.col("x1") + F.least(width, F.lit(wide))).alias("x2"),
+        (F.col("y1") + F.least(height, F.lit(high))).alias("y2"),
     )
 
 

@@ -8,7 +8,7 @@ from boxloom.functions.boxes import box, box_problems
 from boxloom.operators import audit as dq
 from boxloom.operators import metrics as ag
 from boxloom.operators import sets as st
-from boxloom.plans.curation import FILES_SQL, RANK, files, files_later
+from boxloom.plans.curation import DIHEDRAL_SQL, FILES_SQL, RANK, files, files_later, with_variants
 from boxloom.plans.derive import IMAGE_HEIGHT, IMAGE_WIDTH, Tables, with_sql
 from boxloom.plans.matching import PRF_SQL, match_with, matches, rounded
 from boxloom.plans.metrics import point_sql
@@ -98,6 +98,23 @@ def dataset(t):
     return dq.verify_dataset(index(t), disk, labels, 6)
 
 
+@query("dq2_near", DIHEDRAL_SQL + """, sp AS (SELECT vec_id, code, label, CASE WHEN label < 5 THEN 'train' WHEN label < 7 THEN 'val' ELSE 'test' END AS split FROM codes WHERE label <> 9),
+  c2 AS (SELECT code, min(vec_id) AS id FROM sp GROUP BY code), members AS (SELECT id, split, count(*) AS n FROM sp JOIN c2 USING (code) GROUP BY ALL),
+  turned2 AS (SELECT c2.id, v.variant FROM c2 JOIN var v ON v.vec_id = c2.id),
+  near2 AS (SELECT DISTINCT least(a.id, b.id) AS x, greatest(a.id, b.id) AS y FROM turned2 a JOIN c2 b ON a.id <> b.id AND bit_count(xor(a.variant, b.code)) <= 6 UNION ALL SELECT id, id FROM c2),
+  leaks AS (SELECT x, y, CAST(sum(a.n * b.n) AS BIGINT) AS pairs FROM near2 JOIN members a ON a.id = x JOIN members b ON b.id = y WHERE a.split <> b.split AND (x <> y OR a.split < b.split) GROUP BY x, y),
+  hold AS (SELECT 'h' || vec_id AS name, vec_id FROM codes WHERE label = 9)
+  SELECT 'near_copies_span_splits' AS kind, x || '~' || y AS key, pairs FROM leaks
+  UNION ALL SELECT DISTINCT 'near_holdout', CAST(s.vec_id AS VARCHAR), 1 FROM sp s JOIN var a ON a.vec_id = s.vec_id, hold h JOIN var b ON b.vec_id = h.vec_id WHERE bit_count(xor(a.variant, b.variant)) <= 8
+  UNION ALL SELECT 'holdout_changed', name, 1 FROM hold WHERE vec_id % 11 = 0""")
+def near_copies_of_a_dataset(t):
+    """Vectors of one label are the holdout, of which the stored inventory lacks some; the others are the dataset."""
+    v = with_variants(t)
+    split = F.when(F.col("label") < 5, "train").when(F.col("label") < 7, "val").otherwise("test")
+    hold = v.filter("label = 9").select(F.concat(F.lit("h"), F.col("id").cast("string")).alias("name"), "variants", "id")
+    return dq.near_copy_problems(v.filter("label <> 9").withColumn("split", split), hold, hold.filter("id % 11 <> 0"))
+
+
 META_SQL = """m AS (SELECT o_orderkey AS row_id, 'src:' || o_orderstatus AS source_id, 'g.' || o_custkey AS group_id,
   CASE WHEN o_custkey % 97 = 0 THEN '-bad' ELSE 'img' || (o_orderkey // 2 * 2 + (o_custkey % 50 > 0)::INT * (o_orderkey % 2)) END AS image_id,
   CASE o_custkey % 53 WHEN 0 THEN '/abs/' WHEN 1 THEN 'a/../' WHEN 2 THEN 'a//' WHEN 3 THEN './' ELSE 'a/b/' END || o_orderkey || '.jpg' AS relative_path,

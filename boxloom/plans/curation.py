@@ -240,6 +240,15 @@ def dihedral(t):
     return sim.similar_pairs_dihedral(with_variants(t), 6, bits=CODE_BITS)
 
 
+@query("jn7_sources", with_sql("codes") + VARIANTS_SQL + """, own AS (SELECT vec_id, code, 's' || (label % 4) AS source FROM codes),
+  near AS (SELECT DISTINCT least(a.vec_id, b.vec_id) AS x, greatest(a.vec_id, b.vec_id) AS y FROM var a JOIN codes b ON a.vec_id <> b.vec_id AND bit_count(xor(a.variant, b.code)) <= 6)
+  SELECT least(a.source, b.source) AS source_a, greatest(a.source, b.source) AS source_b, count(*) AS pairs
+  FROM near JOIN own a ON a.vec_id = x JOIN own b ON b.vec_id = y WHERE a.source <> b.source GROUP BY ALL""")
+def pairs_across_sources(t):
+    v = with_variants(t).withColumn("source", F.concat(F.lit("s"), (F.col("label") % 4).cast("string")))
+    return sim.cross_source_counts(sim.similar_pairs_dihedral(v, 6, bits=CODE_BITS), v, "source")
+
+
 @query("jn8", with_sql("codes") + VARIANTS_SQL + """ SELECT a.vec_id AS id, min('h' || lpad(CAST(b.vec_id AS VARCHAR), 7, '0')) AS holdout,
   CAST(min(bit_count(xor(a.variant, b.variant))) AS INTEGER) AS distance
   FROM var a JOIN var b ON a.label <> 0 AND b.label = 0 AND bit_count(xor(a.variant, b.variant)) <= 8 GROUP BY a.vec_id""")

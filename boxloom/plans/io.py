@@ -30,6 +30,26 @@ def joined(df, key: str, line, order: str, separator: str = "\n"):
     return rows.select(key, F.array_join(F.transform("a", lambda x: x["l"]), separator).alias("content"))
 
 
+def written_files(t: Tables, docs, name: str) -> str:
+    """Folder with one file per row of ``docs`` (path, content); its name is the row's ``path``, as ``file_name`` finds it."""
+    folder = scratch(t, name)
+    spread = docs.select(F.col("path").cast("string").alias("file"), "content").repartition("file")
+    spread.write.partitionBy("file").text(folder)
+    return folder
+
+
+def file_name(path):
+    return F.regexp_extract(path, "/file=([^/]+)/[^/]+$", 1)
+
+
+def image_sizes(t: Tables):
+    return t.images().select(F.col("image_id").cast("string").alias("stem"), "width", "height")
+
+
+def named(rows):
+    return rows.withColumn("path", file_name(F.col("path")))
+
+
 W_, H_ = float(IMAGE_WIDTH), float(IMAGE_HEIGHT)
 YOLO_NUMBERS = f"""y AS (SELECT image_id, gt_index, class_id, printf('%.6f', (x1+x2)/(2*{W_}::DOUBLE))::DOUBLE AS cx, printf('%.6f', (y1+y2)/(2*{H_}::DOUBLE))::DOUBLE AS cy,
   printf('%.6f', (x2-x1)/{W_}::DOUBLE)::DOUBLE AS w, printf('%.6f', (y2-y1)/{H_}::DOUBLE)::DOUBLE AS h FROM gt)"""
@@ -49,7 +69,8 @@ def yolo_files(t: Tables):
   SELECT CAST(image_id AS VARCHAR) AS path, CAST(gt_index * 2 + 1 AS INTEGER) AS line_number, class_id AS native_class_id, CASE WHEN class_id < 3 THEN round((cx-w/2)*{W_}::DOUBLE, 3) END AS x1,
     CASE WHEN class_id < 3 THEN round((cy+h/2)*{H_}::DOUBLE, 3) END AS y2, CASE WHEN class_id >= 3 THEN 'unknown_class' END AS problem FROM y""")
 def yolo_boxes(t):
-    rows = an.parse_yolo(yolo_files(t), 3)
+    folder = written_files(t, yolo_files(t), "labels")
+    rows = named(an.read_yolo(t.spark, folder, image_sizes(t), ["resistor", "capacitor", "ic"], name=file_name))
     return rounded(rows.select("path", "line_number", "native_class_id", "x1", "y2", "problem"), ("x1", "y2"), 3)
 
 
@@ -62,7 +83,8 @@ def yolo_polygons(t):
     plain = F.expr(f"format_string('%d %.6f %.6f %.6f %.6f', class_id, (x1+x2)/(2*{W_}D), (y1+y2)/(2*{H_}D), (x2-x1)/{W_}D, (y2-y1)/{H_}D)")
     texts = joined(t.gt(), "image_id", F.when(F.col("class_id") < 2, polygon).otherwise(plain), "gt_index")
     docs = texts.select(F.col("image_id").cast("string").alias("path"), "content", F.lit(IMAGE_WIDTH).alias("width"), F.lit(IMAGE_HEIGHT).alias("height"))
-    rows = an.parse_yolo(docs, 4, "polygon")
+    folder = written_files(t, docs, "outlines")
+    rows = named(an.read_yolo(t.spark, folder, image_sizes(t), ["a", "b", "c", "d"], "polygon", file_name))
     return rounded(rows.select("path", "line_number", "native_format", "x2", "problem"), ("x2",), 3)
 
 
@@ -83,7 +105,8 @@ def voc(t):
         F.lit("<annotation>"), tag("filename", F.col("image_id")), F.lit(f"<size><width>{IMAGE_WIDTH}</width><height>{IMAGE_HEIGHT}</height><depth>3</depth></size>"),
         "content", F.lit("</annotation>"),
     )
-    rows = an.parse_voc(body.select(F.col("image_id").cast("string").alias("path"), doc.alias("content")), {"capasitor": "capacitor"})
+    folder = written_files(t, body.select(F.col("image_id").alias("path"), doc.alias("content")), "voc")
+    rows = named(an.read_voc(t.spark, folder, {"capasitor": "capacitor"}))
     return rows.select("path", "source_index", "class_name", "difficult", "x1", "y1", "x2", "y2", "clamped")
 
 
@@ -108,7 +131,7 @@ def coco_files(t: Tables):
 def coco(t):
     from boxloom.functions.boxes import polygon_area
 
-    rows = an.parse_coco(coco_files(t))
+    rows = an.read_coco(t.spark, written_files(t, coco_files(t), "coco"))
     return rows.select(
         "image_id", "file_name", "annotation_id", "class_name", "x1", "y1", "x2", "y2",
         polygon_area(F.get("polygon_parts", F.lit(0))).alias("outline"),
@@ -129,16 +152,42 @@ def csv_boxes(t):
     )
     sizes = p.select("Image", F.lit(900).alias("Width"), F.lit(700).alias("Height"))
     rects = p.select("Image", F.col("p_size").alias("Left"), (F.col("p_size") * 2).alias("Top"),
-                     (F.col("p_partkey") % 100).alias("BoxWidth"), F.lit(50).alias("BoxHeight"))
-    return an.boxes_from_csv(sizes, rects)
+                     (F.col("p_partkey") % 100).alias("Width"), F.lit(50).alias("Height"))
+    folders = scratch(t, "sizes"), scratch(t, "rects")
+    for rows, folder in zip((sizes, rects), folders, strict=True):
+        rows.write.option("header", True).csv(folder)
+    return an.read_csv_boxes(t.spark, *folders)
 
 
-@query("src6", """SELECT 'c' || c_custkey AS id, c_mktsegment AS source, c_nationkey AS class_id, CAST(NULL AS DOUBLE) AS score FROM customer
-  UNION ALL SELECT 's' || s_suppkey, NULL, s_nationkey, s_acctbal FROM supplier""")
+@query("src6", """SELECT 'c' || c_custkey AS id, c_mktsegment AS source, c_nationkey AS width, CAST(NULL AS VARCHAR) AS sha256, 1 AS objects FROM customer
+  UNION ALL SELECT 's' || s_suppkey, NULL, NULL, sha256(s_name), 0 FROM supplier""")
 def staged(t):
-    a = t.read("customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_mktsegment").alias("source"), F.col("c_nationkey").alias("class_id"))
-    b = t.read("supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_nationkey").alias("class_id"), F.col("s_acctbal").alias("score"))
-    return an.union_staged([a, b])
+    """Two record files with different fields, written as JSON lines and read under one schema."""
+    thing = F.struct(F.lit("board").alias("cls"), F.array(F.lit(0.0), F.lit(0.0), F.col("c_nationkey").cast("double"), F.lit(1.0)).alias("xyxy"))
+    a = t.read("customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_mktsegment").alias("source"), F.col("c_nationkey").cast("int").alias("width"), F.array(thing).alias("objects"))
+    b = t.read("supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.sha2("s_name", 256).alias("sha256"))
+    folders = [f"{scratch(t, name)}.jsonl" for name in ("first", "second")]
+    for rows, folder in zip((a, b), folders, strict=True):
+        rows.write.json(folder)
+    rows = an.union_staged([an.read_staging(t.spark, f) for f in folders])
+    return rows.select("id", "source", "width", "sha256", F.coalesce(F.size("objects"), F.lit(0)).alias("objects"))
+
+
+@query("src10_names", """WITH n AS (SELECT n_regionkey AS r, n_name, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS k FROM nation)
+  SELECT CAST(r AS VARCHAR) AS path, k AS class_id, n_name AS name, CAST(NULL AS VARCHAR) AS problem FROM n WHERE r < 3
+  UNION ALL SELECT DISTINCT CAST(r AS VARCHAR), CAST(NULL AS INTEGER), CAST(NULL AS VARCHAR), CASE r WHEN 3 THEN 'count_disagrees' ELSE 'duplicate_names' END FROM n WHERE r >= 3""")
+def dataset_names(t):
+    """A dataset file per region in three ways of writing, one with another count and one with a name given twice."""
+    n = t.read("nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("a"))
+    names = F.transform("a", lambda x: x["n_name"])
+    names = F.when(F.col("n_regionkey") == 4, F.concat(names, F.slice(names, 1, 1))).otherwise(names)
+    flow = F.concat(F.lit("names: ['"), F.array_join(names, "', '"), F.lit("']\n"))
+    dashes = F.concat(F.lit("names:\n"), F.array_join(F.transform(names, lambda v: F.concat(F.lit("  - "), v)), "\n"))
+    pairs = F.concat(F.lit("names:\n"), F.array_join(F.transform(names, lambda v, i: F.concat(F.lit("  "), i.cast("string"), F.lit(": "), v)), "\n"))
+    count = F.concat(F.lit("train: ../train/images\nnc: "), (F.size(names) + (F.col("n_regionkey") == 3).cast("int")).cast("string"), F.lit("\n"))
+    body = F.when(F.col("n_regionkey") % 3 == 0, flow).when(F.col("n_regionkey") % 3 == 1, dashes).otherwise(pairs)
+    docs = n.select(F.col("n_regionkey").alias("path"), F.concat(count, body).alias("content"))
+    return named(an.read_class_names(t.spark, written_files(t, docs, "names")))
 
 
 SHADES = "list_transform(embedding, lambda x: CAST(greatest(0, least(255, floor(x * 400 + 128))) AS INTEGER))"
@@ -182,12 +231,8 @@ def map_document(t):
     """The class map written as one JSON document per source and read back as a dimension."""
     m = class_map(t)
     doc = m.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("native", F.array("target", "status").alias("e")))).alias("m"))
-    path = scratch(t, "class-map")
-    doc.select(F.to_json(F.create_map("source", "m")).alias("value")).write.text(path)
-    rows = t.spark.read.text(path).select(F.explode(F.from_json("value", "map<string,map<string,array<string>>>")).alias("source", "m"))
-    return rows.select("source", F.explode("m").alias("native", "e")).select(
-        "source", "native", F.get("e", F.lit(0)).alias("target"), F.get("e", F.lit(1)).alias("status")
-    )
+    path = written_files(t, doc.select(F.col("source").alias("path"), F.to_json(F.create_map("source", "m")).alias("content")), "class-map")
+    return an.load_class_map(t.spark, path)
 
 
 def prediction_files(t: Tables):
@@ -201,7 +246,7 @@ def prediction_files(t: Tables):
 
 @query("src11", with_sql("pred") + " SELECT image_id, pred_index AS json_index, class_id, score, x1, y1, x2, y2 FROM pred")
 def saved_predictions(t):
-    return an.parse_predictions(prediction_files(t)).select("image_id", "json_index", "class_id", "score", "x1", "y1", "x2", "y2")
+    return an.read_predictions(t.spark, written_files(t, prediction_files(t), "predictions")).select("image_id", "json_index", "class_id", "score", "x1", "y1", "x2", "y2")
 
 
 @query("src11_unbound", with_sql("pred") + " SELECT CAST(image_id AS VARCHAR) AS path, pred_index AS json_index, image_id, 'file_mismatch' AS problem FROM pred WHERE pred_index = 3")

@@ -34,8 +34,8 @@ def deduplicated(t):
 
 
 RECENT_SQL = with_sql("frames") + """, r AS (SELECT *, row_number() OVER (PARTITION BY camera ORDER BY ts DESC, frame_number DESC) AS k FROM frames)
-  SELECT camera, count(*) AS frames, round((count(*) FILTER (k <= 20) - 1) / ((epoch_us(max(ts)) - epoch_us(min(ts) FILTER (k <= 20))) / 1e6), 9) AS rate,
-    round(quantile_cont(value, 0.5) FILTER (k <= 40), 6) AS p50, round(quantile_cont(value, 0.95) FILTER (k <= 40), 6) AS p95 FROM r GROUP BY camera"""
+  SELECT camera, count(*) AS frames, round((count(*) FILTER (k <= 120) - 1) / ((epoch_us(max(ts)) - epoch_us(min(ts) FILTER (k <= 120))) / 1e6), 9) AS rate,
+    round(quantile_cont(value, 0.5) FILTER (k <= 300), 6) AS p50, round(quantile_cont(value, 0.95) FILTER (k <= 300), 6) AS p95 FROM r GROUP BY camera"""
 
 
 def _recent(df):
@@ -44,14 +44,14 @@ def _recent(df):
 
 @query("st2", RECENT_SQL)
 def rates(t):
-    out = drained(t, live.recent_stats(stream(t), 20, 40), "st2")
+    out = drained(t, live.recent_stats(stream(t)), "st2")
     last = out.groupBy("camera").agg(F.max(F.struct("frames", "rate", "p50", "p95")).alias("s")).select("camera", "s.*")
     return _recent(last)
 
 
 @query("st3", RECENT_SQL)
 def rates_batch(t):
-    return _recent(live.recent_stats_batch(t.frames(), 20, 40))
+    return _recent(live.recent_stats_batch(t.frames()))
 
 
 @query("st4", with_sql("frames") + """, g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 1 DAY OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM frames WINDOW w AS (PARTITION BY camera ORDER BY ts)),

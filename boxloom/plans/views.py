@@ -85,7 +85,7 @@ def nation_features(t: Tables):
 
 
 @query("sp4", f"""WITH {FEATURE_SQL}, n AS (SELECT count(DISTINCT group_id) AS n FROM f),
-p AS (SELECT trial, group_id, row_number() OVER (PARTITION BY trial ORDER BY md5('42|' || trial || '|' || group_id), group_id) AS rn FROM (SELECT DISTINCT group_id FROM f), range(0, 200) r(trial)),
+p AS (SELECT trial, group_id, row_number() OVER (PARTITION BY trial ORDER BY md5('42|' || trial || '|' || group_id), group_id) AS rn FROM (SELECT DISTINCT group_id FROM f), range(0, 2000) r(trial)),
 s AS (SELECT trial, group_id, CASE WHEN rn <= floor(n * 0.70::DOUBLE) THEN 'train' WHEN rn <= floor(n * 0.85::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM p, n),
 c AS (SELECT trial, feature, coalesce(sum(value) FILTER (split = 'train'), 0)::BIGINT AS a, coalesce(sum(value) FILTER (split = 'val'), 0)::BIGINT AS b,
   coalesce(sum(value) FILTER (split = 'test'), 0)::BIGINT AS c, sum(value)::BIGINT AS t FROM s JOIN f USING (group_id) GROUP BY ALL),
@@ -94,7 +94,7 @@ k AS (SELECT trial, round(avg((((a - t*0.70::DOUBLE)/greatest(t*0.70::DOUBLE, 1)
 best AS (SELECT trial, cost FROM k WHERE NOT low ORDER BY cost, trial LIMIT 1)
 SELECT s.trial, group_id, split, cost FROM s JOIN best USING (trial)""")
 def searched(t):
-    return sp.search_split(nation_features(t), 200)
+    return sp.search_split(nation_features(t), 2000)
 
 
 @query("sp5", """WITH v AS (SELECT c_nationkey AS g, c_mktsegment AS class_id, count(*) AS value FROM customer GROUP BY ALL),
@@ -172,6 +172,22 @@ def tiling(t):
     return vw.tiles(t.images(), TILE).select("image_id", "tile", "x1", "y1", "x2", "y2")
 
 
+@query("vw1_roi", with_sql("images") + f""", r AS (SELECT image_id, CASE WHEN image_id % 5 = 0 THEN 0 ELSE (image_id % 100)::INT END AS a, CASE WHEN image_id % 5 = 0 THEN 0 ELSE (image_id % 70)::INT END AS b,
+    CASE WHEN image_id % 5 = 0 THEN {IMAGE_WIDTH} ELSE least({IMAGE_WIDTH}, (image_id % 100 + 40 + image_id % 300)::INT) END AS c,
+    CASE WHEN image_id % 5 = 0 THEN {IMAGE_HEIGHT} ELSE least({IMAGE_HEIGHT}, (image_id % 70 + 30 + image_id % 400)::INT) END AS d FROM images),
+  s AS (SELECT *, least(c - a, 160) AS w, least(d - b, 96) AS h FROM r),
+  t AS (SELECT image_id, a, b, w, h, unnest(list_sort(list_distinct(list_append(range(0, c - a - w + 1, greatest(1, floor(w * 0.75)::INT)), c - a - w)))) AS x,
+    list_sort(list_distinct(list_append(range(0, d - b - h + 1, greatest(1, floor(h * 0.75)::INT)), d - b - h))) AS ys FROM s)
+  SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY y, x) - 1 AS INTEGER) AS tile, CAST(a + x AS INTEGER) AS x1, CAST(b + y AS INTEGER) AS y1, CAST(a + x + w AS INTEGER) AS x2, CAST(b + y + h AS INTEGER) AS y2
+  FROM (SELECT *, unnest(ys) AS y FROM t)""")
+def tiling_of_regions(t):
+    """Tiles of 96 x 160 pixels over a region of most images, and over all of every fifth."""
+    i = F.col("image_id")
+    corner = F.struct((i % 100).alias("x1"), (i % 70).alias("y1"), (i % 100 + 40 + i % 300).alias("x2"), (i % 70 + 30 + i % 400).alias("y2"))
+    images = t.images().withColumn("roi", F.when(i % 5 != 0, corner))
+    return vw.tiles(images, (96, 160), 0.25, "roi").select("image_id", "tile", "x1", "y1", "x2", "y2")
+
+
 @query("vw2", with_sql("images") + f" SELECT image_id, {TILE} AS size, x1, y1, x2, y2 FROM {tiles_sql(TILE)} UNION ALL SELECT image_id, {CONTEXT}, x1, y1, x2, y2 FROM {tiles_sql(CONTEXT)}")
 def plan(t):
     return vw.tile_plan(t.images(), [TILE, CONTEXT]).select("image_id", "size", "x1", "y1", "x2", "y2")

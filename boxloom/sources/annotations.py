@@ -3,6 +3,8 @@ to archived text columns and to tests; the ``read_*`` functions only add the fil
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,9 +71,11 @@ def parse_yolo(files: DataFrame, n_classes: int, geometry: str = "any") -> DataF
     )
 
 
-def read_yolo(spark: SparkSession, path: str, images: DataFrame, classes: list[str], geometry: str = "any") -> DataFrame:
-    """Label files under ``path`` joined to their images by stem (``images``: stem, width, height)."""
-    files = whole_text(spark, path).withColumn("stem", stem(F.col("path")))
+def read_yolo(
+    spark: SparkSession, path: str, images: DataFrame, classes: list[str], geometry: str = "any", name: Callable[[Column], Column] = stem
+) -> DataFrame:
+    """Label files under ``path`` joined to their images by stem (``images``: stem, width, height); ``name`` takes the stem from a path."""
+    files = whole_text(spark, path).withColumn("stem", name(F.col("path")))
     rows = parse_yolo(files.join(images.select("stem", "width", "height"), "stem"), len(classes), geometry)
     names = F.array(*[F.lit(c) for c in classes])
     return rows.withColumn("native", F.get(names, F.col("native_class_id")))
@@ -200,6 +204,44 @@ def load_class_map(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("source", "native", F.get("e", F.lit(0)).alias("target"), F.get("e", F.lit(1)).alias("status"))
 
 
+def parse_class_names(files: DataFrame) -> DataFrame:
+    """Class names of dataset files (``path, content``): ``path, class_id, name, problem``.
+
+    ``names`` is a list, in brackets or one ``- name`` a line, or a map with one ``id: name`` a line; ``nc``, where
+    given, is their number. A file that breaks a rule has one row with its ``problem`` and no name: ids that are not 0, 1, 2 ...,
+    a name given twice, another ``nc``, or no names at all.
+    """
+    text = F.regexp_replace("content", "\r", "")
+    flow = F.regexp_extract(text, r"(?ms)^names:\s*\[(.*?)\]", 1)
+    block = F.regexp_extract(text, r"(?m)^names:[ \t]*\n((?:[ \t]*(?:-|\d+:)[^\n]*\n?)+)", 1)
+    bare = lambda v: F.regexp_replace(F.trim(v), r"^(['\"])(.*)\1$", "$2")
+    entry = lambda i, v: F.struct(i.cast("int").alias("id"), bare(v).alias("name"))
+    listed = F.transform(F.split(flow, ","), lambda v, i: entry(i, v))
+    lines = F.filter(F.split(block, "\n"), lambda v: F.trim(v) != "")
+    rows = F.transform(lines, lambda v, i: F.when(
+        F.ltrim(v).startswith("-"), entry(i, F.regexp_extract(v, r"^[ \t]*-(.*)$", 1))
+    ).otherwise(entry(F.regexp_extract(v, r"^[ \t]*(\d+):", 1), F.regexp_extract(v, r"^[ \t]*\d+:(.*)$", 1))))
+    none = F.array().cast("array<struct<id:int,name:string>>")
+    found = F.when(F.trim(flow) != "", listed).when(block != "", F.array_sort(rows)).otherwise(none)
+    count = F.regexp_extract(text, r"(?m)^nc:\s*(\d+)", 1)
+    f = files.select("path", found.alias("names"), F.when(count != "", count.cast("int")).alias("nc"))
+    ids, names = F.transform("names", lambda e: e["id"]), F.transform("names", lambda e: e["name"])
+    problem = (
+        F.when(F.size("names") == 0, "no_names")
+        .when(ids != F.sequence(F.lit(0), F.size("names") - 1), "ids_not_contiguous")
+        .when(F.size(F.array_distinct(names)) != F.size("names"), "duplicate_names")
+        .when(F.col("nc") != F.size("names"), "count_disagrees")
+    )
+    f = f.withColumn("problem", problem)
+    good = f.filter("problem IS NULL").select("path", F.inline("names"), "problem").select("path", F.col("id").alias("class_id"), "name", "problem")
+    bad = f.filter("problem IS NOT NULL").select("path", F.lit(None).cast("int").alias("class_id"), F.lit(None).cast("string").alias("name"), "problem")
+    return good.unionByName(bad)
+
+
+def read_class_names(spark: SparkSession, path: str) -> DataFrame:
+    return parse_class_names(whole_text(spark, path))
+
+
 def parse_predictions(files: DataFrame) -> DataFrame:
     """COCO result lists (``path, content``); ``json_index`` keeps the order that breaks ties."""
     kind = "array<struct<image_id:bigint,file_name:string,category_id:int,bbox:array<double>,score:double>>"

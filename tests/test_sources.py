@@ -132,3 +132,18 @@ def test_archive_members(spark):
     rows = [("a/b.txt", "1", False), ("A/b.txt", "1", False), ("x/../y", "1", False), ("ok", "1", False), ("same", "2", False), ("same", "2", False), ("l", "3", True), ("nul.txt", "4", False)]
     got = {(r.path, r.problem) for r in an.check_members(spark.createDataFrame(rows, "path string, sha256 string, is_link boolean")).collect()}
     assert got == {("a/b.txt", "conflicting_duplicate"), ("A/b.txt", "conflicting_duplicate"), ("x/../y", "unsafe_path"), ("l", "symbolic_link"), ("nul.txt", "unsafe_path")}
+
+
+def test_class_names_of_a_dataset_file(spark):
+    texts = {
+        "flow": "nc: 2\nnames: ['IC', \"cap\"]\n", "dashes": "names:\n- a\n  - b\r\nnc: 2", "pairs": "path: x\nnames:\n  1: b\n  0: a\n", "one": "names: [only]",
+        "gap": "names:\n  0: a\n  2: b\n", "twice": "names: [a, a]", "count": "nc: 3\nnames: [a, b]", "none": "nc: 1\n", "empty": "names: []",
+    }
+    rows = an.parse_class_names(spark.createDataFrame(list(texts.items()), "path string, content string")).collect()
+    names = {}
+    for r in sorted((r for r in rows if r.problem is None), key=lambda r: r.class_id):
+        names.setdefault(r.path, []).append(r.name)
+    assert names == {"flow": ["IC", "cap"], "dashes": ["a", "b"], "pairs": ["a", "b"], "one": ["only"]}
+    assert {r.path: r.problem for r in rows if r.problem} == {
+        "gap": "ids_not_contiguous", "twice": "duplicate_names", "count": "count_disagrees", "none": "no_names", "empty": "no_names",
+    }

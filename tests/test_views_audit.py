@@ -23,6 +23,15 @@ def test_small_image_is_one_smaller_tile(spark):
     assert [(r.x1, r.y1, r.x2, r.y2) for r in rows] == [(0, 0, 300, 200)]
 
 
+def test_tiles_of_a_region(spark):
+    images = spark.createDataFrame([(1, 300, 200, (10, 20, 110, 500)), (2, 300, 200, None), (3, 300, 200, (5, 5, 5, 9))], "image_id int, width int, height int, roi struct<x1:int,y1:int,x2:int,y2:int>")
+    rows = {}
+    for r in sorted(vw.tiles(images, (100, 80), 0.2, "roi").collect(), key=lambda r: (r.image_id, r.tile)):
+        rows.setdefault(r.image_id, []).append((r.x1, r.y1, r.x2, r.y2))
+    assert rows[1] == [(10, 20, 90, 120), (30, 20, 110, 120), (10, 100, 90, 200), (30, 100, 110, 200)]
+    assert len(rows[2]) == 5 * 3 and max(r[3] for r in rows[2]) == 200 and 3 not in rows
+
+
 def test_weights_sum_to_one_per_group_and_draws_follow_them(spark):
     views = spark.createDataFrame([(f"v{i}", i % 3) for i in range(30)], "view_id string, group_id int")
     liked = spark.createDataFrame([("v0", 2)], "view_id string, class_id int")
