@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from boxloom.functions.boxes import box, box_from_yolo, box_to_yolo, max_difference
 from boxloom.functions.numeric import is_finite, near
+from boxloom.operators import metrics
+from boxloom.operators.matching import coco_hits, found_truth, greedy_match
 from boxloom.operators.similarity import cross_split_leaks, screen_holdout, similar_pairs_dihedral
 from boxloom.session import cut
 
@@ -66,6 +68,76 @@ def validate_manifest(df: DataFrame) -> DataFrame:
     return rows.select("record_id", F.explode(tagged).alias("p")).select("record_id", "p.level", "p.problem")
 
 
+def header_problems(header: DataFrame, schema: str, domains: list[str], policies: list[str]) -> DataFrame:
+    """Broken rules of a manifest's head, one row (``schema, names, domain, annotation_policy, source_url, class_mapping``): ``level, problem``.
+
+    ``names`` is an array of different names without outer blanks, ``class_mapping`` a map with an entry at least.
+    """
+    names = F.col("names")
+    good_names = (F.size(names) > 0) & F.forall(names, lambda n: F.coalesce((n != "") & (F.trim(n) == n), F.lit(False))) & (F.size(F.array_distinct(names)) == F.size(names))
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    rules = _problems([
+        ("schema_unknown", F.col("schema") != schema),
+        ("names_invalid", ~good_names),
+        ("domain_unknown", ~F.col("domain").isin(domains)),
+        ("policy_unknown", ~F.col("annotation_policy").isin(policies)),
+        ("source_url_missing", blank(F.col("source_url"))),
+        ("class_mapping_missing", F.size("class_mapping") < 1),
+    ])
+    return header.select(F.lit("error").alias("level"), F.explode(rules).alias("problem"))
+
+
+def content_problems(records: DataFrame, files: DataFrame, lines: DataFrame) -> DataFrame:
+    """What the files of a manifest show: ``record_id, level, problem, detail``.
+
+    ``records``: record_id, image, label; ``files``: path, and ``width`` and ``height`` (0 or null if it doesn't decode) of
+    what can be read; ``lines``: path, line_number, problem, as ``parse_yolo`` gives them for the label files.
+    """
+    disk = files.select("path", (F.coalesce("width", F.lit(0)) > 0).alias("_w"), (F.coalesce("height", F.lit(0)) > 0).alias("_h"))
+    image = records.join(disk.withColumnRenamed("path", "image"), "image", "left")
+    label = records.join(files.select(F.col("path").alias("label"), F.lit(True).alias("_there")), "label", "left")
+    error = F.lit("error").alias("level")
+    seen = F.when(F.col("_w").isNull(), "image_unreadable").when(~F.col("_w") | ~F.col("_h"), "image_not_decoded")
+    none = F.lit(None).cast("int").alias("detail")
+    parts = image.select("record_id", error, seen.alias("problem"), none).filter("problem IS NOT NULL")
+    parts = parts.unionByName(label.filter("_there IS NULL").select("record_id", error, F.lit("label_unreadable").alias("problem"), none))
+    bad = lines.filter("problem IS NOT NULL").select(F.col("path").alias("label"), F.concat(F.lit("label_"), "problem").alias("problem"), F.col("line_number").alias("detail"))
+    return parts.unionByName(records.select("record_id", "label").join(bad, "label").select("record_id", error, "problem", "detail"))
+
+
+def split_problems(records: DataFrame, instances: DataFrame, names: list[str]) -> DataFrame:
+    """Splits without records, without instances, or without some class: ``split, level, problem, class_name``.
+
+    ``records``: record_id, split; ``instances``: record_id, class_id of the valid label lines. Train and val are required.
+    """
+    spark = records.sparkSession
+    counts = records.filter(F.col("split").isin(SPLITS)).groupBy("split").agg(F.count("*").alias("images"))
+    boxes = records.select("record_id", "split").join(instances, "record_id").groupBy("split", "class_id").agg(F.count("*").alias("n"))
+    grid = spark.createDataFrame([(s, i, c) for s in SPLITS for i, c in enumerate(names)], "split string, class_id int, class_name string")
+    filled = grid.join(counts, "split", "left").join(boxes, ["split", "class_id"], "left").na.fill(0, ["images", "n"])
+    whole = filled.groupBy("split").agg(F.first("images").alias("images"), F.sum("n").alias("n"))
+    needed = F.col("split") != "test"
+    problem = F.when(F.col("images") == 0, F.when(needed, "split_absent").otherwise("test_absent")).when(needed & (F.col("n") == 0), "no_instances")
+    of_split = whole.select("split", F.when(needed, "error").otherwise("warning").alias("level"), problem.alias("problem"), F.lit(None).cast("string").alias("class_name"))
+    of_class = filled.filter("images > 0 AND n = 0").select("split", F.lit("warning").alias("level"), F.lit("class_without_instances").alias("problem"), "class_name")
+    return of_split.filter("problem IS NOT NULL").unionByName(of_class)
+
+
+def manifest_eligibility(header: DataFrame, records: DataFrame, problems: DataFrame) -> DataFrame:
+    """One row: ``errors, valid, evaluation_eligible, partial_evaluation, scope``. ``problems`` (``level``) are all that were found.
+
+    Weak labels outside train, by a record's status or by a ``weak`` policy, bar evaluation; ``scope`` names the domain.
+    """
+    errors = problems.agg(F.count_if(F.col("level") == "error").alias("errors"))
+    weak = (F.col("annotation_status") == "weak") & (F.col("split") != "train")
+    seen = records.agg(F.coalesce(F.bool_or(weak), F.lit(False)).alias("_weak"), F.count_if(F.col("split").isin("val", "test")).alias("_evaluated"), (F.count_if(F.col("split") == "test") == 0).alias("partial_evaluation"))
+    one = header.select("domain", F.col("annotation_policy").startswith("weak").alias("_policy")).join(F.broadcast(errors), F.lit(True)).join(F.broadcast(seen), F.lit(True))
+    valid = F.col("errors") == 0
+    eligible = valid & ~F.col("_weak") & ~(F.coalesce("_policy", F.lit(False)) & (F.col("_evaluated") > 0))
+    kind = F.when(F.col("partial_evaluation"), "validation_only").otherwise("validation_and_test")
+    return one.select("errors", valid.alias("valid"), eligible.alias("evaluation_eligible"), "partial_evaluation", F.when(eligible, F.concat_ws("_", "domain", kind)).alias("scope"))
+
+
 def manifest_verdict(df: DataFrame, problems: DataFrame) -> DataFrame:
     """Whether the manifest may be evaluated, and on which splits."""
     errors = problems.agg(F.count_if(F.col("level") == "error")).scalar()
@@ -227,6 +299,50 @@ def audit_results(stored: DataFrame, recomputed: DataFrame, keys: list[str], val
     return rows.filter(F.col("problem").isNotNull())
 
 
+#: What ``audit_evaluation`` compares: table -> (keys, values).
+EVALUATION = {
+    "ap": (["max_det", "class_id"], ["ap50_95", "ap50", "ap75"]),
+    "operating": (["class_id"], ["tp", "fp", "fn", "precision", "recall", "f1"]),
+    "per_image": (["image_id", "class_id"], ["tp", "fp", "fn"]),
+    "sizes": (["class_id", "size_bin"], ["detected", "total"]),
+    "curve": (["class_id", "confidence"], ["tp", "fp", "fn", "f1"]),
+    "threshold": ([], ["confidence", "f1"]),
+}
+
+
+def evaluation_tables(pred: DataFrame, gt: DataFrame, confidence: float) -> dict[str, DataFrame]:
+    """The tables of ``EVALUATION``, from one matching for the counts and one for AP."""
+    matches = cut(greedy_match(pred, gt))
+    sweep = cut(metrics.threshold_sweep(matches, gt))
+    return {
+        "ap": metrics.coco_ap(coco_hits(pred, gt), metrics.truth_counts(gt)),
+        "operating": metrics.operating_point(matches, gt, confidence),
+        "per_image": metrics.operating_point(matches, gt, confidence, ["image_id"]),
+        "sizes": metrics.size_recall(found_truth(matches, gt), confidence),
+        "curve": sweep,
+        "threshold": metrics.best_confidence(sweep),
+    }
+
+
+def audit_evaluation(pred: DataFrame, gt: DataFrame, images: DataFrame, stored: dict[str, DataFrame], confidence: float, tolerance: float = 1e-9) -> DataFrame:
+    """Everything in stored result tables that a new evaluation does not give: ``table, key, problem``.
+
+    ``stored`` holds tables of ``EVALUATION``; the ``problem`` of a row names its differing values, or the side on which it is missing. Predictions that
+    leave their image (``images``: image_id, width, height), have no area or a score outside 0 to 1 are told as ``predictions``.
+    """
+    fresh = evaluation_tables(pred, gt, confidence)
+    out = pred.join(images.select("image_id", "width", "height"), "image_id", "left").filter(~F.coalesce(
+        (F.col("x1") >= 0) & (F.col("y1") >= 0) & (F.col("x2") <= F.col("width")) & (F.col("y2") <= F.col("height"))
+        & (F.col("x1") < F.col("x2")) & (F.col("y1") < F.col("y2")) & F.col("score").between(0, 1), F.lit(False)))
+    told = out.select(F.lit("predictions").alias("table"), F.concat_ws("/", "image_id", "pred_index").alias("key"), F.lit("out_of_bounds").alias("problem"))
+    for name, table in stored.items():
+        keys, values = EVALUATION[name]
+        rows = audit_results(table, fresh[name], keys, values, tolerance)
+        shown = [F.coalesce(F.col(k).cast("string"), F.lit("all")) for k in keys]
+        told = told.unionByName(rows.select(F.lit(name).alias("table"), F.concat_ws("/", *shown).alias("key"), "problem"))
+    return told
+
+
 def audit_selection(candidates: DataFrame, stored: DataFrame, grid: DataFrame, tests: DataFrame) -> DataFrame:
     """Stored winners against recomputed ones, holes in the candidate grid, and test-job counts."""
     from boxloom.operators.selection import select_candidate

@@ -13,6 +13,7 @@ from boxloom.plans.derive import IMAGE_HEIGHT, IMAGE_WIDTH, Tables, with_sql
 from boxloom.plans.matching import PRF_SQL, match_with, matches, rounded
 from boxloom.plans.metrics import point_sql
 from boxloom.plans.registry import query
+from boxloom.sources import annotations as an
 
 HASH_SPLIT = """CASE WHEN sha256('boxloom|' || {k}) <= 'b333333333333333333333333333333333333333333333333333333333333333' THEN 'train'
   WHEN sha256('boxloom|' || {k}) <= 'd999999999999999999999999999999999999999999999999999999999999999' THEN 'val' ELSE 'test' END"""
@@ -61,6 +62,55 @@ def verdict(t):
     return dq.manifest_verdict(manifest(t), dq.validate_manifest(manifest(t)))
 
 
+NAMES = ["resistor", "capacitor", "ic", "connector", "led"]
+# a label line per record and step; class 5 is none, and one record in seven has a point outside the image
+LINES_SQL = """, ln AS (SELECT record_id, split, s, CAST((record_id::BIGINT + s) % 6 AS INTEGER) AS c, record_id::BIGINT % 7 = 0 AS far
+  FROM man, range(0, 3) r(s) WHERE s < record_id::BIGINT % 4 AND record_id::BIGINT % 9 <> 0)"""
+
+
+def head_of(t: Tables, **other):
+    row = {"schema": "s1", "names": NAMES, "domain": "proxy", "annotation_policy": "native", "source_url": "u", "class_mapping": {"a": "b"}} | other
+    kinds = "schema string, names array<string>, domain string, annotation_policy string, source_url string, class_mapping map<string,string>"
+    return t.spark.createDataFrame([tuple(row[k.split()[0]] for k in kinds.split(", "))], kinds)
+
+
+def label_lines(t: Tables):
+    """The polygon lines of every record, as its label file, and what the parser says of each."""
+    k = F.col("record_id").cast("long")
+    step = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("s")
+    rows = manifest(t).select("record_id", "label", step).filter((F.col("s") < k % 4) & (k % 9 != 0))
+    point = F.when(k % 7 == 0, "1.5").otherwise("0.5")
+    line = F.concat_ws(" ", ((k + F.col("s")) % 6).cast("string"), F.lit("0.1 0.1 0.9 0.1"), point, F.lit("0.9"))
+    docs = rows.groupBy("label").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s", line.alias("l")))), lambda x: x["l"]), "\n").alias("content"))
+    return an.parse_yolo(docs.select(F.col("label").alias("path"), "content", F.lit(100).alias("width"), F.lit(100).alias("height")), len(NAMES), "polygon")
+
+
+@query("dq1_content", MANIFEST_SQL + LINES_SQL + """ SELECT record_id, 'error' AS level, 'image_unreadable' AS problem, CAST(NULL AS INTEGER) AS detail FROM man WHERE record_id::BIGINT % 13 = 0
+  UNION ALL SELECT record_id, 'error', 'image_not_decoded', NULL FROM man WHERE record_id::BIGINT % 13 <> 0 AND record_id::BIGINT % 17 = 0
+  UNION ALL SELECT record_id, 'error', 'label_unreadable', NULL FROM man WHERE record_id::BIGINT % 9 = 0
+  UNION ALL SELECT record_id, 'error', CASE WHEN c = 5 THEN 'label_unknown_class' ELSE 'label_out_of_range' END, CAST(s + 1 AS INTEGER) FROM ln WHERE c = 5 OR far""")
+def manifest_contents(t):
+    """Files that are missing or don't decode, and label lines that break a rule."""
+    m, k = manifest(t).withColumn("image", F.concat(F.lit("i/"), "record_id")), F.col("record_id").cast("long")
+    images = m.filter(k % 13 != 0).select(F.col("image").alias("path"), F.when(k % 17 == 0, 0).otherwise(64).alias("width"), F.lit(64).alias("height"))
+    labels = m.filter(k % 9 != 0).select(F.col("label").alias("path"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"))
+    return dq.content_problems(m.select("record_id", "image", "label"), images.unionByName(labels), label_lines(t))
+
+
+@query("dq1_splits", MANIFEST_SQL + LINES_SQL + """, lab AS (SELECT record_id, split, c FROM ln WHERE c < 5 AND NOT far AND (split <> 'test' OR c < 3)),
+  g AS (SELECT s.split, c.c FROM (SELECT unnest(['train', 'val', 'test']) AS split) s, range(0, 5) c(c))
+  SELECT g.split, 'warning' AS level, 'class_without_instances' AS problem, ['resistor', 'capacitor', 'ic', 'connector', 'led'][g.c + 1] AS class_name
+  FROM g WHERE EXISTS (SELECT 1 FROM man WHERE man.split = g.split) AND NOT EXISTS (SELECT 1 FROM lab WHERE lab.split = g.split AND lab.c = g.c)
+  UNION ALL SELECT s, CASE s WHEN 'test' THEN 'warning' ELSE 'error' END, CASE s WHEN 'test' THEN 'test_absent' ELSE 'split_absent' END, NULL FROM (SELECT unnest(['train', 'val', 'test']) AS s) WHERE s NOT IN (SELECT split FROM man)
+  UNION ALL SELECT s, 'error', 'no_instances', NULL FROM (SELECT unnest(['train', 'val']) AS s) WHERE s IN (SELECT split FROM man) AND s NOT IN (SELECT split FROM lab)""")
+def manifest_splits(t):
+    """Splits and classes without instances; of the test split only three classes are labelled."""
+    m = manifest(t)
+    good = label_lines(t).filter("problem IS NULL").select(F.col("path").alias("label"), F.col("native_class_id").alias("class_id"))
+    rows = m.join(good, "label").filter("split <> 'test' OR class_id < 3").select("record_id", "class_id")
+    return dq.split_problems(m.select("record_id", "split"), rows, NAMES)
+
+
 INDEX_SQL = f"""{FILES_SQL}, idx AS (SELECT p_partkey AS id, {HASH_SPLIT.format(k='p_partkey')} AS split, CASE WHEN p_size < 3 THEN 's' || p_size ELSE 'p' || p_partkey END AS source_group,
   'f' || p_partkey AS family, path AS image, sha256 AS image_sha256, p_size * 10 AS width, 300 AS height FROM files),
 disk AS (SELECT path, sha256, p_size * 10 + (p_size = 20)::INT AS width, 300 AS height FROM files2),
@@ -187,6 +237,27 @@ def parity(t):
     return dq.audit_results(stored, now, ["class_id"], ["tp", "fp", "fn", "precision", "recall"], 1e-9)
 
 
+@query("dq6_full", with_sql("gt", "pred", "images") + """, sz AS (SELECT DISTINCT CASE WHEN least(x2-x1, y2-y1) < 8 THEN 'lt8' WHEN least(x2-x1, y2-y1) < 16 THEN '8to16' WHEN least(x2-x1, y2-y1) < 32 THEN '16to32' ELSE 'ge32' END AS b FROM gt WHERE class_id = 3)
+  SELECT 'ap' AS "table", '100/2' AS key, 'ap50' AS problem UNION ALL SELECT 'operating', '99', 'stored_only'
+  UNION ALL SELECT 'per_image', image_id || '/' || class_id, 'tp,fn' FROM (SELECT image_id, CAST(class_id AS VARCHAR) AS class_id FROM gt UNION SELECT image_id, CAST(class_id AS VARCHAR) FROM pred WHERE score >= 0.5 UNION SELECT image_id, 'all' FROM gt) WHERE image_id % 97 = 0
+  UNION ALL SELECT 'sizes', '3/' || b, 'recomputed_only' FROM sz UNION ALL SELECT 'sizes', '3/all', 'recomputed_only'
+  UNION ALL SELECT 'curve', 'all/0.5', 'f1' UNION ALL SELECT 'threshold', '', 'confidence'
+  UNION ALL SELECT 'predictions', p.image_id || '/' || pred_index, 'out_of_bounds' FROM pred p JOIN images i ON i.image_id = p.image_id
+    WHERE NOT (x1 >= 0 AND y1 >= 0 AND x2 <= width AND y2 <= height AND x1 < x2 AND y1 < y2 AND score BETWEEN 0 AND 1)""")
+def full_parity(t):
+    """Every stored table with some fault: a value, a row too many, rows too few."""
+    stored = dict(dq.evaluation_tables(t.pred(), t.gt(), 0.5))
+    bump = lambda df, name, where, by: df.withColumn(name, F.when(where, F.col(name) + by).otherwise(F.col(name)))
+    stored["ap"] = bump(stored["ap"], "ap50", F.coalesce((F.col("class_id") == 2) & (F.col("max_det") == 100), F.lit(False)), 0.01)
+    stored["operating"] = stored["operating"].unionByName(stored["operating"].filter("class_id = 1").withColumn("class_id", F.lit(99)))
+    odd = F.col("image_id") % 97 == 0
+    stored["per_image"] = bump(bump(stored["per_image"], "tp", odd, 1), "fn", odd, -1)
+    stored["sizes"] = stored["sizes"].filter("class_id IS NULL OR class_id <> 3")
+    stored["curve"] = bump(stored["curve"], "f1", F.col("class_id").isNull() & (F.abs(F.col("confidence") - 0.5) < 1e-9), 0.1)
+    stored["threshold"] = stored["threshold"].withColumn("confidence", F.col("confidence") + 0.05)
+    return dq.audit_evaluation(t.pred(), t.gt(), t.images(), stored, 0.5)
+
+
 @query("dq7", with_sql("candidates") + f""", w AS (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY {RANK}) AS rn FROM candidates)
   SELECT 'winner_differs' AS problem, candidate_id AS key FROM w WHERE arm = 'b' AND rn = 2
   UNION ALL SELECT 'candidate_missing', 'a/' || e || '/' || p FROM (SELECT DISTINCT epoch AS e FROM candidates) CROSS JOIN (SELECT DISTINCT pipeline AS p FROM candidates)

@@ -99,3 +99,41 @@ def test_epoch_log_gaps_and_values(spark):
     rows = [("a", 1, 0.5), ("a", 2, float("nan")), ("b", 1, 1.0), ("b", 1, 1.0), ("b", 3, 1.0)]
     got = {r.run: (r.not_finite, r.repeated, r.contiguous) for r in dq.check_epochs(spark.createDataFrame(rows, "run string, epoch int, loss double"), ["run"], ["loss"]).collect()}
     assert got == {"a": (1, 0, True), "b": (0, 1, False)}
+
+
+KINDS = "schema string, names array<string>, domain string, annotation_policy string, source_url string, class_mapping map<string,string>"
+
+
+@pytest.mark.parametrize(
+    "change,problem",
+    [
+        ({}, None), ({"schema": "s2"}, "schema_unknown"), ({"schema": None}, "schema_unknown"), ({"names": []}, "names_invalid"), ({"names": ["a", "a"]}, "names_invalid"),
+        ({"names": ["a", " b"]}, "names_invalid"), ({"names": ["a", None]}, "names_invalid"), ({"domain": "other"}, "domain_unknown"), ({"annotation_policy": None}, "policy_unknown"),
+        ({"source_url": " "}, "source_url_missing"), ({"class_mapping": {}}, "class_mapping_missing"), ({"class_mapping": None}, "class_mapping_missing"),
+    ],
+)
+def test_manifest_head(spark, change, problem):
+    head = {"schema": "s1", "names": ["a", "b"], "domain": "proxy", "annotation_policy": "native", "source_url": "u", "class_mapping": {"x": "y"}} | change
+    row = spark.createDataFrame([tuple(head.values())], KINDS)
+    assert [r.problem for r in dq.header_problems(row, "s1", ["proxy", "own"], ["native", "weak_masks"]).collect()] == ([problem] if problem else [])
+
+
+def test_manifest_eligibility(spark):
+    head = ("s1", ["a"], "proxy", "native", "u", {"x": "y"})
+    records = spark.createDataFrame([("r1", "train", "weak"), ("r2", "val", "reviewed")], "record_id string, split string, annotation_status string")
+    none = spark.createDataFrame([("warning",)], "level string")
+
+    def verdict(records, head=head, problems=none):
+        return tuple(dq.manifest_eligibility(spark.createDataFrame([head], KINDS), records, problems).first())
+
+    assert verdict(records) == (0, True, True, True, "proxy_validation_only")
+    assert verdict(records, (*head[:3], "weak_masks", *head[4:])) == (0, True, False, True, None)
+    assert verdict(records.withColumn("split", F.lit("val"))) == (0, True, False, True, None)
+    assert verdict(records, problems=spark.createDataFrame([("error",), ("error",)], "level string")) == (2, False, False, True, None)
+    assert verdict(records.limit(0)) == (0, True, True, True, "proxy_validation_only")
+
+
+def test_splits_of_an_empty_manifest(spark):
+    records = spark.createDataFrame([], "record_id string, split string")
+    got = dq.split_problems(records, spark.createDataFrame([], "record_id string, class_id int"), ["a"]).collect()
+    assert {(r.split, r.level, r.problem) for r in got} == {("train", "error", "split_absent"), ("val", "error", "split_absent"), ("test", "warning", "test_absent")}
