@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from boxloom.functions.hashing import git_blob_sha
 from boxloom.operators import metrics as ag
 from boxloom.plans.curation import FILES_SQL, class_map, files
-from boxloom.plans.derive import IMAGE_HEIGHT, IMAGE_WIDTH, Tables, with_sql
+from boxloom.plans.derive import IMAGE_HEIGHT, IMAGE_WIDTH, Tables, bit_sql, with_sql
 from boxloom.plans.matching import PRF_SQL, match_with, matches, rounded
 from boxloom.plans.metrics import point_sql
 from boxloom.plans.registry import query
@@ -285,7 +285,25 @@ def members(t):
 # ---------------------------------------------------------------- image measures
 
 
-@query("hsh1")
+def _orders() -> list[list[int]]:
+    """The 8 x 8 squares of each rotation and mirror image, by their places in the picture."""
+    import numpy as np
+
+    grid = np.arange(64).reshape(8, 8)
+    return [np.rot90(g, k).ravel().tolist() for g in (grid, grid[:, ::-1]) for k in range(4)]
+
+
+# a picture is 8 x 8 flat squares of 4 x 4 cells of the 32 x 32 image, so a DCT term is a sum over squares
+DCT_SQL = f"""s AS (SELECT vec_id, {SHADES} AS s FROM embeddings),
+b AS (SELECT u, i // 4 AS r, sum(sqrt(2 / 32.0::DOUBLE) * cos(pi() * (2 * i + 1) * u / 64) / CASE WHEN u = 0 THEN sqrt(2.0::DOUBLE) ELSE 1 END) AS b FROM range(0, 8) u(u), range(0, 32) i(i) GROUP BY 1, 2),
+o AS (SELECT unnest(range(0, 8)) AS k, unnest({_orders()}) AS o),
+q AS (SELECT vec_id, k, p, s[o[p + 1] + 1] AS v FROM s, o, range(0, 64) p(p)),
+terms AS (SELECT vec_id, k, x.u * 8 + y.u AS i, sum(v * x.b * y.b) AS c FROM q JOIN b x ON x.r = p // 8 JOIN b y ON y.r = p % 8 GROUP BY ALL),
+mids AS (SELECT vec_id, k, list_sort(list(c) FILTER (i > 0))[32] AS m FROM terms GROUP BY ALL),
+hashes AS (SELECT vec_id, k, CAST(sum(CASE WHEN c > m THEN {bit_sql('(63 - i)')} ELSE 0 END) AS BIGINT) AS code FROM terms JOIN mids USING (vec_id, k) GROUP BY ALL)"""
+
+
+@query("hsh1", f"WITH {DCT_SQL} SELECT vec_id, code, 'dct32-ac-median-msb' AS hash_version FROM hashes WHERE k = 0")
 def perceptual(t):
     return im.phash(shade_images(t), "vec_id")
 
@@ -296,12 +314,17 @@ def versions(t):
     return im.same_version(h, h)
 
 
-@query("hsh2")
+@query("hsh2", f"WITH {DCT_SQL} SELECT vec_id, arg_min(code, k) AS code, list(code ORDER BY k) AS variants, 'dct32-ac-median-msb' AS hash_version FROM hashes GROUP BY vec_id")
 def perceptual_variants(t):
     return im.phash_variants(shade_images(t), "vec_id")
 
 
-@query("hsh3")
+# columns of a ninth of the width: how much of each of the 8 squares they cover, in sixty-fourths
+@query("hsh3", f"""WITH s AS (SELECT vec_id, {SHADES} AS s FROM embeddings),
+  w AS (SELECT j, c, greatest(0, least(64 * (j + 1), 72 * (c + 1)) - greatest(64 * j, 72 * c)) AS w FROM range(0, 9) j(j), range(0, 8) c(c)),
+  v AS (SELECT vec_id, r, j, round_even(sum(s[r * 8 + c + 1] * w) / 64.0::DOUBLE, 0) AS v FROM s, w, range(0, 8) r(r) GROUP BY ALL),
+  d AS (SELECT a.vec_id, a.r * 8 + a.j AS i, b.v > a.v AS up FROM v a JOIN v b ON a.vec_id = b.vec_id AND a.r = b.r AND b.j = a.j + 1)
+  SELECT vec_id, CAST(sum(CASE WHEN up THEN {bit_sql('(63 - i)')} ELSE 0 END) AS BIGINT) AS dhash FROM d GROUP BY vec_id""")
 def gradient_hash(t):
     return im.dhash(shade_images(t), "vec_id")
 

@@ -71,7 +71,8 @@ _DCT = dct_matrix(32)
 
 def _resize(g: np.ndarray, height: int, width: int) -> np.ndarray:
     small = area_matrix(g.shape[0], height) @ g.astype(np.float64) @ area_matrix(g.shape[1], width).T
-    return np.rint(small)
+    # averages that lie on a half are told from it by nothing but the order of a sum
+    return np.rint(np.round(small, 9))
 
 
 def phash_of(g: np.ndarray) -> int:

@@ -36,6 +36,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Where an id stands for several texts these rows go by numbers of their own, below all ids, so each is judged by its text.
     """
+    docs = docs.select(*COLUMNS)
     several = docs.select("doc_id", _text().alias("text")).distinct().groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL")
     several = written(several.select(F.col("doc_id").alias("_several")), "several")
     if several.isEmpty():
@@ -50,7 +51,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents with a benchmark passage, also a re-parameterised one. A row is named by its id and its text's digest."""
-    named = docs.withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", _text().alias("text"))))
+    named = docs.select(*COLUMNS).withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", _text().alias("text"))))
     found = decontaminate.contamination(named, table(spark, sf_dir, "benchmark"), id_col="_row").select(F.col("id").alias("_hit")).distinct()
     return named.join(small_side(written(found, "leaks"), 90), F.col("_row") == F.col("_hit"), "left_anti").select(*COLUMNS)
 

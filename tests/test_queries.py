@@ -9,7 +9,7 @@ from tests.compare import compare, duck
 
 SPREAD = [
     "ag2", "ag3", "ag14", "box16", "dq1", "gr3", "jn4", "jn7", "mt2", "mt5", "mt8", "set5", "sp2", "sp3", "src1", "st2", "st6",
-    "vw7", "wn4",
+    "vw7", "wn4", "ag15", "dq1_content", "dq2_near", "gr2_faults", "hsh2", "jn9", "sp6", "src4", "vw1_roi", "vw3", "wn7",
 ]
 
 
