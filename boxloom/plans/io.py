@@ -38,12 +38,24 @@ def written_files(t: Tables, docs, name: str) -> str:
     return folder
 
 
+#: Images whose boxes share a file. For label files these are one picture, a sheet, as such a file belongs to one picture.
+SHEET = 16
+
+
+def sheets(df, index: str):
+    """``df`` with its ``sheet`` and its place in the sheet's order."""
+    return df.withColumn("sheet", F.expr(f"image_id div {SHEET}")).withColumn("place", F.struct("image_id", index))
+
+
+SHEET_SQL = f"gt_ AS (SELECT *, image_id // {SHEET} AS sheet, row_number() OVER (PARTITION BY image_id // {SHEET} ORDER BY image_id, gt_index) AS place FROM gt)"
+
+
 def file_name(path):
     return F.regexp_extract(path, "/file=([^/]+)/[^/]+$", 1)
 
 
 def image_sizes(t: Tables):
-    return t.images().select(F.col("image_id").cast("string").alias("stem"), "width", "height")
+    return t.images().select(F.expr(f"CAST(image_id div {SHEET} AS STRING)").alias("stem"), "width", "height").distinct()
 
 
 def named(rows):
@@ -51,22 +63,19 @@ def named(rows):
 
 
 W_, H_ = float(IMAGE_WIDTH), float(IMAGE_HEIGHT)
-YOLO_NUMBERS = f"""y AS (SELECT image_id, gt_index, class_id, printf('%.6f', (x1+x2)/(2*{W_}::DOUBLE))::DOUBLE AS cx, printf('%.6f', (y1+y2)/(2*{H_}::DOUBLE))::DOUBLE AS cy,
-  printf('%.6f', (x2-x1)/{W_}::DOUBLE)::DOUBLE AS w, printf('%.6f', (y2-y1)/{H_}::DOUBLE)::DOUBLE AS h FROM gt)"""
+YOLO_NUMBERS = f"""{SHEET_SQL}, y AS (SELECT sheet, place, class_id, printf('%.6f', (x1+x2)/(2*{W_}::DOUBLE))::DOUBLE AS cx, printf('%.6f', (y1+y2)/(2*{H_}::DOUBLE))::DOUBLE AS cy,
+  printf('%.6f', (x2-x1)/{W_}::DOUBLE)::DOUBLE AS w, printf('%.6f', (y2-y1)/{H_}::DOUBLE)::DOUBLE AS h FROM gt_)"""
 
 
 def yolo_files(t: Tables):
-    """Label text of every image; class 3 gets an id past the vocabulary of the reader."""
+    """Label text of every sheet; class 3 gets an id past the vocabulary of the reader."""
     number = "format_string('%d %.6f %.6f %.6f %.6f', class_id, (x1+x2)/(2*{w}D), (y1+y2)/(2*{h}D), (x2-x1)/{w}D, (y2-y1)/{h}D)"
     line = F.expr(number.format(w=W_, h=H_))
-    texts = joined(t.gt(), "image_id", line, "gt_index", "\n\n")
-    return texts.select(
-        F.col("image_id").cast("string").alias("path"), "content", F.lit(IMAGE_WIDTH).alias("width"), F.lit(IMAGE_HEIGHT).alias("height")
-    )
+    return joined(sheets(t.gt(), "gt_index"), "sheet", line, "place", "\n\n").select(F.col("sheet").alias("path"), "content")
 
 
 @query("src1", with_sql("gt") + f""", {YOLO_NUMBERS}
-  SELECT CAST(image_id AS VARCHAR) AS path, CAST(gt_index * 2 + 1 AS INTEGER) AS line_number, class_id AS native_class_id, CASE WHEN class_id < 3 THEN round((cx-w/2)*{W_}::DOUBLE, 3) END AS x1,
+  SELECT CAST(sheet AS VARCHAR) AS path, CAST(place * 2 - 1 AS INTEGER) AS line_number, class_id AS native_class_id, CASE WHEN class_id < 3 THEN round((cx-w/2)*{W_}::DOUBLE, 3) END AS x1,
     CASE WHEN class_id < 3 THEN round((cy+h/2)*{H_}::DOUBLE, 3) END AS y2, CASE WHEN class_id >= 3 THEN 'unknown_class' END AS problem FROM y""")
 def yolo_boxes(t):
     folder = written_files(t, yolo_files(t), "labels")
@@ -74,15 +83,15 @@ def yolo_boxes(t):
     return rounded(rows.select("path", "line_number", "native_class_id", "x1", "y2", "problem"), ("x1", "y2"), 3)
 
 
-@query("src2", with_sql("gt") + f""", p AS (SELECT image_id, gt_index, class_id, x1, y1, x2, y2 FROM gt)
-  SELECT CAST(image_id AS VARCHAR) AS path, CAST(gt_index + 1 AS INTEGER) AS line_number, CASE WHEN class_id < 2 THEN 'yolo_polygon' ELSE 'yolo_bbox' END AS native_format,
-    CASE WHEN class_id < 2 THEN round(printf('%.6f', x2/{W_}::DOUBLE)::DOUBLE*{W_}::DOUBLE, 3) END AS x2, CASE WHEN class_id >= 2 THEN 'invalid_geometry' END AS problem FROM p""")
+@query("src2", with_sql("gt") + f""", {SHEET_SQL}
+  SELECT CAST(sheet AS VARCHAR) AS path, CAST(place AS INTEGER) AS line_number, CASE WHEN class_id < 2 THEN 'yolo_polygon' ELSE 'yolo_bbox' END AS native_format,
+    CASE WHEN class_id < 2 THEN round(printf('%.6f', x2/{W_}::DOUBLE)::DOUBLE*{W_}::DOUBLE, 3) END AS x2, CASE WHEN class_id >= 2 THEN 'invalid_geometry' END AS problem FROM gt_""")
 def yolo_polygons(t):
     """Boxes of two classes as five-point outlines, the others as plain boxes a polygon reader refuses."""
     polygon = F.expr(f"format_string('%d %.6f %.6f %.6f %.6f %.6f %.6f %.6f %.6f', class_id, x1/{W_}D, y1/{H_}D, x2/{W_}D, y1/{H_}D, x2/{W_}D, y2/{H_}D, x1/{W_}D, y2/{H_}D)")
     plain = F.expr(f"format_string('%d %.6f %.6f %.6f %.6f', class_id, (x1+x2)/(2*{W_}D), (y1+y2)/(2*{H_}D), (x2-x1)/{W_}D, (y2-y1)/{H_}D)")
-    texts = joined(t.gt(), "image_id", F.when(F.col("class_id") < 2, polygon).otherwise(plain), "gt_index")
-    docs = texts.select(F.col("image_id").cast("string").alias("path"), "content", F.lit(IMAGE_WIDTH).alias("width"), F.lit(IMAGE_HEIGHT).alias("height"))
+    texts = joined(sheets(t.gt(), "gt_index"), "sheet", F.when(F.col("class_id") < 2, polygon).otherwise(plain), "place")
+    docs = texts.select(F.col("sheet").alias("path"), "content")
     folder = written_files(t, docs, "outlines")
     rows = named(an.read_yolo(t.spark, folder, image_sizes(t), ["a", "b", "c", "d"], "polygon", file_name))
     return rounded(rows.select("path", "line_number", "native_format", "x2", "problem"), ("x2",), 3)
@@ -105,8 +114,8 @@ def voc(t):
         F.lit("<annotation>"), tag("filename", F.col("image_id")), F.lit(f"<size><width>{IMAGE_WIDTH}</width><height>{IMAGE_HEIGHT}</height><depth>3</depth></size>"),
         "content", F.lit("</annotation>"),
     )
-    folder = written_files(t, body.select(F.col("image_id").alias("path"), doc.alias("content")), "voc")
-    rows = named(an.read_voc(t.spark, folder, {"capasitor": "capacitor"}))
+    docs = body.groupBy(F.expr(f"image_id div {SHEET}").alias("path")).agg(F.concat(F.lit("<sheet>\n"), F.array_join(F.collect_list(doc), "\n"), F.lit("\n</sheet>")).alias("content"))
+    rows = an.read_voc(t.spark, written_files(t, docs, "voc"), {"capasitor": "capacitor"}).withColumn("path", F.col("filename"))
     return rows.select("path", "source_index", "class_name", "difficult", "x1", "y1", "x2", "y2", "clamped")
 
 
@@ -116,14 +125,11 @@ def coco_files(t: Tables):
         (F.col("gt_index") + 1).cast("long").alias("id"), F.col("image_id"), F.col("class_id").alias("category_id"),
         F.array(F.col("x1"), F.col("y1"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("bbox"), ring.alias("segmentation"),
     )
-    docs = t.gt().groupBy("image_id").agg(F.collect_list(entry).alias("annotations"))
+    image = F.struct(F.col("image_id").alias("id"), F.concat(F.col("image_id").cast("string"), F.lit(".jpg")).alias("file_name"),
+                     F.lit(IMAGE_WIDTH).alias("width"), F.lit(IMAGE_HEIGHT).alias("height"))
+    docs = sheets(t.gt(), "gt_index").groupBy("sheet").agg(F.collect_list(entry).alias("annotations"), F.collect_set(image).alias("images"))
     names = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(n).alias("name")) for i, n in enumerate(("resistor", "capacitor", "ic"))])
-    image = F.array(F.struct(F.col("image_id").alias("id"), F.concat(F.col("image_id").cast("string"), F.lit(".jpg")).alias("file_name"),
-                             F.lit(IMAGE_WIDTH).alias("width"), F.lit(IMAGE_HEIGHT).alias("height")))
-    return docs.select(
-        F.col("image_id").cast("string").alias("path"),
-        F.to_json(F.struct(image.alias("images"), "annotations", names.alias("categories"))).alias("content"),
-    )
+    return docs.select(F.col("sheet").alias("path"), F.to_json(F.struct("images", "annotations", names.alias("categories"))).alias("content"))
 
 
 @query("src4", with_sql("gt") + """ SELECT image_id, image_id || '.jpg' AS file_name, CAST(gt_index + 1 AS BIGINT) AS annotation_id,
@@ -240,19 +246,22 @@ def prediction_files(t: Tables):
         F.col("image_id"), F.when(F.col("pred_index") == 3, "other.jpg").otherwise(F.concat(F.col("image_id").cast("string"), F.lit(".jpg"))).alias("file_name"),
         F.col("class_id").alias("category_id"), F.array(F.col("x1"), F.col("y1"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("bbox"), "score",
     )
-    rows = t.pred().groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("pred_index", entry.alias("e")))).alias("a"))
-    return rows.select(F.col("image_id").cast("string").alias("path"), F.to_json(F.transform("a", lambda x: x["e"])).alias("content"))
+    rows = sheets(t.pred(), "pred_index").groupBy("sheet").agg(F.sort_array(F.collect_list(F.struct("place", entry.alias("e")))).alias("a"))
+    return rows.select(F.col("sheet").cast("string").alias("path"), F.to_json(F.transform("a", lambda x: x["e"])).alias("content"))
+
+
+PLACE_SQL = f", pl AS (SELECT *, CAST(row_number() OVER (PARTITION BY image_id // {SHEET} ORDER BY image_id, pred_index) - 1 AS INTEGER) AS place FROM pred)"
 
 
-@query("src11", with_sql("pred") + " SELECT image_id, pred_index AS json_index, class_id, score, x1, y1, x2, y2 FROM pred")
+@query("src11", with_sql("pred") + PLACE_SQL + " SELECT image_id, place AS json_index, class_id, score, x1, y1, x2, y2 FROM pl")
 def saved_predictions(t):
     return an.read_predictions(t.spark, written_files(t, prediction_files(t), "predictions")).select("image_id", "json_index", "class_id", "score", "x1", "y1", "x2", "y2")
 
 
-@query("src11_unbound", with_sql("pred") + " SELECT CAST(image_id AS VARCHAR) AS path, pred_index AS json_index, image_id, 'file_mismatch' AS problem FROM pred WHERE pred_index = 3")
+@query("src11_unbound", with_sql("pred") + PLACE_SQL + f" SELECT CAST(image_id // {SHEET} AS VARCHAR) AS path, place AS json_index, image_id, 'file_mismatch' AS problem FROM pl WHERE pred_index = 3")
 def unbound(t):
     images = t.images().select("image_id", F.concat(F.col("image_id").cast("string"), F.lit(".jpg")).alias("file_name"))
-    return an.unbound_predictions(an.parse_predictions(prediction_files(t)), images)
+    return an.unbound_predictions(named(an.read_predictions(t.spark, written_files(t, prediction_files(t), "predictions"))), images)
 
 
 @query("src12", """SELECT CAST(l_linenumber AS INTEGER) AS epoch, round(avg(l_quantity), 6) AS "box_loss", round(avg(l_discount), 6) AS "mAP50" FROM lineitem GROUP BY 1""")
