@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from boxloom import session
 from boxloom.functions.hashing import git_blob_sha
 from boxloom.operators import metrics as ag
 from boxloom.plans.curation import FILES_SQL, class_map, files
@@ -13,15 +12,13 @@ from boxloom.plans.derive import IMAGE_HEIGHT, IMAGE_WIDTH, Tables, bit_sql, wit
 from boxloom.plans.matching import PRF_SQL, match_with, matches, rounded
 from boxloom.plans.metrics import point_sql
 from boxloom.plans.registry import query
-from boxloom.session import checkpoint_root
 from boxloom.sources import annotations as an
 from boxloom.sources import images as im
 from boxloom.sources import writers as wr
 
 
 def scratch(t: Tables, name: str) -> str:
-    """A new folder below the shared checkpoint folder."""
-    return f"{checkpoint_root(t.spark)}/{name}-{uuid.uuid4().hex}"
+    return session.scratch(t.spark, name)
 
 
 def joined(df, key: str, line, order: str, separator: str = "\n"):
@@ -172,7 +169,7 @@ def staged(t):
     thing = F.struct(F.lit("board").alias("cls"), F.array(F.lit(0.0), F.lit(0.0), F.col("c_nationkey").cast("double"), F.lit(1.0)).alias("xyxy"))
     a = t.read("customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_mktsegment").alias("source"), F.col("c_nationkey").cast("int").alias("width"), F.array(thing).alias("objects"))
     b = t.read("supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.sha2("s_name", 256).alias("sha256"))
-    folders = [f"{scratch(t, name)}.jsonl" for name in ("first", "second")]
+    folders = [f"{scratch(t, name)}/records.jsonl" for name in ("first", "second")]
     for rows, folder in zip((a, b), folders, strict=True):
         rows.write.json(folder)
     rows = an.union_staged([an.read_staging(t.spark, f) for f in folders])

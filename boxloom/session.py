@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,7 @@ def local_session(cores: str = "*", app: str = "boxloom", memory: str = "16g") -
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -43,6 +46,26 @@ def checkpoint_root(spark: SparkSession) -> str:
     return configured
 
 
+_scratch: dict[str, SparkSession] = {}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder; removed when the driver program ends."""
+    path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _scratch:
+        atexit.register(_remove_scratch)
+    _scratch[path] = spark
+    return path
+
+
+def _remove_scratch() -> None:
+    for path, spark in _scratch.items():
+        jvm = spark.sparkContext._jvm
+        if jvm is not None:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and continue from the written rows."""
     checkpoint_root(df.sparkSession)
