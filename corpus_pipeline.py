@@ -34,10 +34,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies the smallest id stays; rows without an id or without words stay.
 
-    Where an id stands for several texts these rows go by numbers of their own, below all ids, so each is judged by its text.
+    Rows that share an id go by numbers made of id and text, below all ids, so each text is judged by itself. Ids alone tell which these are.
     """
     docs = docs.select(*COLUMNS)
-    several = docs.select("doc_id", _text().alias("text")).distinct().groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL")
+    several = docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL")
     several = written(several.select(F.col("doc_id").alias("_several")), "several")
     if several.isEmpty():
         named = docs.withColumn("_node", F.col("doc_id"))
