@@ -67,6 +67,15 @@ def _remove_scratch() -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the written rows."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` below the shared checkpoint folder and continue from the written rows.
+
+    A checkpoint computes its rows twice and carries the size that the optimizer guessed for the plan above it, which a loop of joins
+    multiplies in every round; a written table is computed once and has the size of its files. What Parquet can't hold is checkpointed.
+    """
+    names = [c.lower() for c in df.columns]
+    if len(set(names)) < len(names) or "void" in df.schema.simpleString():
+        checkpoint_root(df.sparkSession)
+        return df.checkpoint(eager=True)
+    path = scratch(df.sparkSession, "cut")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
