@@ -306,7 +306,7 @@ o AS (SELECT unnest(range(0, 8)) AS k, unnest({_orders()}) AS o),
 q AS (SELECT vec_id, k, p, s[o[p + 1] + 1] AS v FROM s, o, range(0, 64) p(p)),
 terms AS (SELECT vec_id, k, x.u * 8 + y.u AS i, sum(v * x.b * y.b) AS c FROM q JOIN b x ON x.r = p // 8 JOIN b y ON y.r = p % 8 GROUP BY ALL),
 mids AS (SELECT vec_id, k, list_sort(list(c) FILTER (i > 0))[32] AS m FROM terms GROUP BY ALL),
-hashes AS (SELECT vec_id, k, CAST(sum(CASE WHEN c > m THEN {bit_sql('(63 - i)')} ELSE 0 END) AS BIGINT) AS code FROM terms JOIN mids USING (vec_id, k) GROUP BY ALL)"""
+hashes AS (SELECT vec_id, k, CAST(sum(CASE WHEN c > m + 1e-9::DOUBLE THEN {bit_sql('(63 - i)')} ELSE 0 END) AS BIGINT) AS code FROM terms JOIN mids USING (vec_id, k) GROUP BY ALL)"""
 
 
 @query("hsh1", f"WITH {DCT_SQL} SELECT vec_id, code, 'dct32-ac-median-msb' AS hash_version FROM hashes WHERE k = 0")

@@ -76,9 +76,12 @@ def _resize(g: np.ndarray, height: int, width: int) -> np.ndarray:
 
 
 def phash_of(g: np.ndarray) -> int:
-    """64 low DCT terms of the 32 x 32 image against the median of the 63 without the mean term."""
+    """64 low DCT terms of the 32 x 32 image against the median of the 63 without the mean term.
+
+    Terms of equal size differ by the rounding of their sums, so a term has to be above the median by more than that.
+    """
     low = (_DCT @ _resize(g, 32, 32) @ _DCT.T)[:8, :8].ravel()
-    bits = low > np.median(low[1:])
+    bits = low > np.median(low[1:]) + 1e-9
     return int(np.packbits(bits).view(">i8")[0])
 
 
