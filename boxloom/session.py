@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -60,10 +61,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def _remove_scratch() -> None:
     for path, spark in _scratch.items():
-        jvm = spark.sparkContext._jvm
-        if jvm is not None:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        context = spark.sparkContext
+        if context._jsc is None or context._jvm is None:  # the session has ended; a local folder can still be removed
+            shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
+            continue
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
