@@ -17,6 +17,10 @@ from boxloom.functions.hashing import hamming
 from boxloom.session import cut
 
 
+#: Bits of a join key that hold the number of the choice of bands.
+CHOICE_BITS = 16
+
+
 def _bands(k: int, bits: int, agree: int) -> list[tuple[int, int]]:
     """(start, width) of ``k + agree`` bands; codes within ``k`` bits agree on ``agree`` of them."""
     n = k + agree
@@ -29,7 +33,8 @@ def _band(code: Column, start: int, width: int) -> Column:
 
 
 def band_keys(code: Column, k: int, bits: int, agree: int) -> Column:
-    """Array of join keys, one per choice of ``agree`` bands."""
+    """Array of join keys, one per choice of ``agree`` bands: the values of its bands, then its number in the lowest
+    ``CHOICE_BITS`` bits. A key is one number, which sorts by itself and takes 8 bytes of a shuffled row."""
     bands = _bands(k, bits, agree)
     keys = []
     for i, chosen in enumerate(combinations(range(len(bands)), agree)):
@@ -37,7 +42,7 @@ def band_keys(code: Column, k: int, bits: int, agree: int) -> Column:
         for j in chosen:
             start, width = bands[j]
             value = F.shiftleft(value, width).bitwiseOR(_band(code, start, width))
-        keys.append(F.struct(F.lit(i).alias("choice"), value.alias("value")))
+        keys.append(F.shiftleft(value, CHOICE_BITS).bitwiseOR(F.lit(i).cast("long")))
     return F.array(*keys)
 
 
@@ -57,14 +62,19 @@ def first_choice(a: Column, b: Column, k: int, bits: int, agree: int) -> Column:
 def banded_join(
     left: DataFrame, right: DataFrame, a: str, b: str, k: int, bits: int, agree: int, ordered: bool = False
 ) -> DataFrame:
-    """Pairs of rows with ``hamming(a, b) <= k``, each once; ``ordered`` keeps a < b only."""
+    """Pairs of rows with ``hamming(a, b) <= k``, each once; ``ordered`` keeps a < b only.
+
+    Both sides are sorted and merged. A row becomes one per choice of bands only after the shuffle whose size the adaptive planner
+    sees, so a side that looks small enough for a broadcast may be many times that in the driver.
+    """
     lhs = left.withColumn("_key", F.explode(band_keys(F.col(a), k, bits, agree)))
     rhs = right.withColumn("_key", F.explode(band_keys(F.col(b), k, bits, agree)))
     near = hamming(F.col(a), F.col(b)) <= k
     if ordered:
         near = near & (F.col(a) < F.col(b))
-    pairs = lhs.join(rhs, "_key").filter(near)
-    once = F.col("_key.choice") == first_choice(F.col(a), F.col(b), k, bits, agree)
+    pairs = lhs.hint("merge").join(rhs.hint("merge"), "_key").filter(near)
+    choice = F.col("_key").bitwiseAND(F.lit((1 << CHOICE_BITS) - 1).cast("long"))
+    once = choice == first_choice(F.col(a), F.col(b), k, bits, agree)
     return pairs.filter(once).drop("_key").withColumn("distance", hamming(F.col(a), F.col(b)))
 
 

@@ -40,6 +40,16 @@ def test_banded_search_is_exact(spark, k, agree):
     assert len(got) == len(set(got)) and set(got) == brute
 
 
+def test_band_keys_are_never_broadcast(spark):
+    """The rows of a side multiply after the shuffle whose size decides on a broadcast."""
+    a = spark.range(50).select(F.col("id").alias("a")).repartition("a")
+    b = spark.range(50).select(F.col("id").alias("b")).repartition("b")
+    pairs = sim.banded_join(a, b, "a", "b", 2, 64, 2)
+    assert pairs.count() == sum(bits_between(x, y) <= 2 for x in range(50) for y in range(50))
+    text = spark._jvm.PythonSQLUtils.explainString(pairs._jdf.queryExecution(), "simple")
+    assert "SortMergeJoin" in text and "Broadcast" not in text
+
+
 def test_copies_are_counted_not_paired(spark):
     rows, df = codes(spark)
     pairs = sim.similar_pairs(df, 4)
