@@ -278,7 +278,8 @@ grey AS (SELECT * FROM grey0 UNION ALL SELECT vec_id + {COPY}, bucket, pixels FR
   FROM held a JOIN held b ON a.bucket = b.bucket AND a.id < b.id) WHERE mae <= 12 UNION ALL SELECT bucket, id, id, n, n, 0 FROM held WHERE n > 1""")
 def copies(t):
     """All vectors, and a second row for every seventh, so that there are exact copies."""
-    pixels = F.transform("embedding", lambda x: F.floor(x.cast("double") * 100).cast("int"))
+    # in single precision, like the vectors
+    pixels = F.transform("embedding", lambda x: F.floor(x.cast("float") * F.lit(100).cast("float")).cast("int"))
     ids = F.when(F.col("vec_id") % 7 == 0, F.array("vec_id", F.col("vec_id") + COPY)).otherwise(F.array("vec_id"))
     grey = t.read("embeddings").select(F.explode(ids).alias("vec_id"), F.col("label").alias("bucket"), pixels.alias("pixels"))
     return rounded(sim.near_copies(grey, 12.0, "vec_id"), ("mae",))
