@@ -165,8 +165,11 @@ def to_coco(objects: DataFrame, order: list[str]) -> DataFrame:
 
 
 def boxes_from_csv(sizes: DataFrame, rects: DataFrame) -> DataFrame:
-    """Size and rectangle tables joined by file name; code and condition come from the name."""
-    return sizes.join(rects, "Image").select(
+    """Size and rectangle tables joined by file name; code and condition come from the name.
+
+    A size that is listed again for its file counts once, so no rectangle is repeated.
+    """
+    return sizes.distinct().join(rects, "Image").select(
         F.col("Image").alias("image"), F.substring("Image", 1, 1).alias("code"), F.substring("Image", 1, 4).alias("condition"),
         F.col("Width").alias("image_width"), F.col("Height").alias("image_height"),
         F.col("Left").cast("double").alias("x1"), F.col("Top").cast("double").alias("y1"),
