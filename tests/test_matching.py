@@ -49,6 +49,30 @@ def test_random_scenes_equal_brute_force(spark, monkeypatch, tie, rounds):
     assert matched(mt.greedy_match(p, g, tie=tie)) == brute.match(preds, gts, tie=tie)
 
 
+def test_rounds_shuffle_pairs_once_and_crowds_apart(spark, monkeypatch):
+    """All rounds of ordinary groups are one job whose windows find the pairs in place; crowded groups give the same pairs."""
+    rng = random.Random(5)
+    box = lambda: (x := rng.randrange(30), y := rng.randrange(30), x + 20, y + 20)
+    gts = spark.createDataFrame([(i, k, 0, *map(float, box())) for i in range(3) for k in range(12)], "image_id int, gt_index int, class_id int, x1 double, y1 double, x2 double, y2 double")
+    preds = spark.createDataFrame(
+        [(i, k, 0, rng.random(), *map(float, box())) for i in range(3) for k in range(24)],
+        "image_id int, pred_index int, class_id int, score double, x1 double, y1 double, x2 double, y2 double",
+    )
+    plans, plain_cut = [], mt.cut
+
+    def noted(df):
+        if "_settled" in df.columns:
+            plans.append(spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple"))
+        return plain_cut(df)
+
+    monkeypatch.setattr(mt, "cut", noted)
+    run = lambda: sorted(map(str, mt.greedy_match(preds, gts, [0.3, 0.5, 0.7]).collect()))
+    common = run()
+    assert len(plans) == 1 and plans[0].count("Exchange hashpartitioning") == 1
+    monkeypatch.setattr(mt, "CROWD", 20)
+    assert run() == common and len(common) == 3 * 72
+
+
 @pytest.mark.parametrize("rounds", [0, 6])
 def test_levels_ranks_and_bits(spark, monkeypatch, rounds):
     monkeypatch.setattr(mt, "ROUNDS", rounds)
