@@ -1,11 +1,12 @@
 """Masks as run-length rows ``image_id, instance, y, x_start, x_end`` (half-open pixel spans).
 
-Masks are never rasterised: intersections are joins of runs on (image, row, column cell).
+A run that goes on over several rows may say so once, with ``y_end`` (half-open, ``y + 1`` without it). Masks are never
+rasterised: intersections are joins of such rectangles on (image, cell).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,29 +16,41 @@ from boxloom.session import cut
 CELL = 64
 
 
+def area() -> Column:
+    """Pixels of a run with ``y_end``."""
+    return ((F.col("x_end") - F.col("x_start")) * (F.col("y_end") - F.col("y"))).cast("long")
+
+
 def box_runs(boxes: DataFrame, keep: list[str]) -> DataFrame:
-    """Runs of axis-aligned boxes with integer corners."""
-    rows = F.sequence(F.col("y1").cast("int"), F.col("y2").cast("int") - 1)
+    """Runs of axis-aligned boxes with integer corners, one per box."""
     return boxes.filter((F.col("y2") > F.col("y1")) & (F.col("x2") > F.col("x1"))).select(
-        *keep, F.explode(rows).alias("y"), F.col("x1").cast("int").alias("x_start"),
-        F.col("x2").cast("int").alias("x_end"),
+        *keep, *(F.col(c).cast("int").alias(n) for c, n in (("y1", "y"), ("y2", "y_end"), ("x1", "x_start"), ("x2", "x_end")))
     )
 
 
+def _tall(runs: DataFrame) -> DataFrame:
+    return runs if "y_end" in runs.columns else runs.withColumn("y_end", F.col("y") + 1)
+
+
 def _celled(runs: DataFrame) -> DataFrame:
-    first = F.floor(F.col("x_start") / CELL).cast("int")
-    last = F.floor((F.col("x_end") - 1) / CELL).cast("int")
-    return runs.withColumn("_cell", F.explode(F.sequence(first, last)))
+    """One row per cell that a run touches."""
+    def span(lo, hi):
+        return F.explode(F.sequence(F.floor(F.col(lo) / CELL).cast("int"), F.floor((F.col(hi) - 1) / CELL).cast("int")))
+
+    return runs.withColumn("_cx", span("x_start", "x_end")).withColumn("_cy", span("y", "y_end"))
 
 
 def run_overlaps(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Overlapping run pieces of ``a`` and ``b`` (columns of ``b`` prefixed ``b_``) with ``pixels``."""
-    right = _celled(b)
-    right = right.select(*[F.col(c) if c in keys or c in ("y", "_cell") else F.col(c).alias("b_" + c) for c in right.columns])
-    lo, hi = F.greatest("x_start", "b_x_start"), F.least("x_end", "b_x_end")
-    pairs = _celled(a).join(right, [*keys, "y", "_cell"]).filter(hi > lo)
-    # a piece that spans cells is counted once, in the cell of its first column
-    return pairs.filter(F.floor(lo / CELL) == F.col("_cell")).withColumn("pixels", (hi - lo).cast("long"))
+    right = _celled(_tall(b))
+    right = right.select(*[F.col(c) if c in keys or c in ("_cx", "_cy") else F.col(c).alias("b_" + c) for c in right.columns])
+    (left, right_end), (top, bottom) = (
+        (F.greatest(lo, "b_" + lo), F.least(hi, "b_" + hi)) for lo, hi in (("x_start", "x_end"), ("y", "y_end"))
+    )
+    pairs = _celled(_tall(a)).join(right, [*keys, "_cx", "_cy"]).filter((right_end > left) & (bottom > top))
+    # a piece that spans cells is counted once, in the cell of its first corner
+    once = (F.floor(left / CELL) == F.col("_cx")) & (F.floor(top / CELL) == F.col("_cy"))
+    return pairs.filter(once).withColumn("pixels", ((right_end - left) * (bottom - top)).cast("long"))
 
 
 def mask_iou_pairs(a: DataFrame, b: DataFrame, keys: list[str], self_join: bool = False) -> DataFrame:
@@ -46,10 +59,8 @@ def mask_iou_pairs(a: DataFrame, b: DataFrame, keys: list[str], self_join: bool
     if self_join:
         pairs = pairs.filter(F.col("instance") < F.col("b_instance"))
     inter = pairs.groupBy(*keys, "instance", "b_instance").agg(F.sum("pixels").alias("inter"))
-    area_a = a.groupBy(*keys, "instance").agg(F.sum(F.col("x_end") - F.col("x_start")).alias("area"))
-    area_b = b.groupBy(*keys, F.col("instance").alias("b_instance")).agg(
-        F.sum(F.col("x_end") - F.col("x_start")).alias("b_area")
-    )
+    area_a = _tall(a).groupBy(*keys, "instance").agg(F.sum(area()).alias("area"))
+    area_b = _tall(b).groupBy(*keys, F.col("instance").alias("b_instance")).agg(F.sum(area()).alias("b_area"))
     joined = inter.join(area_a, [*keys, "instance"]).join(area_b, [*keys, "b_instance"])
     return joined.select(
         *keys, "instance", "b_instance",
@@ -79,55 +90,68 @@ def mask_nms(instances: DataFrame, runs: DataFrame, iou: float = 0.6) -> DataFra
     return instances.join(removed.withColumnRenamed("pred_index", "instance"), [*keys, "instance"], "left_anti")
 
 
+def _pieces(runs: DataFrame, keys: list[str], kept: list[str]) -> DataFrame:
+    """The runs clipped to cells and cut at the ends of all runs of their cell: any two of the result coincide or are disjoint.
+
+    Rows meet once, by (keys, cell). A cell has at most ``CELL`` + 1 cuts either way, however many runs it holds.
+    """
+    cell = [*keys, "_cx", "_cy"]
+    runs = _celled(_tall(runs))
+    clip = [(F.greatest(lo, F.col(at) * CELL).alias(lo), F.least(hi, (F.col(at) + 1) * CELL).alias(hi)) for at, lo, hi in (("_cx", "x_start", "x_end"), ("_cy", "y", "y_end"))]
+    runs = runs.select(*cell, *kept, *clip[0], *clip[1]).repartition(*cell)
+    for lo, hi, inside in (("y", "y_end", cell), ("x_start", "x_end", [*cell, "y", "y_end"])):
+        w = W.partitionBy(*inside)
+        ends = F.array_sort(F.array_union(F.collect_set(lo).over(w), F.collect_set(hi).over(w)))
+        mine = F.filter("_ends", lambda v: (v >= F.col(lo)) & (v <= F.col(hi)))  # noqa: B023
+        parts = F.zip_with(F.slice("_mine", 1, F.size("_mine") - 1), F.slice("_mine", 2, F.size("_mine") - 1), lambda s, e: F.struct(s.alias("s"), e.alias("e")))
+        runs = runs.withColumn("_ends", ends).withColumn("_mine", mine).withColumn("_part", F.explode(parts))
+        runs = runs.withColumn(lo, F.col("_part.s")).withColumn(hi, F.col("_part.e")).drop("_ends", "_mine", "_part")
+    return runs
+
+
+PIECE = ["_cx", "_cy", "y", "y_end", "x_start", "x_end"]
+
+
+def _owner() -> Column:
+    return F.struct("score", (-F.col("instance")).alias("order"), "class_id")
+
+
 def paint(runs: DataFrame, keys: list[str]) -> DataFrame:
     """Give every pixel to the run with the highest score, the earlier instance on a tie.
 
-    ``runs``: keys, y, x_start, x_end, class_id, score, instance. Each row of an image is cut at
+    ``runs``: keys, y, x_start, x_end, class_id, score, instance, maybe y_end. Each cell of an image is cut at
     all run ends; every elementary piece takes the best run over it.
     """
-    row = [*keys, "y"]
-    ends = runs.select(*row, F.explode(F.array("x_start", "x_end")).alias("lo")).distinct()
-    pieces = ends.withColumn("hi", F.lead("lo").over(W.partitionBy(*row).orderBy("lo"))).filter(F.col("hi").isNotNull())
-    cells = pieces.withColumn("_cell", F.floor(F.col("lo") / CELL).cast("int"))
-    over = cells.join(_celled(runs), [*row, "_cell"]).filter(
-        (F.col("x_start") <= F.col("lo")) & (F.col("x_end") > F.col("lo"))
-    )
-    owner = F.max(F.struct("score", (-F.col("instance")).alias("order"), "class_id")).alias("o")
-    return over.groupBy(*row, "lo", "hi").agg(owner).select(
-        *row, F.col("lo").alias("x_start"), F.col("hi").alias("x_end"), F.col("o.class_id").alias("class_id"),
-        (-F.col("o.order")).alias("instance"),
+    pieces = _pieces(runs, keys, ["class_id", "score", "instance"])
+    return pieces.groupBy(*keys, *PIECE).agg(F.max(_owner()).alias("o")).select(
+        *keys, *PIECE[2:], F.col("o.class_id").alias("class_id"), (-F.col("o.order")).alias("instance")
     )
 
 
 def confusion(gt_runs: DataFrame, pred_runs: DataFrame, pixels: DataFrame, classes: int) -> DataFrame:
-    """Pixel confusion of painted labels; class 0 is what no run covers.
+    """Pixel confusion of two sets of runs, each painted as ``paint`` does; class 0 is what no run covers.
 
-    ``pixels`` has one column ``total``. Rows: gt_class, pred_class, n.
+    Both are cut and painted in one pass. ``pixels`` has one column ``total``. Rows: gt_class, pred_class, n.
     """
-    keys = ["image_id"]
-    both = run_overlaps(gt_runs, pred_runs, keys).groupBy(
-        F.col("class_id").alias("gt_class"), F.col("b_class_id").alias("pred_class")
-    ).agg(F.sum("pixels").alias("n"))
-    length = F.sum((F.col("x_end") - F.col("x_start")).cast("long"))
-    gt_area = gt_runs.groupBy(F.col("class_id").alias("gt_class")).agg(length.alias("n"))
-    pred_area = pred_runs.groupBy(F.col("class_id").alias("pred_class")).agg(length.alias("n"))
-    minus = (-F.col("n")).alias("n")
+    names = ["class_id", "score", "instance"]
+    rows = [
+        _tall(runs).select("image_id", "y", "y_end", "x_start", "x_end", F.col("class_id").cast("int").alias("class_id"),
+                           F.col("score").cast("double").alias("score"), F.col("instance").cast("long").alias("instance"), F.lit(side).alias("truth"))
+        for runs, side in ((gt_runs, True), (pred_runs, False))
+    ]
+    pieces = _pieces(rows[0].unionByName(rows[1]), ["image_id"], [*names, "truth"])
+    owned = pieces.groupBy("image_id", *PIECE).agg(F.max(F.when(F.col("truth"), _owner())).alias("g"), F.max(F.when(~F.col("truth"), _owner())).alias("p"))
     zero = F.lit(0)
-    parts = (
-        both
-        .unionByName(gt_area.select("gt_class", zero.alias("pred_class"), "n"))
-        .unionByName(both.select("gt_class", zero.alias("pred_class"), minus))
-        .unionByName(pred_area.select(zero.alias("gt_class"), "pred_class", "n"))
-        .unionByName(both.select(zero.alias("gt_class"), "pred_class", minus))
-        .unionByName(pixels.select(zero.alias("gt_class"), zero.alias("pred_class"), F.col("total").cast("long").alias("n")))
-        .unionByName(gt_area.select(zero.alias("gt_class"), zero.alias("pred_class"), minus))
-        .unionByName(pred_area.select(zero.alias("gt_class"), zero.alias("pred_class"), minus))
-        .unionByName(both.select(zero.alias("gt_class"), zero.alias("pred_class"), "n"))
+    both = owned.groupBy(F.coalesce("g.class_id", zero).alias("gt_class"), F.coalesce("p.class_id", zero).alias("pred_class")).agg(F.sum(area()).alias("n"))
+    both = cut(both)  # at most classes x classes rows, read twice below
+    covered = both.agg(F.sum("n").alias("covered"))
+    empty = pixels.join(covered, F.lit(True)).select(
+        zero.alias("gt_class"), zero.alias("pred_class"), (F.col("total").cast("long") - F.coalesce("covered", zero)).alias("n")
     )
     grid = pixels.select(F.explode(F.sequence(zero, F.lit(classes - 1))).alias("gt_class")).select(
         "gt_class", F.explode(F.sequence(zero, F.lit(classes - 1))).alias("pred_class"), zero.cast("long").alias("n")
     )
-    return parts.unionByName(grid).groupBy("gt_class", "pred_class").agg(F.sum("n").alias("n"))
+    return both.unionByName(empty).unionByName(grid).groupBy("gt_class", "pred_class").agg(F.sum("n").alias("n"))
 
 
 def class_iou(table: DataFrame) -> DataFrame:

@@ -255,7 +255,7 @@ def latency(t):
     return rounded(rows.withColumn("total", F.round("total", 4)), ("mean", "p50", "p95"), 6)
 
 
-def painted(t: Tables):
+def class_runs(t: Tables):
     keep = ["image_id", "class_id", "score", "instance"]
     ex = t.excluded().select(
         "image_id",
@@ -266,7 +266,7 @@ def painted(t: Tables):
         "image_id", (F.col("class_id") % 3 + 1).alias("class_id"),
         (F.col("gt_index") % 10 / F.lit(10.0)).alias("score"), F.col("gt_index").alias("instance"), "x1", "y1", "x2", "y2",
     )
-    return mk.paint(mk.box_runs(ex, keep), ["image_id"]), mk.paint(mk.box_runs(gt, keep), ["image_id"])
+    return mk.box_runs(ex, keep), mk.box_runs(gt, keep)
 
 
 # reference SQL works on single pixels, the engine on runs
@@ -284,10 +284,8 @@ gp AS (
 
 @query("ag17", PIXELS_SQL + " SELECT image_id, CAST(class_id AS INTEGER) AS class_id, count(*) AS pixels FROM gp GROUP BY ALL")
 def painting(t):
-    runs = painted(t)[1]
-    return runs.groupBy("image_id", F.col("class_id").cast("int").alias("class_id")).agg(
-        F.sum((F.col("x_end") - F.col("x_start")).cast("long")).alias("pixels")
-    )
+    runs = mk.paint(class_runs(t)[1], ["image_id"])
+    return runs.groupBy("image_id", F.col("class_id").cast("int").alias("class_id")).agg(F.sum(mk.area()).alias("pixels"))
 
 
 CONFUSION_SQL = PIXELS_SQL + f""", pairs AS (
@@ -303,7 +301,7 @@ cm AS (SELECT CAST(gt_class AS INTEGER) AS gt_class, CAST(pred_class AS INTEGER)
 
 def confusion(t: Tables):
     pixels = t.images().agg((F.count("*") * IMAGE_WIDTH * IMAGE_HEIGHT).alias("total"))
-    gt, pred = painted(t)
+    gt, pred = class_runs(t)
     return mk.confusion(gt, pred, pixels, 4)
 
 
