@@ -212,8 +212,8 @@ def instances(t: Tables):
     return t.gt().select("image_id", ident.alias("instance_id"), "gt_index", "class_id", "x1", "y1", "x2", "y2")
 
 
-def view_rows(t: Tables):
-    return cut(vw.make_views(t.images(), instances(t), TILE, CONTEXT, [3], "gt_index"))
+def view_rows(t: Tables, objects=None):
+    return cut(vw.make_views(t.images(), instances(t) if objects is None else objects, TILE, CONTEXT, [3], "gt_index"))
 
 
 # the objects of an image one after the other, with the crops made so far
@@ -253,15 +253,24 @@ def made(t):
     return view_rows(t).select("view_id", "image_id", "kind")
 
 
-def routed(t: Tables, views=None):
-    return vw.route_targets(view_rows(t) if views is None else views, instances(t), t.excluded())
+def routed(t: Tables, views=None, objects=None):
+    objects = instances(t) if objects is None else objects
+    return vw.route_targets(view_rows(t, objects) if views is None else views, objects, t.excluded())
 
 
-def prepared(t: Tables):
-    """Views, their routed objects and the draws, each made once."""
-    views = view_rows(t)
-    parts = cut(routed(t, views))
-    return views, parts, cut(vw.weighted_draws(vw.sampling_weight(views, parts.filter("role = 'target'"), [2]), N_DRAWS, 7))
+def prepared(t: Tables, columns: tuple[str, ...] = (), rows: str = "TRUE"):
+    """Views, the ``columns`` of their routed objects (of the ``rows`` asked for) and the draws, each made once.
+
+    Without ``columns`` the routed objects serve the weights alone and are not written.
+    """
+    objects = cut(instances(t))
+    views = view_rows(t, objects)
+    parts = routed(t, views, objects)
+    if columns:
+        preferred = "role = 'target' AND class_id = 2"  # the weights need these
+        parts = cut(parts.filter(f"({rows}) OR ({preferred})").select(*dict.fromkeys(["view_id", "role", "class_id", *columns])))
+    draws = cut(vw.weighted_draws(vw.sampling_weight(views, parts.filter("role = 'target'"), [2]), N_DRAWS, 7))
+    return views, parts.filter(rows) if columns else None, draws
 
 
 @query("vw4", VIEW_SQL + " SELECT view_id, instance_id, role, reason, round(visible_fraction, 6) AS visible_fraction, round(cx, 6) AS cx, round(cy, 6) AS cy, round(w, 6) AS w, round(h, 6) AS h FROM routed")
@@ -283,8 +292,9 @@ wt AS (SELECT *, priority / sum(priority) OVER (PARTITION BY group_id) AS sampli
 
 
 def weighted(t: Tables):
-    views = view_rows(t)
-    return vw.sampling_weight(views, routed(t, views).filter("role = 'target'"), [2])
+    objects = cut(instances(t))
+    views = view_rows(t, objects)
+    return vw.sampling_weight(views, routed(t, views, objects).filter("role = 'target'"), [2])
 
 
 @query("vw6", WEIGHT_SQL + " SELECT view_id, priority, round(sampling_weight, 12) AS sampling_weight FROM wt")
@@ -308,7 +318,7 @@ def draws(t):
   count(DISTINCT CASE WHEN n > 0 THEN instance_id END) AS instances_seen, count(DISTINCT CASE WHEN n > 0 AND visible_fraction >= 1 - 1e-12 THEN instance_id END) AS instances_complete
   FROM routed LEFT JOIN draws USING (view_id) GROUP BY class_id, role, reason""")
 def exposure(t):
-    _, parts, draws = prepared(t)
+    _, parts, draws = prepared(t, ("instance_id", "visible_fraction", "reason"))
     return vw.exposures(draws, parts, ["class_id", "role", "reason"])
 
 
@@ -332,8 +342,8 @@ def _centres(lo: str, hi: str, s: int) -> str:
   SELECT reason, count(*) AS regions, CAST(sum(e) AS BIGINT) AS without_centre, CAST(sum(coalesce(n, 0)) AS BIGINT) AS exposures, CAST(sum(coalesce(n, 0)*e) AS BIGINT) AS exposures_without_centre
   FROM em LEFT JOIN draws USING (view_id) GROUP BY reason""")
 def coverage(t):
-    _, parts, draws = prepared(t)
-    return vw.ignore_coverage(draws, parts.filter("role = 'ignore'"))
+    _, parts, draws = prepared(t, ("reason", "cx", "cy", "w", "h", "width", "height"), "role = 'ignore'")
+    return vw.ignore_coverage(draws, parts)
 
 
 @query("vw9", with_sql("gt") + """, s AS (SELECT image_id, gt_index, x1*(162/464.0::DOUBLE) AS x1, y1*(127/364.0::DOUBLE) AS y1, x2*(162/464.0::DOUBLE) AS x2, y2*(127/364.0::DOUBLE) AS y2 FROM gt)
@@ -373,8 +383,8 @@ def not_covered(t):
 @query("ag31", DRAW_SQL + """ SELECT class_id, o.original, s.stored, s.exposures FROM (SELECT class_id, count(*) AS original FROM gt GROUP BY 1) o
   JOIN (SELECT class_id, count(*) AS stored, CAST(sum(coalesce(n, 0)) AS BIGINT) AS exposures FROM routed LEFT JOIN draws USING (view_id) WHERE role = 'target' GROUP BY 1) s USING (class_id)""")
 def ledger(t):
-    _, parts, draws = prepared(t)
-    return vw.label_ledger(t.gt(), parts.filter("role = 'target'"), draws)
+    _, parts, draws = prepared(t, ("instance_id", "visible_fraction"), "role = 'target'")
+    return vw.label_ledger(t.gt(), parts, draws)
 
 
 @query("ag31_groups", DRAW_SQL + """ SELECT group_id, count(*) AS views, CAST(sum(coalesce(n, 0)) AS BIGINT) AS draws, round(sum(coalesce(n, 0)) / (SELECT sum(n) FROM draws)::DOUBLE, 9) AS share,
