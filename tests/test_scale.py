@@ -156,3 +156,27 @@ def test_draws_of_one_heavy_view(spark):
     starts = np.concatenate([[0], np.cumsum(weights)[:-1]]) / np.sum(weights)
     want = Counter(int(np.flatnonzero((starts <= x) & (np.array(weights) > 0))[-1]) for x in u)
     assert got == dict(want) and got[251] > 3900 and 0 not in got
+
+
+def test_boxes_are_made_after_their_shuffle(spark, folder):
+    """Only the four numbers of a line item that its box is made from, and its image, are shuffled."""
+    from boxloom.plans.derive import Tables
+
+    for rows in (Tables(spark, folder).gt(), Tables(spark, folder).excluded()):
+        lines = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        below = "\n".join(lines[next(i for i, x in enumerate(lines) if "Window [" in x) + 1 :])
+        assert not any(f" AS {c}#" in below for c in ("ox", "oy", "bw", "bh"))
+
+
+def test_leave_one_out_writes_predictions_twice(spark, monkeypatch):
+    """Once as they come, once in order; no further table of all predictions for their places."""
+    from boxloom.operators import prefix
+
+    wrote = []
+    for module in (ag, prefix):
+        cut = module.cut
+        monkeypatch.setattr(module, "cut", lambda df, cut=cut: (wrote.append(df.columns), cut(df))[1])
+    hits = spark.createDataFrame([(k % 3, 0, k, k / 50.0, 1, k % 2, 1, k % 5) for k in range(40)], "image_id long, class_id int, pred_index int, score double, rank int, hits int, seen int, site long")
+    npos = spark.createDataFrame([(0, s, 10) for s in range(5)], "class_id int, site long, npos long")
+    assert ag.leave_one_out_ap(hits, npos, "site", levels=[0.5]).count() == 5 * 2 * 2
+    assert sum("hits" in columns for columns in wrote) == 2
