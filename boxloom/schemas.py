@@ -42,3 +42,5 @@ MANIFEST_CSV = (
     "image_sha256 string, annotation_sha256 string, label_status string, "
     "license_id string, license_review string"
 )
+
+ARCHIVED_TEXT = "path string, content string"

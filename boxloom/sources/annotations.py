@@ -13,6 +13,9 @@ from boxloom.functions.boxes import Box, box, box_area, box_from_voc, box_from_y
 from boxloom.functions.text import stem
 from boxloom.operators.prefix import running
 
+#: How a reader gets its rows path, content: ``whole_text`` of plain files or ``archived_text``.
+Texts = Callable[..., DataFrame]
+
 
 def whole_text(spark: SparkSession, path: str, **options) -> DataFrame:
     """One row per file: path, content."""
@@ -20,6 +23,12 @@ def whole_text(spark: SparkSession, path: str, **options) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
+def archived_text(spark: SparkSession, path: str) -> DataFrame:
+    """The documents of an archive as rows path, content: what ``whole_text`` gives of a folder of files, without a file, a folder
+    and a listing for each. ``writers.write_archive`` makes it; a reader takes it as its ``texts``."""
+    return spark.read.schema(schemas.ARCHIVED_TEXT).parquet(path)
+
+
 # ---------------------------------------------------------------- YOLO text
 
 
@@ -72,10 +81,11 @@ def parse_yolo(files: DataFrame, n_classes: int, geometry: str = "any") -> DataF
 
 
 def read_yolo(
-    spark: SparkSession, path: str, images: DataFrame, classes: list[str], geometry: str = "any", name: Callable[[Column], Column] = stem
+    spark: SparkSession, path: str, images: DataFrame, classes: list[str], geometry: str = "any", name: Callable[[Column], Column] = stem,
+    texts: Texts = whole_text,
 ) -> DataFrame:
     """Label files under ``path`` joined to their images by stem (``images``: stem, width, height); ``name`` takes the stem from a path."""
-    files = whole_text(spark, path).withColumn("stem", name(F.col("path")))
+    files = texts(spark, path).withColumn("stem", name(F.col("path")))
     rows = parse_yolo(files.join(images.select("stem", "width", "height"), "stem"), len(classes), geometry)
     names = F.array(*[F.lit(c) for c in classes])
     return rows.withColumn("native", F.get(names, F.col("native_class_id")))
@@ -106,7 +116,12 @@ def parse_voc(files: DataFrame, spelling: dict[str, str] | None = None, clamp: b
     return _voc_objects(docs, ["path"], spelling or {}, clamp)
 
 
-def read_voc(spark: SparkSession, path: str, spelling: dict[str, str] | None = None, clamp: bool = True) -> DataFrame:
+def read_voc(
+    spark: SparkSession, path: str, spelling: dict[str, str] | None = None, clamp: bool = True, texts: Texts | None = None
+) -> DataFrame:
+    """One row per object of the annotations in XML files, several to a file if need be, or of ``texts`` with one annotation each."""
+    if texts is not None:
+        return parse_voc(texts(spark, path), spelling, clamp)
     rows = spark.read.format("xml").option("rowTag", "annotation").schema(schemas.VOC_ANNOTATION).load(path)
     docs = rows.select(F.col("_metadata.file_path").alias("path"), F.struct("filename", "size", "object").alias("a"))
     return _voc_objects(docs, ["path"], spelling or {}, clamp)
@@ -147,8 +162,8 @@ def parse_coco(files: DataFrame) -> DataFrame:
     )
 
 
-def read_coco(spark: SparkSession, path: str) -> DataFrame:
-    return parse_coco(whole_text(spark, path))
+def read_coco(spark: SparkSession, path: str, texts: Texts = whole_text) -> DataFrame:
+    return parse_coco(texts(spark, path))
 
 
 def to_coco(objects: DataFrame, order: list[str]) -> DataFrame:
@@ -256,8 +271,8 @@ def parse_predictions(files: DataFrame) -> DataFrame:
     )
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    return parse_predictions(whole_text(spark, path))
+def read_predictions(spark: SparkSession, path: str, texts: Texts = whole_text) -> DataFrame:
+    return parse_predictions(texts(spark, path))
 
 
 def unbound_predictions(pred: DataFrame, images: DataFrame) -> DataFrame:

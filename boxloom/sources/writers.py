@@ -64,3 +64,8 @@ def write_once(df: DataFrame, path: str) -> None:
 def write_metrics_csv(df: DataFrame, path: str) -> None:
     """A metric table (already aggregated) as one CSV file with a header."""
     df.coalesce(1).write.mode("errorifexists").csv(path, header=True)
+
+
+def write_archive(docs: DataFrame, path: str) -> None:
+    """Documents (``path``, ``content``) as rows of a few large files, which ``annotations.archived_text`` reads."""
+    docs.select(F.col("path").cast("string").alias("path"), "content").write.option("compression", "zstd").parquet(path)

@@ -147,3 +147,29 @@ def test_class_names_of_a_dataset_file(spark):
     assert {r.path: r.problem for r in rows if r.problem} == {
         "gap": "ids_not_contiguous", "twice": "duplicate_names", "count": "count_disagrees", "none": "no_names", "empty": "no_names",
     }
+
+
+def test_archived_texts_are_read_as_files_are(spark, tmp_path):
+    """One archive of a few files in place of a file per text; the readers give the same rows."""
+    texts = {f"{k}": f"0 0.5 0.5 0.2 0.4\n\n{k % 3} 0.1 0.1 0.9 0.1 0.9 0.8\nx 1 2" for k in range(40)}
+    (tmp_path / "plain").mkdir()
+    for name, text in texts.items():
+        (tmp_path / "plain" / f"{name}.txt").write_text(text)
+    docs = spark.createDataFrame(list(texts.items()), "path string, content string").repartition(2)
+    wr.write_archive(docs, str(tmp_path / "archive"))
+    assert len(list((tmp_path / "archive").glob("*.parquet"))) == 2
+    sizes = spark.createDataFrame([(name, 100, 200) for name in texts], "stem string, width int, height int")
+    columns = ["line_number", "native_class_id", "native", "x1", "y2", "problem"]
+    rows = [an.read_yolo(spark, str(tmp_path / f), sizes, ["r", "c"], texts=how) for f, how in (("plain", an.whole_text), ("archive", an.archived_text))]
+    plain, archived = (sorted(r.select(an.stem(r.path).alias("s"), *columns).collect(), key=lambda r: (r.s, r.line_number)) for r in rows)
+    assert plain == archived and len(plain) == 120
+
+
+@pytest.mark.parametrize("key", ["src1", "src2", "src3", "src4", "src11", "src11_unbound"])
+def test_sheets_share_files(spark, folder, tmp_path, monkeypatch, key):
+    """The files that a query writes don't grow with its sheets."""
+    from boxloom import plans, session
+
+    monkeypatch.setattr(session, "checkpoint_root", lambda spark: str(tmp_path))
+    plans.queries()[key](spark, folder)
+    assert len([f for f in tmp_path.rglob("part-*") if f.is_file()]) <= 4
