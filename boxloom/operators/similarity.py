@@ -7,9 +7,12 @@ Equal codes are collapsed first: a group of copies is one code with a count, wha
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ from boxloom.session import cut
 
 #: Bits of a join key that hold the number of the choice of bands.
 CHOICE_BITS = 16
+#: Pairs that are compared at once, in arrays.
+COMPARED = 1 << 19
 
 
 def _bands(k: int, bits: int, agree: int) -> list[tuple[int, int]]:
@@ -32,50 +37,87 @@ def _band(code: Column, start: int, width: int) -> Column:
     return F.shiftrightunsigned(code, start).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
-def band_keys(code: Column, k: int, bits: int, agree: int) -> Column:
-    """Array of join keys, one per choice of ``agree`` bands: the values of its bands, then its number in the lowest
-    ``CHOICE_BITS`` bits. A key is one number, which sorts by itself and takes 8 bytes of a shuffled row."""
+def _keyed(k: int, bits: int, agree: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``key``, ``code``: a row per code and choice of ``agree`` bands, from rows (``code``, ``side``).
+
+    A key is the values of the bands, then the number of their choice in ``CHOICE_BITS`` bits, and the side in the lowest bit: one
+    number, which sorts by itself and takes 8 bytes of a shuffled row.
+    """
     bands = _bands(k, bits, agree)
-    keys = []
-    for i, chosen in enumerate(combinations(range(len(bands)), agree)):
-        value = F.lit(0).cast("long")
-        for j in chosen:
-            start, width = bands[j]
-            value = F.shiftleft(value, width).bitwiseOR(_band(code, start, width))
-        keys.append(F.shiftleft(value, CHOICE_BITS).bitwiseOR(F.lit(i).cast("long")))
-    return F.array(*keys)
-
-
-def first_choice(a: Column, b: Column, k: int, bits: int, agree: int) -> Column:
-    """Index of the first band choice on which two codes agree; a pair counts only there."""
+    for batch in batches:
+        code, side = batch.column("code").to_numpy(), batch.column("side").to_numpy().view(np.uint64)
+        cut_up = [(code.view(np.uint64) >> np.uint64(start)) & np.uint64((1 << width) - 1) for start, width in bands]
+        for i, chosen in enumerate(combinations(range(len(bands)), agree)):
+            value = np.zeros(len(code), np.uint64)
+            for j in chosen:
+                value = (value << np.uint64(bands[j][1])) | cut_up[j]
+            key = (value << np.uint64(CHOICE_BITS + 1)) | np.uint64(2 * i) | side
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(code)], names=["key", "code"])
+
+
+def _compare(k: int, bits: int, agree: int, ordered: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs within ``k`` bits that share a key, from rows (``key``, ``code``) in order of key: of each, those of side 0, then of side 1.
+
+    Only rows of side 0 of the last key are held. A pair counts at the first of the choices on which it agrees.
+    """
     bands = _bands(k, bits, agree)
-    same = [_band(a.bitwiseXOR(b), s, w) == 0 for s, w in bands]
-    out = F.lit(None).cast("int")
-    for i, chosen in reversed(list(enumerate(combinations(range(len(bands)), agree)))):
-        hit = F.lit(True)
-        for j in chosen:
-            hit = hit & same[j]
-        out = F.when(hit, i).otherwise(out)
-    return out
+    choices = list(combinations(range(len(bands)), agree))
+    masks = [np.uint64(sum(((1 << bands[j][1]) - 1) << bands[j][0] for j in chosen)).view(np.int64) for chosen in choices]
+    held_key, held = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        key, code = batch.column("key").to_numpy(), batch.column("code").to_numpy()
+        one = (key & 1).astype(bool)
+        own_key, own = np.concatenate([held_key, key[~one] >> 1]), np.concatenate([held, code[~one]])
+        ask_key, ask = key[one] >> 1, code[one]
+        first = np.searchsorted(own_key, ask_key, "left")
+        many = np.searchsorted(own_key, ask_key, "right") - first
+        some = many > 0
+        first, many, ask, ask_key = first[some], many[some], ask[some], ask_key[some]
+        ends = np.cumsum(many)
+        at = 0
+        while at < len(many):
+            begun = int(ends[at] - many[at])
+            stop = max(at + 1, int(np.searchsorted(ends, begun + COMPARED, "right")))
+            size = many[at:stop]
+            which = np.repeat(np.arange(at, stop), size)
+            x = own[np.arange(len(which)) + np.repeat(first[at:stop] - (ends[at:stop] - size - begun), size)]
+            apart = x ^ ask[which]
+            distance = np.bitwise_count(apart.view(np.uint64))
+            near = np.flatnonzero(distance <= k)
+            at = stop
+            if not len(near):
+                continue
+            x, y, apart, distance, choice = x[near], ask[which[near]], apart[near], distance[near], ask_key[which[near]] & ((1 << CHOICE_BITS) - 1)
+            once = np.ones(len(near), bool)
+            for i, mask in enumerate(masks):
+                once &= (choice <= i) | ((apart & mask) != 0)
+            if ordered:
+                once &= x < y
+            if once.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[once]), pa.array(y[once]), pa.array(distance[once].astype(np.int32))], names=["a", "b", "distance"])
+        if len(key):
+            last = own_key == key[-1] >> 1
+            held_key, held = own_key[last], own[last]
 
 
 def banded_join(
     left: DataFrame, right: DataFrame, a: str, b: str, k: int, bits: int, agree: int, ordered: bool = False
 ) -> DataFrame:
-    """Pairs of rows with ``hamming(a, b) <= k``, each once; ``ordered`` keeps a < b only.
+    """Pairs of rows with ``hamming(a, b) <= k``, each once; ``ordered`` keeps a < b only. Rows without a code are in no pair.
 
-    Both sides are sorted and merged. A row becomes one per choice of bands only after the shuffle whose size the adaptive planner
-    sees, so a side that looks small enough for a broadcast may be many times that in the driver.
+    Only different codes and their band keys are shuffled and sorted, by key; tasks compare those of a key as arrays, which
+    takes nanoseconds a pair, and just the true pairs become rows, which meet the tables again by their codes.
     """
-    lhs = left.withColumn("_key", F.explode(band_keys(F.col(a), k, bits, agree)))
-    rhs = right.withColumn("_key", F.explode(band_keys(F.col(b), k, bits, agree)))
-    near = hamming(F.col(a), F.col(b)) <= k
-    if ordered:
-        near = near & (F.col(a) < F.col(b))
-    pairs = lhs.hint("merge").join(rhs.hint("merge"), "_key").filter(near)
-    choice = F.col("_key").bitwiseAND(F.lit((1 << CHOICE_BITS) - 1).cast("long"))
-    once = choice == first_choice(F.col(a), F.col(b), k, bits, agree)
-    return pairs.filter(once).drop("_key").withColumn("distance", hamming(F.col(a), F.col(b)))
+    def codes(df: DataFrame, code: str, side: int) -> DataFrame:
+        return df.select(F.col(code).cast("long").alias("code")).filter("code IS NOT NULL").distinct().withColumn("side", F.lit(side).cast("long"))
+
+    both = codes(left, a, 0).unionByName(codes(right, b, 1))
+    keyed = both.mapInArrow(lambda rows: _keyed(k, bits, agree, rows), "key long, code long")
+    dealt = keyed.repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
+    pairs = dealt.mapInArrow(lambda rows: _compare(k, bits, agree, ordered, rows), "a long, b long, distance int")
+    pairs = cut(pairs.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "distance"))
+    met = pairs.hint("merge").join(left.hint("merge"), F.col("_a") == F.col(a)).join(right.hint("merge"), F.col("_b") == F.col(b))
+    return met.select(*left.columns, *right.columns, "distance")
 
 
 def distinct_codes(df: DataFrame, node: str) -> DataFrame:
@@ -84,7 +126,7 @@ def distinct_codes(df: DataFrame, node: str) -> DataFrame:
 
 def similar_pairs(df: DataFrame, k: int, node: str = "id", bits: int = 64, agree: int = 2) -> DataFrame:
     """Pairs of different codes within ``k`` bits, with how many rows hold each code."""
-    codes = distinct_codes(df, node)
+    codes = cut(distinct_codes(df, node))
     a = codes.select(F.col("code").alias("code_a"), F.col("n").alias("n_a"), F.col("first_id").alias("id_a"))
     b = codes.select(F.col("code").alias("code_b"), F.col("n").alias("n_b"), F.col("first_id").alias("id_b"))
     return banded_join(a, b, "code_a", "code_b", k, bits, agree, ordered=True)
@@ -108,9 +150,9 @@ def similar_pairs_dihedral(df: DataFrame, k: int, node: str = "id", bits: int =
     with itself at distance 0, so no link is lost and no group of copies is paired out. Distance is the
     least over both directions. Rows without a code are in no pair.
     """
-    classes = df.filter(F.col("code").isNotNull()).groupBy("code", "variants").agg(
+    classes = cut(df.filter(F.col("code").isNotNull()).groupBy("code", "variants").agg(
         F.min(node).alias("id"), F.count("*").alias("n")
-    )
+    ))
     turned = classes.select(
         F.col("id").alias("v_id"), F.col("n").alias("v_n"), F.explode(F.array_distinct("variants")).alias("variant")
     )
@@ -139,8 +181,8 @@ def screen_holdout(df: DataFrame, holdout: DataFrame, k: int, node: str = "id",
         F.min("name").alias("name")
     )
     # all copies of one variant meet the holdout once
-    codes = a.select("va").distinct()
-    hits = banded_join(codes, b, "va", "vb", k, bits, 2).groupBy("va").agg(
+    codes = cut(a.select("va").distinct())
+    hits = banded_join(codes, cut(b), "va", "vb", k, bits, 2).groupBy("va").agg(
         F.min("name").alias("name"), F.min("distance").alias("distance")
     )
     return a.join(hits, "va").groupBy(node).agg(F.min("name").alias("holdout"), F.min("distance").alias("distance"))

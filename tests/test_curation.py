@@ -50,6 +50,30 @@ def test_band_keys_are_never_broadcast(spark):
     assert "SortMergeJoin" in text and "Broadcast" not in text
 
 
+def test_candidate_pairs_of_a_band_never_become_rows(spark):
+    """2,000 codes with an equal half share six keys; none is a pair, and no join may see them by key."""
+    rng = random.Random(3)
+    a = spark.createDataFrame([(rng.getrandbits(32),) for _ in range(2000)], "a bigint")
+    pairs = sim.banded_join(a, a.withColumnRenamed("a", "b"), "a", "b", 2, 64, 2, ordered=True)
+    text = spark._jvm.PythonSQLUtils.explainString(pairs._jdf.queryExecution(), "simple")
+    assert "Generate" not in text and "_key" not in text
+    codes = [r.a for r in a.collect()]
+    assert pairs.count() == sum(bits_between(x, y) <= 2 for x in codes for y in codes if x < y)
+
+
+def test_groups_that_cross_batches(spark):
+    """Sides of a key may lie in different Arrow batches, and pairs are compared in several pieces."""
+    import pyarrow as pa
+
+    codes = list(range(-3, 40))
+    keyed = sorted((side, c) for side in (0, 1) for c in codes)
+    for size in (1, 7, 200):
+        cuts = [keyed[i:i + size] for i in range(0, len(keyed), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in c], pa.int64()), pa.array([v for _, v in c], pa.int64())], names=["key", "code"]) for c in cuts]
+        got = [p for r in sim._compare(64, 64, 1, True, iter(batches)) for p in zip(r["a"].to_pylist(), r["b"].to_pylist(), r["distance"].to_pylist())]
+        assert sorted(got) == [(x, y, bits_between(x, y)) for x in codes for y in codes if x < y]
+
+
 def test_copies_are_counted_not_paired(spark):
     rows, df = codes(spark)
     pairs = sim.similar_pairs(df, 4)
