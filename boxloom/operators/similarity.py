@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -194,69 +193,82 @@ def exclude_components(labelled: DataFrame, screened: DataFrame, node: str = "id
     return labelled.join(reason, "component", "left").withColumn("kept", F.col("reason").isNull())
 
 
-#: Bits of a part of a code in ``nearest_reference``; a part has so few values that their neighbours can be listed.
+#: Bits of a part of a code in ``nearest_reference``.
 PART = 16
+#: References of a block, and tasks that share the queries of a block.
+REFERENCES, SHARES = 1 << 14, 16
+#: Bits of a packed neighbour that hold the place of the reference; its distance stands above them.
+PLACE_BITS = 50
 
 
 def _parts(codes: DataFrame, code: str, bits: int) -> DataFrame:
     """``code``, ``part``, ``value``: every ``PART`` bits of a code."""
     pieces = [F.struct(F.lit(i).alias("part"), _band(F.col(code), PART * i, PART).alias("value")) for i in range(bits // PART)]
-    return codes.select(code, F.explode(F.array(*pieces)).alias("_p")).select(code, "_p.part", "_p.value")
+    return codes.select("*", F.explode(F.array(*pieces)).alias("_p")).select(*codes.columns, "_p.part", "_p.value")
 
 
-def _flipped_once_more(probes: DataFrame) -> DataFrame:
-    """Each probe with one further bit flipped, above those flipped before, so that no value comes up twice."""
-    bit = F.explode(F.sequence(F.col("last") + 1, F.lit(PART - 1))).alias("bit")
-    return probes.filter(F.col("last") < PART - 1).select("part", "value", "probe", bit).select(
-        "part", "value", F.col("probe").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("probe"), F.col("bit").alias("last")
-    )
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nearest reference of each query in one block, packed, from rows (``key``, ``code``, ``place``) in order of ``key``:
+    of each block its references, whose key is even, then its queries. Only the references of one block are held."""
+    held_key, codes, places = None, [], []
+    for batch in batches:
+        key, code, place = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "code", "place"))
+        code = code.view(np.uint64)
+        for at in np.split(np.arange(len(key)), np.flatnonzero(np.diff(key)) + 1) if len(key) else []:
+            if held_key != key[at[0]] >> 1:
+                held_key, codes, places = key[at[0]] >> 1, [], []
+            if key[at[0]] & 1 == 0:
+                codes.append(code[at])
+                places.append(place[at])
+            elif codes:
+                own, where = np.concatenate(codes), np.concatenate(places)
+                order = np.argsort(where)  # the first of the nearest ones has the least place
+                own, where = own[order], where[order]
+                codes, places = [own], [where]
+                asked, step = code[at], max(1, COMPARED // len(own))
+                best = np.empty(len(asked), np.int64)
+                for k in range(0, len(asked), step):
+                    apart = np.bitwise_count(asked[k : k + step, None] ^ own[None, :])
+                    first = apart.argmin(1)
+                    best[k : k + step] = (apart[np.arange(len(first)), first].astype(np.int64) << PLACE_BITS) | where[first]
+                yield pa.RecordBatch.from_arrays([pa.array(asked.view(np.int64)), pa.array(best)], names=["code", "best"])
 
 
 def nearest_reference(queries: DataFrame, reference: DataFrame, bits: int = 64) -> DataFrame:
     """Closest reference code per query (first in reference order on ties) and exact-copy flag.
 
-    Multi-index hashing: codes are cut into parts of ``PART`` bits. Round ``s`` compares a query with the references that
-    differ from it in one of the parts by ``s`` bits. What no round up to ``s`` has compared differs by ``s`` + 1 bits in
-    each part, so a neighbour within ``parts`` x (``s`` + 1) - 1 bits is proven to be the nearest, and its query leaves.
-    Probes are made per different value of a part, of which there are at most 2^16, not per query, and equal codes are one.
-    Where the flips of a round outnumber the reference's values of a part, these (a broadcast of at most 2^16 a part) are compared instead.
+    Codes are cut into parts of ``PART`` bits. A query meets first the references that have a part in common with it; what they
+    don't contain differs in each part, so a neighbour of fewer bits than parts is proven to be the nearest, and its query leaves.
+    The rest is compared with all references, as arrays: a task holds one block of ``REFERENCES`` of them and streams queries by.
+    Equal codes are one. Work grows as queries without a close copy times references, memory doesn't grow, as neighbours
+    are packed into one long, distance before place in the reference order, whose minimum needs no sort.
     ``bits`` is a multiple of ``PART``. Without reference codes there is no row.
     """
-    q = queries.select("id", "code")
-    ref = cut(reference.groupBy(F.col("code").alias("ref_code")).agg(F.min("order").alias("order")))
-    of_ref = cut(_parts(ref, "ref_code", bits).join(ref, "ref_code"))
-    known = cut(of_ref.select("part", F.col("value").alias("probe")).distinct())
-    most = known.groupBy("part").count().agg(F.max("count").alias("n")).first()["n"] or 0
-    left = cut(q.select("code").distinct().withColumn("best", F.lit(None).cast("struct<distance:int,order:bigint>")))
-    kind = ref.schema["order"].dataType.simpleString()
-    left = left.withColumn("best", F.col("best").cast(f"struct<distance:int,order:{kind}>"))
-    found, probes, listed = None, None, False
-    for turn in range(PART + 1):
-        of_left = _parts(left, "code", bits)
-        values = of_left.select("part", "value").distinct()
-        listed = listed or comb(PART, turn) > most
-        if listed:
-            apart = F.bit_count(F.col("value").bitwiseXOR(F.col("probe"))) == turn
-            near = values.join(F.broadcast(known), "part").filter(apart)
-        else:
-            if probes is None:
-                probes = values.select("part", "value", F.col("value").alias("probe"), F.lit(-1).alias("last"))
-            else:
-                probes = _flipped_once_more(probes.join(values, ["part", "value"], "left_semi"))
-            probes = cut(probes)
-            near = probes.join(known, ["part", "probe"]).select("part", "value", "probe")
-        met = of_left.join(near, ["part", "value"]).join(of_ref.withColumnRenamed("value", "probe"), ["part", "probe"])
-        best = met.groupBy("code").agg(F.min(F.struct(hamming(F.col("code"), F.col("ref_code")).cast("int").alias("distance"), "order")).alias("new"))
-        left = cut(left.join(best, "code", "left").select("code", F.least("best", "new").alias("best")))
-        proven = F.coalesce(F.col("best.distance") < bits // PART * (turn + 1), F.lit(turn == PART))
-        done = left.filter(proven)
-        found = done if found is None else found.unionByName(done)
-        left = left.filter(~proven)
-        if left.isEmpty():
-            break
-    return q.join(found.filter("best IS NOT NULL"), "code").select(
-        "id", F.col("best.distance").alias("distance"), F.col("best.order").alias("nearest"),
-        (F.col("best.distance") == 0).alias("exact"),
+    q = queries.filter("code IS NOT NULL").select("id", "code")
+    known = reference.filter("code IS NOT NULL").groupBy(F.col("code").alias("ref_code")).agg(F.min("order").alias("order"))
+    # ids of rows in global order ascend
+    ref = cut(known.orderBy("order").select("ref_code", "order", F.monotonically_increasing_id().alias("place")))
+    if ref.isEmpty():
+        return q.select("id", F.lit(0).alias("distance"), F.lit(None).cast(ref.schema["order"].dataType).alias("nearest"), F.lit(True).alias("exact")).limit(0)
+    codes = cut(q.select("code").distinct())
+    packed = F.shiftleft(hamming(F.col("code"), F.col("ref_code")).cast("long"), PLACE_BITS).bitwiseOR(F.col("place"))
+    met = _parts(codes, "code", bits).join(_parts(ref.drop("order"), "ref_code", bits), ["part", "value"])
+    close = met.groupBy("code").agg(F.min(packed).alias("best")).filter(F.shiftright("best", PLACE_BITS) < bits // PART)
+    close = cut(close)
+    rest = codes.join(close, "code", "left_anti")
+    blocks = -(-ref.count() // REFERENCES)
+    share = lambda c: F.pmod(F.xxhash64(F.lit("share"), c), F.lit(SHARES))
+    block = F.pmod(F.xxhash64(F.lit("block"), "ref_code"), F.lit(blocks))
+    key = lambda block, share, side: ((F.col(block) * SHARES + F.col(share)) * 2 + side).cast("long").alias("key")
+    held = ref.select(F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("s"), block.alias("b"), "ref_code", "place")
+    asked = rest.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), share("code").alias("s"), "code")
+    both = held.select(key("b", "s", 0), F.col("ref_code").alias("code"), "place").unionByName(asked.select(key("b", "s", 1), "code", F.lit(0).cast("long").alias("place")))
+    dealt = both.repartition(blocks * SHARES, F.shiftright("key", 1)).sortWithinPartitions("key")
+    far = dealt.mapInArrow(_nearest, "code long, best long").groupBy("code").agg(F.min("best").alias("best"))
+    place = F.col("best").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    found = close.unionByName(far).select("code", F.shiftright("best", PLACE_BITS).cast("int").alias("distance"), place.alias("place"))
+    return q.join(found, "code").join(ref.select("place", F.col("order").alias("nearest")), "place").select(
+        "id", "distance", "nearest", (F.col("distance") == 0).alias("exact")
     )
 
 

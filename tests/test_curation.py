@@ -112,6 +112,17 @@ def test_nearest_reference_is_exact(spark):
     assert got == {i: min((bits_between(c, r), o) for o, r in enumerate(ref_rows)) for i, c in enumerate(rows)}
 
 
+def test_nearest_reference_over_blocks_sorts_no_candidates(spark, monkeypatch):
+    monkeypatch.setattr(sim, "REFERENCES", 7)
+    rows, df = codes(spark, 60)
+    ref_rows, _ = codes(spark, 30, seed=9)
+    ref = spark.createDataFrame(list(enumerate(ref_rows)), "order bigint, code bigint")
+    out = sim.nearest_reference(df, ref)
+    got = {r.id: (r.distance, r.nearest) for r in out.collect()}
+    assert got == {i: min((bits_between(c, r), o) for o, r in enumerate(ref_rows)) for i, c in enumerate(rows)}
+    assert "SortAggregate" not in spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
+
+
 def union_find(n, edges):
     parent = list(range(n))
 
