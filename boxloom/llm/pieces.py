@@ -20,6 +20,14 @@ KEPT_PIECES = 1_200_000
 JOINED = 256
 
 
+def marked(n: int, *places: np.ndarray) -> np.ndarray:
+    """All ``places`` from 0 to ``n``, each once, in order; marks in an array take a fraction of the time of a set."""
+    mark = np.zeros(n + 1, bool)
+    for at in places:
+        mark[at] = True
+    return np.flatnonzero(mark)
+
+
 def cuts_after_space(b: np.ndarray) -> np.ndarray:
     """Places after white space and before anything else, for a pre-tokenizer that drops white space."""
     space = (b == 32) | ((b >= 9) & (b <= 13))
@@ -38,7 +46,7 @@ def cuts_before_space(b: np.ndarray) -> np.ndarray:
     begins = ascii_mark | lead
     gap = (b[1:-1] == 32) | (b[1:-1] == 10)
     at = np.flatnonzero(gap & ends[:-2] & begins[2:]) + 1
-    return np.union1d(at, at[b[at] == 10] + 1)
+    return marked(len(b), at, at[b[at] == 10] + 1)
 
 
 class PieceEncoder:
@@ -103,9 +111,9 @@ class PieceEncoder:
         base, end = int(offsets[0]), int(offsets[-1])
         part = buffer[base:end]
         own = offsets - base
-        bounds = np.union1d(np.union1d(self.cuts(part), own), [0, len(part)]).astype(np.int64)
         if len(part) == 0:
             return np.zeros(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
+        bounds = marked(len(part), self.cuts(part), own)
         pieces = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(part)))
         coded = pieces.dictionary_encode()
         if len(self.slots) > KEPT_PIECES:
@@ -114,7 +122,7 @@ class PieceEncoder:
         new = [p for p in distinct if p not in self.slots]
         if new:
             self._learn(new)
-        slot = np.fromiter((self.slots[p] for p in distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        slot = np.fromiter(map(self.slots.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
         sizes = self.sizes[slot]
         total = int(sizes.sum())
         before = np.cumsum(sizes) - sizes

@@ -106,3 +106,17 @@ def test_empty(spark):
     docs = frame(spark, ROWS).limit(0)
     assert packing.pack(docs, WORD).count() == 0
     assert idcoder.read_ids(idcoder.ids_file(docs, BYTE, 2)).count() == 0
+
+
+@pytest.mark.parametrize("path,kind", [(WORD, "word"), (BYTE, "byte")])
+def test_cuts_are_marked_not_sorted(monkeypatch, path, kind):
+    """Sets of cuts took a quarter of the time of an encoder; empty texts and texts of spaces have bounds, too."""
+    texts = ["", "a b", " ", "\n", "", "x\ny z  ", ""]
+    coded = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in coded])]).astype(np.int64)
+    encoder = PieceEncoder(path, kind)
+    for name in ("union1d", "unique"):
+        monkeypatch.setattr(np, name, None)
+    ids, counts = encoder.encode(np.frombuffer(b"".join(coded), np.uint8), offsets)
+    want = library(path, texts)
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w.tolist()]
