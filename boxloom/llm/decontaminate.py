@@ -19,10 +19,14 @@ UNITS = (
 #: Tokens of a window, least tokens of a run, least tokens that are no slots in a run with changed slots.
 WINDOW, RUN, LITERALS = 8, 13, 6
 
+#: Longs of the bitmap of the codes that begin a window of the benchmark, whatever their number.
+BITMAP = 1 << 14
+
 #: Scripts without spaces between words: each character is a token.
 _DENSE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 _LETTER = rf"[\p{{L}}\p{{M}}&&[^{_DENSE}]]"
-_TOKEN = rf"[{_DENSE}&&[\p{{L}}\p{{N}}]]\p{{M}}*|[\x{{1}}-\x{{4}}]?[\p{{L}}\p{{M}}\p{{N}}&&[^{_DENSE}]]+(?:[.,]\p{{N}}+)*"
+#: ASCII stands first in its class, and is kept from the look-up of scripts.
+_TOKEN = rf"[\x{{1}}-\x{{4}}]?[a-zA-Z0-9[\p{{L}}\p{{M}}\p{{N}}&&[^{_DENSE}]]]+(?:[.,]\p{{N}}+)*|(?=[^\x{{0}}-\x{{7f}}])[{_DENSE}&&[\p{{L}}\p{{N}}]]\p{{M}}*"
 
 
 def marked(text: Column) -> Column:
@@ -34,7 +38,7 @@ def marked(text: Column) -> Column:
     text = F.regexp_replace(text, rf"(?i)(?<=\p{{N}} ?)({'|'.join(UNITS)})(?![\p{{L}}\p{{M}}\p{{N}}])", f" {UNIT}$1")
     text = F.regexp_replace(text, r"(?<=[\p{Ll},;] )(\p{Lu}[\p{L}\p{M}]*)", f"{NAME}$1")
     text = F.regexp_replace(text, r"(?<![\p{L}\p{M}\p{N}\x{2}\x{3}])(\p{Lu}[\p{L}\p{M}]*)", f"{CAPITAL}$1")
-    return F.regexp_replace(text, rf"(?<![\p{{N}}.,]|{_LETTER})(\p{{N}}+(?:[.,]\p{{N}}+)*)(?!{_LETTER})", f"{NUMBER}$1")
+    return F.regexp_replace(text, rf"(?=\p{{N}})(?<![\p{{N}}.,]|{_LETTER})(\p{{N}}+(?:[.,]\p{{N}}+)*)(?!{_LETTER})", f"{NUMBER}$1")
 
 
 def slot_tokens(text: Column) -> Column:
@@ -43,7 +47,7 @@ def slot_tokens(text: Column) -> Column:
 
 
 def _value(token: Column) -> Column:
-    return F.translate(token, NUMBER + NAME + UNIT + CAPITAL, "")
+    return F.when(token < "\u0005", F.substring(token, 2, 1 << 30)).otherwise(token)
 
 
 def _once(x: Column, use) -> Column:
@@ -57,29 +61,55 @@ def _hashes(tokens: Column, length: int) -> Column:
     return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(tokens, i, length)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _windows(tokens: Column, lengths: list[int]) -> Column:
-    """(``at``, ``h``) of every window of ``WINDOW`` tokens in three readings, and of plain windows of ``lengths``.
+def _readings(tokens: Column) -> list[Column]:
+    """Codes of the tokens in three readings: a placeholder for numbers and units, and none, for names, or for every word with a capital."""
+    typed = lambda t: F.when(t < NAME, F.lit(NUMBER)).when((t >= UNIT) & (t < CAPITAL), F.lit(UNIT))
+    marked = lambda t, other: F.xxhash64(F.when(t < "\u0005", F.coalesce(typed(t), other)).otherwise(t))
+    plain = lambda t: marked(t, _value(t))
+    named = lambda t: marked(t, F.when(t < UNIT, F.lit(NAME)).otherwise(_value(t)))
+    capital = lambda t: marked(t, F.lit(NAME))
+    return [F.transform(tokens, code) for code in (plain, named, capital)]
+
+
+def _place(codes: Column, k: Column) -> tuple[Column, Column]:
+    """Long and bit in the bitmap of the three codes from position ``k`` (from 0) on, with which a window begins. Each is looked up once."""
+    long = F.get(codes, k).bitwiseXOR(F.shiftright(F.get(codes, k + 1), 1)).bitwiseAND(F.lit(BITMAP - 1).cast("long"))
+    return long.cast("int"), F.get(codes, k + 2).bitwiseAND(F.lit(63).cast("long")).cast("int")
+
 
-    The readings have a placeholder for numbers and units, and none, for names, or for every word with a capital. Where they agree
-    their hashes do, and one remains.
+def _windows(tokens: Column, lengths: list[int], bitmap: Column | None = None) -> Column:
+    """(``at``, ``h``, ``long``, ``bit``) of every window of ``WINDOW`` tokens in three readings (see ``_readings``), and of plain windows of ``lengths``.
+
+    With a ``bitmap``, of the former only those whose first codes may begin a window of the benchmark in some reading; hashes are made for these only.
     """
-    typed = lambda t: F.when(t < NAME, F.lit(NUMBER)).when((t >= UNIT) & (t < CAPITAL), F.lit(UNIT))
-    plain = lambda t: F.xxhash64(F.coalesce(typed(t), _value(t)))
-    named = lambda t: F.xxhash64(F.coalesce(typed(t), F.when(t < UNIT, F.lit(NAME)), _value(t)))
-    capital = lambda t: F.xxhash64(F.coalesce(typed(t), F.when(t < "\u0005", F.lit(NAME)), _value(t)))
-    p, n, c = (_once(F.transform(tokens, code), lambda c: _hashes(c, WINDOW)) for code in (plain, named, capital))
-    at = lambda h, k: F.struct(k.alias("at"), h.alias("h"))
-    new = lambda z, h: F.filter(F.transform(z, lambda x, k: at(h(x), k)), lambda y: y.h.isNotNull())
-    made = [_once(F.arrays_zip(p.alias("p"), n.alias("n"), c.alias("c")), lambda z: F.concat(
-        F.transform(z, lambda x, k: at(x.p, k)),
-        new(z, lambda x: F.when(x.n != x.p, x.n)),
-        new(z, lambda x: F.when((x.c != x.p) & (x.c != x.n), x.c)),
-    ))]
+    def of(codes: Column) -> Column:
+        last = F.size(codes) - WINDOW
+        at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        if bitmap is not None:
+            def known(k: Column) -> Column:
+                long, bit = _place(codes, k)
+                return F.call_function("shiftright", F.get(bitmap, long), bit).bitwiseAND(F.lit(1).cast("long")) == 1
+
+            at = F.filter(at, known)
+        h = lambda k: F.xxhash64(F.slice(codes, k + 1, WINDOW))
+        place = lambda k: [c.alias(name) for c, name in zip(_place(codes, k), ("long", "bit"), strict=True)]
+        return F.transform(at, lambda k: F.struct(k.alias("at"), h(k).alias("h"), *place(k)))
+
+    made = [_once(codes, of) for codes in _readings(tokens)]
+    at = lambda h, k: F.struct(k.alias("at"), h.alias("h"), F.lit(0).alias("long"), F.lit(0).alias("bit"))
     whole = lambda n: lambda c: _hashes(c, n)
     made += [F.transform(_once(F.transform(tokens, lambda t: F.xxhash64(_value(t))), whole(n)), at) for n in lengths]
     return F.concat(*made)
 
 
+def _bitmap(item_windows: DataFrame) -> Column:
+    """``BITMAP`` longs in which the places of all windows of the benchmark are set: a number of rows that no benchmark exceeds."""
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
+    found = item_windows.groupBy(F.col("long").alias("k")).agg(F.bit_or(one).alias("bits")).collect()
+    bits = dict.fromkeys(range(BITMAP), 0) | {r["k"]: r["bits"] for r in found}
+    return F.split(F.lit(",".join(str(bits[k]) for k in range(BITMAP))), ",").cast("array<bigint>")
+
+
 def _runs(flags: str) -> Column:
     """(first, last) position, from 1, of every maximal run of true in an array column."""
     n = F.size(flags)
@@ -114,12 +144,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     # at most WINDOW - 1 numbers
     lengths = sorted(r[0] for r in items.select(F.size("i_raw").alias("n")).filter(F.col("n") < WINDOW).distinct().collect())
     own = F.when(F.size("i_raw") >= WINDOW, _windows(F.col("i_raw"), [])).otherwise(
-        F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(F.transform("i_raw", lambda t: F.xxhash64(_value(t)))).alias("h")))
+        F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(F.transform("i_raw", lambda t: F.xxhash64(_value(t)))).alias("h"), F.lit(0).alias("long"), F.lit(0).alias("bit")))
     )
-    item_windows = written(items.select("key", F.inline(own)).select("key", F.col("at").alias("item_at"), "h"), "windows")
+    item_windows = written(items.select("key", F.inline(own)).select("key", F.col("at").alias("item_at"), "h", "long", "bit").distinct(), "windows")
+    bitmap = _bitmap(item_windows)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
-    doc_windows = rows.select("id", F.inline(_once(slot_tokens(F.col("text")), lambda t: _windows(t, lengths))))
-    hit = doc_windows.join(small_side(item_windows, 48), "h").select("id", "key", (F.col("at") - F.col("item_at")).alias("d")).distinct()
+    doc_windows = rows.select("id", F.inline(_once(slot_tokens(F.col("text")), lambda t: _windows(t, lengths, bitmap))))
+    hit = doc_windows.select("id", "at", "h").join(small_side(item_windows.select("key", "item_at", "h"), 48), "h").select("id", "key", (F.col("at") - F.col("item_at")).alias("d")).distinct()
     hit = written(hit, "hits")
     found = hit.select("id").distinct()
     texts = rows.join(small_side(written(found, "found"), 24), "id", "left_semi").distinct()
