@@ -1,7 +1,7 @@
 """Masks as run-length rows ``image_id, instance, y, x_start, x_end`` (half-open pixel spans).
 
 A run that goes on over several rows may say so once, with ``y_end`` (half-open, ``y + 1`` without it). Masks are never
-rasterised: intersections are joins of such rectangles on (image, cell).
+rasterised: intersections are those of such rectangles, as arrays where a group has up to ``matching.CROWD`` runs, else by joins on (image, cell).
 """
 
 from __future__ import annotations
@@ -9,8 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from boxloom.operators.matching import suppressed
+from boxloom.operators import matching
+from boxloom.operators.grouped import mask_groups
+from boxloom.operators.matching import deal, suppressed
 from boxloom.session import cut
 
 CELL = 64
@@ -53,8 +56,38 @@ def run_overlaps(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.filter(once).withColumn("pixels", ((right_end - left) * (bottom - top)).cast("long"))
 
 
-def mask_iou_pairs(a: DataFrame, b: DataFrame, keys: list[str], self_join: bool = False) -> DataFrame:
-    """IoU of every overlapping (instance, b_instance); ``self_join`` keeps unordered pairs once."""
+def mask_iou_pairs(a: DataFrame, b: DataFrame, keys: list[str], self_join: bool = False, least: float = 0.0) -> DataFrame:
+    """IoU, at least ``least``, of every overlapping (instance, b_instance); ``self_join`` keeps unordered pairs once. Instances are whole numbers.
+
+    Runs of a group meet once, in one task, and only pairs leave it; larger groups are joined by cells.
+    """
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    corners = {"x1": "x_start", "y1": "y", "x2": "x_end", "y2": "y_end"}
+    sides = [
+        _tall(runs).select(*keys, F.lit(side).alias("_truth"), F.col("instance").cast("long").alias("_index"), *[F.when(known, F.col(c).cast("double")).alias(n) for n, c in corners.items()])
+        for side, runs in ((True, b), (False, a))
+    ]
+    both = sides[0].unionByName(sides[1])
+    names, crowd = both.columns, matching.CROWD
+    schema = StructType([*both.schema, *StructType.fromDDL("b_index long, iou double, _settled boolean")])
+    dealt = deal(both, keys, [F.col("_truth").desc(), F.col("_index")])
+    found = cut(dealt.mapInArrow(lambda rows: mask_groups(rows, names, self_join, least, crowd), schema))
+    kinds = [runs.schema["instance"].dataType for runs in (a, b)]
+    pairs = found.filter("_settled").select(*keys, F.col("_index").cast(kinds[0]).alias("instance"), F.col("b_index").cast(kinds[1]).alias("b_instance"), "iou")
+    left = found.filter("NOT _settled")
+    if left.isEmpty():
+        return pairs
+    runs = [
+        left.filter(F.col("_truth") == side).select(*keys, F.col("_index").cast(kind).alias("instance"), *[F.col(n).cast("int").alias(c) for n, c in corners.items()])
+        for side, kind in zip((False, True), kinds, strict=True)
+    ]
+    return pairs.unionByName(_spread_pairs(*runs, keys, self_join).filter(F.col("iou") >= least))
+
+
+def _spread_pairs(a: DataFrame, b: DataFrame, keys: list[str], self_join: bool) -> DataFrame:
+    """``mask_iou_pairs`` by cells, for groups of any size."""
     pairs = run_overlaps(a, b, keys)
     if self_join:
         pairs = pairs.filter(F.col("instance") < F.col("b_instance"))

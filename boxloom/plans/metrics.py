@@ -123,7 +123,7 @@ def mask_ap(t):
     keys = ["image_id", "class_id"]
     p = mk.box_runs(t.pred().withColumnRenamed("pred_index", "instance"), [*keys, "instance"])
     g = mk.box_runs(t.gt().withColumnRenamed("gt_index", "instance"), [*keys, "instance"])
-    pairs = mk.mask_iou_pairs(p, g, keys).select(
+    pairs = mk.mask_iou_pairs(p, g, keys, least=min(mt.COCO_IOUS)).select(
         *keys, F.col("instance").alias("pred_index"), F.col("b_instance").alias("gt_index"), "iou"
     )
     m = mt.coco_hits(t.pred(), t.gt(), max_det=10**6, pairs=pairs)

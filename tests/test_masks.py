@@ -74,3 +74,24 @@ def test_confusion_paints_both_sides(spark):
     want[0, 0] = total - len(a.keys() | b.keys())
     table = mk.confusion(spark.createDataFrame(truth, SCHEMA), spark.createDataFrame(pred, SCHEMA), spark.range(1).selectExpr(f"{total} AS total"), 4)
     assert {(r.gt_class, r.pred_class): r.n for r in table.collect()} == want
+
+
+@pytest.mark.parametrize("crowd", [4, 8192])
+def test_pairs_of_groups_and_crowds(spark, monkeypatch, crowd):
+    """Runs meet inside a task, with no join by cells; larger groups are joined and give the same pairs."""
+    from boxloom.operators import matching as mt
+
+    if crowd > 100:
+        monkeypatch.setattr(mk, "run_overlaps", None)
+    monkeypatch.setattr(mt, "CROWD", crowd)
+    runs = [dict(r, instance=r["instance"] // 2) for r in random_runs(9, 24)]
+    for r in runs:
+        r["y"], r["y_end"] = r["y"] + 300 * r["class_id"], r["y_end"] + 300 * r["class_id"]
+    runs = list({(r["image_id"], r["instance"], r["class_id"]): r for r in runs}.values())
+    df = spark.createDataFrame(runs, SCHEMA)
+    got = {(r.image_id, r.instance, r.b_instance): r.iou for r in mk.mask_iou_pairs(df, df, ["image_id"], least=0.02).collect()}
+    sets = {}
+    for r in runs:
+        sets.setdefault((r["image_id"], r["instance"]), set()).update(pixels(r))
+    want = {(i, a, b): len(s & t) / len(s | t) for (i, a), s in sets.items() for (j, b), t in sets.items() if i == j and len(s & t) / len(s | t) >= 0.02}
+    assert any(a != b for _, a, b in want) and got == pytest.approx(want)
