@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.functions.hashing import hamming
+from boxloom.operators.grouped import whole_groups
+from boxloom.operators.matching import deal
 from boxloom.session import cut
 
 
@@ -272,28 +274,48 @@ def nearest_reference(queries: DataFrame, reference: DataFrame, bits: int = 64)
     )
 
 
+#: Vectors of a block of ``near_copies``, about; a task holds two of them. Sums that are added up at once.
+VECTORS, SUMS = 4096, 1 << 16
+
+
 def near_copies(df: DataFrame, limit: float, node: str = "id") -> DataFrame:
     """Pairs in the same bucket whose grey vectors differ by at most ``limit`` on average.
 
     Identical vectors of a bucket are one class, named by its first holder, before pairs are made; ``n_a`` and
     ``n_b`` count its rows, and copies are the pair of their class with itself at 0. The
     means of two such vectors differ by no more than ``limit``, so only neighbouring mean cells of a
-    bucket meet: a bucket that many pictures share is not compared all against all.
+    bucket meet. A cell is cut into blocks of about ``VECTORS``, and every pair of blocks that may hold a pair is a piece of work of its own, whose
+    vectors are compared as arrays: quadratic in the vectors of a cell, but spread over tasks and bounded in memory, and only true pairs become rows.
     ``df``: node, ``bucket``, ``pixels`` (array).
     """
-    held = df.groupBy("bucket", "pixels").agg(F.min(node).alias("id"), F.count("*").alias("n"))
-    mean = F.aggregate("pixels", F.lit(0.0), lambda s, v: s + v.cast("double")) / F.size("pixels")
-    held = held.withColumn("_cell", F.floor(mean / (max(limit, 1e-9) * (1 + 1e-9))))
-    around = F.explode(F.sequence(F.col("_cell") - 1, F.col("_cell") + 1)).alias("_cell")
-    a = held.select("bucket", around, F.col("id").alias("id_a"), F.col("pixels").alias("pa"), F.col("n").alias("n_a"))
-    b = held.select("bucket", "_cell", F.col("id").alias("id_b"), F.col("pixels").alias("pb"), F.col("n").alias("n_b"))
-    total = F.aggregate(
-        F.zip_with("pa", "pb", lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v
+    held = cut(df.groupBy("bucket", "pixels").agg(F.min(node).alias("id"), F.count("*").alias("n")))
+    size = F.size("pixels")
+    mean = F.aggregate("pixels", F.lit(0.0), lambda s, v: s + v.cast("double")) / size
+    cell = F.floor(mean / (max(limit, 1e-9) * (1 + 1e-9)))
+    rows = held.withColumn("_size", size).withColumn("_cell", cell).filter("_cell IS NOT NULL AND bucket IS NOT NULL")
+    one = ["bucket", "_size"]
+    blocks = cut(rows.groupBy(*one, "_cell").agg(F.ceil(F.count("*") / VECTORS).cast("int").alias("_k")))
+    below, above = (blocks.select(*one, (F.col("_cell") + by).alias("_cell"), F.col("_k").alias(name)) for by, name in ((1, "_below"), (-1, "_above")))
+    around = blocks.join(below, [*one, "_cell"], "left").join(above, [*one, "_cell"], "left").na.fill(0, ["_below", "_above"])
+    mine = F.pmod(F.xxhash64("id"), F.col("_k")).cast("int")
+    placed = rows.join(around, [*one, "_cell"]).withColumn("_mine", mine)
+    upto = lambda k: F.filter(F.sequence(F.lit(0), F.greatest(F.col(k), F.lit(1)) - 1), lambda i: i < F.col(k))
+    # a pair of blocks: the lower cell, whether the other cell is the next one, both blocks, and which of them the row belongs to
+    unit = lambda cell, up, i, j, second: F.struct(cell.alias("_at"), F.lit(up).alias("_up"), i.alias("_i"), j.alias("_j"), second.alias("_second"))
+    at, own, no, yes = F.col("_cell"), F.col("_mine"), F.lit(False), F.lit(True)
+    units = F.concat(
+        F.transform(upto("_k"), lambda j: unit(at, False, F.least(own, j), F.greatest(own, j), j < own)),
+        F.transform(upto("_above"), lambda j: unit(at, True, own, j, no)),
+        F.transform(upto("_below"), lambda i: unit(at - 1, True, i, own, yes)),
     )
-    near = (
-        a.join(b, ["bucket", "_cell"]).filter(F.col("id_a") < F.col("id_b"))
-        .withColumn("mae", total / F.size("pa")).filter(F.col("mae") <= limit)
-        .select("bucket", "id_a", "id_b", "n_a", "n_b", "mae")
+    keys = [*one, "_at", "_up", "_i", "_j"]
+    dealt = deal(placed.select(*one, F.inline(units), "id", "n", "pixels"), keys, [F.col("_second")])
+    kinds = {f.name: f.dataType.simpleString() for f in held.schema}
+    made = dealt.mapInArrow(lambda b: _near_vectors(limit, b), f"bucket {kinds['bucket']}, id_1 {kinds['id']}, id_2 {kinds['id']}, n_1 long, n_2 long, mae double")
+    first = F.col("id_1") < F.col("id_2")
+    near = made.select(
+        "bucket", F.least("id_1", "id_2").alias("id_a"), F.greatest("id_1", "id_2").alias("id_b"),
+        F.when(first, F.col("n_1")).otherwise(F.col("n_2")).alias("n_a"), F.when(first, F.col("n_2")).otherwise(F.col("n_1")).alias("n_b"), "mae",
     )
     same = held.filter("n > 1").select(
         "bucket", F.col("id").alias("id_a"), F.col("id").alias("id_b"), F.col("n").alias("n_a"), F.col("n").alias("n_b"), F.lit(0.0).alias("mae")
@@ -301,6 +323,68 @@ def near_copies(df: DataFrame, limit: float, node: str = "id") -> DataFrame:
     return near.unionByName(same)
 
 
+def _near_vectors(limit: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs within ``limit`` of pairs of blocks; ``_second`` tells the two blocks, a block with itself has only one."""
+    for rows, _ in whole_groups(batches, 1 << 62):
+        start = np.flatnonzero(rows.column("_first").to_numpy(zero_copy_only=False))
+        named = rows.select(["bucket", "id", "n"])
+        inner, second = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("_i", "_second"))
+        alone = (inner == rows.column("_j").to_numpy()) & ~rows.column("_up").to_numpy(zero_copy_only=False)
+        for x, y in zip(start.tolist(), [*start[1:].tolist(), rows.num_rows], strict=True):
+            size = rows.column("_size")[x].as_py()
+            vectors = rows.column("pixels").slice(x, y - x).flatten().to_numpy().reshape(y - x, size)
+            middle = 0 if alone[x] else int(np.count_nonzero(~second[x:y]))
+            for a, b, mae in _together(_vector_pairs(vectors[: None if alone[x] else middle], vectors[middle:], limit, bool(alone[x]))):
+                one, two = named.take(pa.array(a + x)), named.take(pa.array(b + x + middle))
+                yield pa.RecordBatch.from_arrays(
+                    [one.column("bucket"), one.column("id"), two.column("id"), one.column("n"), two.column("n"), pa.array(mae)],
+                    names=["bucket", "id_1", "id_2", "n_1", "n_2", "mae"],
+                )
+
+
+def _together(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same pairs in fewer, larger parts."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n >= SUMS:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held, n = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
+def _vector_pairs(one: np.ndarray, two: np.ndarray, limit: float, alone: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row of ``one``, row of ``two``, mean difference) up to ``limit``, each pair once if both are the same (``alone``).
+
+    Sums are added up dimension by dimension, in order, so doubles round as in a fold; whole numbers in a narrow range take two bytes each.
+    """
+    if not len(one) or not len(two):
+        return
+    size, kind = one.shape[1], np.float64
+    low, high = min(one.min(), two.min()), max(one.max(), two.max())
+    if one.dtype.kind in "iu" and size * (int(high) - int(low)) < 1 << 15:
+        kind, one, two = np.int16, one.astype(np.int64) - int(low), two.astype(np.int64) - int(low)
+    left, right = np.ascontiguousarray(one.astype(kind).T), np.ascontiguousarray(two.astype(kind).T)
+    step = max(1, SUMS // len(two))
+    for at in range(0, len(one), step):
+        begin = at if alone else 0  # pairs before the diagonal were met from the other side
+        mine, other = left[:, at : at + step, None], right[:, begin:]
+        total, apart = np.zeros((mine.shape[1], other.shape[1]), kind), np.empty((mine.shape[1], other.shape[1]), kind)
+        for d in range(size):
+            np.subtract(mine[d], other[d], out=apart)
+            np.abs(apart, out=apart)
+            np.add(total, apart, out=total)
+        a, b = np.nonzero(total <= np.floor(limit * size) + 1)
+        mae = total[a, b] / float(size)
+        kept = mae <= limit
+        if alone:
+            kept &= b > a
+        if kept.any():
+            yield a[kept] + at, b[kept] + begin, mae[kept]
+
+
 def cross_split_leaks(pairs: DataFrame, rows: DataFrame, node: str = "id") -> DataFrame:
     """Pairs of ``similar_pairs_dihedral`` whose members sit in different splits, with how many rows each split has.
 

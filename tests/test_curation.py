@@ -236,3 +236,29 @@ def test_near_copies_equal_brute_force(spark):
     twice = df.unionByName(df.filter("id = 3").withColumn("id", F.lit(99)))
     same = [(r.id_a, r.id_b, r.n_a, r.mae) for r in sim.near_copies(twice, 0.8).filter("id_a = id_b").collect()]
     assert same == [(3, 3, 2, 0.0)]
+
+
+@pytest.mark.parametrize("vectors,scale", [(3, 1), (3, 0.3), (3, 5000), (4096, 1)])
+def test_near_copies_of_many_blocks(spark, monkeypatch, vectors, scale):
+    """Cells cut into several blocks, whole numbers in narrow and wide ranges, fractions, and vectors of two lengths."""
+    monkeypatch.setattr(sim, "VECTORS", vectors)
+    monkeypatch.setattr(sim, "SUMS", 7)
+    rng = random.Random(12)
+    base = [[rng.randrange(-20, 20) for _ in range(12)] for _ in range(4)]
+    kind = "double" if scale < 1 else "int"
+    rows = [(i, i % 2, [(v + rng.randrange(4)) * scale for v in base[i % 4][: 12 - i % 5 // 4 * 3]]) for i in range(90)]
+    df = spark.createDataFrame(rows + [(90, 0, None), (91, 0, [1 * scale, None])], f"id int, bucket int, pixels array<{kind}>")
+    limit = 1.1 * scale
+    brute = {}
+    for i, b, p in rows:
+        for j, c, q in rows:
+            if i < j and b == c and p != q and len(p) == len(q):
+                total = 0.0
+                for x, y in zip(p, q, strict=True):
+                    total += abs(x - y)
+                if total / len(p) <= limit:
+                    brute[b, i, j] = total / len(p)
+    pairs = sim.near_copies(df, limit)
+    assert "Join" not in pairs._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    got = {(r.bucket, r.id_a, r.id_b): r.mae for r in pairs.collect() if r.id_a != r.id_b}
+    assert brute and got == brute
