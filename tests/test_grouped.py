@@ -15,6 +15,7 @@ def small_batches(spark, monkeypatch):
     """Groups lie across the batches of a task."""
     monkeypatch.setattr(grouped, "ROWS", 8)
     monkeypatch.setattr(grouped, "COMPARED", 4)
+    monkeypatch.setattr(grouped, "PRODUCTS", 9)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
     yield
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
@@ -71,3 +72,44 @@ def test_given_pairs_match_as_boxes_do(spark, monkeypatch, small_batches):
     assert sorted(map(str, mt.coco_hits(p, g, [0.3, 0.6], 9, pairs=pairs).collect())) == want
     monkeypatch.setattr(mt, "CROWD", 8)
     assert sorted(map(str, mt.coco_hits(p, g, [0.3, 0.6], 9, pairs=pairs).collect())) == want
+
+
+@pytest.mark.parametrize("key", ["ag4", "ag13", "ag5", "mt3", "dq6_full"])
+def test_queries_settle_groups_and_blocks(spark, folder, monkeypatch, key):
+    """Small blocks of predictions, no distributed rounds and no running sums of predictions; rows as the SQL gives them."""
+    import __spark_entry__ as entry
+    from boxloom.operators import metrics as ag
+    from tests.compare import compare, duck
+
+    monkeypatch.setattr(mt, "settle", None)
+    monkeypatch.setattr(ag, "running", None)
+    monkeypatch.setattr(ag, "BLOCK", 7)
+    monkeypatch.setattr(ag, "HELD", 50)
+    n, problem = compare(entry.queries()[key](spark, folder), entry.oracle_sql()[key], duck(folder))
+    assert n and problem is None
+
+
+def test_ap_of_hits_at_every_level(spark, monkeypatch):
+    """Missing names of a group and blocks of one prediction; levels without a hit count as 0."""
+    from boxloom.operators import metrics as ag
+
+    preds, gts = brute.scene(random.Random(41), images=4)
+    p, g = brute.frames(spark, preds, gts)
+    hits = mt.coco_hits(p, g, [0.5, 0.99], 3).withColumn("site", F.when(F.col("image_id") > 0, F.col("image_id").cast("string")))
+    npos = ag.truth_counts(g.withColumn("site", F.when(F.col("image_id") > 0, F.col("image_id").cast("string"))), ["site"])
+    run = lambda: sorted(map(str, ag.ap_by_level(hits, npos, ["site"], [0.5, 0.99], (2, 3)).collect()))
+    whole = run()
+    monkeypatch.setattr(ag, "BLOCK", 1)
+    assert run() == whole and any("ap=0.0" in r for r in whole)
+
+
+def test_groups_of_copies_are_settled_apart(monkeypatch):
+    """Every pair of a group of copies is a candidate; a batch of such groups is never held at once."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(grouped, "PRODUCTS", 100)
+    truth = np.tile(np.repeat([True, False], [8, 9]), 6)
+    rows = pa.record_batch({"_first": pa.array(np.arange(len(truth)) % 17 == 0), "_truth": pa.array(truth)})
+    parts = list(grouped.whole_groups(iter([rows]), 100))
+    assert [p.num_rows for p, _ in parts] == [17] * 6 and not any(crowded for _, crowded in parts)
